@@ -18,15 +18,48 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from swatchwork.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.linequality import line_quality
+
+    return line_quality(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatchwork.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from swatchwork.llm.tokencount import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.decontam import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.pii import personal_data, span_strings
+
+    return span_strings(personal_data(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_toxicity": op2_toxicity,
-    "op5_minhash_near_dup": op5_minhash_near_dup,
+    f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_line_quality, op5_minhash_near_dup, op7_token_counts, op8_decontamination, op10_personal_data)
 }
 
 SQL: dict[str, str] = {}
