@@ -2,36 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swatchwork.llm.decontam import decontaminate
 from swatchwork.llm.neardup import near_duplicates
+from swatchwork.llm.packing import pack
+from swatchwork.llm.pii import personal_data, redacted
 from swatchwork.llm.toxicity import score_toxicity, train_toxicity
-from swatchwork.runtime import written
+from swatchwork.runtime import small_enough, written
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``rejected`` (doc_id)."""
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Rows of ``docs`` whose id is not in ``rejected``; its ids are counted before they may be
+    broadcast, and joined by a shuffle when there are too many."""
+    ids = written(rejected.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if small_enough(ids.count(), 16) else ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out every document that the classifier calls toxic."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, score_toxicity(docs, model).filter("predicted = 1").select("doc_id").distinct())
+    return _without(docs, score_toxicity(docs, model).filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).filter("not kept").select("doc_id").distinct())
+    return _without(docs, near_duplicates(docs).filter("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out every document that holds a window of a benchmark item."""
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind; ``n_chars`` follows the text."""
+    found = personal_data(docs, keep_row=True)
+    text = F.when(F.col("row.text").isNotNull(), redacted(F.col("row.text").cast("string"), F.col("base"), F.col("extra")))
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return found.withColumn("new_text", text).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("minhash_near_dup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
 ]
 
-#: The classifier and the signatures are no SQL; tests/llm holds the stages against brute force.
+#: The classifier, the tokenizer and the packing are no SQL; tests/llm holds the stages against
+#: brute force.
 ORACLE_SQL = None
 
 

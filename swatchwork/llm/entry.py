@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from swatchwork.llm.oracle import SQL as SQL  # noqa: PLC0414
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatchwork.llm.toxicity import score_toxicity, train_toxicity
 
@@ -38,6 +46,12 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.urlrules import judge_urls, rule_table
+
+    return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,14 +66,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.chat import chat_digests
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatchwork.llm.pii import personal_data, span_strings
 
     return span_strings(personal_data(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_line_quality, op5_minhash_near_dup, op7_token_counts, op8_decontamination, op10_personal_data)
-}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
-SQL: dict[str, str] = {}
+_OPERATORS = (
+    op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_line_quality, op5_minhash_near_dup, op6_url_rules,
+    op7_token_counts, op8_decontamination, op9_chat_format, op10_personal_data, pipeline,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}

@@ -219,21 +219,24 @@ def boost(counts: list, p: PiiParams) -> PiiModel:
     return PiiModel(base, tuple(trees), p.rate, limit)
 
 
-def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_text: bool = False) -> DataFrame:
-    """``doc_id, base, extra`` for every row of ``docs`` (doc_id, text, ...), and with ``keep_text``
-    the text: ``base`` has arrays of spans by kind, ``extra`` the spans that the model adds.
+def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_row: bool = False) -> DataFrame:
+    """``doc_id, base, extra`` for every row of ``docs`` (doc_id, text, ...), and with ``keep_row``
+    all its columns as ``row``: ``base`` has arrays of spans by kind, ``extra`` the spans that the
+    model adds.
 
     Null texts have no spans. Repeated rows are treated alike; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = [F.struct(*docs.columns).alias("row")] if keep_row else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    more = ["row"] if keep_row else []
     spans = base_spans(text)
     loose = F.concat(
         described(text, F.when(text.rlike("[0-9]"), matches(text, LOOSE["number"])).otherwise(F.array().cast(SPAN)), 0, p.context),
         described(text, F.when(text.rlike(r"[\[(](?:at|AT)[\])]"), matches(text, LOOSE["mail"])).otherwise(F.array().cast(SPAN)), 1, p.context),
     )
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = written(rows.select("doc_id", *(["text"] if keep_text else []), F.struct(*(bare(spans[k]).alias(k) for k in KINDS)).alias("base"), loose.alias("loose")))
+    found = written(rows.select("doc_id", *more, F.struct(*(bare(spans[k]).alias(k) for k in KINDS)).alias("base"), loose.alias("loose")))
     every = F.concat(*(F.col("base")[k] for k in KINDS))
     held = F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0")
     told = found.select(F.coalesce(held, F.lit(False)).alias("held_out"), F.explode(F.transform("loose", lambda s: s.withField("is_base", _overlaps(s, every).cast("int")))).alias("s")).select("held_out", "s.*")
@@ -243,7 +246,7 @@ def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_text: bool =
     kind = lambda s: F.when(s["source"] == 1, "email").when((s["groups"] == 4) & (s["marks"] == 2), "ip").when(s["digits"] >= 13, "card").otherwise("phone")
     chosen = F.filter("loose", lambda s: (model.margin(s) >= model.threshold) & ~_overlaps(s, every)) if np.isfinite(model.threshold) else F.filter("loose", lambda s: F.lit(False))
     extra = F.transform(chosen, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", *(["text"] if keep_text else []), "base", extra.alias("extra"))
+    return found.select("doc_id", *more, "base", extra.alias("extra"))
 
 
 def span_strings(found: DataFrame) -> DataFrame:
