@@ -290,8 +290,10 @@ def merge_close(spark, sf_dir):
 
 
 @query(A.with_views("pal") + _LABEL + """, sh AS (SELECT doc_id, m.k AS k, round(sum(w) / sum(sum(w)) OVER (PARTITION BY doc_id), 6) AS share FROM lab GROUP BY doc_id, m.k), p AS (SELECT * FROM pal JOIN sh USING (doc_id, k)),
-t AS (SELECT p.doc_id, p.k, p.share, p.r, p.g, p.b, a.r AS ar, a.g AS ag, a.b AS ab, b.r AS br, b.g AS bg, b.b AS bb FROM p JOIN p a ON a.doc_id = p.doc_id AND a.k <> p.k AND a.share >= 1.5 * p.share JOIN p b ON b.doc_id = p.doc_id AND b.k <> p.k AND a.k < b.k AND b.share >= 1.5 * p.share WHERE FALSE)
-SELECT doc_id, k, 0.0::DOUBLE AS gap, share FROM t""")
+t AS (SELECT p.doc_id, p.k, p.share, p.r, p.g, p.b, a.r AS ar, a.g AS ag, a.b AS ab, b.r AS br, b.g AS bg, b.b AS bb FROM p JOIN p a ON a.doc_id = p.doc_id AND a.k <> p.k AND a.share >= 3 * p.share JOIN p b ON b.doc_id = p.doc_id AND b.k <> p.k AND a.k < b.k AND b.share >= 3 * p.share WHERE p.share < 0.035),
+s AS (SELECT *, greatest(0, least(1, ((r - ar) * (br - ar) + (g - ag) * (bg - ag) + (b - ab) * (bb - ab)) / nullif((br - ar) ** 2 + (bg - ag) ** 2 + (bb - ab) ** 2, 0))) AS u FROM t),
+d AS (SELECT *, sqrt((r - (ar + u * (br - ar))) ** 2 + (g - (ag + u * (bg - ag))) ** 2 + (b - (ab + u * (bb - ab))) ** 2) AS gap FROM s)
+SELECT doc_id, k, round(min(gap), 6) AS gap, any_value(share) AS share FROM d WHERE gap < 28 GROUP BY doc_id, k""")
 def prune_blends(spark, sf_dir):
     hist = written(A.hist_li(spark, sf_dir))
     pal = A.palette_of(hist)
