@@ -22,13 +22,15 @@ from swatchwork.runtime import written
 @dataclass(frozen=True)
 class ToxicityParams:
     """``max_toxic``, ``max_clean``: bound of the training sample, in documents. ``features``: size
-    of the model. ``least_docs``: toxic documents that must hold an n-gram."""
+    of the model. ``least_docs``, ``least_share``: toxic documents that must hold an n-gram, in number and as
+    a share of the sample."""
 
     lengths: tuple[int, ...] = (4, 5, 6, 7)
     max_toxic: int = 2500
     max_clean: int = 6000
     features: int = 8192
     least_docs: int = 4
+    least_share: float = 0.004
     smoothing: float = 1.0
     l2: float = 1e-3
     steps: int = 300
@@ -133,20 +135,19 @@ def _features(batches: Iterator[pa.RecordBatch], keys: np.ndarray, p: ToxicityPa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "found"])
 
 
-def _fit(rows: list, ratio: np.ndarray, weight: dict[int, float], p: ToxicityParams) -> tuple[np.ndarray, float]:
+def _fit(rows: pa.Table, ratio: np.ndarray, weight: dict[int, float], p: ToxicityParams) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch gradient steps with momentum; rows in order of doc_id, so
     that sums don't depend on how the sample was dealt out."""
-    y = np.array([r.toxic for r in rows], float)
-    w = np.array([weight[int(t)] for t in y])
+    y, found = rows["toxic"].to_numpy().astype(float), rows["found"].combine_chunks()
+    w = np.where(y > 0, weight[1], weight[0])
     w /= w.sum()
-    size = np.array([len(r.found) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.concatenate([np.array(r.found, np.int64) for r in rows]) if size.sum() else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(y)), found.value_lengths().to_numpy())
+    col = found.flatten().to_numpy().astype(np.int64)
     x = ratio[col]
     beta, bias = np.zeros(len(ratio)), float(np.log((w * y).sum() / (w * (1 - y)).sum()))
     m, v, mb, vb = np.zeros_like(beta), np.zeros_like(beta), 0.0, 0.0
     for k in range(1, p.steps + 1):
-        z = bias + np.bincount(row, beta[col] * x, len(rows))
+        z = bias + np.bincount(row, beta[col] * x, len(y))
         g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gb = g.sum()
         g = np.bincount(col, g[row] * x, len(ratio)) + p.l2 / len(ratio) * beta
@@ -180,13 +181,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     # The sample has about max_toxic + max_clean ids, whatever the size of the tables, so it may be broadcast.
     sample = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(F.broadcast(chosen), "doc_id"))
     toxic = sample.filter("toxic = 1").select("text")
-    counted = toxic.mapInArrow(lambda it: _toxic_keys(it, p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.least_docs).toPandas()
-    if not len(counted):
+    least = max(p.least_docs, round(p.least_share * min(n[1], p.max_toxic)))
+    counted = toxic.mapInArrow(lambda it: _toxic_keys(it, p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    if not counted.num_rows:
         return ToxicityModel(empty.astype(np.uint64), empty, float(np.log(n[1] / n[0])), p.lengths, p.bits)
     keys, pos = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy().astype(float)
     order = np.argsort(keys)
     keys, pos = keys[order], pos[order]
-    clean = sample.filter("toxic = 0").select("text").mapInArrow(lambda it: _count_known(it, keys, p), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    clean = sample.filter("toxic = 0").select("text").mapInArrow(lambda it: _count_known(it, keys, p), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     neg = np.zeros(len(keys))
     neg[clean["feature"].to_numpy()] = clean["n"].to_numpy()
     size = {int(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -195,7 +197,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     gain = np.abs(ratio) * np.sqrt(pos + neg * n1 / n0)
     best = np.sort(np.lexsort((keys, -gain))[: p.features])
     keys, ratio = keys[best], ratio[best]
-    rows = sorted(sample.mapInArrow(lambda it: _features(it, keys, p), "doc_id long, toxic int, found array<int>").collect(), key=lambda r: (r.doc_id, r.found))
+    rows = sample.mapInArrow(lambda it: _features(it, keys, p), "doc_id long, toxic int, found array<int>").toArrow().sort_by("doc_id")
     beta, bias = _fit(rows, ratio, {1: 1 / rate[1], 0: 1 / rate[0]}, p)
     return ToxicityModel(keys, beta * ratio, bias, p.lengths, p.bits)
 
