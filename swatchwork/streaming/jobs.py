@@ -18,7 +18,8 @@ TERMINAL = ("done", "review", "rejected", "failed")
 
 def watch_folder(spark: SparkSession, folder: str, pattern: str = "*.png", per_trigger: int = 1000) -> DataFrame:
     """Newly dropped files as queued jobs: a file stream without the contents."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
     return files.select(F.sha1("path").alias("job_id"), "path", F.col("modificationTime").alias("ts"), F.col("length").alias("bytes"), F.lit("queued").alias("status"))
 
 
