@@ -39,6 +39,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Have Spark hand rows to Python in batches of ``rows`` at most, so that a worker never holds a
+    whole partition of texts; a session that asks for less keeps its setting."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def small_enough(rows: int, row_bytes: int) -> bool:
     """Whether so many rows of a fixed width may be broadcast."""
     return rows * row_bytes <= BROADCAST_BYTES
