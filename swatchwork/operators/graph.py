@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchwork.runtime import written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _join_rest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of the few edges that are left, in one task."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for rows in parts:
+        for a, b in zip(rows["lo"], rows["hi"]):
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    yield pd.DataFrame([(x, find(x)) for x in list(top)], columns=["component", "up"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_rows: int = 20_000) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table; component is the smallest
     node that can be reached.
 
     Each round every node hooks on to its smallest neighbour (a plain ``min``, combined before the
     shuffle, so a hub costs no more than its edges), edges are renamed and equal ones merged. The
-    edge table at least halves its nodes each round, and each round is written to the shared
-    folder. Null ends are ignored; an empty table gives an empty result.
+    edge table at least halves its nodes each round, and each round's hooks and edges are written
+    to the shared folder; the labels follow them by one join a round. Once no more than
+    ``last_rows`` edges are left (a fixed bound, 16 bytes each), one task joins them. Null ends are ignored; an empty table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
     links = written(edges.filter(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
     labels = links.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     live = links.filter("lo < hi")
     for _ in range(max_rounds):
+        left = live.count()
+        if left <= last_rows:
+            if not left:
+                return labels
+            kind = dict(live.dtypes)["lo"]
+            hooks = live.repartition(1).mapInPandas(_join_rest, f"component {kind}, up {kind}")
+            return labels.join(hooks, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         hooks = (
             live.select(F.explode(F.array(F.struct(F.col("hi").alias("component"), F.col("lo").alias("up")), F.struct(F.col("lo").alias("component"), F.col("lo").alias("up")))).alias("e"))
             .select("e.*")
@@ -30,13 +58,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         )
         up = hooks.select(F.col("component").alias("up"), F.col("up").alias("top"))
         hooks = written(hooks.join(up, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
-        labels = written(labels.join(hooks, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        labels = labels.join(hooks, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         lo = hooks.select(F.col("component").alias("lo"), F.col("up").alias("lo_up"))
         hi = hooks.select(F.col("component").alias("hi"), F.col("up").alias("hi_up"))
         live = written(
             live.join(lo, "lo").join(hi, "hi").filter("lo_up <> hi_up")
             .select(F.least("lo_up", "hi_up").alias("lo"), F.greatest("lo_up", "hi_up").alias("hi")).distinct()
         )
-        if live.isEmpty():
-            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

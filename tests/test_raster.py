@@ -35,8 +35,9 @@ def test_components_of_random_masks(spark):
 
 def test_components_of_long_chains_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(chain).collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[101] == 100
+    for last in (0, 10, 20_000):
+        got = {r.node: r.component for r in connected_components(chain, last_rows=last).collect()}
+        assert all(got[i] == 0 for i in range(61)) and got[101] == 100
     assert connected_components(chain.limit(0)).count() == 0
 
 
