@@ -9,6 +9,12 @@ from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_run
 from swatchwork.runtime import written
 
 
+def _rounded(value: Column, digits: int = 3) -> Column:
+    """Rounded half up; what lies within 1e-9 below a half counts as the half, so that the order of
+    a sum does not decide."""
+    return F.round(value + 1e-9, digits)
+
+
 def border_stats(px: DataFrame, height: int, width: int) -> DataFrame:
     """Per document: median border colour, 95th percentile of border noise, ink threshold.
 
@@ -66,16 +72,16 @@ def detail_cells(src: DataFrame, ren: DataFrame, height: int, width: int, cell:
     rows = per.agg(F.count(F.lit(1)).alias("ink_pixels"), F.avg("cover").alias("c"), F.avg("colour").alias("k"))
     score = 100 * (0.65 * F.col("c") + 0.35 * F.col("k"))
     return rows.select(
-        "doc_id", "cell_y", "cell_x", "ink_pixels", F.round(score, 3).alias("score"), F.round(100 * F.col("c"), 3).alias("coverage"), F.round(100 * F.col("k"), 3).alias("colour"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - score / 100)), 3).alias("severity"),
+        "doc_id", "cell_y", "cell_x", "ink_pixels", _rounded(score).alias("score"), _rounded(100 * F.col("c")).alias("coverage"), _rounded(100 * F.col("k")).alias("colour"),
+        _rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - score / 100))).alias("severity"),
     )
 
 
 def detail_grid(cells: DataFrame) -> DataFrame:
     """p10, median, worst and mean cell score of each document."""
     return cells.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("cells"), F.round(F.percentile("score", F.lit(0.1)), 3).alias("p10"), F.round(F.percentile("score", F.lit(0.5)), 3).alias("median"),
-        F.min("score").alias("worst"), F.round(F.avg("score"), 3).alias("mean"),
+        F.count(F.lit(1)).alias("cells"), _rounded(F.percentile("score", F.lit(0.1))).alias("p10"), _rounded(F.percentile("score", F.lit(0.5))).alias("median"),
+        F.min("score").alias("worst"), _rounded(F.avg("score")).alias("mean"),
     )
 
 

@@ -130,7 +130,7 @@ moved AS (SELECT doc_id, y + dy AS y, x + dx AS x, r AS o_r, g AS o_g, b AS o_b
 best AS (SELECT m.doc_id, m.y, m.x, coalesce(min(greatest(abs(r - o_r), abs(g - o_g), abs(b - o_b))), 256)::DOUBLE AS error FROM mask m LEFT JOIN moved USING (doc_id, y, x) GROUP BY ALL),
 credit AS (SELECT *, CASE WHEN error < 256 THEN 1.0::DOUBLE ELSE 0 END AS cover, greatest(0, least(1, 1 - error / 128)) AS colour FROM best),
 agg AS (SELECT doc_id, y // 48 * 48 AS cell_y, x // 48 * 48 AS cell_x, count(*) AS ink_pixels, avg(cover) AS c, avg(colour) AS k FROM credit GROUP BY ALL),
-cells AS (SELECT doc_id, cell_y, cell_x, ink_pixels, round(100 * (0.65 * c + 0.35 * k), 3) AS score, round(100 * c, 3) AS coverage, round(100 * k, 3) AS colour, round(greatest(0, least(1, 1 - (0.65 * c + 0.35 * k))), 3) AS severity FROM agg)"""
+cells AS (SELECT doc_id, cell_y, cell_x, ink_pixels, round(100 * (0.65 * c + 0.35 * k) + 1e-9, 3) AS score, round(100 * c + 1e-9, 3) AS coverage, round(100 * k + 1e-9, 3) AS colour, round(greatest(0, least(1, 1 - (0.65 * c + 0.35 * k))) + 1e-9, 3) AS severity FROM agg)"""
 
 
 def _cells(spark, sf_dir):
@@ -142,7 +142,7 @@ def detail_cells(spark, sf_dir):
     return _cells(spark, sf_dir)
 
 
-_GRID = ", grid AS (SELECT doc_id, count(*) AS cells, round(quantile_cont(score, 0.1), 3) AS p10, round(quantile_cont(score, 0.5), 3) AS median, min(score) AS worst, round(avg(score), 3) AS mean FROM cells GROUP BY doc_id)"
+_GRID = ", grid AS (SELECT doc_id, count(*) AS cells, round(quantile_cont(score, 0.1) + 1e-9, 3) AS p10, round(quantile_cont(score, 0.5) + 1e-9, 3) AS median, min(score) AS worst, round(avg(score) + 1e-9, 3) AS mean FROM cells GROUP BY doc_id)"
 
 
 @query(A.with_views("src_px", "ren_px") + _CELLS + _GRID + " SELECT * FROM grid")
