@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swatchwork.llm.caches import claim
+from swatchwork.runtime import bounded_batches
+
 
 @dataclass(frozen=True)
 class DecontamParams:
@@ -85,6 +88,7 @@ def windows(items: list[tuple[int, str | None]], size: int) -> dict[int, dict[tu
 
 
 def _search(batches: Iterator[pa.RecordBatch], found: dict[int, dict], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    claim("leaks", lambda: None)
     machines = [WuManber(n, w) for n, w in sorted(found.items())]
     for batch in batches:
         starts, ends, items = [], [], []
@@ -128,7 +132,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = De
     The benchmark is read in slices of about ``pass_windows`` windows, and each slice is one pass
     over the texts, so that what a task holds has a fixed bound.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     held = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = held.agg(F.sum(F.greatest(F.length("text") / 2, F.lit(1)))).first()[0] or 0  # a word and its gap take two characters at least
     slices = max(1, -(-int(total) // (8 * p.pass_windows)))

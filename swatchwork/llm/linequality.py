@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import small_enough, written
+from swatchwork.llm.caches import claim
+from swatchwork.runtime import bounded_batches, small_enough, written
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ def repeated_words(words: list[bytes], size: int) -> int:
 
 
 def _base(batches: Iterator[pa.RecordBatch], p: LineParams) -> Iterator[pa.RecordBatch]:
+    claim("lines", lambda: None)
     for batch in batches:
         out: list[list] = [[] for _ in range(8)]
         for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist()):
@@ -97,7 +99,7 @@ def line_quality(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     Other columns are ignored.
     """
     host = F.col(p.host).cast("string") if p.host in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_keys array<long>, line_words array<long>"
     base = written(rows.mapInArrow(lambda it: _base(it, p), schema).withColumn("row", F.monotonically_increasing_id()))
     texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"))

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchwork.llm.shingles import hash_parameters, minhash, shingle_set
+from swatchwork.llm.shingles import begin_task, hash_parameters, minhash, shingle_set
 from swatchwork.operators.graph import connected_components
-from swatchwork.runtime import keep_ids, written
+from swatchwork.runtime import bounded_batches, keep_ids, written
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ class NearDupParams:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], p: NearDupParams, full: bool) -> Iterator[pa.RecordBatch]:
+    begin_task()
     a, b = hash_parameters(p.rows * p.bands)
     fold = hash_parameters(p.rows, seed=11)[0]
     band = np.arange(p.bands, dtype=np.uint64) << np.uint64(57)
@@ -190,6 +191,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     null doc_id stays alone with a null component and is kept. Rows that repeat a doc_id count as
     one document. Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     rows = written(sketch(docs, p))
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = written(classes)

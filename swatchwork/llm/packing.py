@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.llm.wordtok import word_tokenizer
-from swatchwork.runtime import written
+from swatchwork.runtime import bounded_batches, written
 
 
 @dataclass(frozen=True)
@@ -224,6 +224,7 @@ def pack(docs: DataFrame, path: str, p: PackParams = PackParams()) -> DataFrame:
     A null or empty text is the end id alone. Repeated rows are packed each; a null doc_id stays
     null. Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     pieces = written(token_pieces(docs, path, p))
     # The plan has a few rows a length, and lengths end at the budget.
     hist = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -5,13 +5,19 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 300_000
+from swatchwork.llm.caches import claim
+
+_CACHE_WORDS = 100_000
 _cache: dict[bytes, int] = {}
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def begin_task() -> None:
+    claim("shingles", lambda: _cache.clear())
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8 (bytes.split and bytes.lower
     know just those ASCII characters)."""

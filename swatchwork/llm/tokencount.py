@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swatchwork.llm.caches import claim
+from swatchwork.runtime import bounded_batches
+
 SPACE = "▁"
 
 
@@ -48,6 +51,10 @@ class PrefixCounter:
         self.old: dict[str, bytes | tuple[int, ...]] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        for cache in (self.young, self.old, self.runs, self.apart):
+            cache.clear()
+
     def _merge(self, text: str) -> list[str]:
         """Pieces of a short text: the best-scored neighbours join first, the leftmost of equals."""
         parts = list(text)
@@ -167,7 +174,9 @@ def prefix_counter(path: str) -> PrefixCounter:
     """One counter and cache a worker process."""
     if path not in _counters:
         _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    counter = _counters[path]
+    claim(f"prefixes {path}", counter.forget)
+    return counter
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, p: CountParams) -> Iterator[pa.RecordBatch]:
@@ -188,5 +197,5 @@ def token_counts(docs: DataFrame, path: str, p: CountParams = CountParams()) ->
     ``cut_chars``: characters of the longest prefix within the limit. Null texts count as empty and
     have no tokens. Repeated rows are counted alike; other columns are ignored.
     """
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _count(it, path, p), "doc_id long, n_bytes long, n_tokens long, cut_chars long")
+    found = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _count(it, path, p), "doc_id long, n_bytes long, n_tokens long, cut_chars long")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > p.limit).alias("over_limit"), "cut_chars")

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import written
+from swatchwork.llm.caches import claim
+from swatchwork.runtime import bounded_batches, written
 
 
 @dataclass(frozen=True)
@@ -165,6 +166,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     Null ids, texts and labels are left out; several labels of one document count as their largest.
     Without rows of both classes the model is a constant: the smoothed share of toxic rows.
     """
+    bounded_batches(docs)
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .filter("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
@@ -203,6 +205,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    claim("toxicity", lambda: None)
     look = _Lookup(model.keys, model.bits)
     for batch in batches:
         z = np.array([model.bias + model.weights[look(t, model.lengths)].sum() for t in batch.column("text").to_pylist()], float)
@@ -215,5 +218,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Null texts count as empty; an empty text gets the score of the intercept. Repeated rows are
     scored alike; other columns are ignored.
     """
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
+    found = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
     return found.select("doc_id", F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,6 +10,8 @@ from struct import pack
 
 import numpy as np
 
+from swatchwork.llm.caches import claim
+
 _tokenizers: dict[str, _Words] = {}
 
 #: Characters that str.split() takes as white space though the tokenizer doesn't.
@@ -26,7 +28,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words:
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 150_000):
         from tokenizers import Tokenizer
 
         self.lib, self.size = Tokenizer.from_file(path), size
@@ -56,6 +58,9 @@ class _Words:
         self.young[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def ids(self, text: str) -> np.ndarray:
         if _ODD.search(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
@@ -72,4 +77,6 @@ def word_tokenizer(path: str) -> _Words:
     """One tokenizer and cache a worker process."""
     if path not in _tokenizers:
         _tokenizers[path] = _Words(path)
-    return _tokenizers[path]
+    words = _tokenizers[path]
+    claim(f"words {path}", words.forget)
+    return words
