@@ -311,8 +311,8 @@ def row_counters(px: DataFrame, height: int, width: int) -> DataFrame:
     """Background trapped in glyphs: tight holes in ink near the open canvas, removed when three or
     more stand in one row of text. ``doc_id, comp_id, area, removed`` for every hole that fits.
 
-    ``px``: doc_id, y, x, visible, background. Holes of one row are joined by a component search over
-    their vertical gaps; neighbours are found in order of their tops, so no pairs are written out.
+    ``px``: doc_id, y, x, visible, background. Rows of text are found in one sorted pass over the
+    holes' tops, so no pairs of holes are written out.
     """
     px = written(px.select(*PIXEL, "visible", "background"))
     runs = written(component_runs(px.filter("visible AND background")))
@@ -327,13 +327,15 @@ def row_counters(px: DataFrame, height: int, width: int) -> DataFrame:
         F.count_if(F.col("far") == 1).alias("edge"), F.count_if((F.col("far") == 1) & F.expr("visible AND NOT background")).alias("ink"), F.count_if(~F.col("visible")).alias("clear")
     )
     holes = written(fit.join(seen.filter((F.col("edge") > 0) & (F.col("ink") >= 0.95 * F.col("edge")) & (F.col("clear") > 0)), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", "bx", "by", "bw", "bh"))
-    # Two holes share a row when the gap between them is within 0.35 of the taller one, at least 4. So
-    # each hole, grown by its own allowance, is an interval, and overlapping intervals form a row.
+    # Two holes share a row when the gap between them is within 0.35 of the taller one, at least 4. In
+    # order of their tops a row ends where no earlier hole's allowance reaches the next top and no
+    # later hole's allowance reaches back to the last bottom.
     slack = F.greatest(F.lit(4), F.bround(0.35 * F.col("bh")).cast("int"))
     by = Window.partitionBy("doc_id").orderBy("by", "comp_id")
-    end = F.max(F.col("by") + F.col("bh") + slack).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    open_ = F.when(F.col("by") <= end, 0).when(F.col("by") - slack <= F.max(F.col("by") + F.col("bh")).over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
-    rows = holes.withColumn("new", open_).withColumn("row", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    bottom = F.col("by") + F.col("bh")
+    joins = (F.col("by") <= F.max(bottom + slack).over(before)) | (F.min(F.col("by") - slack).over(after) <= F.max(bottom).over(before))
+    rows = holes.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("row", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     seen_width = px.filter("visible").groupBy("doc_id").agg((F.max("x") - F.min("x") + 1).alias("shown"))
     rule = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("bx") + F.col("bw")) - F.min("bx")).alias("span"), F.percentile("bw", F.lit(0.5)).alias("mid")).join(seen_width, "doc_id")
     wide = F.col("span") >= F.greatest(F.lit(16), F.bround(0.10 * F.col("shown")), F.bround(4 * F.col("mid")))

@@ -32,12 +32,12 @@ def straight_cubics(spark, sf_dir):
     return c.select("doc_id", F.col("z").alias("idx"), K.is_straight_cubic(*(F.col(f"p{k}") for k in range(8))).alias("straight"))
 
 
-@query(A.with_views("el") + """, n AS (SELECT doc_id, idx, id, 2 + (idx % 3 = 0)::INT AS points FROM el WHERE tag = 'path' AND stroke <> 'none' AND style IS NULL AND idx % 7 <> 0 AND idx % 5 <> 0), used AS (SELECT DISTINCT doc_id, 'e' || (idx % 5) AS id FROM el)
+@query(A.with_views("el") + """, n AS (SELECT doc_id, idx, id, 2 + (idx % 4 = 1)::INT AS points FROM el WHERE tag = 'path' AND stroke <> 'none' AND style IS NULL AND idx % 7 <> 0 AND idx % 5 <> 0), used AS (SELECT DISTINCT doc_id, 'e' || (idx % 5) AS id FROM el)
 SELECT doc_id, idx, CASE WHEN points = 2 THEN 'line' ELSE 'polyline' END AS kind, points FROM n WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = n.doc_id AND u.id = n.id)""")
 def exact_lines(spark, sf_dir):
     """Paths of one or two straight commands; every fifth is closed, every seventh turned."""
     el = A.elements(spark, sf_dir)
-    paths = el.filter("tag = 'path'").selectExpr("doc_id", "idx", "concat('M', x0, ' ', y0, ' L', x1, ' ', y1, if(idx % 3 = 0, ' h5', ''), if(idx % 5 = 0, ' z', '')) AS d")
+    paths = el.filter("tag = 'path'").selectExpr("doc_id", "idx", "concat('M', x0, ' ', y0, ' L', x1, ' ', y1, if(idx % 4 = 1, ' h5', ''), if(idx % 5 = 0, ' z', '')) AS d")
     drawn = el.select("doc_id", "idx", "tag", "id", F.lit("none").alias("fill"), "stroke", "style", F.expr("if(idx % 7 = 0, 'rotate(5)', NULL)").alias("transform"))
     return K.exact_lines(drawn, D.path_segments(paths), el.selectExpr("doc_id", "concat('e', idx % 5) AS ref"))
 
@@ -187,3 +187,22 @@ def operation_summary(spark, sf_dir):
 def operation_evidence(spark, sf_dir):
     json = """CASE p_partkey % 4 WHEN 0 THEN '{"designer_operations": {"schema": "s/1", "summary": {"passed": ["a", "b"], "total_operations": 2}}}' WHEN 1 THEN concat('{"designer_operations": {"passed": ', p_size % 3, ', "total_operations": "2"}}') WHEN 2 THEN '{"other": 1}' ELSE '{"designer_operations": {"summary": {"passed": true, "total_operations": -1}}}' END AS json"""
     return K.operation_evidence(A.table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", json))
+
+
+_HOLES = ", pv AS (SELECT doc_id, y, x, NOT (y % 3 = 0 AND x % 24 = 0) AS visible, r < 255 OR g < 255 OR b < 255 AS background FROM src_px), ink AS (SELECT doc_id, y, x FROM pv WHERE visible AND background), "
+
+
+@query(A.with_views("src_px") + _HOLES + _COMPS.replace("{reach}", "1") + """, fit AS (SELECT doc_id, comp_id, sum(x1 - x0 + 1)::BIGINT AS area, min(x0) AS bx, min(y) AS by_, max(x1) - min(x0) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM comp GROUP BY ALL HAVING sum(x1 - x0 + 1) >= 64 AND sum(x1 - x0 + 1) >= 0.3 * (max(x1) - min(x0) + 1) * (max(y) - min(y) + 1)),
+own AS (SELECT doc_id, comp_id, y, unnest(range(x0, x1 + 1)) AS x FROM comp JOIN fit USING (doc_id, comp_id)),
+near AS (SELECT doc_id, comp_id, y + dy AS y, x + dx AS x, min(greatest(abs(dy), abs(dx))) AS far FROM own, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) GROUP BY ALL),
+seen AS (SELECT doc_id, comp_id, count(*) FILTER (far = 1) AS edge, count(*) FILTER (far = 1 AND visible AND NOT background) AS inked, count(*) FILTER (NOT visible) AS clear FROM near JOIN pv USING (doc_id, y, x) WHERE far > 0 GROUP BY ALL),
+h AS (SELECT fit.* FROM fit JOIN seen USING (doc_id, comp_id) WHERE inked >= 0.95 * edge AND clear > 0 AND edge > 0 AND least(bw, bh) >= 3),
+pair AS (SELECT a.doc_id, a.comp_id AS s, b.comp_id AS t FROM h a JOIN h b ON a.doc_id = b.doc_id AND greatest(a.by_, b.by_) - least(a.by_ + a.bh, b.by_ + b.bh) <= greatest(4, round_even(0.35 * greatest(a.bh, b.bh), 0))),
+hop(doc_id, comp_id, other) AS (SELECT doc_id, comp_id, comp_id FROM h UNION SELECT hop.doc_id, hop.comp_id, t FROM hop JOIN pair ON pair.doc_id = hop.doc_id AND s = other),
+line AS (SELECT doc_id, comp_id, min(other) AS line FROM hop GROUP BY ALL), shown AS (SELECT doc_id, max(x) - min(x) + 1 AS shown FROM pv WHERE visible GROUP BY doc_id),
+rule AS (SELECT doc_id, line, count(*) >= 3 AND max(bx + bw) - min(bx) >= greatest(16, round_even(0.1 * any_value(shown), 0), round_even(4 * quantile_cont(bw, 0.5), 0)) AS removed FROM h JOIN line USING (doc_id, comp_id) JOIN shown USING (doc_id) GROUP BY ALL)
+SELECT doc_id, comp_id, area, removed FROM h JOIN line USING (doc_id, comp_id) JOIN rule USING (doc_id, line)""")
+def row_counters(spark, sf_dir):
+    """Painted shapes as holes in the white, with a grid of clear points."""
+    px = A.src_px(spark, sf_dir).selectExpr("doc_id", "y", "x", "NOT (y % 3 = 0 AND x % 24 = 0) AS visible", "r < 255 OR g < 255 OR b < 255 AS background")
+    return K.row_counters(px, N, N)
