@@ -2,10 +2,13 @@
 
 Strict patterns with validity tests give the base spans, which always stay. Looser generators
 propose further spans, which may overlap them. Each candidate is described by its format and its
-context, not by the validity tests; whether it overlaps a base span is its training label. Equal
+context, not by the validity tests. Training positives are the candidates over base spans and, since
+extras never overlap those, each base span once more with its text rewritten into a loose form;
+negatives are the other candidates, of mails only those that cannot be an address. Equal
 descriptions are counted by Spark, boosted trees are fitted to that table (bounded by the
-description's values, whatever the input), and become a column expression. The threshold is the
-lowest that keeps the wanted precision on documents held out from the fit.
+description's values, whatever the input), and become a column expression. Each generator has a
+threshold of its own: the lowest score group that is itself precise enough and down to which
+rewritten spans against negatives keep the wanted precision, on documents held out from the fit.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ LOOSE = {
     "mail": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++",
 }
 SPAN = "array<struct<start:int,end:int,text:string>>"
+SOURCES = ("number", "mail")
+#: An ending that an address can have.
+_ENDING = "[A-Za-z]{2,24}$"
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``precision``: share of held-out candidates over the threshold that must be base spans."""
+    """``precision``: share of rewritten base spans among the held-out ones and the negatives over
+    the threshold."""
 
     trees: int = 30
     rate: float = 0.3
@@ -117,7 +124,8 @@ FEATURES = ("source", "digits", "groups", "opening", "marks", "before", "after",
 
 
 def described(text: Column, spans: Column, source: int, width: int) -> Column:
-    """Candidates with small integers for format and context."""
+    """Candidates with small integers for format and context, and whether one outside the base spans
+    counts as a negative (``never``)."""
 
     def of(s: Column) -> Column:
         m, start, end = s["text"], s["start"], s["end"]
@@ -129,11 +137,37 @@ def described(text: Column, spans: Column, source: int, width: int) -> Column:
             F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), marks,
             _char_kind(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")), _char_kind(F.substring(text, end + 1, F.lit(1))), hint,
         )
-        return F.struct(start.alias("start"), end.alias("end"), *(v.cast("int").alias(n) for n, v in zip(FEATURES, values)))
+        never = ~m.rlike(_ENDING) if source else F.lit(True)
+        return F.struct(start.alias("start"), end.alias("end"), never.cast("int").alias("never"), *(v.cast("int").alias(n) for n, v in zip(FEATURES, values)))
 
     return F.transform(spans, of)
 
 
+def _forms(kind: str, m: Column) -> list[Column]:
+    """Loose ways to write a base span's text, which the contract's patterns don't take."""
+    if kind == "email":
+        at, dot = F.split(m, "@"), lambda host, by: F.regexp_replace(host, r"\.", by)
+        return [F.concat(at[0], F.lit(a), dot(at[1], d)) for a, d in ((" [at] ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" (AT) ", " (DOT) "))]
+    if kind == "phone":
+        return [F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+", "00"), F.regexp_replace(m, r"^\+([0-9]+)", "($1)"), F.regexp_replace(m, r"^\+[0-9]{1,2}[\x20.-]?", "0")]
+    if kind == "card":
+        return [F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in (".", "  ", " - ")]
+    return [F.regexp_replace(m, r"\.", mark) for mark in (". ", " .")]
+
+
+def rewritten(kind: str, spans: Column) -> Column:
+    """Each span with its text in one of the loose forms, dealt by the text itself; those that the
+    loose generator doesn't find whole are left out."""
+    loose = LOOSE["mail" if kind == "email" else "number"]
+
+    def of(s: Column) -> Column:
+        forms = _forms(kind, s["text"])
+        text = F.element_at(F.array(*forms), F.pmod(F.crc32(s["text"].cast("binary")), F.lit(len(forms))).cast("int") + 1)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), text.alias("text"))
+
+    return F.filter(F.transform(spans, of), lambda s: s["text"].rlike(f"^(?:{loose})$"))
+
+
 def _overlaps(s: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
@@ -177,31 +211,52 @@ def _column(tree, s: Column) -> Column:
 
 @dataclass(frozen=True)
 class PiiModel:
-    """Base log odds, trees (already times the rate) and the chosen log-odds threshold."""
+    """Base log odds, trees (already times the rate) and the chosen log-odds threshold of each
+    source; infinite where none keeps the precision."""
 
     base: float
     trees: tuple
     rate: float
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def margin(self, s: Column) -> Column:
         return sum((F.lit(self.rate) * _column(t, s) for t in self.trees), F.lit(self.base))
 
+    def chosen(self, s: Column) -> Column:
+        """Whether the candidate reaches the threshold of its source."""
+        z, over = self.margin(s), F.lit(False)
+        for source, limit in enumerate(self.thresholds):
+            over = over | ((s["source"] == source) & (z >= limit)) if np.isfinite(limit) else over
+        return over
+
+
+def _threshold(z: np.ndarray, forms: np.ndarray, negatives: np.ndarray, p: PiiParams) -> float:
+    """The lowest group of equal scores that keeps the precision both alone and with all above it."""
+    limit, z = float("inf"), np.round(z, 9)
+    for z0 in sorted(set(z), reverse=True):
+        at, over = z == z0, z >= z0
+        keeps = lambda rows: forms[rows].sum() >= p.precision * (forms[rows].sum() + negatives[rows].sum())
+        if forms[at].sum() and keeps(at) and keeps(over) and forms[over].sum() >= p.least:
+            limit = float(z0) - 1e-6
+    return limit
+
 
 def boost(counts: list, p: PiiParams) -> PiiModel:
-    """Fit on description counts: rows with the features, held_out, n and n_base."""
-    none = PiiModel(0.0, (), p.rate, float("inf"))
+    """Fit on description counts: rows with the features, held_out, n_base, n_form and n_never."""
+    none = PiiModel(0.0, (), p.rate, (float("inf"),) * len(SOURCES))
     if not counts:
         return none
     counts = sorted(counts, key=lambda r: tuple(r))
     x = np.array([[r[f] for f in FEATURES] for r in counts], int)
-    n, pos = np.array([r.n for r in counts], float), np.array([r.n_base for r in counts], float)
-    held = np.array([r.held_out for r in counts])
+    forms, negatives = np.array([r.n_form for r in counts], float), np.array([r.n_never for r in counts], float)
+    pos = np.array([r.n_base for r in counts], float) + forms
+    n, held = pos + negatives, np.array([r.held_out for r in counts])
     w, y = np.where(held, 0, n), pos
     total, right = w.sum(), np.where(held, 0, y).sum()
-    if not 0 < right < total:
+    if not right:
         return none
-    base = float(np.log(right / (total - right)))
+    # Half a negative more keeps the odds finite where there is none.
+    base = float(np.log(right / max(total - right, 0.5)))
     z, trees = np.full(len(x), base), []
     for _ in range(p.trees):
         q = 1 / (1 + np.exp(-z))
@@ -209,14 +264,8 @@ def boost(counts: list, p: PiiParams) -> PiiModel:
         tree = _tree(x, g, h, ~held, p.depth, p.least)
         trees.append(tree)
         z = z + p.rate * _value(tree, x)
-    limit = float("inf")
-    for z0 in sorted(set(np.round(z[held], 9)), reverse=True):
-        over = held & (z >= z0 - 1e-9)
-        if pos[over].sum() < p.precision * n[over].sum():
-            break
-        if n[over].sum() >= p.least:
-            limit = float(z0) - 1e-6
-    return PiiModel(base, tuple(trees), p.rate, limit)
+    of = [held & (x[:, FEATURES.index("source")] == k) for k in range(len(SOURCES))]
+    return PiiModel(base, tuple(trees), p.rate, tuple(_threshold(z[m], forms[m], negatives[m], p) for m in of))
 
 
 def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_row: bool = False) -> DataFrame:
@@ -230,21 +279,26 @@ def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_row: bool =
     carried = [F.struct(*docs.columns).alias("row")] if keep_row else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     more = ["row"] if keep_row else []
-    spans = base_spans(text)
+    # Columns of their own, so that the patterns run once for all uses of the spans.
+    rows = rows.select("doc_id", "text", *more, *(c.alias(f"of_{k}") for k, c in base_spans(text).items()))
+    spans = {k: F.col(f"of_{k}") for k in KINDS}
     loose = F.concat(
         described(text, F.when(text.rlike("[0-9]"), matches(text, LOOSE["number"])).otherwise(F.array().cast(SPAN)), 0, p.context),
         described(text, F.when(text.rlike(r"[\[(](?:at|AT)[\])]"), matches(text, LOOSE["mail"])).otherwise(F.array().cast(SPAN)), 1, p.context),
     )
+    forms = F.concat(*(described(text, rewritten(k, spans[k]), int(k == "email"), p.context) for k in KINDS))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = written(rows.select("doc_id", *more, F.struct(*(bare(spans[k]).alias(k) for k in KINDS)).alias("base"), loose.alias("loose")))
+    found = written(rows.select("doc_id", *more, F.struct(*(bare(spans[k]).alias(k) for k in KINDS)).alias("base"), loose.alias("loose"), forms.alias("forms")))
     every = F.concat(*(F.col("base")[k] for k in KINDS))
     held = F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0")
-    told = found.select(F.coalesce(held, F.lit(False)).alias("held_out"), F.explode(F.transform("loose", lambda s: s.withField("is_base", _overlaps(s, every).cast("int")))).alias("s")).select("held_out", "s.*")
+    label = lambda s, base, form: s.withField("n_base", base.cast("int")).withField("n_form", F.lit(form)).withField("n_never", F.when(base | F.lit(form == 1), 0).otherwise(s["never"]))
+    told = F.concat(F.transform("loose", lambda s: label(s, _overlaps(s, every), 0)), F.transform("forms", lambda s: label(s, F.lit(False), 1)))
+    told = found.select(F.coalesce(held, F.lit(False)).alias("held_out"), F.explode(told).alias("s")).select("held_out", "s.*")
     # Bounded: the features are small integers.
-    counts = told.groupBy("held_out", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("is_base").alias("n_base")).collect()
+    counts = told.groupBy("held_out", *FEATURES).agg(*(F.sum(c).alias(c) for c in ("n_base", "n_form", "n_never"))).collect()
     model = boost(counts, p)
-    kind = lambda s: F.when(s["source"] == 1, "email").when((s["groups"] == 4) & (s["marks"] == 2), "ip").when(s["digits"] >= 13, "card").otherwise("phone")
-    chosen = F.filter("loose", lambda s: (model.margin(s) >= model.threshold) & ~_overlaps(s, every)) if np.isfinite(model.threshold) else F.filter("loose", lambda s: F.lit(False))
+    kind = lambda s: F.when(s["source"] == 1, "email").when(s["digits"] >= 13, "card").when((s["groups"] == 4) & s["marks"].isin(2, 3), "ip").otherwise("phone")
+    chosen = F.filter("loose", lambda s: model.chosen(s) & ~_overlaps(s, every))
     extra = F.transform(chosen, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select("doc_id", *more, "base", extra.alias("extra"))
 
