@@ -1,8 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised, and known licence sentences get an identifier;
-unknown ones break a sequence. Ordered rules are then matched against the sequence of identifiers:
-an earlier rule takes its sentences away from later ones.
+A text is cut into sentences that run over single line ends, each is normalised, and known licence
+sentences get an identifier; an unknown one is cut at its line ends too, and what stays unknown breaks
+a sequence. Ordered rules are then matched against the sequence of identifiers: an earlier rule takes
+its sentences away from later ones. The SQL twin knows single lines and ``SENTENCES`` only.
 """
 
 from __future__ import annotations
@@ -57,19 +58,93 @@ RULES = (
     ("GPL-2.0-only", ("Gpl2Notice",)),
     ("MPL-2.0", ("Mpl2Notice",)),
 )
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu {}general public license "
+_PUBLISHED = "as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_GNU = {"Gpl": "", "Lgpl": "lesser ", "Agpl": "affero "}
+_CC = {"by": "attribution", "by nc": "attribution noncommercial", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+_SPDX = (
+    "Apache-2.0", "MIT", "ISC", "Zlib", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", *(f"CC-{k.upper().replace(' ', '-')}-4.0" for k in _CC),
+    *(f"{n}-{v}-{k}" for n, vs in (("GPL", ("2.0", "3.0")), ("LGPL", ("2.1", "3.0")), ("AGPL", ("3.0",))) for v in vs for k in ("only", "or-later")),
+)
+#: Whole sentences of standard licence texts and headers, as far as SENTENCES lacks them.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "Epl1Terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Terms",
+    "this library is free software": "GplFree",
+    _TERMS.format("") + "version 2 " + _PUBLISHED: "Gpl2OnlyTerms",
+    **{_TERMS.format(w) + _PUBLISHED: f"{n}Terms" for n, w in _GNU.items()},
+    **{f"{_TERMS.format(w)}{_PUBLISHED} {_LATER.format(v)}": f"{n}{v.replace(' ', '')}Terms" for n, w in _GNU.items() for v in ("2", "2 1", "3")},
+    **{_LATER.format(v): f"Later{v.replace(' ', '')}" for v in ("2", "2 1", "3")},
+    **{f"this work is licensed under {a} creative commons {name} 4 0 international license": f"Cc{k.title().replace(' ', '')}4License" for k, name in _CC.items() for a in ("a", "the")},
+}
+#: What may follow SPDX-License-Identifier, normalised -> identifier.
+SPDX = {n.lower().replace("-", " ").replace(".", " "): f"Spdx {n}" for n in _SPDX}
+#: Rules over the identifiers that SENTENCES lacks, tried after RULES.
+WHOLE_RULES = (
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Later2")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Later3")),
+    ("LGPL-2.1-or-later", ("GplFree", "LgplTerms", "Later21")),
+    ("LGPL-3.0-or-later", ("GplFree", "LgplTerms", "Later3")),
+    ("LGPL-2.1-or-later", ("GplFree", "Lgpl21Terms")),
+    ("LGPL-3.0-or-later", ("GplFree", "Lgpl3Terms")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms", "Later3")),
+    ("AGPL-3.0-or-later", ("GplFree", "Agpl3Terms")),
+    ("GPL-2.0-only", ("GplFree", "Gpl2OnlyTerms")),
+    ("ISC", ("IscGrant",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("Unlicense", ("Unlicense",)),
+    ("EPL-1.0", ("Epl1Terms",)),
+    ("EPL-2.0", ("Epl2Terms",)),
+    *((f"CC-{k.upper().replace(' ', '-')}-4.0", (f"Cc{k.title().replace(' ', '')}4License",)) for k in _CC),
+    *((n, (f"Spdx {n}",)) for n in _SPDX),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_CUT = "[\n\r]+|[.!?;:]+[ \t]+"
+#: Marks of a comment at the start of a line.
+_COMMENT = r"(?m)^[ \t]*(?:/\*+|<!--|//+|#+|\*+/?|--+|;+|%+|\"{3})[ \t]*"
+#: Lines that stand for themselves, whatever their end.
+_ALONE = r"(?m)^([^a-z0-9\n]*(?:copyright|all rights reserved|spdx-license-identifier)[^\n]*)$"
+_PREFIX = "spdx license identifier "
+
+
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and at ``. ! ? ; :`` before white space; letters and
-    digits in lower case, all else one blank."""
-    parts = F.split(F.translate(text, _UPPER, _LOWER), "[\n\r]+|[.!?;:]+[ \t]+", -1)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    """Sentences in lower case without comment marks: cut at ``. ! ? ; :`` before white space (not in
+    ``v. 2`` or after ``SPDX-License-Identifier``) and at blank lines."""
+    low = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "\r\n?", "\n")
+    low = F.regexp_replace(F.regexp_replace(low, _COMMENT, ""), _ALONE, "\n$1\n")
+    return F.split(low, r"(?<!\bv)(?<!identifier)[.!?;:]+(?=[ \t\n])|\n[ \t]*\n", -1)
 
 
 def identifiers(parts: Column) -> Column:
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SENTENCES.items()))
-    return F.transform(parts, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("?")))
+    """Identifiers of the sentences in order; of an unknown one those of its lines, ``?`` for unknown
+    lines. Numbers of a list are left out."""
+    table = lambda d: F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
+    known, spdx = table(SENTENCES | WHOLE), table(SPDX)
+
+    def lines(s: Column) -> Column:
+        held = F.filter(F.transform(F.split(s, _CUT, -1), _normal), lambda x: (x != "") & ~x.rlike("^(?:[0-9]{1,2}|[a-z]|i{2,3}|iv)$"))
+        return F.transform(held, lambda x: F.coalesce(F.try_element_at(known, x), F.lit("?")))
+
+    def of(s: Column, whole: Column) -> Column:
+        named = F.transform(F.split(F.substring(whole, len(_PREFIX) + 1, F.length(whole)), " (?:or|and) "), lambda x: F.coalesce(F.try_element_at(spdx, x), F.lit("?")))
+        name = F.try_element_at(known, whole)
+        return F.when(whole.startswith(_PREFIX), named).when(name.isNotNull(), F.array(name)).otherwise(lines(s))
+
+    both = F.transform(parts, lambda s: F.struct(s.alias("s"), _normal(s).alias("whole")))
+    return F.flatten(F.transform(both, lambda x: of(x["s"], x["whole"])))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -87,7 +162,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     # Each sentence has two marks around it, so that neighbouring matches don't share one.
     line = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))
     licenses = F.array().cast("array<string>")
-    for name, sequence in RULES:
+    for name, sequence in RULES + WHOLE_RULES:
         wanted = "|" + "||".join(sequence) + "|"
         licenses = F.concat(licenses, F.when(F.contains(line, F.lit(wanted)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
         line = F.replace(line, F.lit(wanted), F.lit("|#|"))

@@ -26,3 +26,57 @@ def test_threshold_passes_an_impure_group():
 
     z, forms, negatives = np.array([3.0, 2.0, 1.0]), np.array([1.0, 200.0, 1.0]), np.array([1.0, 2.0, 50.0])
     assert np.isclose(_threshold(z, forms, negatives, PiiParams()), 2.0, atol=1e-3)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD = """/*
+ * Copyright (c) 2020, Jo Doe
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+ */
+"""
+GPL = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version {} of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    from swatchwork.llm.licenses import scan_licenses
+
+    lesser = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").format("2.1")
+    agpl = GPL.replace("GNU General", "GNU Affero General").replace("Foundation;", "Foundation,").format("3")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+    want = {
+        MIT: "MIT", BSD: "BSD-3-Clause", BSD.partition(" * 3.")[0] + " */": "BSD-2-Clause", GPL.format("2"): "GPL-2.0-or-later", GPL.format("3"): "GPL-3.0-or-later", lesser: "LGPL-2.1-or-later", agpl: "AGPL-3.0-or-later",
+        mpl: "MPL-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main() {}": "Apache-2.0,MIT", "This is free and unencumbered software released into\nthe public domain.": "Unlicense",
+        "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", "MIT is\na school; permission to enter it": "",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == want
