@@ -1,8 +1,8 @@
 """Document quality by cross-document line frequency, beside base counts of each text.
 
 Lines are normalised (white space runs to one blank, ends cut, A-Z in lower case) and hashed with
-their host; the distinct documents of each host that hold a line are counted, documents of equal
-text once. A line over both limits is boilerplate; a document that keeps too few words is rejected.
+their host; the distinct documents of each host that hold a line are counted, also those of equal
+text. A line over both limits is boilerplate; a document that keeps too few words is rejected.
 """
 
 from __future__ import annotations
@@ -95,17 +95,18 @@ def line_quality(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     n_left_words`` for every row of ``docs`` (doc_id, text and the host column).
 
     Null texts count as empty and fail. Rows without a host form a host of their own; without the
-    host column all rows do. Repeated rows and copies count once for a line and are judged each.
-    Other columns are ignored.
+    host column all rows do. Repeated rows of one doc_id and text count once for a line, copies under other ids and rows
+    without an id each; all are judged. Other columns are ignored.
     """
     host = F.col(p.host).cast("string") if p.host in docs.columns else F.lit(None).cast("string")
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_keys array<long>, line_words array<long>"
     base = written(rows.mapInArrow(lambda it: _base(it, p), schema).withColumn("row", F.monotonically_increasing_id()))
-    texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"))
-    per_host = texts.groupBy(F.col("host").alias("of_host")).agg(F.count(F.lit(1)).alias("n_docs"))
-    # One row a host and line; copies of a text are gone, and counts are combined before the shuffle.
-    often = texts.select("host", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.least_docs)
+    one = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"), F.count_distinct(one).alias("copies"))
+    per_host = texts.groupBy(F.col("host").alias("of_host")).agg(F.sum("copies").alias("n_docs"))
+    # One row a host and line; a text is exploded once for all its copies, and counts are combined before the shuffle.
+    often = texts.select("host", "copies", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.sum("copies").alias("n")).filter(F.col("n") > p.least_docs)
     often = written(often.join(per_host, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("n") > p.share * F.col("n_docs")).select("key").distinct())
     keys = F.broadcast(often) if small_enough(often.count(), 16) else often
     lines = base.select("row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))

@@ -80,3 +80,13 @@ def test_wrapped_licence_texts(spark):
     rows = list(enumerate(want))
     got = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {t: got[i] for i, t in rows} == want
+
+
+def test_lines_count_documents_not_texts(spark):
+    from swatchwork.llm.linequality import line_quality
+
+    words = " ".join(f"word{i}" for i in range(30))
+    # 25 documents of one text; 25 rows of one document; 25 rows without an id.
+    rows = [(i, "a", f"copied {words}") for i in range(25)] + [(100, "a", f"repeated {words}")] * 25 + [(None, "a", f"nameless {words}")] * 25
+    got = {(r.doc_id, r.n_left_words) for r in line_quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {(i, 0) for i in range(25)} | {(100, 31), (None, 0)}
