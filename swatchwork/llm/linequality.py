@@ -2,7 +2,7 @@
 
 Lines are normalised (white space runs to one blank, ends cut, A-Z in lower case) and hashed with
 their host; the distinct documents of each host that hold a line are counted, also those of equal
-text. A line over both limits is boilerplate; a document that keeps too few words is rejected.
+text. A line over the limit is boilerplate; a document that keeps too few words is rejected.
 """
 
 from __future__ import annotations
@@ -22,13 +22,12 @@ from swatchwork.runtime import bounded_batches, small_enough, written
 
 @dataclass(frozen=True)
 class LineParams:
-    """A line is removed when more than ``least_docs`` documents of its host hold it, and more than
-    ``share`` of them. A document is depleted when its other lines keep fewer than ``keep_words``
+    """A line is removed when more than ``least_docs`` documents of its host hold it, whatever
+    the host's size. A document is depleted when its other lines keep fewer than ``keep_words``
     words or less than ``keep_share`` of its words. ``host``: the column that names the host."""
 
     host: str = "source"
     least_docs: int = 20
-    share: float = 0.02
     keep_words: int = 20
     keep_share: float = 0.3
     window: int = 8
@@ -104,10 +103,9 @@ def line_quality(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     base = written(rows.mapInArrow(lambda it: _base(it, p), schema).withColumn("row", F.monotonically_increasing_id()))
     one = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
     texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"), F.count_distinct(one).alias("copies"))
-    per_host = texts.groupBy(F.col("host").alias("of_host")).agg(F.sum("copies").alias("n_docs"))
     # One row a host and line; a text is exploded once for all its copies, and counts are combined before the shuffle.
     often = texts.select("host", "copies", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.sum("copies").alias("n")).filter(F.col("n") > p.least_docs)
-    often = written(often.join(per_host, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("n") > p.share * F.col("n_docs")).select("key").distinct())
+    often = written(often.select("key").distinct())
     keys = F.broadcast(often) if small_enough(often.count(), 16) else often
     lines = base.select("row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
     lost = lines.join(keys, "key").groupBy("row").agg(F.sum("n").alias("lost"))

@@ -90,3 +90,12 @@ def test_lines_count_documents_not_texts(spark):
     rows = [(i, "a", f"copied {words}") for i in range(25)] + [(100, "a", f"repeated {words}")] * 25 + [(None, "a", f"nameless {words}")] * 25
     got = {(r.doc_id, r.n_left_words) for r in line_quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got == {(i, 0) for i in range(25)} | {(100, 31), (None, 0)}
+
+
+def test_boilerplate_goes_in_large_hosts_too(spark):
+    from swatchwork.llm.linequality import line_quality
+
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, "a", f"own{i} {words}" + ("\nthe same line" if i < 21 else "")) for i in range(2000)]
+    got = {r.doc_id: r.n_words - r.n_left_words for r in line_quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {i: 3 if i < 21 else 0 for i in range(2000)}
