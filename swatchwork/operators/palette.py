@@ -108,35 +108,48 @@ def kmeans_seed(hist: DataFrame, k: int) -> DataFrame:
     return written(seeds)
 
 
-def weighted_kmeans(hist: DataFrame, k: int, rounds: int = 10, still: float = 0.3) -> DataFrame:
-    """Weighted k-means of every document's colours at once; documents that moved less than
-    ``still`` stay as they are, and the loop ends when all do. An empty centre keeps its place."""
-    pal = kmeans_seed(hist, k)
+def weighted_kmeans(hist: DataFrame, k: int, rounds: int = 30, still: float = 0.3) -> DataFrame:
+    """Weighted k-means of every document's colours at once; documents that moved no more than
+    ``still`` and reseeded nothing are done, and the loop ends when all are. An empty centre goes to
+    the colour of largest weighted error (the first by colour of equals)."""
+    now = kmeans_seed(hist, k).withColumn("done", F.lit(False))
     for _ in range(rounds):
-        mean = nearest_label(hist, pal).groupBy("doc_id", "k").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"n_{c}") for c in "rgb"))
-        moved = written(pal.join(mean, ["doc_id", "k"], "left").select("doc_id", "k", *(F.coalesce(f"n_{c}", c).alias(c) for c in "rgb"), F.greatest(*(F.abs(F.coalesce(F.col(f"n_{c}"), F.col(c)) - F.col(c)) for c in "rgb")).alias("shift")))
-        pal = moved.select("doc_id", "k", "r", "g", "b")
-        if moved.filter(F.col("shift") > still).isEmpty():
+        lab = nearest_label(hist, now.filter("NOT done").select("doc_id", "k", "r", "g", "b"))
+        mean = lab.groupBy("doc_id", "k").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"n_{c}") for c in "rgb"))
+        worst = lab.groupBy("doc_id").agg(F.min(F.struct((-F.col("w") * F.col("d2")).alias("e"), "r", "g", "b")).alias("worst"))
+        both = now.join(mean, ["doc_id", "k"], "left").join(worst, "doc_id", "left")
+        to = lambda c: F.when(F.col("done"), F.col(c)).otherwise(F.coalesce(F.col(f"n_{c}"), F.col(f"worst.{c}"), F.col(c)))
+        moved = both.select("doc_id", "k", *(to(c).cast("double").alias(c) for c in "rgb"), "done", (F.greatest(*(F.abs(to(c) - F.col(c)) for c in "rgb")) > still).alias("shifted"), (~F.col("done") & F.col("n_r").isNull()).alias("reseeded"))
+        of = Window.partitionBy("doc_id")
+        now = written(moved.select("doc_id", "k", "r", "g", "b", (F.col("done") | ~F.max(F.col("shifted") | F.col("reseeded")).over(of)).alias("done")))
+        if now.filter("NOT done").isEmpty():
             break
-    return pal
+    return now.select("doc_id", "k", "r", "g", "b")
 
 
-def merge_close(pal: DataFrame, weights: DataFrame, limit: float = 45.0, rounds: int = 20) -> DataFrame:
-    """Merge the closest pair of palette colours below the limit, weighted, one pair a document and
-    round; the merged colour gets a new last number. ``weights``: doc_id, k, w."""
-    now = written(pal.join(weights.select("doc_id", "k", "w"), ["doc_id", "k"], "left").select("doc_id", "k", "r", "g", "b", F.greatest(F.coalesce("w", F.lit(1)), F.lit(1)).cast("double").alias("w")))
-    for _ in range(rounds):
-        o = now.select("doc_id", *(F.col(c).alias(f"o_{c}") for c in ("k", "r", "g", "b", "w")))
+def merge_close(pal: DataFrame, hist: DataFrame, limit: float = 45.0) -> DataFrame:
+    """Merge the closest pair of palette colours below the limit, one pair a document and round,
+    until none is left; each round weighs the colours by the pixels of ``hist`` nearest to them. The
+    merged colour gets a new last number."""
+    now = written(pal.select("doc_id", "k", *(F.col(c).cast("double").alias(c) for c in "rgb")))
+    while True:
+        o = now.select("doc_id", *(F.col(c).alias(f"o_{c}") for c in ("k", "r", "g", "b")))
         pair = now.join(o, "doc_id").filter("k < o_k").withColumn("d", F.sqrt(distance2("", "o_"))).filter(F.col("d") < limit)
-        best = written(pair.groupBy("doc_id").agg(F.min(F.struct("d", "k", "o_k", "r", "g", "b", "w", "o_r", "o_g", "o_b", "o_w")).alias("m")).select("doc_id", "m.*"))
+        best = written(pair.groupBy("doc_id").agg(F.min(F.struct("d", "k", "o_k", "r", "g", "b", "o_r", "o_g", "o_b")).alias("m")).select("doc_id", "m.*"))
         if best.isEmpty():
             break
-        both = F.col("w") + F.col("o_w")
-        top = now.groupBy("doc_id").agg((F.max("k") + 1).alias("new"))
-        merged = best.join(top, "doc_id").select("doc_id", F.col("new").alias("k"), *(((F.col(c) * F.col("w") + F.col(f"o_{c}") * F.col("o_w")) / both).alias(c) for c in "rgb"), both.alias("w"))
+        # Each round takes one colour of a document, so the palette's size bounds the rounds.
+        open_ = now.join(best.select("doc_id"), "doc_id", "left_semi")
+        count = nearest_label(hist, open_).groupBy("doc_id", "k").agg(F.sum("w").cast("double").alias("w"))
+        weight = lambda k, w: count.select("doc_id", F.col("k").alias(k), F.col("w").alias(w))
+        top = open_.groupBy("doc_id").agg((F.max("k") + 1).alias("new"))
+        full = best.join(weight("k", "w"), ["doc_id", "k"], "left").join(weight("o_k", "o_w"), ["doc_id", "o_k"], "left").join(top, "doc_id")
+        w, o_w = (F.greatest(F.coalesce(c, F.lit(1.0)), F.lit(1.0)) for c in ("w", "o_w"))
+        merged = full.select("doc_id", F.col("new").cast(now.schema["k"].dataType).alias("k"), *(((F.col(c) * w + F.col(f"o_{c}") * o_w) / (w + o_w)).alias(c) for c in "rgb"))
         gone = best.select("doc_id", F.explode(F.array("k", "o_k")).alias("k"))
         now = written(now.join(gone, ["doc_id", "k"], "left_anti").unionByName(merged))
-    return now.select("doc_id", "k", "r", "g", "b", "w")
+    weights = nearest_label(hist, now).groupBy("doc_id", "k").agg(F.sum("w").cast("double").alias("w"))
+    return now.join(weights, ["doc_id", "k"], "left").select("doc_id", "k", "r", "g", "b", F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(1.0)).alias("w"))
 
 
 def prune_blends(pal: DataFrame, shares: DataFrame, small: float = 0.035, near: float = 28.0) -> DataFrame:

@@ -279,14 +279,14 @@ def bounded_sample(spark, sf_dir):
 
 @query()
 def weighted_kmeans(spark, sf_dir):
-    return P.weighted_kmeans(A.hist_li(spark, sf_dir), 4, rounds=4)
+    return P.weighted_kmeans(written(A.hist_li(spark, sf_dir)), 4)
 
 
 @query()
 def merge_close(spark, sf_dir):
     hist = written(A.hist_li(spark, sf_dir))
     pal = A.palette_of(hist)
-    return P.merge_close(pal, P.cluster_shares(P.nearest_label(hist, pal)), limit=90.0, rounds=4)
+    return P.merge_close(pal, hist, limit=90.0)
 
 
 @query(A.with_views("pal") + _LABEL + """, sh AS (SELECT doc_id, m.k AS k, round(sum(w) / sum(sum(w)) OVER (PARTITION BY doc_id), 6) AS share FROM lab GROUP BY doc_id, m.k), p AS (SELECT * FROM pal JOIN sh USING (doc_id, k)),
