@@ -41,8 +41,8 @@ def light_fidelity(spark, sf_dir):
 
 @query()
 def linear_details(spark, sf_dir):
-    """Thin diagonals drawn from the parts, three a document."""
-    bars = A.shapes(spark, sf_dir).filter("z % 13 = 1").select("doc_id", "z", F.explode(F.sequence(F.lit(5), F.lit(60))).alias("x"), "r", "g", "b").selectExpr("doc_id", "x + z * 2 AS y", "x", "r", "g", "b")
+    """Thin diagonals drawn from all parts, apart from each other."""
+    bars = A.shapes(spark, sf_dir).select("doc_id", "z", F.explode(F.sequence(F.lit(5), F.lit(60))).alias("x"), "r", "g", "b").selectExpr("doc_id", "x + z * 4 AS y", "x", "r", "g", "b")
     stats = bars.select("doc_id").distinct().selectExpr("doc_id", "255D AS bg_r", "255D AS bg_g", "255D AS bg_b", "6D AS threshold")
     return Q.linear_details(bars, stats)
 

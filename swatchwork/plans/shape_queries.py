@@ -128,7 +128,7 @@ def scan_svg(spark, sf_dir):
 
 @query(A.with_views("el") + " SELECT doc_id, count(*) AS n FROM el WHERE doc_id % 20 <> 7 GROUP BY doc_id")
 def embedded_json(spark, sf_dir):
-    return I.embedded_json(_svg(spark, sf_dir).filter("doc_id % 20 <> 7"), "m", "n long").select("doc_id", "value.n")
+    return I.embedded_json(_svg(spark, sf_dir), "m", "n long").filter("value IS NOT NULL").select("doc_id", "value.n")
 
 
 @query(A.with_views("cand") + " SELECT item_id AS doc_id, max(nodes) % 7 AS circles, max(nodes) % 3 AS rectangles, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END AS lines, 0 AS ellipses, 0 AS polylines, 0 AS polygons, max(nodes) % 7 + max(nodes) % 3 + CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END AS primitives FROM cand WHERE item_id % 50 <> 0 GROUP BY item_id")

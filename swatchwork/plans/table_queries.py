@@ -336,7 +336,7 @@ def style_rewrite(spark, sf_dir):
 
 @query(" SELECT DISTINCT page_id, regexp_replace(substr(url, 1, 60), '[\\\\/:*?\"<>|\\x00-\\x1F]', '_', 'g') AS name FROM pages")
 def safe_names(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", V.safe_name(F.substring("url", 1, 60)).alias("name"))
+    return A.table(spark, sf_dir, "pages").select("page_id", V.safe_name(F.col("url")).alias("name"))
 
 
 # -- paths ---------------------------------------------------------------------------------------

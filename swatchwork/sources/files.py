@@ -72,10 +72,25 @@ def scan_svg(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "svg").mapInArrow(_shred, "doc_id long, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, in_defs boolean, is_valid boolean")
 
 
+def _metadata(batches: Iterator[pa.RecordBatch], node_id: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for svg in batch.column("svg").to_pylist():
+            try:
+                root = ET.fromstring(svg or "")
+            except ET.ParseError:
+                texts.append(None)
+                continue
+            node = next((el for el in root.iter() if el.tag.rpartition("}")[2] == "metadata" and el.get("id") == node_id), None)
+            texts.append(None if node is None else "".join(node.itertext()) or None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
 def embedded_json(docs: DataFrame, node_id: str, schema: str) -> DataFrame:
-    """The JSON of ``<metadata id=...>``; a null struct where it is missing or broken."""
-    text = F.xpath_string("svg", F.lit(f"//*[local-name()='metadata'][@id='{node_id}']"))
-    return docs.select("doc_id", F.from_json(F.when(text != "", text), schema).alias("value"))
+    """The JSON of ``<metadata id=...>`` of every document (doc_id, svg); a null struct where it is
+    missing or the document is no XML, null fields where the JSON is broken."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "svg").mapInArrow(lambda it: _metadata(it, node_id), "doc_id long, text string")
+    return texts.select("doc_id", F.from_json("text", schema).alias("value"))
 
 
 REPORT = "native_circles int, native_rectangles int, native_primitives int, circles int, native_lines int, native_ellipses int, native_polylines int, native_polygons int, stroke_details array<struct<primitive:string>>, _corrupt_record string"

@@ -53,3 +53,28 @@ def test_palettes_settle_like_plain_python(spark, monkeypatch):
     for d in rows:
         want = _merge(rows[d], np.array([x[:3] for x in rows[d][:9]], float), 150.0)
         assert len(want) < 5 and np.allclose([(r.r, r.g, r.b) for r in sorted(got, key=lambda r: r.k) if r.doc_id == d], want)
+
+
+def test_long_names_are_whole(spark, monkeypatch):
+    from swatchwork.plans import table_queries as Q
+
+    url = "https://a.org/" + "x" * 60 + "?q=1:2"
+    monkeypatch.setattr(Q.A, "table", lambda *_: spark.createDataFrame([(1, url)], "page_id long, url string"))
+    assert Q.safe_names(spark, "").collect()[0].name == "https___a.org_" + "x" * 60 + "_q=1_2"
+
+
+def test_embedded_json_of_broken_documents(spark):
+    from swatchwork.sources.files import embedded_json
+
+    rows = [(1, '<svg xmlns="http://www.w3.org/2000/svg"><metadata id="m">{"n": 3}</metadata></svg>'), (2, "<svg><g>"), (3, "<svg/>"), (4, '<svg><metadata id="m">{"n": </metadata></svg>'), (5, None)]
+    got = {r.doc_id: r.value and r.value.n for r in embedded_json(spark.createDataFrame(rows, "doc_id long, svg string"), "m", "n long").collect()}
+    assert got == {1: 3, 2: None, 3: None, 4: None, 5: None}
+
+
+def test_linear_details_of_all_parts(spark):
+    from swatchwork.plans.audit_queries import linear_details
+    from swatchwork.sources import adapters as A
+
+    sf = "/root/testdata/sf0.001"
+    seen = A.shapes(spark, sf).filter("255 - least(r, g, b) >= 12").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in linear_details(spark, sf).groupBy("doc_id").count().collect()} == {r.doc_id: r["count"] for r in seen}
