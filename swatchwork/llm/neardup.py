@@ -4,12 +4,14 @@ Texts with equal shingle sets form one class, represented by its smallest doc_id
 the representatives are cut into bands; the smallest member of a bucket is its leader, and every
 other member is a candidate of that leader. Candidates are compared batch by batch of signature
 values: a pair is dropped as soon as the posterior probability that its similarity reaches the
-threshold falls below ``miss``. Survivors are verified on their full shingle sets.
+threshold falls below ``miss``. Only signatures are shuffled for this; the full shingle sets follow
+for the survivors alone, which are verified on them.
 
-What is not linked with its leader is then held, in bounded blocks, against the other candidates
-of that leader. Two members of one bucket share its leader, so no candidate pair is lost, while
-the pairs of a large group of copies are never written out: rows linked with the leader need no
-comparison with each other. Only confirmed links leave a block.
+The confirmed links give first components. Members of a bucket outside their leader's component
+are then held, in bounded blocks, against the bucket's other members: first by signature, then, for
+rows with a survivor, by set. Two members of one bucket share its leader, so no candidate pair is
+lost, while the pairs of a large group of copies are never written out: rows of one component need
+no comparison. Only confirmed links leave a block.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from pyspark.sql import functions as F
 
 from swatchwork.llm.shingles import begin_task, hash_parameters, minhash, shingle_set
 from swatchwork.operators.graph import connected_components
-from swatchwork.runtime import bounded_batches, keep_ids, written
+from swatchwork.runtime import bounded_batches, small_enough, written
 
 
 @dataclass(frozen=True)
 class NearDupParams:
     """``bands`` x ``rows`` MinHash values: at similarity 0.8 a pair shares no band with
     probability (1 - 0.8^5)^40 = 1.3e-7. ``percent``: the least similarity. ``miss``: posterior
-    probability below which a pair is dropped. ``block``: rows of a block in the second round."""
+    probability below which a pair is dropped. ``block``: rows of a block in the second round.
+    ``lead_rows``: a leader with more candidates is copied, and they are dealt to the copies."""
 
     shingle: int = 2
     percent: int = 80
@@ -43,6 +46,7 @@ class NearDupParams:
     batch: int = 20
     miss: float = 1e-7
     block: int = 256
+    lead_rows: int = 500
 
     def needed(self) -> list[int]:
         """Least matches after each batch; with a uniform prior the posterior of n values with m
@@ -58,41 +62,57 @@ class NearDupParams:
         return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], p: NearDupParams, full: bool) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
     begin_task()
     a, b = hash_parameters(p.rows * p.bands)
-    fold = hash_parameters(p.rows, seed=11)[0]
-    band = np.arange(p.bands, dtype=np.uint64) << np.uint64(57)
     for batch in batches:
-        ids, n, prints, keys, sigs, sets = [], [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        n, prints, sigs = [], [], []
+        for text in batch.column("text").to_pylist():
             s = shingle_set(text, p.shingle)
-            ids.append(doc_id)
             n.append(len(s))
-            sig = minhash(s, a, b) if len(s) else None
-            if full:
-                sigs.append(None if sig is None else sig.astype("<u2").tobytes())
-                sets.append(s.astype("<u8").tobytes())
-            else:
-                prints.append(hashlib.md5(s.tobytes()).digest())
-                cells = None if sig is None else ((sig.reshape(p.bands, p.rows).astype(np.uint64) + np.uint64(1)) * fold).sum(axis=1, dtype=np.uint64)
-                keys.append(None if cells is None else ((cells >> np.uint64(7)) | band).view(np.int64))
-        ids_ = pa.array(ids, pa.int64())
-        if full:
-            yield pa.RecordBatch.from_arrays([ids_, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "shingles"])
-        else:
-            yield pa.RecordBatch.from_arrays([ids_, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "keys"])
+            prints.append(hashlib.md5(s.tobytes()).digest())
+            sigs.append(minhash(s, a, b).astype("<u2").tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
 
 
 def sketch(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Per row: number of shingles, fingerprint of the shingle set, one key a band (7 bits of band
-    number, 57 of its values)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, p, False), "doc_id long, n_shingles long, print binary, keys array<long>")
+    """Per row: number of shingles, fingerprint of the shingle set, 16-bit signature values."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, p), "doc_id long, n_shingles long, print binary, sig binary")
+
+
+def _band_keys(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
+    fold = hash_parameters(p.rows, seed=11)[0]
+    band = np.arange(p.bands, dtype=np.uint64) << np.uint64(57)
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, p.bands, p.rows)
+        cells = ((sig.astype(np.uint64) + np.uint64(1)) * fold).sum(axis=2, dtype=np.uint64)
+        keys = ((cells >> np.uint64(7)) | band).view(np.int64).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), p.bands)), pa.array(keys)], ["rep", "key"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
+    begin_task()
+    for batch in batches:
+        sets = [_packed(shingle_set(text, p.shingle)) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("as_lead"), batch.column("as_rep"), pa.array(sets, pa.binary())], ["doc_id", "as_lead", "as_rep", "shingles"])
 
 
-def shingle_rows(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Per row: 16-bit signature values and the full shingle set."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, p, True), "doc_id long, sig binary, shingles binary")
+def shingle_sets(docs: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
+    """Full shingle sets of the texts in ``ids`` (doc_id, as_lead, as_rep), written once; 48 of the
+    64 bits of a hash are kept, still far more than a pair of sets can confuse."""
+    side = F.broadcast(ids) if small_enough(ids.count(), 24) else ids
+    rows = docs.join(side, "doc_id").select("doc_id", "as_lead", "as_rep", "text")
+    return written(rows.mapInArrow(lambda it: _sets(it, p), "doc_id long, as_lead boolean, as_rep boolean, shingles binary").dropDuplicates(["doc_id"]))
+
+
+def _packed(s: np.ndarray) -> bytes:
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _matches(x: np.ndarray, others: np.ndarray, p: NearDupParams, needed: list[int]) -> np.ndarray:
@@ -117,71 +137,137 @@ def _linked(s: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
     return 100 * both >= percent * (len(s) + sizes - both)
 
 
-def _star(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
+    """Adds the verdict of the sequential test."""
     needed = p.needed()
     for batch in batches:
-        col = {n: batch.column(n).to_pylist() for n in ("lead_sig", "sig", "lead_shingles", "shingles")}
-        out = []
-        for ls, s, lset, sset in zip(col["lead_sig"], col["sig"], col["lead_shingles"], col["shingles"]):
-            x, y = np.frombuffer(ls, "<u2"), np.frombuffer(s, "<u2")
-            out.append(bool(len(_matches(x, y[None, :], p, needed))) and bool(_linked(np.frombuffer(lset, "<u8"), [np.frombuffer(sset, "<u8")], p.percent)[0]))
-        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("rep"), pa.array(out, pa.bool_())], ["lead", "rep", "linked"])
+        pairs = zip(batch.column("lead_sig").to_pylist(), batch.column("sig").to_pylist())
+        near = [bool(len(_matches(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")[None, :], p, needed))) for x, y in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("rep"), batch.column("salt"), pa.array(near, pa.bool_())], ["lead", "rep", "salt", "near"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
+    """Only the pairs whose sets reach the similarity."""
+    for batch in batches:
+        pairs = zip(batch.column("lead_shingles").to_pylist(), batch.column("shingles").to_pylist())
+        linked = [bool(_linked(_unpacked(x), [_unpacked(y)], p.percent)[0]) for x, y in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("rep")], ["lead", "rep"]).filter(pa.array(linked, pa.bool_()))
+
+
+def _others(right: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block with those that each has to be held against: of another component, and where
+    the block has two sides, of the other side."""
+    two = bool(right.any())
+    for i in np.flatnonzero(right) if two else range(len(group)):
+        other = np.flatnonzero(~right & (group != group[i])) if two else i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if len(other):
+            yield i, other
+
+
+def _partners(rows: pd.DataFrame, p: NearDupParams) -> pd.DataFrame:
+    """The rows of one block that the sequential test leaves with another row."""
+    needed = p.needed()
+    sig = np.stack([np.frombuffer(x, "<u2") for x in rows["sig"]])
+    keep = np.zeros(len(rows), bool)
+    for i, other in _others(rows["right"].to_numpy(), rows["component"].to_numpy()):
+        found = other[_matches(sig[i], sig[other], p, needed)]
+        keep[found] = True
+        keep[i] |= len(found) > 0
+    return rows[keep]
 
 
 def _block(rows: pd.DataFrame, p: NearDupParams) -> pd.DataFrame:
-    """Confirmed links of one block, as few as connect what is connected."""
+    """Confirmed links between the components of one block, as few as connect them."""
     needed = p.needed()
-    reps, right = rows["rep"].to_numpy(), rows["right"].to_numpy()
+    first = rows["component"].to_numpy()
     sig = np.stack([np.frombuffer(x, "<u2") for x in rows["sig"]])
-    sets = [np.frombuffer(x, "<u8") for x in rows["shingles"]]
-    group = np.where(rows["linked"].to_numpy(), -1, np.arange(len(rows)))  # linked with the leader: one group
-    two = bool(right.any())
+    sets = [_unpacked(x) for x in rows["shingles"]]
+    group = first.copy()  # changes while the rows are gone through, and _others sees it
     src, dst = [], []
-    for i in np.flatnonzero(right) if two else range(len(rows)):
-        other = np.flatnonzero(~right & (group != group[i])) if two else i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        if not len(other):
-            continue
+    for i, other in _others(rows["right"].to_numpy(), group):
         other = other[_matches(sig[i], sig[other], p, needed)]
         if not len(other):
             continue
         for j in other[_linked(sets[i], [sets[j] for j in other], p.percent)]:
             if group[j] != group[i]:
-                src.append(reps[i])
-                dst.append(reps[j])
+                src.append(first[i])
+                dst.append(first[j])
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group[group == old] = new
     return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
 
-def near_duplicate_links(docs: DataFrame, reps: DataFrame, p: NearDupParams) -> DataFrame:
-    """Links ``(src, dst)`` between representatives that connect all components.
+def _heavy(pairs: DataFrame, p: NearDupParams) -> DataFrame:
+    """``lead, salts`` of the leaders with many candidates; to be broadcast only when few."""
+    heavy = written(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.lead_rows).select("lead", F.ceil(F.col("n") / p.lead_rows).cast("int").alias("salts")))
+    return F.broadcast(heavy) if small_enough(heavy.count(), 16) else heavy
+
 
-    ``reps``: rep, keys. The copies of a row in the second round: a candidate that is not linked
-    with its leader meets every block of the linked ones and of the others like it.
+def _copied(leads: DataFrame, heavy: DataFrame) -> DataFrame:
+    """One row a leader and salt."""
+    return leads.join(heavy, "lead", "left").select(*leads.columns, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The ids of a table of pairs, and on which side they stand."""
+    ends = F.array(*(F.struct(F.col(c).alias("doc_id"), F.lit(c == "lead").alias("as_lead")) for c in ("lead", "rep")))
+    return pairs.select(F.explode(ends).alias("e")).groupBy("e.doc_id").agg(F.max("e.as_lead").alias("as_lead"), F.max(~F.col("e.as_lead")).alias("as_rep"))
+
+
+def representative_components(docs: DataFrame, classes: DataFrame, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` of the representatives that are linked with a leader, and the same of the
+    components that blocks of the second round connect.
+
+    ``classes``: rep, sig. The copies of a row in the second round: one outside its leader's
+    component meets every block of those inside and of the others like it.
     """
-    bands = reps.select("rep", F.explode("keys").alias("key"))
+    bands = classes.select("rep", "sig").mapInArrow(lambda it: _band_keys(it, p), "rep long, key long")
     leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead")
     pairs = written(bands.join(leads, "key").filter("rep <> lead").select("lead", "rep").distinct())
-    ids = pairs.select(F.explode(F.array("lead", "rep")).alias("doc_id")).distinct()
-    sets = written(shingle_rows(keep_ids(docs, ids, "doc_id", ids.count()), p).dropDuplicates(["doc_id"]))
-    led = sets.select(F.col("doc_id").alias("lead"), F.col("sig").alias("lead_sig"), F.col("shingles").alias("lead_shingles"))
-    own = sets.withColumnRenamed("doc_id", "rep")
-    star = written(pairs.join(own, "rep").join(led, "lead").mapInArrow(lambda it: _star(it, p), "lead long, rep long, linked boolean"))
-    sizes = star.groupBy("lead").agg(F.count_if("linked").alias("n_in"), F.count_if(~F.col("linked")).alias("n_out")).filter("n_out > 0 and n_in + n_out > 1")
+    heavy = _heavy(pairs, p)
+    pairs = pairs.join(heavy, "lead", "left").select("lead", "rep", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+
+    ids = _ids(pairs)
+    sigs = written(classes.select("rep", "sig").join(ids.withColumnRenamed("doc_id", "rep"), "rep"))
+    led = _copied(sigs.filter("as_lead").select(F.col("rep").alias("lead"), F.col("sig").alias("lead_sig")), heavy)
+    own = sigs.filter("as_rep").select("rep", "sig")
+    tested = written(pairs.join(own, "rep").join(led, ["lead", "salt"]).mapInArrow(lambda it: _near(it, p), "lead long, rep long, salt int, near boolean"))
+
+    near = tested.filter("near").select("lead", "rep", "salt")
+    sets = shingle_sets(docs, _ids(near), p)
+    led = _copied(sets.filter("as_lead").select(F.col("doc_id").alias("lead"), F.col("shingles").alias("lead_shingles")), heavy)
+    own_sets = sets.filter("as_rep").select(F.col("doc_id").alias("rep"), "shingles")
+    links = written(near.join(own_sets, "rep").join(led, ["lead", "salt"]).mapInArrow(lambda it: _confirmed(it, p), "lead long, rep long"))
+    first = written(connected_components(links, "lead", "rep"))
+
+    of_rep = first.select(F.col("node").alias("rep"), "component")
+    of_lead = first.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
+    leads = tested.select("lead").distinct().join(of_lead, "lead", "left").select("lead", F.coalesce("lead_component", "lead").alias("lead_component"))
+    member = tested.join(of_rep, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(_copied(leads, heavy), ["lead", "salt"])
+    member = written(member.select("lead", "salt", "rep", "component", (F.col("component") == F.col("lead_component")).alias("inside")))
+    sizes = member.groupBy("lead").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out")).filter("n_out > 0 and n_in + n_out > 1")
     blocks = lambda c: F.ceil(F.col(c) / p.block).cast("int")
-    mark = F.pmod(F.xxhash64("rep"), F.when(F.col("linked"), F.greatest(blocks("n_in"), F.lit(1))).otherwise(blocks("n_out"))).cast("int")
+    mark = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.greatest(blocks("n_in"), F.lit(1))).otherwise(blocks("n_out"))).cast("int")
     others = F.sequence(F.lit(0), blocks("n_out") - 1)
     task = lambda kind, left, right, is_right: F.struct(F.lit(kind).alias("kind"), left.alias("a"), right.alias("b"), is_right.alias("right"))
     none = F.array().cast("array<struct<kind:string,a:int,b:int,right:boolean>>")
     m = F.col("mark")
-    from_linked = F.transform(others, lambda j: task("in", m, j, F.lit(False)))
-    from_other = F.concat(
+    from_inside = F.transform(others, lambda j: task("in", m, j, F.lit(False)))
+    from_outside = F.concat(
         F.when(F.col("n_in") > 0, F.transform(F.sequence(F.lit(0), blocks("n_in") - 1), lambda i: task("in", i, m, F.lit(True)))).otherwise(none),
         F.transform(others, lambda j: task("out", F.least(m, j), F.greatest(m, j), m > j)),
     )
-    copies = star.join(sizes, "lead").withColumn("mark", mark).select("lead", "rep", "linked", F.explode(F.when(F.col("linked"), from_linked).otherwise(from_other)).alias("t")).select("lead", "rep", "linked", "t.*")
-    rest = copies.join(own, "rep").groupBy("lead", "kind", "a", "b").applyInPandas(lambda g: _block(g, p), "src long, dst long")
-    return star.filter("linked").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).unionByName(rest)
+    copies = member.join(_copied(sizes, heavy), ["lead", "salt"]).withColumn("mark", mark)
+    copies = copies.select("lead", "rep", "component", F.explode(F.when(F.col("inside"), from_inside).otherwise(from_outside)).alias("t")).select("lead", "rep", "component", "t.*")
+    of_block = ["lead", "kind", "a", "b"]
+    kept = written(
+        copies.join(sigs.select("rep", "sig"), "rep").groupBy(*of_block).applyInPandas(lambda g: _partners(g, p), "lead long, rep long, component long, kind string, a int, b int, right boolean, sig binary")
+    )
+    more = kept.select(F.col("rep").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("as_lead"), F.lit(True).alias("as_rep"))
+    all_sets = sets.unionByName(shingle_sets(docs, more, p)).select(F.col("doc_id").alias("rep"), "shingles")
+    second = connected_components(written(kept.join(all_sets, "rep").groupBy(*of_block).applyInPandas(lambda g: _block(g, p), "src long, dst long")))
+
+    return first, second
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -193,11 +279,11 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     """
     bounded_batches(docs)
     rows = written(sketch(docs, p))
-    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = written(classes)
-    links = written(near_duplicate_links(docs.select(F.col("doc_id").cast("long"), "text"), classes.select("rep", "keys"), p))
-    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.select("print", "rep").join(parts, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    classes = written(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    first, second = representative_components(docs.select(F.col("doc_id").cast("long"), "text"), classes, p)
+    named = classes.select("print", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    # A component of components has the smallest node of them all.
+    named = named.join(second.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("print", F.coalesce("whole", "component").alias("component"))
     found = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
