@@ -37,7 +37,7 @@ LOOSE = {
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20.()-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
     "mail": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++",
 }
-SPAN = "array<struct<start:int,end:int,text:string>>"
+SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 SOURCES = ("number", "mail")
 #: An ending that an address can have.
 _ENDING = "[A-Za-z]{2,24}$"
@@ -56,24 +56,47 @@ class PiiParams:
     context: int = 24
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start,end,text>>`` of the leftmost non-overlapping matches, in code points.
+def cut_at(text: Column, pattern: str, width: int) -> Column:
+    """The text cut at its leftmost non-overlapping matches: for each match the code points before it
+    (``gap``), their ``head`` and ``tail``, and its ``text``; a last element without text follows."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    piece = lambda part, m: F.struct(F.length(part).alias("gap"), F.left(part, F.lit(1)).alias("head"), F.right(part, F.lit(width)).alias("tail"), m.alias("text"))
+    return F.zip_with(F.split(text, pattern, -1), found, piece)
+
+
+CUT = "array<struct<gap:int,head:string,tail:string,text:string>>"
 
-    The parts between matches come from ``split``; their lengths and those of the matches add up to
-    the positions.
+
+def running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """For each item what ``join`` makes of the values before it, from 0 on.
+
+    Arrays grow by copying, so the fold runs inside chunks that start with the total of those before
+    them. ``items`` has to be a column as it stands, or it would be worked out for every chunk.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
+    piece = lambda first: F.slice(items, first + 1, F.lit(chunk))
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(chunk))
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(found, i)
-        start = acc["at"] + F.length(F.get(parts, i))
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("text")))).alias("out"))
+    def fold(values: Column, start: Column, of: Callable[[Column], Column]) -> Column:
+        step = lambda acc, x: F.struct(join(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
 
-    none = F.array().cast(SPAN)
-    fold = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, fold).otherwise(none)
+    totals = F.transform(firsts, lambda first: F.aggregate(piece(first), F.lit(0), lambda at, x: join(at, value(x))))
+    return F.flatten(F.zip_with(firsts, fold(totals, F.lit(0), lambda t: t), lambda first, start: fold(piece(first), start, value)))
+
+
+def spans_of(cut: Column, at: Column, width: int) -> Column:
+    """Matches with their places and what stands beside them; ``at`` has the code points before each
+    element of ``cut``. The text before reaches back over one other match at most."""
+
+    def of(i: Column) -> Column:
+        here, after = F.get(cut, i), F.get(cut, i + 1)
+        start = F.get(at, i) + here["gap"]
+        before = F.right(F.concat(F.when(i > 0, F.get(cut, i - 1)["text"]).otherwise(""), here["tail"]), F.lit(width))
+        follows = F.when(after["gap"] > 0, after["head"]).otherwise(F.coalesce(F.left(after["text"], F.lit(1)), F.lit("")))
+        end = F.get(at, i) + here["gap"] + F.length(here["text"])
+        return F.struct(start.alias("start"), end.alias("end"), here["text"].alias("text"), before.alias("before"), follows.alias("after"))
+
+    return F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(0), F.size(cut) - 2), of)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(m: Column) -> Column:
@@ -103,16 +126,22 @@ def _passes(kind: str) -> Callable[[Column], Column]:
     return lambda s: valid(kind, s["text"])
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Per kind the spans that pass; failing matches are dropped without a retry."""
-    none = F.array().cast(SPAN)
-    gate = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    out = {}
-    for kind in KINDS:
-        found = matches(text, PATTERNS[kind])
-        found = F.filter(found, _passes(kind)) if kind != "email" else found
-        out[kind] = F.when(gate[kind], found).otherwise(none) if kind in gate else found
-    return out
+def with_spans(rows: DataFrame, p: PiiParams) -> DataFrame:
+    """Adds ``of_<name>`` for each kind and each loose source: the spans that pass, failing matches
+    dropped without a retry, and all loose ones. Each step is a column of its own, so that patterns
+    and places are worked out once a text."""
+    text = F.col("text")
+    gate = {
+        "email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.contains(text, F.lit(".")), "card": text.rlike("[0-9]"),
+        "number": text.rlike("[0-9]"), "mail": text.rlike(r"[\[(](?:at|AT)[\])]"),
+    }
+    every = PATTERNS | LOOSE
+    old = rows.columns
+    cut = rows.select(*old, *(F.when(gate[k], cut_at(text, v, p.context)).otherwise(F.array().cast(CUT)).alias(f"cut_{k}") for k, v in every.items()))
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["text"]), F.lit(0))
+    placed = cut.select(*cut.columns, *(F.when(F.size(f"cut_{k}") > 1, running(F.col(f"cut_{k}"), size, lambda a, b: a + b)).otherwise(F.array().cast("array<int>")).alias(f"at_{k}") for k in every))
+    spans = {k: spans_of(F.col(f"cut_{k}"), F.col(f"at_{k}"), p.context) for k in every}
+    return placed.select(*old, *((F.filter(c, _passes(k)) if k in ("ip", "card", "phone") else c).alias(f"of_{k}") for k, c in spans.items()))
 
 
 def _char_kind(c: Column) -> Column:
@@ -123,22 +152,20 @@ def _char_kind(c: Column) -> Column:
 FEATURES = ("source", "digits", "groups", "opening", "marks", "before", "after", "hint")
 
 
-def described(text: Column, spans: Column, source: int, width: int) -> Column:
+def described(spans: Column, source: int) -> Column:
     """Candidates with small integers for format and context, and whether one outside the base spans
     counts as a negative (``never``)."""
 
     def of(s: Column) -> Column:
-        m, start, end = s["text"], s["start"], s["end"]
-        near = F.lower(F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width))))
+        m, near = s["text"], F.lower(s["before"])
         hint = F.when(near.rlike("tel|phone|call|fax"), 1).when(near.rlike("card|visa|pay"), 2).when(near.rlike("pass|secret|key|token"), 3).when(near.rlike("mail|contact"), 4).otherwise(0)
         marks = sum((F.when(F.contains(m, F.lit(c)), 1 << k).otherwise(0) for k, c in enumerate(" .-(")), F.lit(0))
         values = (
             F.lit(source), F.least(F.length(_digits(m)), F.lit(25)), F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(9)),
-            F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), marks,
-            _char_kind(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")), _char_kind(F.substring(text, end + 1, F.lit(1))), hint,
+            F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), marks, _char_kind(F.right(s["before"], F.lit(1))), _char_kind(s["after"]), hint,
         )
         never = ~m.rlike(_ENDING) if source else F.lit(True)
-        return F.struct(start.alias("start"), end.alias("end"), never.cast("int").alias("never"), *(v.cast("int").alias(n) for n, v in zip(FEATURES, values)))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), never.cast("int").alias("never"), *(v.cast("int").alias(n) for n, v in zip(FEATURES, values)))
 
     return F.transform(spans, of)
 
@@ -163,13 +190,31 @@ def rewritten(kind: str, spans: Column) -> Column:
     def of(s: Column) -> Column:
         forms = _forms(kind, s["text"])
         text = F.element_at(F.array(*forms), F.pmod(F.crc32(s["text"].cast("binary")), F.lit(len(forms))).cast("int") + 1)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), text.alias("text"))
+        return s.withField("text", text)
 
     return F.filter(F.transform(spans, of), lambda s: s["text"].rlike(f"^(?:{loose})$"))
 
 
-def _overlaps(s: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _overlaps(s: Column, base: Column) -> Column:
+    """Whether a span overlaps a base span. Those of one kind stand in order and apart, so the last one
+    that starts before the span's end decides; it is found by halving, or by trying a few."""
+
+    def of(spans: Column) -> Column:
+        few = F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        middle = lambda acc: F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+
+        def halve(acc: Column, _: Column) -> Column:
+            before = F.get(spans, middle(acc))["start"] < s["end"]
+            return F.struct(F.when(before, middle(acc) + 1).otherwise(acc["lo"]).alias("lo"), F.when(before, acc["hi"]).otherwise(middle(acc)).alias("hi"))
+
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+        last = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda acc: acc["lo"])
+        return F.when(F.size(spans) <= 16, few).otherwise(F.coalesce(F.get(spans, last - 1)["end"] > s["start"], F.lit(False)))
+
+    out = F.lit(False)
+    for kind in KINDS:
+        out = out | of(base[kind])
+    return out
 
 
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int, least: float):
@@ -275,30 +320,23 @@ def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_row: bool =
 
     Null texts have no spans. Repeated rows are treated alike; other columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     carried = [F.struct(*docs.columns).alias("row")] if keep_row else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     more = ["row"] if keep_row else []
-    # Columns of their own, so that the patterns run once for all uses of the spans.
-    rows = rows.select("doc_id", "text", *more, *(c.alias(f"of_{k}") for k, c in base_spans(text).items()))
-    spans = {k: F.col(f"of_{k}") for k in KINDS}
-    loose = F.concat(
-        described(text, F.when(text.rlike("[0-9]"), matches(text, LOOSE["number"])).otherwise(F.array().cast(SPAN)), 0, p.context),
-        described(text, F.when(text.rlike(r"[\[(](?:at|AT)[\])]"), matches(text, LOOSE["mail"])).otherwise(F.array().cast(SPAN)), 1, p.context),
-    )
-    forms = F.concat(*(described(text, rewritten(k, spans[k]), int(k == "email"), p.context) for k in KINDS))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried), p)
+    loose = F.concat(described(F.col("of_number"), 0), described(F.col("of_mail"), 1))
+    forms = F.concat(*(described(rewritten(k, F.col(f"of_{k}")), int(k == "email")) for k in KINDS))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = written(rows.select("doc_id", *more, F.struct(*(bare(spans[k]).alias(k) for k in KINDS)).alias("base"), loose.alias("loose"), forms.alias("forms")))
-    every = F.concat(*(F.col("base")[k] for k in KINDS))
+    found = written(rows.select("doc_id", *more, F.struct(*(bare(F.col(f"of_{k}")).alias(k) for k in KINDS)).alias("base"), loose.alias("loose"), forms.alias("forms")))
+    base = F.col("base")
     held = F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0")
-    label = lambda s, base, form: s.withField("n_base", base.cast("int")).withField("n_form", F.lit(form)).withField("n_never", F.when(base | F.lit(form == 1), 0).otherwise(s["never"]))
-    told = F.concat(F.transform("loose", lambda s: label(s, _overlaps(s, every), 0)), F.transform("forms", lambda s: label(s, F.lit(False), 1)))
+    label = lambda s, is_base, form: s.withField("n_base", is_base.cast("int")).withField("n_form", F.lit(form)).withField("n_never", F.when(is_base | F.lit(form == 1), 0).otherwise(s["never"]))
+    told = F.concat(F.transform("loose", lambda s: label(s, _overlaps(s, base), 0)), F.transform("forms", lambda s: label(s, F.lit(False), 1)))
     told = found.select(F.coalesce(held, F.lit(False)).alias("held_out"), F.explode(told).alias("s")).select("held_out", "s.*")
     # Bounded: the features are small integers.
     counts = told.groupBy("held_out", *FEATURES).agg(*(F.sum(c).alias(c) for c in ("n_base", "n_form", "n_never"))).collect()
     model = boost(counts, p)
     kind = lambda s: F.when(s["source"] == 1, "email").when(s["digits"] >= 13, "card").when((s["groups"] == 4) & s["marks"].isin(2, 3), "ip").otherwise("phone")
-    chosen = F.filter("loose", lambda s: model.chosen(s) & ~_overlaps(s, every))
+    chosen = F.filter("loose", lambda s: model.chosen(s) & ~_overlaps(s, base))
     extra = F.transform(chosen, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select("doc_id", *more, "base", extra.alias("extra"))
 
@@ -317,18 +355,30 @@ def span_strings(found: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, base: Column, extra: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the one that
-    starts first (then the longest) stands."""
-    mark = lambda kind: lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), (s["kind"] if kind is None else F.lit(kind)).alias("kind"))
-    marked = F.concat(*(F.transform(base[k], mark(k)) for k in KINDS), F.transform(extra, mark(None)))
-
-    def step(acc: Column, s: Column) -> Column:
-        size = F.greatest(s["start"] - acc["at"], F.lit(0))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, size), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], -s["last"]).alias("at"), out.alias("out"))
+def redacted(rows: DataFrame, text: str, block: int = 4096) -> DataFrame:
+    """``rows`` with ``new_text``: column ``text`` with its spans (``base``, ``extra``) replaced by their
+    kind in brackets. Overlapping spans are replaced together, under the kind of the one that starts
+    first (then the longest). A null text stays null.
 
-    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.when(F.size(marked) > 0, F.aggregate(F.array_sort(marked), start, step, tail)).otherwise(text)
+    A substring is counted from the start of its string, so texts are cut into blocks first.
+    """
+    mark = lambda kind: lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), (s["kind"] if kind is None else F.lit(kind)).alias("kind"))
+    marked = F.array_sort(F.concat(*(F.transform(F.col("base")[k], mark(k)) for k in KINDS), F.transform("extra", mark(None))))
+    whole = F.col("_text")
+    firsts = F.sequence(F.lit(0), F.greatest(F.length(whole) - 1, F.lit(0)), F.lit(block))
+    cut = rows.select("*", F.expr(text).cast("string").alias("_text"), marked.alias("_marked"))
+    cut = cut.select("*", F.when(F.size("_marked") > 0, F.transform(firsts, lambda at: F.substring(whole, at + 1, F.lit(block)))).alias("_blocks"), running(F.col("_marked"), lambda s: -s["last"], F.greatest).alias("_reach"))
+    blocks, marked, reach = F.col("_blocks"), F.col("_marked"), F.col("_reach")
+    at_block = lambda at: F.floor(at / block).cast("int")
+
+    def piece(at: Column, size: Column) -> Column:
+        held = F.array_join(F.slice(blocks, at_block(at) + 1, at_block(at + size) - at_block(at) + 1), "")
+        return F.substring(held, at - at_block(at) * block + 1, size)
+
+    def of(i: Column) -> Column:
+        s, at = F.get(marked, i), F.get(reach, i)
+        return F.when(s["start"] >= at, F.concat(piece(at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    last = F.greatest(F.element_at(reach, -1), -F.element_at(marked, -1)["last"])
+    new = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(marked) - 1), of), ""), piece(last, F.length(whole) - last))
+    return cut.select(*rows.columns, F.when(F.size(marked) > 0, new).otherwise(whole).alias("new_text"))
