@@ -39,10 +39,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind; ``n_chars`` follows the text."""
-    found = personal_data(docs, keep_row=True)
-    text = F.when(F.col("row.text").isNotNull(), redacted(F.col("row.text").cast("string"), F.col("base"), F.col("extra")))
+    found = redacted(personal_data(docs, keep_row=True), "row.text")
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
-    return found.withColumn("new_text", text).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
