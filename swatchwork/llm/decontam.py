@@ -15,20 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from swatchwork.llm.caches import claim
-from swatchwork.runtime import bounded_batches
+from swatchwork.runtime import bounded_batches, written
 
 
 @dataclass(frozen=True)
 class DecontamParams:
-    """``window``: words of a window. ``pass_windows``: most windows that one pass holds in memory;
-    a larger benchmark is searched in several passes."""
+    """``window``: words of a window. ``pass_windows``, ``pass_bytes``: windows that one pass holds in
+    memory, in number and in bytes of text; a larger benchmark is searched in several passes."""
 
     window: int = 10
-    pass_windows: int = 500_000
+    pass_windows: int = 400_000
+    pass_bytes: int = 32 << 20
 
 
 #: Bytes outside words become blanks and A-Z lower case; every byte of a character from U+0080 on is
@@ -75,82 +78,121 @@ class WuManber:
             at += 1
 
 
-def windows(items: list[tuple[int, str | None]], size: int) -> dict[int, dict[tuple[bytes, ...], list[int]]]:
-    """Windows of the items by length; an item of fewer words is one window."""
-    out: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        words = item_words(text)
-        n = min(size, len(words))
-        if n:
-            for w in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
-                out[n][w].append(item)
-    return {n: dict(w) for n, w in out.items()}
+def windows(text: str | None, size: int) -> set[bytes]:
+    """Distinct windows of an item, words parted by blanks; an item of fewer words is one window."""
+    words = item_words(text)
+    n = min(size, len(words))
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def _search(batches: Iterator[pa.RecordBatch], found: dict[int, dict], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            found = sorted(windows(text, size))
+            for i in range(0, len(found), 10_000):
+                part = found[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.int64()), pa.array(part, pa.binary())], ["item_id", "window"])
+
+
+def _machines(held: pa.Table) -> list[WuManber]:
+    """One search machine for each pattern length."""
+    found: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+    words: dict[bytes, bytes] = {}
+    for item, window in zip(held["item_id"].to_pylist(), held["window"].to_pylist()):
+        key = tuple(words.setdefault(w, w) for w in window.split(b" "))
+        found[len(key)][key].append(item)
+    return [WuManber(n, dict(w)) for n, w in sorted(found.items())]
+
+
+def _hits(text: str | None, machines: list[WuManber]) -> tuple[int, list[int], list[int], list[int]]:
+    """Number of words, starts and ends of the occurrences, items found."""
+    words = item_words(text)
+    starts, ends, items = [], [], set()
+    for m in machines:
+        for at, ids in m.search(words):
+            starts.append(at)
+            ends.append(at + m.length)
+            items.update(ids)
+    return len(words), starts, ends, list(items)
+
+
+def _digest(words: int, starts: list[int], ends: list[int], items: list[int]) -> tuple[int, int, int, str]:
+    edge = np.zeros(words + 1, np.int64)
+    np.add.at(edge, np.asarray(starts, np.int64), 1)
+    np.add.at(edge, np.asarray(ends, np.int64), -1)
+    ids = sorted(map(str, set(items)))
+    return words, int((np.cumsum(edge) > 0).sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    return pc.cast(batch.column("row").field("text"), pa.string()).to_pylist()
+
+
+def _judged(batches: Iterator[pa.RecordBatch], held: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One pass over everything: rows with their digests."""
     claim("leaks", lambda: None)
-    machines = [WuManber(n, w) for n, w in sorted(found.items())]
+    machines = _machines(held)
     for batch in batches:
-        starts, ends, items = [], [], []
-        for text in batch.column("text").to_pylist():
-            words = [w for w in words_of(text) if w]
-            s, e, got = [], [], set()
-            for m in machines:
-                for at, ids in m.search(words):
-                    s.append(at)
-                    e.append(at + m.length)
-                    got.update(ids)
-            starts.append(s)
-            ends.append(e)
-            items.append(sorted(got))
-        kinds = pa.list_(pa.int64())
-        old = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")]
-        new = [pa.array([a + b for a, b in zip(o, n)], kinds) for o, n in zip(old, (starts, ends, items))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "starts", "ends", "items"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _digested(batch, [_hits(text, machines) for text in _texts(batch)])
+
+
+def _digested(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+    cols = list(zip(*(_digest(*h) for h in hits))) or [(), (), (), ()]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["row", "n_words", "n_hit", "n_items", "items_sha256"])
+
+
+def _one_pass(batches: Iterator[pa.RecordBatch], held: pa.Table) -> Iterator[pa.RecordBatch]:
+    """What one of several passes finds: only rows with occurrences."""
+    claim("leaks", lambda: None)
+    machines = _machines(held)
     for batch in batches:
-        n_words, n_hit, n_items, digest = [], [], [], []
-        for text, starts, ends, items in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "items"))):
-            words = sum(map(bool, words_of(text)))
-            edge = np.zeros(words + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, ends, -1)
-            n_words.append(words)
-            n_hit.append(int((np.cumsum(edge) > 0).sum()))
-            ids = sorted({str(i) for i in items})
-            n_items.append(len(ids))
-            digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        cols = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)), pa.array(digest), pa.array([x > 0 for x in n_hit])]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
-    """``doc_id, text, starts, ends, items``: word ranges of all occurrences, and the items found.
-
-    The benchmark is read in slices of about ``pass_windows`` windows, and each slice is one pass
-    over the texts, so that what a task holds has a fixed bound.
-    """
-    spark = bounded_batches(docs).sparkSession
-    held = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    total = held.agg(F.sum(F.greatest(F.length("text") / 2, F.lit(1)))).first()[0] or 0  # a word and its gap take two characters at least
-    slices = max(1, -(-int(total) // (8 * p.pass_windows)))
-    spans = "starts array<long>, ends array<long>, items array<long>"
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.array().cast("array<long>").alias(c) for c in ("starts", "ends", "items")))
-    for k in range(slices):
-        part = held.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else held
-        found = windows(sorted((r.item_id, r.text) for r in part.collect()), p.window)
-        if sum(map(len, found.values())):
-            shared = spark.sparkContext.broadcast(found)
-            out = out.mapInArrow(lambda it, s=shared: _search(it, s.value, ["doc_id", "text"]), f"doc_id long, text string, {spans}")
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs``.
+        hits = [_hits(text, machines)[1:] for text in _texts(batch)]
+        cols = list(zip(*hits)) or [(), (), ()]
+        out = pa.RecordBatch.from_arrays([batch.column("at"), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], ["at", "starts", "ends", "items"])
+        yield out.filter(pa.array([bool(h[0]) for h in hits], pa.bool_()))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "items")))
+        yield _digested(batch, [(len(item_words(t)), *(x or [] for x in f)) for t, f in zip(_texts(batch), found)])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), keep_row: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs``, and
+    with ``keep_row`` all its columns as ``row``.
 
     Null and empty texts have no words; null or empty items have no windows; an item id that
-    repeats counts once. Other columns are ignored. An empty benchmark hits nothing.
+    repeats counts once. Repeated rows are judged each. Other columns are ignored. An empty
+    benchmark hits nothing.
+
+    Spark counts the windows and their bytes, and deals them by hash to so many passes that one
+    stays within the parameters; the driver and the tasks hold one pass at a time. A benchmark of
+    one pass is searched in one step; several passes write what they find, and this is added up.
     """
-    return benchmark_hits(docs, benchmark, p).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    spark = bounded_batches(docs).sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
+    held = written(items.mapInArrow(lambda it: _windows(it, p.window), "item_id long, window binary").distinct())
+    n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("window")), F.lit(0))).first()
+    passes = max(1, -(-n // p.pass_windows), -(-size // p.pass_bytes))
+    part = lambda k: spark.sparkContext.broadcast(held.filter(F.pmod(F.xxhash64("window"), F.lit(passes)) == k).toArrow())
+    taken = docs if keep_row else docs.select("doc_id", "text")
+    rows = taken.select(F.struct(*taken.columns).alias("row"))
+    digest = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string")
+    out = StructType([StructField("row", taken.schema), *digest.fields])
+    if passes == 1:
+        shared = part(0)
+        found = rows.mapInArrow(lambda it: _judged(it, shared.value), out)
+    else:
+        rows = written(rows.withColumn("at", F.monotonically_increasing_id()))
+        hits = None
+        for k in range(passes):
+            shared = part(k)
+            now = written(rows.mapInArrow(lambda it, s=shared: _one_pass(it, s.value), "at long, starts array<long>, ends array<long>, items array<long>"))
+            shared.destroy()
+            hits = now if hits is None else hits.unionByName(now)
+        hits = hits.groupBy("at").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+        found = rows.join(hits, "at", "left").drop("at").mapInArrow(_joined, out)
+    kept = ["row"] if keep_row else []
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), *kept, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

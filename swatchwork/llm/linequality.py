@@ -60,6 +60,15 @@ def repeated_words(words: list[bytes], size: int) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def host_salt(host: str | None) -> int:
+    return xxhash.xxh64_intdigest((host or "").encode("utf-8", "surrogatepass")) ^ (host is None)
+
+
+def line_key(words: list[bytes], salt: int) -> int:
+    """Signed hash of a normalised line and its host."""
+    return xxhash.xxh64_intdigest(b" ".join(words).lower(), salt) - (1 << 63)
+
+
 def _base(batches: Iterator[pa.RecordBatch], p: LineParams) -> Iterator[pa.RecordBatch]:
     claim("lines", lambda: None)
     for batch in batches:
@@ -69,7 +78,7 @@ def _base(batches: Iterator[pa.RecordBatch], p: LineParams) -> Iterator[pa.Recor
             raw = text.encode("utf-8", "surrogatepass")
             words = raw.split()
             blanks = sum(map(text.count, " \t\n\v\f\r"))
-            salt = xxhash.xxh64_intdigest((host or "").encode("utf-8", "surrogatepass")) ^ (host is None)
+            salt = host_salt(host)
             seen: set[bytes] = set()
             copies = 0
             lines: dict[int, int] = {}
@@ -79,7 +88,7 @@ def _base(batches: Iterator[pa.RecordBatch], p: LineParams) -> Iterator[pa.Recor
                     continue
                 copies += line in seen
                 seen.add(line)
-                key = xxhash.xxh64_intdigest(b" ".join(held).lower(), salt) - (1 << 63)
+                key = line_key(held, salt)
                 lines[key] = lines.get(key, 0) + len(held)
             row = (len(words), len(text) - blanks, sum(map(text.count, _SYMBOLS)), copies, repeated_words(words, p.window), xxhash.xxh64_intdigest(raw) - (1 << 63), list(lines), list(lines.values()))
             for o, v in zip(out, row):
@@ -89,6 +98,58 @@ def _base(batches: Iterator[pa.RecordBatch], p: LineParams) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(o, k) for o, k in zip(out, kinds))], ["doc_id", "host", *names])
 
 
+def _rows(docs: DataFrame, p: LineParams) -> DataFrame:
+    host = F.col(p.host).cast("string") if p.host in docs.columns else F.lit(None).cast("string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text"))
+
+
+def _measured(docs: DataFrame, p: LineParams) -> DataFrame:
+    schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_keys array<long>, line_words array<long>"
+    return written(_rows(docs, p).mapInArrow(lambda it: _base(it, p), schema).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _frequent(base: DataFrame, p: LineParams) -> DataFrame:
+    """Keys of the lines over the limit; to be broadcast only when they are few."""
+    one = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"), F.count_distinct(one).alias("copies"))
+    # One row a host and line; a text is exploded once for all its copies, and counts are combined before the shuffle.
+    often = texts.select("host", "copies", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.sum("copies").alias("n")).filter(F.col("n") > p.least_docs)
+    often = written(often.select("key").distinct())
+    return F.broadcast(often) if small_enough(often.count(), 16) else often
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, host, text in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "text"))):
+            salt, keys, at = host_salt(host), [], []
+            for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                if held := line.split():
+                    keys.append(line_key(held, salt))
+                    at.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.int64())], ["row", "at", "key"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, lost in zip(batch.column("text").to_pylist(), batch.column("lost").to_pylist()):
+            gone = set(lost or ())
+            texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def without_frequent_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """``doc_id, text`` of every row of ``docs``: the text without the lines over the limit.
+
+    Nulls stay null, and other lines, blank ones too, stay as they are. Repeated rows are cleaned
+    each; other columns are ignored.
+    """
+    keys = _frequent(_measured(docs, p), p)
+    rows = written(_rows(docs, p).withColumn("row", F.monotonically_increasing_id()))
+    lost = rows.mapInArrow(_lines, "row long, at int, key long").join(keys, "key").groupBy("row").agg(F.collect_set("at").alias("lost"))
+    return rows.join(lost, "row", "left").select("doc_id", "text", "lost").mapInArrow(_without, "doc_id long, text string")
+
+
 def line_quality(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_left_words`` for every row of ``docs`` (doc_id, text and the host column).
@@ -97,16 +158,8 @@ def line_quality(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     host column all rows do. Repeated rows of one doc_id and text count once for a line, copies under other ids and rows
     without an id each; all are judged. Other columns are ignored.
     """
-    host = F.col(p.host).cast("string") if p.host in docs.columns else F.lit(None).cast("string")
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_keys array<long>, line_words array<long>"
-    base = written(rows.mapInArrow(lambda it: _base(it, p), schema).withColumn("row", F.monotonically_increasing_id()))
-    one = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
-    texts = base.groupBy("host", "text_hash").agg(F.first("line_keys").alias("line_keys"), F.count_distinct(one).alias("copies"))
-    # One row a host and line; a text is exploded once for all its copies, and counts are combined before the shuffle.
-    often = texts.select("host", "copies", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.sum("copies").alias("n")).filter(F.col("n") > p.least_docs)
-    often = written(often.select("key").distinct())
-    keys = F.broadcast(often) if small_enough(often.count(), 16) else often
+    base = _measured(docs, p)
+    keys = _frequent(base, p)
     lines = base.select("row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
     lost = lines.join(keys, "key").groupBy("row").agg(F.sum("n").alias("lost"))
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.repeat_percent * F.col("n_words"))

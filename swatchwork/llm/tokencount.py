@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swatchwork.llm.caches import claim
@@ -26,7 +26,10 @@ SPACE = "▁"
 
 @dataclass(frozen=True)
 class CountParams:
+    """``limit``: tokens that a text may have. ``block``: prefixes a row of the prefix table."""
+
     limit: int = 4096
+    block: int = 4096
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -179,6 +182,48 @@ def prefix_counter(path: str) -> PrefixCounter:
     return counter
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], path: str, p: CountParams) -> Iterator[pa.RecordBatch]:
+    counter = prefix_counter(path)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    held: list[tuple] = []
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["row", "doc_id", "first_char", "counts"])
+    for batch in batches:
+        for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            counts = counter.prefix_counts(text).astype(np.int32)
+            for first in range(0, len(counts), p.block):
+                held.append((row, doc_id, first, counts[first : first + p.block]))
+                if len(held) >= 200:
+                    yield batch_of()
+                    held = []
+    if held:
+        yield batch_of()
+
+
+def prefix_table(docs: DataFrame, path: str, p: CountParams = CountParams()) -> DataFrame:
+    """``row, doc_id, first_char, counts``: the tokens of every prefix of every text, in blocks of
+    ``p.block`` prefixes; ``counts[i]`` is that of the first ``first_char + i`` characters.
+
+    To be written once; ``prefix_tokens`` and ``prefix_cuts`` then answer any length and any budget
+    from it without encoding again. ``row`` tells repeated rows apart. A null text counts as empty.
+    """
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(lambda it: _prefixes(it, path, p), "row long, doc_id long, first_char long, counts array<int>")
+
+
+def prefix_tokens(table: DataFrame, n_chars: Column) -> DataFrame:
+    """``row, doc_id, n_tokens`` of the prefix of ``n_chars`` characters (an expression over doc_id);
+    rows of shorter texts are left out."""
+    at = n_chars - F.col("first_char")
+    return table.filter((at >= 0) & (at < F.size("counts"))).select("row", "doc_id", F.get("counts", at.cast("int")).cast("long").alias("n_tokens"))
+
+
+def prefix_cuts(table: DataFrame, limit: int) -> DataFrame:
+    """``row, doc_id, cut_chars``: the longest prefix of at most ``limit`` tokens."""
+    back = F.array_position(F.transform(F.reverse("counts"), lambda c: c <= limit), F.lit(True))
+    inside = F.when(back > 0, F.col("first_char") + F.size("counts") - back)
+    return table.groupBy("row", "doc_id").agg(F.max(inside).alias("cut_chars"))
+
+
 def _count(batches: Iterator[pa.RecordBatch], path: str, p: CountParams) -> Iterator[pa.RecordBatch]:
     counter = prefix_counter(path)
     for batch in batches:

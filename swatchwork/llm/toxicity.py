@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from swatchwork.llm.caches import claim
-from swatchwork.runtime import bounded_batches, written
+from swatchwork.runtime import bounded_batches, small_enough, written
 
 
 @dataclass(frozen=True)
@@ -164,7 +166,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     """Fit on labelled rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0.
 
     Null ids, texts and labels are left out; several labels of one document count as their largest.
-    Without rows of both classes the model is a constant: the smoothed share of toxic rows.
+    Without rows of both classes among the documents the model is a constant: the smoothed share of
+    toxic rows, or 0 without any.
     """
     bounded_batches(docs)
     known = (
@@ -172,29 +175,32 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
         .filter("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    n = {int(r.toxic > 0): r.n for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    count = lambda df: {int(r.toxic): r.n for r in df.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     empty = np.zeros(0)
-    if not n.get(0) or not n.get(1):
-        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1) if n else 0.0
-        return ToxicityModel(empty.astype(np.uint64), empty, float(np.log(share / (1 - share))) if share else -30.0, p.lengths, p.bits)
-    rate = {1: min(1.0, p.max_toxic / n[1]), 0: min(1.0, p.max_clean / n[0])}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1_000_000)) / 1e6
-    chosen = known.withColumn("toxic", (F.col("toxic") > 0).cast("int")).filter(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    # The sample has about max_toxic + max_clean ids, whatever the size of the tables, so it may be broadcast.
-    sample = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(F.broadcast(chosen), "doc_id"))
+    n = count(known)
+    rate = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((1, p.max_toxic), (0, p.max_clean))}
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(p.seed)), 11) / float(1 << 53)
+    chosen = written(known.withColumn("toxic", (F.col("toxic") > 0).cast("int")).filter(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])))
+    # About max_toxic + max_clean ids, whatever the size of the tables; broadcast only when they are that few.
+    side = F.broadcast(chosen) if small_enough(chosen.count(), 16) else chosen
+    sample = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(side, "doc_id"))
+    size = count(sample)  # labels may name documents that are not there
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    share = (n1 / rate[1] + 0.5) / (n1 / rate[1] + n0 / rate[0] + 1)
+    constant = ToxicityModel(empty.astype(np.uint64), empty, float(np.log(share / (1 - share))) if n1 + n0 else -30.0, p.lengths, p.bits)
+    if not n1 or not n0:
+        return constant
     toxic = sample.filter("toxic = 1").select("text")
     least = max(p.least_docs, round(p.least_share * min(n[1], p.max_toxic)))
     counted = toxic.mapInArrow(lambda it: _toxic_keys(it, p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     if not counted.num_rows:
-        return ToxicityModel(empty.astype(np.uint64), empty, float(np.log(n[1] / n[0])), p.lengths, p.bits)
+        return constant
     keys, pos = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy().astype(float)
     order = np.argsort(keys)
     keys, pos = keys[order], pos[order]
     clean = sample.filter("toxic = 0").select("text").mapInArrow(lambda it: _count_known(it, keys, p), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     neg = np.zeros(len(keys))
     neg[clean["feature"].to_numpy()] = clean["n"].to_numpy()
-    size = {int(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = size.get(1, 0), max(1, size.get(0, 0))
     ratio = np.log((pos + p.smoothing) / (n1 + 2 * p.smoothing)) - np.log((neg + p.smoothing) / (n0 + 2 * p.smoothing))
     gain = np.abs(ratio) * np.sqrt(pos + neg * n1 / n0)
     best = np.sort(np.lexsort((keys, -gain))[: p.features])
@@ -208,15 +214,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[
     claim("toxicity", lambda: None)
     look = _Lookup(model.keys, model.bits)
     for batch in batches:
-        z = np.array([model.bias + model.weights[look(t, model.lengths)].sum() for t in batch.column("text").to_pylist()], float)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+        texts = pc.cast(batch.column("row").field("text"), pa.string()).to_pylist()
+        z = np.array([model.bias + model.weights[look(t, model.lengths)].sum() for t in texts], float)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["row", "score"])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs`` (doc_id, text, ...).
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_row: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``docs`` (doc_id, text, ...), and with
+    ``keep_row`` all its columns as ``row``.
 
     Null texts count as empty; an empty text gets the score of the intercept. Repeated rows are
     scored alike; other columns are ignored.
     """
-    found = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
-    return found.select("doc_id", F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    taken = docs if keep_row else docs.select("doc_id", "text")
+    out = StructType([StructField("row", taken.schema), StructField("score", DoubleType())])
+    rows = bounded_batches(taken).select(F.struct(*taken.columns).alias("row"))
+    found = rows.mapInArrow(lambda it: _score(it, model), out).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    kept = ["row"] if keep_row else []
+    return found.select("doc_id", *kept, F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,5 +1,7 @@
 """Cases that a shortened job would miss."""
 
+from pyspark.sql import functions as F
+
 
 def test_loose_personal_data_is_found(spark):
     from corpus_pipeline import redact_personal_data
@@ -99,3 +101,80 @@ def test_boilerplate_goes_in_large_hosts_too(spark):
     rows = [(i, "a", f"own{i} {words}" + ("\nthe same line" if i < 21 else "")) for i in range(2000)]
     got = {r.doc_id: r.n_words - r.n_left_words for r in line_quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got == {i: 3 if i < 21 else 0 for i in range(2000)}
+
+
+def test_rows_are_judged_each(spark, tmp_path):
+    import corpus_pipeline as P
+
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    bench = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [
+        (1, words(1), "a"), (1, words(1), "a"), (1, words(1) + " " + bench, "b"), (None, words(2), "c"), (None, words(2), "d"), (None, words(3) + " " + bench, "e"),
+        (7, words(4), "f"), (None, words(4), "g"), (8, None, "h"), (9, "", "i"), (None, None, "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"kept": F.lit(1), "at": F.lit(2), "score": F.lit(3)})
+    tags = lambda df: sorted(r.row for r in df.collect())
+    assert tags(P.drop_contaminated(spark, docs, str(tmp_path))) == list("aacdfghij")
+    assert tags(P.drop_toxic(spark, docs, str(tmp_path))) == list("aabcdefghij")
+    got = P.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and "".join(tags(got)) in ("acefhij", "adefhij")
+    assert P.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+    docs.select("doc_id", "text").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_labels_of_documents_that_are_not_there(spark):
+    from swatchwork.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = spark.createDataFrame([(i, f"bad words here {i}") for i in range(40)] + [(99, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(10)] + [(1000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    scores = [r.score for r in score_toxicity(docs, train_toxicity(docs, labels)).collect()]
+    assert len(set(scores)) == 1 and 0.5 < scores[0] < 0.99
+
+
+def test_prefix_table_answers_any_budget(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from swatchwork.llm.tokencount import CountParams, prefix_cuts, prefix_table, prefix_tokens
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {1: "the cat sat on the mat, \u6f22\u5b57 and more", 2: "", 3: None, 4: "ing " * 9}
+    table = prefix_table(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, CountParams(block=7))
+    for limit in (0, 2, 5, 100):
+        got = {r.doc_id: r.cut_chars for r in prefix_cuts(table, limit).collect()}
+        assert got == {i: max(k for k in range(len(t or "") + 1) if len(lib.encode((t or "")[:k])) <= limit) for i, t in texts.items()}
+    got = {r.doc_id: r.n_tokens for r in prefix_tokens(table, F.lit(9)).collect()}
+    assert got == {i: len(lib.encode(t[:9])) for i, t in texts.items() if len(t or "") >= 9}
+
+
+def test_lines_over_the_limit_leave_the_text(spark):
+    from swatchwork.llm.linequality import without_frequent_lines
+
+    rows = [(i, f"own {i}\n\nThe  Menu\nend {i}", "a") for i in range(25)] + [(100, "the menu\nthe menu", "b"), (101, None, "a"), (None, "the menu", "a")]
+    got = {r.doc_id: r.text for r in without_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: f"own {i}\n\nend {i}" for i in range(25)} | {100: "the menu\nthe menu", 101: None, None: ""}
+
+
+def test_long_texts_of_personal_data(spark):
+    """Joined spans, places over several chunks and blocks, and time in proportion to the text."""
+    import time
+
+    from corpus_pipeline import redact_personal_data
+    from swatchwork.llm.pii import personal_data, span_strings
+    from tests.llm import brute
+
+    one = "\u00e9 bob.roe@mail1.example.com, 10.0.0.3 +1 229 555 4838; "
+    rows = [(1, one * 6000), (2, one * 300), (3, "+4111 1111 1111 1111 and +49 30 1234 5678")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    began = time.time()
+    for r in span_strings(personal_data(docs)).collect():
+        assert ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) == brute.pii_base(dict(rows)[r.doc_id])
+    clean = {r.doc_id: r.text for r in redact_personal_data(spark, docs, "").collect()}
+    assert time.time() - began < 120
+    line = "\u00e9 [EMAIL], [IP] [PHONE]; "
+    assert clean[1] == line * 6000 and clean[2] == line * 300
+    assert not any(c.isdigit() for c in clean[3])
