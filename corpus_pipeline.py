@@ -14,38 +14,66 @@ from swatchwork.llm.toxicity import score_toxicity, train_toxicity
 from swatchwork.runtime import small_enough, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``rejected``; its ids are counted before they may be
-    broadcast, and joined by a shuffle when there are too many."""
-    ids = written(rejected.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if small_enough(ids.count(), 16) else ids, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not in the written one-column frame ``ids``, which is broadcast
+    only when its counted size allows it."""
+    return docs.join(F.broadcast(ids) if small_enough(ids.count(), 16) else ids, key, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out every document that the classifier calls toxic."""
+    """Leave out every row that the classifier calls toxic.
+
+    Rows are judged by their own text, also those with a null or repeated doc_id; a null or empty
+    text gets the score of the intercept. An empty table stays empty.
+    """
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, score_toxicity(docs, model).filter("predicted = 1"))
+    return score_toxicity(docs, model, keep_row=True).filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).filter("not kept"))
+    """Keep the row with the smallest doc_id of each group of near duplicates.
+
+    A row without an id takes part under one made from its text, above all others, and keeps its
+    null. Of rows with one id, one stays: that with the smallest text. Null and empty texts, and
+    texts without words, are like no other and stay. An empty table stays empty.
+    """
+    no_id = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), no_id))
+    found = written(near_duplicates(named.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "kept"))
+    kept = _without(named, "_key", written(found.filter("not kept").select("_key").distinct()))
+    again = written(found.filter("kept").groupBy("_key").count().filter("count > 1").select("_key"))
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    first = F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(first.alias("row")).select("row.*")
+    return _without(kept, "_key", again).select(docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out every document that holds a window of a benchmark item."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
+    """Leave out every row that holds a window of a benchmark item.
+
+    Rows are judged by their own text, also those with a null or repeated doc_id; null and empty
+    texts hold none and stay. An empty table stays empty.
+    """
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_row=True).filter("not contaminated").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind; ``n_chars`` follows the text."""
+    """Replace personal data in the texts by its kind; ``n_chars`` follows the text.
+
+    Every row stays, repeated ones and those without an id too; a null text stays null.
+    """
     found = redacted(personal_data(docs, keep_row=True), "row.text")
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences of 4096 tokens."""
+    """Token pieces of all documents, packed into sequences of 4096 tokens.
+
+    A null or empty text is the end id alone; repeated rows are packed each, and a null doc_id stays
+    null. An empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
