@@ -40,11 +40,11 @@ def bbox_edges(el: DataFrame, reach: float = 12.0) -> DataFrame:
 
 def overlap_families(el: DataFrame) -> DataFrame:
     """Elements with the smallest element of their family of overlapping boxes."""
-    node = lambda c: F.col("doc_id") * 100_000 + F.col(c)
+    node = lambda c: F.struct(F.col("doc_id"), F.col(c).alias("idx"))
     pairs = near_pairs(el, 0.0).filter(box_gap("", "o_") == 0).select(node("idx").alias("src"), node("o_idx").alias("dst"))
     found = connected_components(pairs)
     rows = el.select("doc_id", "idx", node("idx").alias("node"))
-    return rows.join(found, "node", "left").select("doc_id", "idx", F.coalesce(F.col("component") % 100_000, F.col("idx")).cast("int").alias("family"))
+    return rows.join(found, "node", "left").select("doc_id", "idx", F.coalesce(F.col("component.idx"), F.col("idx")).cast("int").alias("family"))
 
 
 def order_inversions(el: DataFrame, placed: DataFrame) -> DataFrame:

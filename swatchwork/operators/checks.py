@@ -13,8 +13,8 @@ from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_run
 from swatchwork.runtime import written
 
 #: Places that are not drawn, and attributes that make a split unsafe.
-HIDDEN_PLACES = ("clipPath", "defs", "marker", "mask", "pattern", "symbol")
-UNSAFE_ATTRIBUTES = ("clip-path", "filter", "marker-end", "marker-mid", "marker-start", "mask", "transform")
+HIDDEN_PLACES = ("clipPath", "defs", "filter", "linearGradient", "marker", "mask", "pattern", "radialGradient", "symbol")
+UNSAFE_ATTRIBUTES = ("clip-path", "filter", "isolation", "marker-end", "marker-mid", "marker-start", "mask", "mix-blend-mode", "pathLength", "transform")
 #: Reasons of groups that hold one object, and of decorations, by kind.
 OBJECT_REASONS = ("cross-paint-overlap", "cross-paint-overlay", "fragment-proximity", "matching-bounds")
 DECORATIONS = {"halftone": ("repeated-dot-proximity", "declared-halftone-role"), "parallel-lines": ("parallel-stroke-proximity", "declared-parallel-line-role")}

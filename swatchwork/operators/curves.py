@@ -146,14 +146,14 @@ def chained_distance_filter(pts: DataFrame, least: float) -> DataFrame:
     return pts.groupBy("curve_id").agg(p.alias("p")).select("curve_id", F.explode(F.aggregate("p", none, keep)).alias("q")).select("curve_id", "q.seq", "q.x", "q.y")
 
 
-def simplify(pts: DataFrame, eps: float, rounds: int = 40) -> DataFrame:
+def simplify(pts: DataFrame, eps: float) -> DataFrame:
     """Douglas-Peucker for all curves at once: each round splits every open segment at its farthest
-    point beyond ``eps``. Ties go to the earliest point."""
+    point beyond ``eps``, until none has one. Ties go to the earliest point."""
     ends = written(pts.groupBy("curve_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b")))
     kept = ends.select("curve_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("seq"))
     open_ = ends.filter("b > a + 1")
     p = lambda n: pts.select("curve_id", F.col("seq").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
-    for _ in range(rounds):
+    while True:  # each round keeps at least one more point of a curve
         seg = open_.join(p("a"), ["curve_id", "a"]).join(p("b"), ["curve_id", "b"])
         dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
         size = F.sqrt(dx * dx + dy * dy)

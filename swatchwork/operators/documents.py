@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchwork.runtime import written
+
 from swatchwork.functions.svg import NUMBER, solid_paint, style_value
 
 #: Numbers that one repetition of a path command takes.
@@ -160,11 +162,25 @@ def unsafe_markup(pages: DataFrame) -> DataFrame:
 
 
 def plan_names(files: DataFrame) -> DataFrame:
-    """Output names from (file_id, stem, ext): the stem where it is unique (whatever the case), else
-    with its ending, else numbered too."""
+    """Output names from (file_id, stem, ext), unique whatever the case: the stem where no other file
+    has it, else with its ending, else numbered too. Where that meets a name given before, the number
+    goes up until it is free; such rows are few, and each round joins only them with the names."""
     low, both = F.lower("stem"), F.lower(F.concat_ws("_", "stem", "ext"))
     alone = F.count(F.lit(1)).over(Window.partitionBy(low)) == 1
     pair = F.count(F.lit(1)).over(Window.partitionBy(both))
     place = F.row_number().over(Window.partitionBy(both).orderBy("file_id"))
-    name = F.concat_ws("_", "stem", "ext")
-    return files.select("file_id", F.when(alone, F.col("stem")).when((pair == 1) | (place == 1), name).otherwise(F.concat_ws("_", name, place.cast("string"))).alias("name"))
+    base, first = F.concat_ws("_", "stem", "ext"), (pair == 1) | (place == 1)
+    number = F.when(~alone & ~first, place).cast("int")
+    left = written(files.select("file_id", F.when(alone, F.col("stem")).otherwise(base).alias("base"), number.alias("n"), alone.alias("alone")))
+    show = lambda: F.when(F.col("n").isNull(), F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))
+    done = None
+    while True:
+        tried = left.withColumn("name", show()).withColumn("key", F.lower("name"))
+        free = tried if done is None else tried.join(done.select("key"), "key", "left_anti")
+        order = Window.partitionBy("key").orderBy(F.desc("alone"), F.col("n").isNotNull(), "n", "file_id")
+        given = written(free.withColumn("at", F.row_number().over(order)).filter("at = 1").select("file_id", "name", "key"))
+        done = given if done is None else done.unionByName(given)
+        left = written(left.join(given.select("file_id"), "file_id", "left_anti").withColumn("n", F.coalesce(F.col("n"), F.lit(1)) + 1).withColumn("alone", F.lit(False)))
+        if left.isEmpty():
+            return done.select("file_id", "name")
+

@@ -4,39 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchwork.runtime import written
 
 
-def _join_rest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of the few edges that are left, in one task."""
-    top: dict[int, int] = {}
+def _join_rest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the few edges that are left, in one task. A node that is a struct counts as the
+    tuple of its fields."""
+    top: dict = {}
+    kind = None
 
-    def find(x: int) -> int:
+    def find(x):
         while top.setdefault(x, x) != x:
             top[x] = top[top[x]]
             x = top[x]
         return x
 
+    plain = lambda v: tuple(v.values()) if isinstance(v, dict) else v
     for rows in parts:
-        for a, b in zip(rows["lo"], rows["hi"]):
-            x, y = find(a), find(b)
+        kind = rows.schema.field("lo").type
+        for a, b in zip(rows.column("lo").to_pylist(), rows.column("hi").to_pylist()):
+            x, y = find(plain(a)), find(plain(b))
             top[max(x, y)] = min(x, y)
-    yield pd.DataFrame([(x, find(x)) for x in list(top)], columns=["component", "up"])
+    if top:
+        back = (lambda v: dict(zip((f.name for f in kind), v))) if pa.types.is_struct(kind) else lambda v: v
+        yield pa.RecordBatch.from_arrays([pa.array([back(x) for x in top], kind), pa.array([back(find(x)) for x in list(top)], kind)], ["component", "up"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_rows: int = 20_000) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table; component is the smallest
-    node that can be reached.
+    node that can be reached. Nodes are of any type with an order, structs such as (doc_id, y, x) too.
 
     Each round every node hooks on to its smallest neighbour (a plain ``min``, combined before the
-    shuffle, so a hub costs no more than its edges), edges are renamed and equal ones merged. The
+    shuffle; a hub's edges that meet in one partition of the later joins are split by Spark's adaptive
+    skew join), edges are renamed and equal ones merged. The
     edge table at least halves its nodes each round, and each round's hooks and edges are written
     to the shared folder; the labels follow them by one join a round. Once no more than
-    ``last_rows`` edges are left (a fixed bound, 16 bytes each), one task joins them. Null ends are ignored; an empty table gives an empty result.
+    ``last_rows`` edges are left (a fixed bound, whatever the input), one task joins them, which saves
+    the last rounds of jobs over next to nothing. Null ends are ignored; an empty table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
     links = written(edges.filter(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
@@ -48,7 +56,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             if not left:
                 return labels
             kind = dict(live.dtypes)["lo"]
-            hooks = live.repartition(1).mapInPandas(_join_rest, f"component {kind}, up {kind}")
+            hooks = live.repartition(1).mapInArrow(_join_rest, f"component {kind}, up {kind}")
             return labels.join(hooks, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         hooks = (
             live.select(F.explode(F.array(F.struct(F.col("hi").alias("component"), F.col("lo").alias("up")), F.struct(F.col("lo").alias("component"), F.col("lo").alias("up")))).alias("e"))

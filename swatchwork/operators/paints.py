@@ -40,13 +40,13 @@ def oklch_to_hex(lightness: Column, chroma: Column, hue: Column, steps: int = 24
     return F.concat(F.lit("#"), *(byte(v) for v in linear(F.when(fits(chroma), chroma).otherwise(found))))
 
 
-def hue_clusters(colours: DataFrame, limit: float = 42.0, rounds: int = 40) -> DataFrame:
+def hue_clusters(colours: DataFrame, limit: float = 42.0) -> DataFrame:
     """Chromatic colours of each document in hue families: in every round the pair of families with
     the smallest joint radius (largest distance of a member from the mean hue, at most ``limit``)
-    becomes one. All documents work in the same joins; a family is named by its smallest colour."""
+    becomes one, until no pair is near. All documents work in the same joins; a family is named by its smallest colour."""
     now = written(colours.filter("chroma >= 0.035").select("doc_id", "paint", "uses", "hue", F.col("paint").alias("family")))
     around = lambda a, b: F.abs(F.pmod(a - b + 180, F.lit(360.0)) - 180)
-    for _ in range(rounds):
+    while True:  # each round takes one family of a document
         weight = F.col("uses").cast("double")
         g = now.groupBy("doc_id", "family").agg(F.sum(weight * F.sin(F.radians("hue"))).alias("s"), F.sum(weight * F.cos(F.radians("hue"))).alias("c"), F.collect_list("hue").alias("hues"))
         o = g.select("doc_id", *(F.col(x).alias(f"o_{x}") for x in ("family", "s", "c", "hues")))

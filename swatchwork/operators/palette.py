@@ -35,10 +35,12 @@ def distance2(a: str, b: str) -> Column:
 
 
 def nearest_label(hist: DataFrame, pal: DataFrame) -> DataFrame:
-    """Palette index of each colour: least squared distance, lowest index of equals."""
-    p = pal.select("doc_id", "k", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
-    best = F.min(F.struct(distance2("", "p_").alias("d2"), F.col("k"), F.col("p_r"), F.col("p_g"), F.col("p_b")))
-    return hist.join(p, "doc_id").groupBy(*COLOUR, "w").agg(best.alias("best")).select(*COLOUR, "w", F.col("best.k").alias("k"), F.col("best.d2").alias("d2"), "best.p_r", "best.p_g", "best.p_b")
+    """Palette index of each colour: least squared distance, lowest index of equals. A document's
+    palette comes as one array, so that colours are not copied for each of its entries."""
+    p = pal.groupBy("doc_id").agg(F.collect_list(F.struct("k", *(F.col(c).alias(f"p_{c}") for c in "rgb"))).alias("pal"))
+    gap = lambda q: sum((F.pow(F.col(c) - q[f"p_{c}"], 2) for c in "rgb"), F.lit(0.0))
+    best = F.array_min(F.transform("pal", lambda q: F.struct(gap(q).alias("d2"), q["k"].alias("k"), q["p_r"].alias("p_r"), q["p_g"].alias("p_g"), q["p_b"].alias("p_b"))))
+    return hist.join(p, "doc_id").select(*COLOUR, "w", best.alias("best")).select(*COLOUR, "w", F.col("best.k").alias("k"), F.col("best.d2").alias("d2"), "best.p_r", "best.p_g", "best.p_b")
 
 
 def snap_to_palette(hist: DataFrame, pal: DataFrame, radius: float = 48.0) -> DataFrame:
@@ -61,10 +63,11 @@ def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, key: s
 
 def palette_fit(labelled: DataFrame) -> DataFrame:
     """Mean, 90th and 95th percentile of the colour error, and the share above 25."""
-    e = labelled.select("doc_id", F.sqrt("d2").alias("e"), "w")
-    mean = e.groupBy("doc_id").agg(F.round(F.sum(F.col("e") * F.col("w")) / F.sum("w"), 3).alias("mean"), F.round(F.sum(F.when(F.col("e") > 25, F.col("w")).otherwise(0)) / F.sum("w"), 4).alias("over_25_share"))
-    p = lambda q: weighted_quantile(e, "e", "w", q).select("doc_id", F.round("value", 3).alias(f"p{round(100 * q)}"))
-    return mean.join(p(0.9), "doc_id").join(p(0.95), "doc_id")
+    flat = labelled.groupBy("doc_id", F.sqrt("d2").alias("e")).agg(F.sum("w").alias("w"))
+    run, total = F.sum("w").over(Window.partitionBy("doc_id").orderBy("e")), F.sum("w").over(Window.partitionBy("doc_id"))
+    at = lambda q: F.round(F.min(F.when(F.col("run") >= q * F.col("total"), F.col("e"))), 3).alias(f"p{round(100 * q)}")
+    over = F.sum(F.when(F.col("e") > 25, F.col("w")).otherwise(0)) / F.sum("w")
+    return flat.withColumn("run", run).withColumn("total", total).groupBy("doc_id").agg(F.round(F.sum(F.col("e") * F.col("w")) / F.sum("w"), 3).alias("mean"), F.round(over, 4).alias("over_25_share"), at(0.9), at(0.95))
 
 
 def color_name(r: Column, g: Column, b: Column) -> Column:
@@ -108,11 +111,12 @@ def kmeans_seed(hist: DataFrame, k: int) -> DataFrame:
     return written(seeds)
 
 
-def weighted_kmeans(hist: DataFrame, k: int, rounds: int = 30, still: float = 0.3) -> DataFrame:
+def weighted_kmeans(hist: DataFrame, k: int, rounds: int = 30, still: float = 0.3, seeds: DataFrame | None = None) -> DataFrame:
     """Weighted k-means of every document's colours at once; documents that moved no more than
     ``still`` and reseeded nothing are done, and the loop ends when all are. An empty centre goes to
-    the colour of largest weighted error (the first by colour of equals)."""
-    now = kmeans_seed(hist, k).withColumn("done", F.lit(False))
+    the colour of largest weighted error (the first by colour of equals). ``rounds``: the bound that
+    belongs to the method; ``seeds``: first centres instead of the usual ``k``."""
+    now = (kmeans_seed(hist, k) if seeds is None else seeds).withColumn("done", F.lit(False))
     for _ in range(rounds):
         lab = nearest_label(hist, now.filter("NOT done").select("doc_id", "k", "r", "g", "b"))
         mean = lab.groupBy("doc_id", "k").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"n_{c}") for c in "rgb"))
@@ -165,6 +169,67 @@ def prune_blends(pal: DataFrame, shares: DataFrame, small: float = 0.035, near:
     return t.withColumn("gap", gap).filter(F.col("gap") < near).groupBy("doc_id", "k").agg(F.round(F.min("gap"), 6).alias("gap"), F.first("share").alias("share"))
 
 
+def pruned(pal: DataFrame, hist: DataFrame, small: float = 0.035, near: float = 28.0) -> DataFrame:
+    """The palette without its blends: each round drops the smallest one of a document (see
+    ``prune_blends``), shares are counted again, and two colours always stay. Runs until no document
+    has a blend left; each round takes one colour, so the palette's size bounds the rounds."""
+    now = written(pal.select("doc_id", "k", "r", "g", "b"))
+    while True:
+        open_ = now.join(now.groupBy("doc_id").count().filter("count > 2").select("doc_id"), "doc_id", "left_semi")
+        counted = cluster_shares(nearest_label(hist, open_))
+        shares = open_.join(counted.select("doc_id", "k", "share"), ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("share", F.lit(0.0)).alias("share"))
+        drop = written(prune_blends(open_, shares, small, near).groupBy("doc_id").agg(F.min(F.struct("share", "k")).alias("m")).select("doc_id", F.col("m.k").alias("k")))
+        if drop.isEmpty():
+            return now
+        now = written(now.join(drop, ["doc_id", "k"], "left_anti"))
+
+
+def choose_palette(hist: DataFrame, most: int = 8, forced: int | None = None) -> DataFrame:
+    """``doc_id, mode, base_colors, k, r, g, b, mean, p90``: the palette of every document.
+
+    ``forced``: that many centres as they are. Otherwise ``most`` centres, merged and pruned, are the
+    compact palette. Where both its mean and its 90th percentile of error are high, palettes of 12,
+    16 and 20 centres are fitted for all such documents at once; they are tried in this order, one
+    replaces the best so far on a material gain, and the first that meets the target ends the search.
+    """
+    whole = lambda pal: pal.select("doc_id", "k", *(F.greatest(F.lit(0), F.least(F.lit(255), F.bround(c).cast("int"))).alias(c) for c in "rgb"))
+    if forced is not None and forced >= 2:
+        pal = written(weighted_kmeans(hist, forced))
+        size = pal.groupBy("doc_id").agg(F.count(F.lit(1)).alias("base_colors"))
+        return whole(pal).join(size, "doc_id").join(palette_fit(nearest_label(hist, pal)), "doc_id").select("doc_id", F.lit("forced").alias("mode"), "base_colors", "k", "r", "g", "b", "mean", "p90")
+    base = pruned(merge_close(weighted_kmeans(hist, most), hist, 45.0), hist)
+    fit = palette_fit(nearest_label(hist, base)).select("doc_id", "mean", "p90")
+    size = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("base_colors"))
+    n = hist.groupBy("doc_id").agg(F.count(F.lit(1)).alias("colours"))
+    known = written(fit.join(size, "doc_id").join(n, "doc_id"))
+    poor = known.filter((F.col("colours") > F.col("base_colors")) & (F.col("mean") > 13.0) & (F.col("p90") > 25.0) & F.lit(most >= 8)).select("doc_id")
+    # A key of document and size, so that all sizes run in the same joins.
+    keyed = lambda df, sizes: df.join(poor, "doc_id").withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("doc_id", F.struct("doc_id", "size")).drop("size")
+    sizes = (12, 16, 20)
+    seeds = keyed(kmeans_seed(hist.join(poor, "doc_id", "left_semi"), sizes[-1]), sizes).filter("k < doc_id.size")
+    rich_hist = written(keyed(hist, sizes))
+    rich = pruned(merge_close(weighted_kmeans(rich_hist, sizes[-1], seeds=seeds), rich_hist, 10.0), rich_hist, 0.0015, 6.0)
+    rich_fit = palette_fit(nearest_label(rich_hist, rich))
+    tries = rich_fit.select("doc_id.doc_id", F.struct("doc_id.size", "mean", "p90").alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("tries"))
+
+    def step(best: Column, t: Column) -> Column:
+        gain = (t["mean"] <= best["mean"] - 1.0) | (t["p90"] <= best["p90"] - 2.0)
+        material = gain & (t["mean"] <= best["mean"] + 0.25) & (t["p90"] <= best["p90"] + 0.5)
+        met = (t["mean"] <= 13.0) & (t["p90"] <= 25.0)
+        taken = ~best["met"] & (material | met)
+        field = lambda c: F.when(taken, t[c]).otherwise(best[c]).alias(c)
+        return F.struct(field("size"), field("mean"), field("p90"), (best["met"] | met).alias("met"))
+
+    start = F.struct(F.lit(0).alias("size"), F.col("mean"), F.col("p90"), F.lit(False).alias("met"))
+    none = F.array().cast("array<struct<size:int,mean:double,p90:double>>")
+    best = known.join(tries, "doc_id", "left").withColumn("best", F.aggregate(F.coalesce("tries", none), start, step)).select("doc_id", "base_colors", "best.size", "best.mean", "best.p90")
+    every = whole(base).withColumn("size", F.lit(0)).unionByName(whole(rich).select(F.col("doc_id.doc_id").alias("doc_id"), "k", "r", "g", "b", F.col("doc_id.size").alias("size")))
+    chosen = every.join(best, ["doc_id", "size"])
+    count = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1
+    return chosen.select("doc_id", F.when(count > F.col("base_colors"), "adaptive").otherwise("compact").alias("mode"), "base_colors", place.alias("k"), "r", "g", "b", "mean", "p90")
+
+
 def lost_colors(hist: DataFrame, pal: DataFrame, emitted: DataFrame, share: float = 0.01, radius: float = 75.0) -> DataFrame:
     """Palette colours of at least ``share`` of the weight that no emitted colour comes near."""
     heavy = cluster_shares(nearest_label(hist, pal)).filter(F.col("share") >= share).join(pal, ["doc_id", "k"])

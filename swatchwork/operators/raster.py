@@ -79,8 +79,8 @@ def row_runs(mask: DataFrame) -> DataFrame:
 
 
 def _run_id() -> Column:
-    """One number a run, in raster order within its document (16 bits each for row and column)."""
-    return (F.col("doc_id") * (1 << 32) + F.col("y") * (1 << 16) + F.col("x0")).cast("long")
+    """Key of a run, in raster order within its document, for ids and canvases of any size."""
+    return F.struct("doc_id", "y", "x0")
 
 
 def component_runs(mask: DataFrame, reach: int = 1) -> DataFrame:

@@ -37,10 +37,10 @@ def palette_image(px: DataFrame, labels: DataFrame, pal: DataFrame) -> DataFrame
 
 def merge_bands(adjacency: DataFrame, contacts: int = 40, smooth: float = 0.55) -> DataFrame:
     """Regions (doc_id, lo, hi) joined over long smooth contacts, with their smallest label."""
-    node = lambda c: F.col("doc_id") * 100_000 + F.col(c)
+    node = lambda c: F.struct(F.col("doc_id"), F.col(c).alias("label"))
     edges = adjacency.filter((F.col("contacts") >= contacts) & (F.col("smooth") >= smooth)).select(node("lo").alias("src"), node("hi").alias("dst"))
     found = connected_components(edges)
-    return found.select(F.floor(F.col("node") / 100_000).alias("doc_id"), (F.col("node") % 100_000).alias("label"), (F.col("component") % 100_000).alias("region"))
+    return found.select("node.doc_id", "node.label", F.col("component.label").alias("region"))
 
 
 def ramp_stops(px: DataFrame, stops: int = 5) -> DataFrame:
