@@ -102,3 +102,42 @@ def box_iou(a: str, b: str) -> Column:
     size = lambda p: box_area(c(p, "x0"), c(p, "y0"), c(p, "x1"), c(p, "y1"))
     total = size(a) + size(b) - both
     return F.when(total > 0, both / total).otherwise(0.0)
+
+
+def format_color(hexed: Column, original: Column) -> Column:
+    """``#rrggbb`` in the notation of ``original``: ``rgba()`` and ``rgb()`` stay calls, and the text of
+    an alpha is kept as it was written."""
+    t = F.trim(F.regexp_replace(original, "(?i)!important", ""))
+    level = lambda k: F.conv(F.substring(hexed, k, 2), 16, 10)
+    tones = F.concat_ws(",", level(2), level(4), level(6))
+    alpha = F.regexp_extract(t, r"(?i)^rgba\([^,/]*[\s,]+[^,/]*[\s,]+[^,/]*[,/]\s*([0-9.]+%?)\s*\)$", 1)
+    short = F.regexp_extract(t, "^#[0-9A-Fa-f]{3}([0-9A-Fa-f])$", 1)
+    long = F.regexp_extract(t, "^#[0-9A-Fa-f]{6}([0-9A-Fa-f]{2})$", 1)
+    call = F.when(alpha == "", "1").otherwise(alpha)
+    return (
+        F.when(t.rlike(r"(?i)^rgba\("), F.concat(F.lit("rgba("), tones, F.lit(","), call, F.lit(")")))
+        .when(t.rlike(r"(?i)^rgb\("), F.concat(F.lit("rgb("), tones, F.lit(")"))).otherwise(F.concat(hexed, short, short, long))
+    )
+
+
+def viewbox_scale(box: dict[str, Column], view_box: Column, width: Column, height: Column) -> Column:
+    """A pixel box (x0, y0, x1, y1) of a canvas in the units of a view box of two or four numbers, as
+    struct; without a view box in pixels, and null for one of another size."""
+    n = F.size(view_box)
+    at = lambda k: F.get(view_box, F.lit(k)).cast("double")
+    left = F.when(n == 4, at(0)).otherwise(0.0)
+    top = F.when(n == 4, at(1)).otherwise(0.0)
+    wide = F.when(n == 4, at(2)).when(n == 2, at(0)).otherwise(width.cast("double"))
+    high = F.when(n == 4, at(3)).when(n == 2, at(1)).otherwise(height.cast("double"))
+    x = lambda c: left + box[c] * wide / width
+    y = lambda c: top + box[c] * high / height
+    scaled = F.struct(x("x0").alias("x0"), y("y0").alias("y0"), x("x1").alias("x1"), y("y1").alias("y1"))
+    return F.when(view_box.isNull() | n.isin(2, 4), scaled)
+
+
+def is_stable_self_rotation(tag: Column, transform: Column, cx: Column, cy: Column) -> Column:
+    """Whether an element is a circle whose only transform rotates it about its own centre."""
+    call = rf"^\s*rotate\(\s*({NUMBER})[\s,]+({NUMBER})[\s,]+({NUMBER})\s*\)\s*$"
+    part = lambda k: F.regexp_extract(transform, call, k).try_cast("double")
+    near = 1e-5 * F.greatest(F.lit(1.0), F.abs(cx), F.abs(cy))
+    return F.coalesce((tag == "circle") & (F.abs(part(2) - cx) <= near) & (F.abs(part(3) - cy) <= near), F.lit(False))

@@ -190,3 +190,17 @@ def dash_pattern(bins: DataFrame) -> DataFrame:
     new = F.when(F.col("on") == F.lag("on").over(w), 0).otherwise(1)
     runs = bins.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("curve_id", "run", "on").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("curve_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("run", "on", "n"))), lambda r: F.concat(F.when(r["on"], "+").otherwise("-"), r["n"].cast("string")))).alias("pattern"))
+
+
+def near_circle(pts: DataFrame, fit: DataFrame) -> DataFrame:
+    """``curve_id, cx, cy, radius`` of the fits (curve_id, cx, cy, radius) that may stand for the whole
+    curve: radius 3 at least, the centre within the bounds (a fifth of their size beyond them too),
+    all points near the circle, and no wide gap around it."""
+    d = F.abs(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)) - F.col("radius"))
+    centred = pts.join(fit.select("curve_id", "cx", "cy", "radius").filter("radius >= 3"), "curve_id").withColumn("d", d)
+    angle = F.pmod(F.degrees(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))), F.lit(360.0))
+    covered = coverage_gap(centred.select("curve_id", angle.alias("angle"))).filter("covered").select("curve_id")
+    g = centred.groupBy("curve_id", "cx", "cy", "radius").agg(F.max("d").alias("d"), *(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    within = lambda c: F.col(f"c{c}").between(F.col(f"lo_{c}") - 0.2 * (F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.col(f"hi_{c}") + 0.2 * (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
+    near = F.least(1.6 * F.greatest(0.02 * F.col("radius"), F.lit(0.9)), F.greatest(0.03 * F.col("radius"), F.lit(1.5)))
+    return g.filter(within("x") & within("y") & (F.col("d") <= near)).join(covered, "curve_id", "left_semi").select("curve_id", "cx", "cy", "radius")

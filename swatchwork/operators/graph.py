@@ -23,14 +23,20 @@ def _join_rest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = top[x]
         return x
 
-    plain = lambda v: tuple(v.values()) if isinstance(v, dict) else v
+    as_given: dict = {}
+
+    def plain(v):
+        key = tuple(map(plain, v.values())) if isinstance(v, dict) else v
+        as_given[key] = v
+        return key
+
     for rows in parts:
         kind = rows.schema.field("lo").type
         for a, b in zip(rows.column("lo").to_pylist(), rows.column("hi").to_pylist()):
             x, y = find(plain(a)), find(plain(b))
             top[max(x, y)] = min(x, y)
     if top:
-        back = (lambda v: dict(zip((f.name for f in kind), v))) if pa.types.is_struct(kind) else lambda v: v
+        back = as_given.__getitem__
         yield pa.RecordBatch.from_arrays([pa.array([back(x) for x in top], kind), pa.array([back(find(x)) for x in list(top)], kind)], ["component", "up"])
 
 

@@ -110,3 +110,40 @@ def preblend_opacity(r: Column, g: Column, b: Column, opacity: Column, paper: tu
     """The opaque colour that looks like a translucent one on plain paper, rounded half to even."""
     mix = lambda c, p: F.lower(F.lpad(F.hex(F.bround(c * opacity + p * (1 - opacity)).cast("int")), 2, "0"))
     return F.concat(F.lit("#"), *(mix(c, p) for c, p in zip((r, g, b), paper)))
+
+
+def paint_layers(layers: DataFrame, gradients: DataFrame) -> DataFrame:
+    """Stack layers (doc_id, pos, name, value) as solids and gradients: ``doc_id, pos, name, type,
+    value``, where a gradient's value is its id.
+
+    ``gradients``: doc_id, pos, id, stops (array of offset and color). A gradient layer is shown by the
+    colour of the gradient's middle stop; equal ones are dealt in order, and the first serves those
+    that are left over. Layers of other colours get the gradients of no layer, in order.
+    """
+    middle = F.array_min(F.transform("stops", lambda s: F.struct(F.abs(s["offset"] - 0.5).alias("away"), s["offset"].alias("offset"), F.lower(s["color"]).alias("color"))))["color"]
+    of = Window.partitionBy("doc_id", "value").orderBy("pos")
+    named = gradients.withColumn("value", middle).select("doc_id", "pos", "id", "value").withColumn("nth", F.row_number().over(of))
+    is_ramp = F.startswith(F.lower("name"), F.lit("gradient"))
+    low = layers.select("doc_id", "pos", "name", F.lower("value").alias("value"))
+    ramps = low.filter(is_ramp).withColumn("nth", F.row_number().over(of))
+    exact = named.select("doc_id", "value", "nth", F.col("id").alias("own"))
+    first = named.filter("nth = 1").select("doc_id", "value", F.col("id").alias("first"))
+    dealt = written(ramps.join(exact, ["doc_id", "value", "nth"], "left").join(first, ["doc_id", "value"], "left").select("doc_id", "pos", "name", F.coalesce("own", "first").alias("id")))
+    by_pos = Window.partitionBy("doc_id").orderBy("pos")
+    free = gradients.join(dealt.select("doc_id", "id").dropna().distinct(), ["doc_id", "id"], "left_anti").select("doc_id", F.row_number().over(by_pos).alias("nth"), F.col("id").alias("other"))
+    open_ = dealt.filter("id IS NULL").select("doc_id", "pos", F.row_number().over(by_pos).alias("nth")).join(free, ["doc_id", "nth"]).select("doc_id", "pos", "other")
+    found = dealt.join(open_, ["doc_id", "pos"], "left").select("doc_id", "pos", "name", F.lit("linearGradient").alias("type"), F.coalesce("id", "other", F.lit("")).alias("value"))
+    return low.filter(~is_ramp).select("doc_id", "pos", "name", F.lit("solid").alias("type"), "value").unionByName(found)
+
+
+def paint_resources(layers: DataFrame, gradients: DataFrame, strokes: DataFrame) -> DataFrame:
+    """Unique paints that a designer can recolour: ``doc_id, solid_paints, gradient_paints,
+    unique_paints_total``. Solids are the colours of layers that are no gradients, and of strokes
+    (doc_id, color); a gradient counts once however often it is used."""
+    solid = layers.filter(~F.startswith(F.lower("name"), F.lit("gradient"))).select("doc_id", F.lower("value").alias("hex"))
+    drawn = strokes.select("doc_id", F.lower("color").alias("hex")).filter(F.col("hex").rlike("^#[0-9a-f]{6}$"))
+    docs = layers.select("doc_id").unionByName(gradients.select("doc_id")).unionByName(strokes.select("doc_id")).distinct()
+    n_solid = solid.unionByName(drawn).groupBy("doc_id").agg(F.count_distinct("hex").alias("solid_paints"))
+    n_ramp = gradients.groupBy("doc_id").agg(F.count(F.lit(1)).alias("gradient_paints"))
+    both = docs.join(n_solid, "doc_id", "left").join(n_ramp, "doc_id", "left").na.fill(0)
+    return both.select("doc_id", "solid_paints", "gradient_paints", (F.col("solid_paints") + F.col("gradient_paints")).alias("unique_paints_total"))

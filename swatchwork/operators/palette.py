@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchwork.operators.raster import component_runs
 from swatchwork.runtime import written
 
 COLOUR = ["doc_id", "r", "g", "b"]
@@ -318,3 +319,48 @@ def farthest_colors(pal: DataFrame, n: int, least: int = 48) -> DataFrame:
         near = F.greatest(*(F.abs(F.col(c) - F.col(f"t_{c}")) for c in "rgb"))
         state = written(state.join(t, "doc_id").select("doc_id", "place", "r", "g", "b", F.least("gap", near).alias("gap")).filter("gap > 0"))
     return out
+
+
+def is_continuous_tone(mode: Column, colours: Column) -> Column:
+    """Whether a chosen palette tells of continuous tone, so that work on lines a colour is left out."""
+    return F.coalesce((mode == "adaptive") & (colours >= 12), F.lit(False))
+
+
+def retain_accents(px: DataFrame, initial: DataFrame, pal: DataFrame, most: int = 2, gain: float = 8.0, area: int = 128, share: float = 0.002) -> DataFrame:
+    """Colours of ``initial`` that ``pal`` lost and that win back coherent areas, at most ``most`` a
+    document: ``doc_id, k, r, g, b, assigned_pixels, strong_pixels, mean_gain, total_gain``.
+
+    A colour at 8 or more from the palette competes for the pixels; each goes to the colour of largest
+    gain in error. Components of its pixels with ``area`` strong ones (gain of ``gain``) count, and
+    together they need ``area`` and ``share`` of the visible pixels. Ranked by the gain of all strong
+    pixels; a colour nearer than 8 to one taken before is left out.
+    """
+    hist = written(color_histogram(px))
+    p = pal.select("doc_id", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
+    close = initial.join(p, "doc_id").filter(distance2("", "p_") < 64).select("doc_id", "k").distinct()
+    lost = written(initial.join(close, ["doc_id", "k"], "left_anti").select("doc_id", "k", *(F.col(c).cast("double").alias(c) for c in "rgb")))
+    now = nearest_label(hist, pal).select(*COLOUR, "w", F.sqrt("d2").alias("now"))
+    won = nearest_label(hist, lost).select(*COLOUR, "k", F.sqrt("d2").alias("then"))
+    best = written(now.join(won, COLOUR).select(*COLOUR, "w", "k", (F.col("now") - F.col("then")).alias("gain")).filter("gain > 0"))
+    total = hist.groupBy("doc_id").agg(F.sum("w").alias("visible"))
+    least = F.greatest(F.lit(area), F.ceil(F.lit(share) * F.col("visible")))
+    strong = F.col("gain") >= gain
+    rough = best.filter(strong).groupBy("doc_id", "k").agg(F.sum(F.col("gain") * F.col("w")).alias("rough"), F.sum("w").alias("n")).join(total, "doc_id").filter(F.col("n") >= least)
+    rough = written(rough.select("doc_id", "k", "rough", "n", least.alias("least")))
+    # Components of each colour's pixels: a document of their own.
+    own = px.filter("a > 0").join(best.join(rough.select("doc_id", "k"), ["doc_id", "k"], "left_semi").drop("w"), COLOUR).select(F.struct("doc_id", "k").alias("doc_id"), "y", "x", "gain")
+    own = written(own)
+    runs = component_runs(own.select("doc_id", "y", "x"))
+    held = own.join(runs, ["doc_id", "y"]).filter("x BETWEEN x0 AND x1")
+    parts = held.groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(strong).alias("strong"), F.sum("gain").alias("gain")).filter(F.col("strong") >= area)
+    sums = parts.groupBy("doc_id.doc_id", "doc_id.k").agg(F.sum("pixels").alias("assigned_pixels"), F.sum("strong").alias("strong_pixels"), F.sum("gain").alias("total"))
+    left = sums.join(rough, ["doc_id", "k"]).filter("strong_pixels >= least").join(lost, ["doc_id", "k"])
+    left = written(left.select("doc_id", "k", "r", "g", "b", "assigned_pixels", "strong_pixels", F.round(F.col("total") / F.col("assigned_pixels"), 3).alias("mean_gain"), F.round("total", 3).alias("total_gain"), "rough", "n"))
+    out = None
+    for _ in range(most):
+        first = Window.partitionBy("doc_id").orderBy(F.desc("rough"), F.desc("n"), F.desc("k"))
+        pick = written(left.withColumn("at", F.row_number().over(first)).filter("at = 1").drop("at"))
+        out = pick if out is None else out.unionByName(pick)
+        t = pick.select("doc_id", *(F.col(c).alias(f"t_{c}") for c in "rgb"))
+        left = written(left.join(t, "doc_id").filter(distance2("", "t_") >= 64).drop("t_r", "t_g", "t_b"))
+    return out.drop("rough", "n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchwork.runtime import written
+
 METRICS = ("foreground", "color_fidelity", "detail_p10", "detail_mean", "topology_p10", "light_coverage")
 
 
@@ -154,3 +157,16 @@ def blind_verdicts(answers: DataFrame) -> DataFrame:
 
 def reason_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.groupBy(F.col(reason).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def validated(before: DataFrame, after: DataFrame, check: Callable[[DataFrame, DataFrame], DataFrame], stage: str) -> DataFrame:
+    """Verdict of a caller's check ``(before, after) -> (doc_id, accepted, reason)`` for every document
+    of ``before``: ``doc_id, stage, accepted, reason``. It fails closed: a document without a verdict,
+    with a null one, or any document when the check raises, is rejected."""
+    docs = before.select("doc_id").distinct()
+    try:
+        found = written(check(before, after).select("doc_id", F.col("accepted").cast("boolean").alias("accepted"), F.col("reason").cast("string").alias("reason")))
+    except Exception as error:  # whatever the caller's code raises
+        return docs.select("doc_id", F.lit(stage).alias("stage"), F.lit(False).alias("accepted"), F.lit(f"validator_error: {type(error).__name__}").alias("reason"))
+    one = found.groupBy("doc_id").agg(F.bool_and(F.coalesce("accepted", F.lit(False))).alias("accepted"), F.min("reason").alias("reason"))
+    return docs.join(one, "doc_id", "left").select("doc_id", F.lit(stage).alias("stage"), F.coalesce("accepted", F.lit(False)).alias("accepted"), F.when(F.col("accepted").isNull(), "no_verdict").otherwise(F.col("reason")).alias("reason"))

@@ -109,3 +109,43 @@ def failures_after(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.distinct().withColumn("was", F.lit(1)), after.distinct().withColumn("is_now", F.lit(1))
     both = b.join(a, ["doc_id", "part"], "full")
     return both.groupBy("doc_id").agg(F.count_if(F.col("was").isNotNull() & F.col("is_now").isNotNull()).alias("unresolved"), F.count_if(F.col("was").isNull()).alias("new_failures"), F.count_if(F.col("is_now").isNull()).alias("fixed"))
+
+
+def ramp_gate(px: DataFrame, stops: DataFrame, flat: DataFrame, gain: float = 2.0, worse: float = 3.0, share: float = 0.1, span: int = 30, most: int = 8) -> DataFrame:
+    """Ramps (one a document) that beat the flat colour they would replace (flat: doc_id, r, g, b):
+    the end stops differ by ``span`` levels, the mean error (largest channel difference) falls by
+    ``gain``, its 90th percentile does not rise, and at most ``share`` of the pixels get worse by more
+    than ``worse``. Of those the ``most`` with the largest areas."""
+    wide = F.greatest(*(F.abs(F.max_by(c, "stop") - F.min_by(c, "stop")) for c in "rgb"))
+    steep = stops.groupBy("doc_id").agg(wide.alias("span")).filter(F.col("span") >= span).select("doc_id")
+    fitted = eval_gradient(px.join(steep, "doc_id", "left_semi"), stops).select(*PIXEL, *(F.col(c).alias(f"f_{c}") for c in "rgb"))
+    other = flat.select("doc_id", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
+    gap = lambda m: F.greatest(*(F.abs(F.col(c) - F.col(f"{m}_{c}")) for c in "rgb")).cast("double")
+    e = px.join(fitted, PIXEL).join(other, "doc_id").select("doc_id", gap("f").alias("ramp"), gap("p").alias("flat"))
+    p90 = lambda c: F.round(F.percentile(c, F.lit(0.9)), 3).alias(f"{c}_p90")
+    lost = F.avg(F.when(F.col("ramp") > F.col("flat") + worse, 1.0).otherwise(0.0))
+    g = e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("area"), *(F.round(F.avg(c), 3).alias(f"{c}_mean") for c in ("ramp", "flat")), p90("ramp"), p90("flat"), F.round(lost, 4).alias("worse_share"))
+    kept = g.filter((F.col("ramp_mean") <= F.col("flat_mean") - gain) & (F.col("ramp_p90") <= F.col("flat_p90")) & (F.col("worse_share") <= share))
+    return largest_ramps(kept, most)
+
+
+def largest_ramps(ramps: DataFrame, most: int = 8, key: list[str] | None = None) -> DataFrame:
+    """The ``most`` ramps of largest area, of each ``key`` where one is given; ties by doc_id."""
+    if key:
+        return ramps.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("area"), "doc_id"))).filter(F.col("place") <= most).drop("place")
+    return ramps.orderBy(F.desc("area"), "doc_id").limit(most)
+
+
+def rank_annuli(rings: DataFrame) -> DataFrame:
+    """Rings (doc_id, ring, safe, degrees, f1) with their place in the document: safe ones first, then
+    by coverage, raster score and id."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("safe"), F.desc("degrees"), F.desc("f1"), "ring")
+    return rings.withColumn("place", F.row_number().over(order))
+
+
+def assemble(fills: DataFrame, strokes: DataFrame, recovered: DataFrame) -> DataFrame:
+    """All drawables (doc_id, pos, ...) of a document in one order: fills, then strokes, then what was
+    recovered; a column that one of them lacks is null."""
+    layers = [df.withColumn("layer", F.lit(k)) for k, df in enumerate((fills, strokes, recovered))]
+    every = layers[0].unionByName(layers[1], allowMissingColumns=True).unionByName(layers[2], allowMissingColumns=True)
+    return every.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("layer", "pos"))).drop("layer", "pos")
