@@ -19,18 +19,19 @@ def border_stats(px: DataFrame, height: int, width: int) -> DataFrame:
     """Per document: median border colour, 95th percentile of border noise, ink threshold.
 
     One row a document goes back to the pixels by a join on the document, which Spark broadcasts
-    only while it is small.
+    only while it is small. The border pixels and the result are written once, for all their uses.
     """
-    border = px.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})")
+    border = written(px.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})").select(*PIXEL, "r", "g", "b"))
     paper = border.groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5)).alias(f"bg_{c}") for c in "rgb"))
     noise = border.join(paper, "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("noise_p95"))
-    return paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("noise_p95") + 3)))
+    return written(paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("noise_p95") + 3))))
 
 
 def ink_mask(px: DataFrame, stats: DataFrame) -> DataFrame:
-    """Source ink: strong enough, and either supported by a neighbour or strongly isolated."""
+    """Source ink: strong enough, and either supported by a neighbour or strongly isolated. The strong
+    pixels are written once."""
     strength = channel_gap("", "bg_")
-    raw = px.join(stats, "doc_id").withColumn("strength", strength).filter("strength >= threshold")
+    raw = written(px.join(stats, "doc_id").withColumn("strength", strength).filter("strength >= threshold").select(*PIXEL, "r", "g", "b", "strength", "threshold"))
     support = neighbour_count(raw).withColumnRenamed("n", "support")
     lone = F.col("strength") >= F.greatest(F.col("threshold") * 1.75, F.col("threshold") + 12)
     return raw.join(support, PIXEL).filter((F.col("support") >= 2) | lone).select(*PIXEL, "r", "g", "b", "strength", "threshold")
@@ -102,12 +103,12 @@ def foreground_match(src: DataFrame, ren: DataFrame, height: int, width: int) ->
     Corner pixels count twice in the border here, as rows and as columns."""
     src, ren = composite_over(src), composite_over(ren)
     twice = F.explode(F.array_repeat(F.lit(1), F.when(F.col("y").isin(0, height - 1) & F.col("x").isin(0, width - 1), 2).otherwise(1)))
-    border = src.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})").withColumn("one", twice)
+    border = written(src.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})").select(*PIXEL, "r", "g", "b")).withColumn("one", twice)
     paper = border.groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5)).alias(f"bg_{c}") for c in "rgb"))
     noise = border.join(paper, "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("p95"))
-    stats = paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("p95") + 3)))
+    stats = written(paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("p95") + 3))))
     ink = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, "r", "g", "b")
-    a, b = ink(src), ink(ren)
+    a, b = written(ink(src)), written(ink(ren))
 
     def side(match: DataFrame, name: str) -> DataFrame:
         cover, colour = _credit(F.col("error"))
@@ -133,7 +134,7 @@ def component_topology(src: DataFrame, ren: DataFrame, height: int, width: int,
     inside = f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}"
     grown = neighbour_count(strong(ren)).filter(inside).select(*PIXEL)
     pixels = lambda runs, name: runs.select("doc_id", F.col("comp_id").alias(name), "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    own, other = pixels(component_runs(strong(src)), "src_comp"), pixels(component_runs(grown), "ren_comp")
+    own, other = pixels(component_runs(written(strong(src))), "src_comp"), pixels(component_runs(written(grown)), "ren_comp")
     overlap = written(own.join(other, PIXEL, "left").groupBy("doc_id", "src_comp", "ren_comp").agg(F.count(F.lit(1)).alias("n")))
     area = F.sum("n").over(Window.partitionBy("doc_id", "src_comp"))
     parts = overlap.withColumn("area", area).filter(F.col("area") >= least)

@@ -68,7 +68,7 @@ def dilate(spark, sf_dir):
     return R.dilate(_ink(spark, sf_dir), N, N)
 
 
-@query(A.with_views("src_px") + f", {_INK} SELECT i.doc_id, i.y, i.x FROM ink i JOIN (SELECT doc_id, y + dy AS y, x + dx AS x, count(*) AS n FROM ink, {_NEAR9} GROUP BY ALL) n USING (doc_id, y, x) WHERE n = 9")
+@query(A.with_views("src_px") + f""", {_INK}, h AS (SELECT *, lag(x) OVER w = x - 1 AND lead(x) OVER w = x + 1 AS wide FROM ink WINDOW w AS (PARTITION BY doc_id, y ORDER BY x)), v AS (SELECT *, lag(y) OVER u = y - 1 AND lead(y) OVER u = y + 1 AS high FROM h WHERE wide WINDOW u AS (PARTITION BY doc_id, x ORDER BY y)) SELECT doc_id, y, x FROM v WHERE high""")
 def erode(spark, sf_dir):
     return R.erode(_ink(spark, sf_dir))
 
@@ -105,8 +105,11 @@ def distance_capped(spark, sf_dir):
     return R.distance_capped(_ink(spark, sf_dir), 3, written)
 
 
-@query(A.with_views("src_px") + f""", m AS (SELECT s.doc_id, s.y, s.x, quantile_cont(n.r, 0.5)::INT AS mr, quantile_cont(n.g, 0.5)::INT AS mg, quantile_cont(n.b, 0.5)::INT AS mb FROM (SELECT *, greatest(0, least(95, y + dy)) AS ny, greatest(0, least(95, x + dx)) AS nx FROM src_px, {_NEAR9}) s JOIN src_px n ON n.doc_id = s.doc_id AND n.y = s.ny AND n.x = s.nx GROUP BY ALL),
-d AS (SELECT s.*, mr, mg, mb, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) <= 18 AS k FROM src_px s JOIN m USING (doc_id, y, x))
+_THREE = ", ".join(f"[lag({c}, 1, {c}) OVER w, {c}, lead({c}, 1, {c}) OVER w] AS l{c}" for c in "rgb")
+_NINE = ", ".join(f"list_sort(list_concat(list_concat(lag(l{c}, 1, l{c}) OVER u, l{c}), lead(l{c}, 1, l{c}) OVER u))[5] AS m{c}" for c in "rgb")
+
+
+@query(A.with_views("src_px") + f""", h AS (SELECT doc_id, y, x, r, g, b, {_THREE} FROM src_px WINDOW w AS (PARTITION BY doc_id, y ORDER BY x)), m AS (SELECT doc_id, y, x, r, g, b, {_NINE} FROM h WINDOW u AS (PARTITION BY doc_id, x ORDER BY y)), d AS (SELECT *, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) <= 18 AS k FROM m)
 SELECT doc_id, y, x, CASE WHEN k THEN mr ELSE r END AS r, CASE WHEN k THEN mg ELSE g END AS g, CASE WHEN k THEN mb ELSE b END AS b FROM d""")
 def denoise(spark, sf_dir):
     return R.denoise(A.src_px(spark, sf_dir), N, N)
@@ -158,7 +161,7 @@ def hotspots(spark, sf_dir):
 @query(A.with_views("src_px", "ren_px") + _CELLS + _GRID + ", h AS (SELECT doc_id, count(*) AS hot FROM cells WHERE score < 78 GROUP BY doc_id) SELECT doc_id, cells, p10, mean, coalesce(hot, 0) AS hot, CASE WHEN p10 < 55 OR mean < 75 OR (p10 < 80 AND mean < 88) THEN 'rejected' WHEN p10 < 80 OR mean < 88 THEN 'manual_review' ELSE 'accepted' END AS status FROM grid LEFT JOIN h USING (doc_id)")
 def detail_gate(spark, sf_dir):
     """Which documents lost detail, where, and do they pass?"""
-    cells = _cells(spark, sf_dir)
+    cells = written(_cells(spark, sf_dir))
     hot = C.hotspots(cells).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hot"))
     status = F.expr("CASE WHEN p10 < 55 OR mean < 75 OR (p10 < 80 AND mean < 88) THEN 'rejected' WHEN p10 < 80 OR mean < 88 THEN 'manual_review' ELSE 'accepted' END")
     return C.detail_grid(cells).join(hot, "doc_id", "left").select("doc_id", "cells", "p10", "mean", F.coalesce("hot", F.lit(0)).alias("hot"), status.alias("status"))
