@@ -112,7 +112,7 @@ _NINE = ", ".join(f"list_sort(list_concat(list_concat(lag(l{c}, 1, l{c}) OVER u,
 @query(A.with_views("src_px") + f""", h AS (SELECT doc_id, y, x, r, g, b, {_THREE} FROM src_px WINDOW w AS (PARTITION BY doc_id, y ORDER BY x)), m AS (SELECT doc_id, y, x, r, g, b, {_NINE} FROM h WINDOW u AS (PARTITION BY doc_id, x ORDER BY y)), d AS (SELECT *, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) <= 18 AS k FROM m)
 SELECT doc_id, y, x, CASE WHEN k THEN mr ELSE r END AS r, CASE WHEN k THEN mg ELSE g END AS g, CASE WHEN k THEN mb ELSE b END AS b FROM d""")
 def denoise(spark, sf_dir):
-    return R.denoise(A.src_px(spark, sf_dir), N, N)
+    return R.denoise(A.src_px(spark, sf_dir))
 
 
 _BORDER = """, bg AS (SELECT doc_id, quantile_cont(r, 0.5) AS bg_r, quantile_cont(g, 0.5) AS bg_g, quantile_cont(b, 0.5) AS bg_b FROM src_px WHERE y IN (0, 95) OR x IN (0, 95) GROUP BY doc_id),
