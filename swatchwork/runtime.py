@@ -17,13 +17,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where the session names none (local tests), one folder is made for this process and set as the
-    checkpoint folder.
+    Where a local session names none (tests), one folder is made for this process and set as the
+    checkpoint folder; a session on a cluster has to name one.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(_own_dir)
