@@ -17,6 +17,11 @@ def path_segments(paths: DataFrame) -> DataFrame:
     """One row a command repetition of a path text (doc_id, idx, d), in order, with its end point in
     absolute coordinates; a repeated move draws lines. Texts that break the grammar have one row
     with ``is_valid`` false."""
+    return path_steps(paths).drop("n", "rel")
+
+
+def path_steps(paths: DataFrame) -> DataFrame:
+    """``path_segments`` with the numbers of each step as written (n) and whether they are relative."""
     cmds = F.regexp_extract_all("d", F.lit(rf"([a-zA-Z])((?:[\s,]*{NUMBER})*)"), F.lit(0))
     rest = F.regexp_replace(F.regexp_replace("d", rf"[a-zA-Z](?:[\s,]*{NUMBER})*", ""), r"[\s,]+", "")
     read = paths.select("doc_id", "idx", cmds.alias("cmds"), (rest == "").alias("clean"))
@@ -28,14 +33,14 @@ def path_segments(paths: DataFrame) -> DataFrame:
     ok = one.withColumn("fits", F.coalesce(fits, F.lit(False)) & F.col("clean") & ((F.col("at") > 0) | (F.lower("cmd") == "m")))
     valid = F.min("fits").over(Window.partitionBy("doc_id", "idx"))
     ok = ok.withColumn("is_valid", valid)
-    bad = ok.filter("NOT is_valid AND at = 0").select("doc_id", "idx", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("cmd"), F.lit(0).alias("subpath"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("is_valid"))
+    bad = ok.filter("NOT is_valid AND at = 0").select("doc_id", "idx", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("cmd"), F.lit(0).alias("subpath"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("is_valid"), F.lit(None).cast("array<double>").alias("n"), F.lit(False).alias("rel"))
     reps = F.greatest(F.when(F.col("arity") > 0, (F.size("nums") / F.col("arity")).cast("int")).otherwise(1), F.lit(1))
     part = F.explode(F.transform(F.sequence(F.lit(0), reps - 1), lambda k: F.struct(k.alias("k"), F.slice("nums", k * F.col("arity") + 1, F.col("arity")).alias("n"))))
     seg = ok.filter("is_valid").select("doc_id", "idx", "at", "cmd", part.alias("p")).select("doc_id", "idx", "at", "p.k", "p.n", F.when((F.lower("cmd") == "m") & (F.col("p.k") > 0), F.when(F.col("cmd") == "m", "l").otherwise("L")).otherwise(F.col("cmd")).alias("cmd"))
     low = F.lower("cmd")
     end = F.when(low == "h", F.struct(F.get("n", F.lit(0)).alias("x"), F.lit(None).cast("double").alias("y"))).when(low == "v", F.struct(F.lit(None).cast("double").alias("x"), F.get("n", F.lit(0)).alias("y"))).when(low == "z", F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))).otherwise(F.struct(F.try_element_at("n", F.lit(-2)).alias("x"), F.try_element_at("n", F.lit(-1)).alias("y")))
     rel = F.col("cmd") == low
-    rows = seg.select("doc_id", "idx", F.struct("at", "k", "cmd", rel.alias("rel"), end.alias("end")).alias("s"))
+    rows = seg.select("doc_id", "idx", F.struct("at", "k", "cmd", rel.alias("rel"), end.alias("end"), "n").alias("s"))
     ordered = rows.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list("s")).alias("ss"))
     # A path's running position depends on all before it: a fold over the commands of one element.
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"), F.lit(-1).alias("sub"), F.array().cast("array<struct<cmd:string,subpath:int,x:double,y:double>>").alias("out"))
@@ -49,8 +54,9 @@ def path_segments(paths: DataFrame) -> DataFrame:
         row = F.struct(F.upper(s["cmd"]).alias("cmd"), sub.alias("subpath"), x.alias("x"), y.alias("y"))
         return F.struct(x.alias("x"), y.alias("y"), F.when(is_m, x).otherwise(acc["sx"]).alias("sx"), F.when(is_m, y).otherwise(acc["sy"]).alias("sy"), sub.alias("sub"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    good = ordered.select("doc_id", "idx", F.posexplode(F.aggregate("ss", zero, step, lambda a: a["out"])).alias("seq", "r"))
-    return good.select("doc_id", "idx", "seq", "r.cmd", "r.subpath", "r.x", "r.y", F.lit(True).alias("is_valid")).unionByName(bad)
+    walked = ordered.select("doc_id", "idx", "ss", F.aggregate("ss", zero, step, lambda a: a["out"]).alias("r"))
+    good = walked.select("doc_id", "idx", F.posexplode(F.arrays_zip("ss", "r")).alias("seq", "z"))
+    return good.select("doc_id", "idx", "seq", "z.r.cmd", "z.r.subpath", "z.r.x", "z.r.y", F.lit(True).alias("is_valid"), "z.ss.n", "z.ss.rel").unionByName(bad)
 
 
 def path_complexity(segments: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def style_rewrite(spark, sf_dir):
     return rows.select("doc_id", "idx", V.set_style(F.col("style"), "fill", F.lit("#123456")).alias("style"), V.style_value(F.col("style"), "opacity").alias("opacity"))
 
 
-@query(" SELECT DISTINCT page_id, regexp_replace(substr(url, 1, 60), '[\\\\/:*?\"<>|\\x00-\\x1F]', '_', 'g') AS name FROM pages")
+@query(" SELECT DISTINCT page_id, regexp_replace(url, '[\\\\/:*?\"<>|\\x00-\\x1F]', '_', 'g') AS name FROM pages")
 def safe_names(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", V.safe_name(F.col("url")).alias("name"))
 

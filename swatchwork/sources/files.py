@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp")
+#: Attributes that an element takes from its groups.
+INHERITED = ("fill", "stroke", "stroke-width", "stroke-linejoin", "stroke-miterlimit")
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +44,7 @@ def to_pixels(images: DataFrame) -> DataFrame:
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    inherited = ("fill", "stroke", "stroke-width")
+    inherited = INHERITED
     names = ["doc_id", "idx", "parent_idx", "depth", "tag", "attrs", "in_defs", "is_valid"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.bool_()]
     for batch in batches:
@@ -67,8 +69,8 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan_svg(docs: DataFrame) -> DataFrame:
-    """Elements of vector documents (doc_id, svg) in document order, with inherited fill, stroke and
-    width among their attributes. A document that is no XML has one row with ``is_valid`` false."""
+    """Elements of vector documents (doc_id, svg) in document order, with their inherited paints and
+    stroke shape among their attributes. A document that is no XML has one row with ``is_valid`` false."""
     return docs.select("doc_id", "svg").mapInArrow(_shred, "doc_id long, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, in_defs boolean, is_valid boolean")
 
 
