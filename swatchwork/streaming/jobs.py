@@ -23,6 +23,10 @@ def watch_folder(spark: SparkSession, folder: str, pattern: str = "*.png", per_t
     return files.select(F.sha1("path").alias("job_id"), "path", F.col("modificationTime").alias("ts"), F.col("length").alias("bytes"), F.lit("queued").alias("status"))
 
 
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
+
+
 def latest_state(jobs: DataFrame) -> DataFrame:
     """Latest status of every job, ties by event number; batch twin of ``stream_latest_state``."""
     last = F.max(F.struct("ts", "event_id", "status"))
@@ -40,7 +44,7 @@ def stream_latest_state(jobs: DataFrame, late: str = "1 day") -> DataFrame:
         events, ts, event_id, status = state.get if state.exists else (0, -1, -1, "")
         for rows in batches:
             events += len(rows)
-            for t, i, s in zip(rows["ts"].astype("int64"), rows["event_id"], rows["status"]):
+            for t, i, s in zip(_micros(rows["ts"]), rows["event_id"], rows["status"]):
                 if (t, i) > (ts, event_id):
                     ts, event_id, status = int(t), int(i), s
         state.update((events, ts, event_id, status))
@@ -56,12 +60,60 @@ def open_jobs(jobs: DataFrame) -> DataFrame:
     return latest_state(jobs).filter(~F.col("status").isin(*TERMINAL)).select("job_id", "status")
 
 
+def stream_open_jobs(jobs: DataFrame, stalled_minutes: int = 60, late: str = "1 day") -> DataFrame:
+    """A row for each job that had events in a batch: ``open`` or ``closed`` by its latest status, and
+    ``stalled`` when the watermark has passed an open job's last event by the minutes given. A job
+    leaves the state when it has stalled, or when the watermark passes its final event."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, event_id, status = state.get if state.exists else (-1, -1, "")
+        row = lambda kind: pd.DataFrame({"job_id": [key[0]], "status": [status], "event_id": [event_id], "kind": [kind]})
+        if state.hasTimedOut:
+            state.remove()
+            if status not in TERMINAL:
+                yield row("stalled")
+            return
+        for rows in batches:
+            ts, event_id, status = max([(ts, event_id, status), *zip(_micros(rows["ts"]).tolist(), rows["event_id"].tolist(), rows["status"])])
+        final = status in TERMINAL
+        state.update((ts, event_id, status))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ts // 1000 + 1 + (0 if final else stalled_minutes * 60_000)))
+        yield row("closed" if final else "open")
+
+    held = jobs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return held.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, event_id long, kind string", "ts long, event_id long, status string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def keep_versions(jobs: DataFrame, most: int = 8) -> DataFrame:
     """The last ``most`` successes of every job, newest first."""
     by = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return jobs.filter("status = 'done'").withColumn("version", F.row_number().over(by)).filter(F.col("version") <= most).select("job_id", "version", "event_id")
 
 
+def stream_versions(jobs: DataFrame, most: int = 8) -> DataFrame:
+    """Twin of ``keep_versions`` and ``restored`` for a stream: for each job of a batch one row with its
+    last ``most`` successes, newest first (``versions``), and one for each failure with the success
+    that it falls back to among those kept (``restored_id``). The state of a job is a list of at most
+    ``most`` entries; it never expires, since a result may fail at any later time."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, kept = state.get if state.exists else (0, [])
+        good = [tuple(map(int, v.split(":"))) for v in kept]
+        failed = []
+        for rows in batches:
+            seen += len(rows)
+            marks = list(zip(_micros(rows["ts"]).tolist(), rows["event_id"].tolist(), rows["status"]))
+            good = sorted(good + [m[:2] for m in marks if m[2] == "done"], reverse=True)
+            failed += [(m[1], next((i for t, i in good if (t, i) < m[:2]), None)) for m in sorted(marks) if m[2] == "failed"]
+            good = good[:most]
+        state.update((seen, [f"{t}:{i}" for t, i in good]))
+        out = [(key[0], seen, [i for _, i in good], None, None), *((key[0], seen, None, f, r) for f, r in failed)]
+        yield pd.DataFrame(out, columns=["job_id", "seen", "versions", "failed_id", "restored_id"]).astype({"failed_id": "Int64", "restored_id": "Int64"})
+
+    held = jobs.filter("status IN ('done', 'failed')").withColumn("ts", F.col("ts").cast("timestamp"))
+    return held.groupBy("job_id").applyInPandasWithState(fold, "job_id long, seen long, versions array<long>, failed_id long, restored_id long", "seen long, kept array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def restored(jobs: DataFrame) -> DataFrame:
     """Failures, with the success that each falls back to (null without one before it)."""
     w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,6 +128,32 @@ def timer_pairs(clicks: DataFrame) -> DataFrame:
     return clicks.withColumn("seconds", seconds).withColumn("has_next", F.lead("event_id").over(w).isNotNull()).filter("event_type = 'click' AND has_next").select("user_id", "event_id", F.col("seconds").cast("long").alias("seconds"))
 
 
+def stream_timer_pairs(clicks: DataFrame, late: str = "1 day") -> DataFrame:
+    """Twin of ``timer_pairs`` for a stream: seconds from each start click to the next event of the
+    user. A user has one open timer; events that arrive after a later one are passed over, and an
+    open timer is given up when the watermark passes it."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ts, event_id, started = state.get if state.exists else (-1, -1, False)
+        marks = sorted(m for rows in batches for m in zip(_micros(rows["ts"]).tolist(), rows["event_id"].tolist(), rows["event_type"]))
+        out = []
+        for t, i, kind in marks:
+            if (t, i) < (ts, event_id):
+                continue
+            if started:
+                out.append((key[0], event_id, max(1, t // 1_000_000 - ts // 1_000_000)))
+            ts, event_id, started = t, i, kind == "click"
+        state.update((ts, event_id, started))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ts // 1000 + 1))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "seconds"])
+
+    held = clicks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return held.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, seconds long", "ts long, event_id long, started boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def recent_jobs(jobs: DataFrame, most: int = 60) -> DataFrame:
     """The most recent events (a report's limit)."""
     return jobs.orderBy(F.desc("ts"), F.desc("event_id")).limit(most).select("event_id", "job_id", "status")

@@ -43,3 +43,57 @@ def test_watch_folder(spark, tmp_path):
     (src / "a.png").write_bytes(b"x")
     (src / "b.txt").write_bytes(b"x")
     assert run("first") == 1
+
+
+def _two_runs(spark, rows, make, tmp_path, name):
+    """The earlier half of ``rows`` in one run, the later one in a second run that starts from the
+    checkpoint of the first; all rows that both put out."""
+    src, sink = str(tmp_path / f"{name}_in"), str(tmp_path / f"{name}_out")
+    middle = rows.selectExpr("percentile_approx(ts, 0.5) AS m").first().m
+    for half in ("ts <= ", "ts > "):
+        rows.filter(f"{half} TIMESTAMP '{middle}'").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        q = make(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / f"{name}_at")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    return spark.read.parquet(sink).collect()
+
+
+def _timed(spark):
+    return A.jobs(spark, SF).selectExpr("event_id", "cast(ts AS timestamp) AS ts", "job_id", "status")
+
+
+def test_open_jobs_stream(spark, tmp_path):
+    jobs = _timed(spark)
+    got = {}
+    for r in _two_runs(spark, jobs, lambda s: J.stream_open_jobs(s, 60, "400 days"), tmp_path, "open"):
+        got[r.job_id] = max(got.get(r.job_id, (-1, "", "")), (r.event_id, r.status, r.kind))
+    last = {r.job_id: (r.event_id, r.status, "closed" if r.status in J.TERMINAL else "open") for r in J.latest_state(jobs).collect()}
+    assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in last.items()}
+    assert {k for k, v in got.items() if v[2] == "open"} == {r.job_id for r in J.open_jobs(jobs).collect()}
+
+
+def test_stalled_jobs(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 1, "running"), (2, "2024-01-01 00:00:00", 2, "done"), (3, "2024-03-01 00:00:00", 3, "queued"), (4, "2024-03-01 00:00:00", 4, "queued")]
+    jobs = spark.createDataFrame(rows, "event_id long, ts string, job_id long, status string").selectExpr("event_id", "cast(ts AS timestamp) AS ts", "job_id", "status")
+    got = _two_runs(spark, jobs, lambda s: J.stream_open_jobs(s, 60, "1 day"), tmp_path, "stalled")
+    assert {(r.job_id, r.kind) for r in got} == {(1, "open"), (1, "stalled"), (2, "closed"), (3, "open"), (4, "open")}
+
+
+def test_versions_stream(spark, tmp_path):
+    jobs = _timed(spark)
+    got = _two_runs(spark, jobs, lambda s: J.stream_versions(s, 3), tmp_path, "versions")
+    last = {}
+    for r in got:
+        if r.versions is not None and r.seen > last.get(r.job_id, (0,))[0]:
+            last[r.job_id] = (r.seen, r.versions)
+    want = {}
+    for r in sorted(J.keep_versions(jobs, 3).collect()):
+        want.setdefault(r.job_id, []).append(r.event_id)
+    assert {k: v for k, (_, v) in last.items() if v} == want
+    assert sorted((r.job_id, r.failed_id, r.restored_id or -1) for r in got if r.failed_id is not None) == sorted((r.job_id, r.event_id, r.restored_id or -1) for r in J.restored(jobs).collect())
+
+
+def test_timer_stream(spark, tmp_path):
+    clicks = A.table(spark, SF, "events").selectExpr("user_id", "cast(ts AS timestamp) AS ts", "event_id", "event_type")
+    got = _two_runs(spark, clicks, lambda s: J.stream_timer_pairs(s, "400 days"), tmp_path, "timer")
+    assert sorted(got) == sorted(J.timer_pairs(clicks).collect())
