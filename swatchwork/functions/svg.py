@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
+#: Paints that are no colour of their own.
+NO_PAINT = ("", "none", "transparent", "currentcolor", "context-fill", "context-stroke", "inherit", "initial", "unset")
+
+
 def style_map(style: Column) -> Column:
     """Declarations of a style text by lower-case name; the last of equal names wins."""
     parts = F.filter(F.split(F.coalesce(style, F.lit("")), ";", -1), lambda d: F.contains(d, F.lit(":")))
@@ -62,9 +66,16 @@ def effective_paint(fill: Column, stroke: Column) -> Column:
 
 
 def solid_paint(text: Column) -> Column:
-    """The paint in lower case, or null for none, inherit, transparent and references."""
-    t = F.lower(F.trim(text))
-    return F.when(~t.isin("none", "inherit", "transparent", "") & ~F.startswith(t, F.lit("url(")), t)
+    """The paint in lower case without white space, or null for keywords that paint nothing of their own
+    and for references."""
+    t = F.lower(F.regexp_replace(text, r"\s+", ""))
+    return F.when(~t.isin(*NO_PAINT) & ~F.startswith(t, F.lit("url(")), t)
+
+
+def visible_stroke(stroke: Column, width: Column) -> Column:
+    """Whether a stroke paints: its paint is solid, and its width text is missing, no number or not zero."""
+    first = F.regexp_extract(F.trim(width), r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)", 0).try_cast("double")
+    return solid_paint(stroke).isNotNull() & (F.coalesce(first, F.lit(1.0)) != 0)
 
 
 def parse_length(text: Column, scale: Column) -> Column:

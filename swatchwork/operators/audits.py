@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
 from swatchwork.operators.raster import PIXEL, channel_gap, component_runs, component_stats, erode
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 
 def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] = (91, 75, 138), least: int = 64, tolerance: float = 48.0) -> DataFrame:
@@ -109,6 +109,26 @@ def core_color(samples: DataFrame, share: float = 0.5) -> DataFrame:
     return samples.withColumn("rank", rank).filter(F.col("rank") <= share).groupBy("curve_id").agg(F.count(F.lit(1)).alias("samples"), *(F.percentile(c, F.lit(0.5)).alias(c) for c in "rgb"))
 
 
+def even_ribbons(comps: DataFrame, lengths: DataFrame, widths: DataFrame, uneven: float = 0.35, shortest: float = 10.0, half_width: float = 13.0) -> DataFrame:
+    """Line components (doc_id, comp_id, area; .., length; .., half: one row a point of the middle line)
+    with their width, its evenness, and the first reason against drawing them as a line, if any."""
+    even = widths.groupBy("doc_id", "comp_id").agg((F.stddev_pop("half") / F.avg("half")).alias("cv"))
+    w = F.col("area") / F.col("length")
+    cv = F.coalesce("cv", F.lit(9.9))
+    why = F.when(~F.coalesce(F.col("length") >= shortest, F.lit(False)), "too_short").when((w <= 0.5) | (w > 2.2 * half_width), "width").when(F.col("length") < 2.5 * w, "stubby").when(cv > uneven, "uneven")
+    rows = comps.join(lengths, ["doc_id", "comp_id"], "left").join(even, ["doc_id", "comp_id"], "left")
+    return rows.select("doc_id", "comp_id", F.round(F.when(F.col("length") > 0, w), 4).alias("width"), F.round(cv, 6).alias("cv"), why.alias("reason"))
+
+
+def core_opacity(samples: DataFrame) -> DataFrame:
+    """Opacity of a curve (curve_id, a): the median of the upper half of its alphas, so that soft edges
+    don't count; nearly opaque is opaque, and nothing is below 0.02."""
+    place, n = F.row_number().over(Window.partitionBy("curve_id").orderBy("a")) - 1, F.count(F.lit(1)).over(Window.partitionBy("curve_id"))
+    upper = samples.filter("a IS NOT NULL").withColumns({"place": place, "n": n}).filter("place >= n div 2")
+    o = F.col("o")
+    return upper.groupBy("curve_id").agg((F.percentile("a", F.lit(0.5)) / 255).alias("o")).select("curve_id", F.when(o >= 0.985, 1.0).otherwise(F.round(F.greatest(F.lit(0.02), o), 3)).alias("opacity"))
+
+
 def gradient_inventory(gradients: DataFrame, uses: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per gradient (doc_id, id): references (uses: doc_id, ref), stops along its chain, and whether
     it can be edited alone: unique, used, with two stops."""
@@ -146,7 +166,7 @@ def resolve_sidecar(docs: DataFrame, supplied: DataFrame, embedded: DataFrame, b
 def restore_details(final: DataFrame, details: DataFrame, merged: DataFrame) -> DataFrame:
     """Surviving elements (doc_id, name) with their old record (.., width), and merged rings added."""
     kept = final.join(details, ["doc_id", "name"], "left").select("doc_id", "name", "width", F.col("width").isNotNull().alias("known"))
-    return kept.unionByName(merged.select("doc_id", "name", "width", F.lit(True).alias("known")))
+    return kept.transform(united, merged.select("doc_id", "name", "width", F.lit(True).alias("known")))
 
 
 def manifest_violations(roles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.functions.svg import box_gap, box_iou
 from swatchwork.operators.graph import connected_components
+from swatchwork.runtime import united
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -110,7 +111,7 @@ def group_manifest(groups: DataFrame, el: DataFrame) -> DataFrame:
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, marked by side."""
-    return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
+    return a.exceptAll(b).withColumn("side", F.lit("before")).transform(united, b.exceptAll(a).withColumn("side", F.lit("after")))
 
 
 def partition_violations(rows: DataFrame, members: DataFrame, key: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swatchwork.functions.svg import NUMBER, solid_paint
 from swatchwork.operators.compare import border_stats, ink_mask
 from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, component_stats, composite_over, erode
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 #: Places that are not drawn, and attributes that make a split unsafe.
 HIDDEN_PLACES = ("clipPath", "defs", "filter", "linearGradient", "marker", "mask", "pattern", "radialGradient", "symbol")
@@ -82,7 +82,7 @@ def splittable(el: DataFrame, references: DataFrame, servers: DataFrame) -> Data
         walk = written(live.join(above, ["doc_id", "at"], "left").select("doc_id", "idx", F.col("next").alias("at"), F.greatest("hidden", "up_hidden").alias("hidden"), F.greatest("unsafe", "up_unsafe").alias("unsafe")))
         ended.append(walk.filter("at IS NULL"))
         live = walk.filter("at IS NOT NULL")
-    around = reduce(DataFrame.unionByName, ended).select("doc_id", "idx", "hidden", "unsafe")
+    around = reduce(united, ended).select("doc_id", "idx", "hidden", "unsafe")
     named = F.regexp_extract(F.trim(F.coalesce("fill", F.lit("#000000"))), r"^url\(\s*#([^\s)]+)\s*\)$", 1)
     rows = el.select("doc_id", "idx", "id", "stroke", F.coalesce("fill", F.lit("#000000")).alias("fill"), F.when(named != "", named).alias("server")).join(around, ["doc_id", "idx"])
     rows = rows.join(servers.select("doc_id", F.col("id").alias("server"), "is_safe"), ["doc_id", "server"], "left").join(references.select("doc_id", F.col("ref").alias("id"), F.lit(True).alias("used")).distinct(), ["doc_id", "id"], "left")
@@ -142,7 +142,7 @@ def ink_mass_match(src: DataFrame, ren: DataFrame, height: int, width: int) -> D
             put(v, side).alias(f"{n}{side}") for side in (0, 1) for n, v in [("n", F.lit(1.0)), ("own", own.cast("double")), *((c, F.col(f"bg_{c}") - F.col(c)) for c in "rgb")]
         )))
     cols = [f"{n}{side}" for side in (0, 1) for n in ("n", "own", *"rgb")]
-    g = spread[0].unionByName(spread[1]).groupBy(*PIXEL).agg(*(F.sum(c).alias(c) for c in cols))
+    g = spread[0].transform(united, spread[1]).groupBy(*PIXEL).agg(*(F.sum(c).alias(c) for c in cols))
     off = F.greatest(*(F.abs(F.col(f"{c}0") - F.col(f"{c}1")) for c in "rgb")) / F.greatest("n0", "n1", F.lit(1.0))
     g = g.withColumn("sim", F.greatest(F.lit(0.0), 1 - off / 128))
     over = lambda own: F.round(100 * F.avg(F.when(F.col(own) > 0, F.col("sim"))) + 1e-9, 3)
@@ -199,7 +199,7 @@ def background_pockets(candidates: DataFrame, enclosure: DataFrame) -> DataFrame
     for k in (1, 2, 3):
         left = written(erode(left))
         levels.append(left.withColumn("level", F.lit(k)))
-    band = reduce(DataFrame.unionByName, levels).groupBy(*PIXEL).agg(F.max("level").alias("level")).join(size.select("doc_id", "depth"), "doc_id").filter("level < depth").select(*PIXEL)
+    band = reduce(united, levels).groupBy(*PIXEL).agg(F.max("level").alias("level")).join(size.select("doc_id", "depth"), "doc_id").filter("level < depth").select(*PIXEL)
     inside = candidates.select(*PIXEL).join(enclosure, PIXEL, "left_semi")
     runs = written(component_runs(inside))
     parts = component_stats(runs)
@@ -280,7 +280,7 @@ def operation_checks(docs: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     """``doc_id, check, status`` for every document and named check; ``found``: statuses by check."""
     names = F.array(*(F.struct(F.lit(n).alias("check"), F.lit(s).alias("default")) for n, s in CHECKS.items()))
     every = docs.select("doc_id").distinct().select("doc_id", F.explode(names).alias("c")).select("doc_id", "c.*")
-    told = reduce(DataFrame.unionByName, [df.select("doc_id", F.lit(n).alias("check"), "status") for n, df in found.items()])
+    told = reduce(united, [df.select("doc_id", F.lit(n).alias("check"), "status") for n, df in found.items()])
     return every.join(told, ["doc_id", "check"], "left").select("doc_id", "check", F.coalesce("status", "default").alias("status"))
 
 

@@ -15,6 +15,12 @@ def _rounded(value: Column, digits: int = 3) -> Column:
     return F.round(value + 1e-9, digits)
 
 
+def structural_threshold(threshold: Column) -> Column:
+    """The ink threshold of structure: twice the plain one, at least 12 more; null for a null or negative
+    one, which is no threshold, so that its document has no structure instead of a wrong one."""
+    return F.when(threshold >= 0, F.greatest(threshold * 2, threshold + 12))
+
+
 def border_stats(px: DataFrame, height: int, width: int) -> DataFrame:
     """Per document: median border colour, 95th percentile of border noise, ink threshold.
 
@@ -129,7 +135,7 @@ def component_topology(src: DataFrame, ren: DataFrame, height: int, width: int,
     share of its largest fragment, number of relevant fragments, score."""
     src, ren = composite_over(src), composite_over(ren)
     stats = border_stats(src, height, width)
-    core = F.greatest(F.col("threshold") * 2, F.col("threshold") + 12)
+    core = structural_threshold(F.col("threshold"))
     strong = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
     inside = f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}"
     grown = neighbour_count(strong(ren)).filter(inside).select(*PIXEL)
@@ -163,6 +169,37 @@ def pair_gate(src: DataFrame, ren: DataFrame, tolerance: int = 0) -> DataFrame:
     return both.groupBy("doc_id").agg(F.round(changed, 6).alias("changed"), (changed <= 0.01).alias("accepted"))
 
 
+def render_gate(before: DataFrame, after: DataFrame, height: int, width: int, reach: int = 1, ink: float = 6.0) -> DataFrame:
+    """Two renders of one document: recall and precision of the ink within ``reach`` pixels, F1, colour
+    similarity where either has ink, score, share of changed pixels; accepted from 99 percent on.
+
+    The paper is the median border colour of ``before``, corners counted for both of their edges. A
+    picture without ink has recall and similarity one. Both pictures meet once, and that is written;
+    only ink pixels are spread to their neighbours.
+    """
+    a, b = composite_over(before), composite_over(after)
+    edges = F.when(F.col("y").isin(0, height - 1), 1).otherwise(0) + F.when(F.col("x").isin(0, width - 1), 1).otherwise(0)
+    paper = a.withColumn("times", edges).filter("times > 0").groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5), F.col("times")).alias(f"bg_{c}") for c in "rgb"))
+    pair = a.select(*PIXEL, "r", "g", "b").join(b.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL).join(paper, "doc_id")
+    other = F.greatest(*(F.abs(F.col(f"o_{c}") - F.col(f"bg_{c}")) for c in "rgb"))
+    both = written(pair.select(*PIXEL, (channel_gap("", "bg_") >= ink).alias("was"), (other >= ink).alias("is_now"), channel_gap("", "o_").cast("double").alias("error")))
+    square = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+
+    def found(own: str, there: str, name: str) -> DataFrame:
+        grown = neighbour_count(both.filter(there), square).select(*PIXEL, F.lit(1.0).alias("hit"))
+        return both.filter(own).join(grown, PIXEL, "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(name))
+
+    alike = F.avg(F.when(F.col("was") | F.col("is_now"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("error") / 128))))
+    whole = both.groupBy("doc_id").agg(F.coalesce(alike, F.lit(1.0)).alias("similarity"), F.avg(F.when(F.col("error") >= 2, 1.0).otherwise(0.0)).alias("changed"))
+    rows = whole.join(found("was", "is_now", "recall"), "doc_id", "left").join(found("is_now", "was", "precision"), "doc_id", "left").fillna(1.0, ["recall", "precision"])
+    recall, precision = F.col("recall"), F.col("precision")
+    f1 = F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
+    score = 100 * (0.65 * f1 + 0.35 * F.col("similarity"))
+    shown = {"score": score, "ink_recall": recall * 100, "ink_precision": precision * 100, "ink_f1": f1 * 100, "color_similarity": F.col("similarity") * 100, "changed": F.col("changed")}
+    passed = (score >= 99) & (recall >= 0.99) & (precision >= 0.99)
+    return rows.select("doc_id", *(F.round(c, 6).alias(n) for n, c in shown.items()), passed.alias("accepted"))
+
+
 def changes_outside(before: DataFrame, after: DataFrame, boxes: DataFrame, pad: int = 2) -> DataFrame:
     """Changed pixels of each document, and those outside all its padded boxes."""
     both = before.join(after.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL)

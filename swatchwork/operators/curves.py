@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 
 def _by(key: str = "curve_id", order: str = "seq"):
@@ -162,7 +162,7 @@ def simplify(pts: DataFrame, eps: float) -> DataFrame:
         far = written(inner.groupBy("curve_id", "a", "b").agg(F.max(F.struct("d", (-F.col("seq")).alias("n"))).alias("m")).select("curve_id", "a", "b", (-F.col("m.n")).alias("seq")))
         if far.isEmpty():
             break
-        kept = written(kept.unionByName(far.select("curve_id", "seq")))
+        kept = written(kept.transform(united, far.select("curve_id", "seq")))
         open_ = far.select("curve_id", F.explode(F.array(F.struct(F.col("a"), F.col("seq").alias("b")), F.struct(F.col("seq").alias("a"), F.col("b")))).alias("s")).select("curve_id", "s.*").filter("b > a + 1")
     return pts.join(kept, ["curve_id", "seq"]).select("curve_id", "seq", "x", "y")
 
@@ -204,3 +204,20 @@ def near_circle(pts: DataFrame, fit: DataFrame) -> DataFrame:
     within = lambda c: F.col(f"c{c}").between(F.col(f"lo_{c}") - 0.2 * (F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.col(f"hi_{c}") + 0.2 * (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
     near = F.least(1.6 * F.greatest(0.02 * F.col("radius"), F.lit(0.9)), F.greatest(0.03 * F.col("radius"), F.lit(1.5)))
     return g.filter(within("x") & within("y") & (F.col("d") <= near)).join(covered, "curve_id", "left_semi").select("curve_id", "cx", "cy", "radius")
+
+
+def color_runs(pts: DataFrame, width: float = 1.0, apart: float = 80.0, most: int = 8) -> DataFrame:
+    """Runs of one label along a curve (curve_id, seq, label, r, g, b: the label's colour).
+
+    Of each curve: all runs, long ones (6 points and two widths), their labels, whether two of these
+    are more than ``apart`` from each other, and whether the curve is cut there: then at most ``most``
+    runs are allowed.
+    """
+    turn = F.when(F.lag("label").over(_by()) == F.col("label"), 0).otherwise(1)
+    run = F.sum("turn").over(_by().rowsBetween(Window.unboundedPreceding, 0))
+    runs = pts.withColumn("turn", turn).withColumn("run", run).groupBy("curve_id", "run").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("label", "r", "g", "b")))
+    long = F.when(F.col("n") >= max(6, int(2 * width)), F.struct("label", "r", "g", "b"))
+    per = runs.groupBy("curve_id").agg(F.count(F.lit(1)).alias("runs"), F.count(long).alias("long_runs"), F.collect_set(long).alias("seen"))
+    gap = lambda p, q: sum((F.pow(p[c] - q[c], 2) for c in "rgb"), F.lit(0.0))
+    far = F.exists("seen", lambda p: F.exists("seen", lambda q: gap(p, q) > apart * apart))
+    return per.select("curve_id", "runs", "long_runs", F.size("seen").alias("labels"), far.alias("is_far"), (far & (F.col("runs") <= most)).alias("is_cut"))

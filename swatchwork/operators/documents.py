@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 from swatchwork.functions.svg import NUMBER, solid_paint, style_value
 
@@ -56,7 +56,7 @@ def path_steps(paths: DataFrame) -> DataFrame:
 
     walked = ordered.select("doc_id", "idx", "ss", F.aggregate("ss", zero, step, lambda a: a["out"]).alias("r"))
     good = walked.select("doc_id", "idx", F.posexplode(F.arrays_zip("ss", "r")).alias("seq", "z"))
-    return good.select("doc_id", "idx", "seq", "z.r.cmd", "z.r.subpath", "z.r.x", "z.r.y", F.lit(True).alias("is_valid"), "z.ss.n", "z.ss.rel").unionByName(bad)
+    return good.select("doc_id", "idx", "seq", "z.r.cmd", "z.r.subpath", "z.r.x", "z.r.y", F.lit(True).alias("is_valid"), "z.ss.n", "z.ss.rel").transform(united, bad)
 
 
 def path_complexity(segments: DataFrame) -> DataFrame:
@@ -154,6 +154,15 @@ def blocklist_scan(files: DataFrame, terms: list[str]) -> DataFrame:
     return files.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.term", "h.uses")
 
 
+def blocked_suffixes(files: DataFrame, suffixes: tuple[str, ...], allowed: tuple[str, ...] = ()) -> DataFrame:
+    """Files (file_id, path) by the suffix of their last name: is it blocked? Allowed paths never are; a
+    name that only begins with a dot has no suffix, and a null path neither."""
+    name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
+    suffix = F.lower(F.regexp_extract(name, r"[^.].*?(\.[^.]+)$", 1))
+    open_ = F.col("path").isin(*allowed) if allowed else F.lit(False)
+    return files.select("file_id", suffix.alias("suffix"), (suffix.isin(*suffixes) & ~F.coalesce(open_, F.lit(False))).alias("blocked"))
+
+
 #: Rules of unsafe markup, by name.
 UNSAFE = {
     "doctype": r"(?i)<!DOCTYPE", "entity": r"(?i)<!ENTITY", "stylesheet": r"(?i)<\?xml-stylesheet", "tag": r"(?i)<\s*(?:script|iframe|object|embed|foreignObject)\b", "handler": r"(?i)\son[a-z]+\s*=",
@@ -185,7 +194,7 @@ def plan_names(files: DataFrame) -> DataFrame:
         free = tried if done is None else tried.join(done.select("key"), "key", "left_anti")
         order = Window.partitionBy("key").orderBy(F.desc("alone"), F.col("n").isNotNull(), "n", "file_id")
         given = written(free.withColumn("at", F.row_number().over(order)).filter("at = 1").select("file_id", "name", "key"))
-        done = given if done is None else done.unionByName(given)
+        done = given if done is None else done.transform(united, given)
         left = written(left.join(given.select("file_id"), "file_id", "left_anti").withColumn("n", F.coalesce(F.col("n"), F.lit(1)) + 1).withColumn("alone", F.lit(False)))
         if left.isEmpty():
             return done.select("file_id", "name")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.palette import oklch
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 
 def with_oklch(inventory: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def paint_roles(inventory: DataFrame) -> DataFrame:
     n = hued.groupBy("doc_id", "family").agg(F.sum("uses").alias("n"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "family"))
     named = hued.join(n.select("doc_id", "family", F.concat(F.lit("accent-"), place.cast("string")).alias("role")), ["doc_id", "family"]).drop("family")
-    rows = grey.withColumnRenamed("family", "role").unionByName(named)
+    rows = grey.withColumnRenamed("family", "role").transform(united, named)
     by = Window.partitionBy("doc_id", "role")
     anchor = lambda v: F.sum(F.col(v) * F.col("uses")).over(by) / F.sum("uses").over(by)
     return rows.select("doc_id", "paint", "uses", "role", F.round(anchor("lightness"), 6).alias("anchor_lightness"), F.round(anchor("chroma"), 6).alias("anchor_chroma"), F.round(F.col("lightness") - anchor("lightness"), 6).alias("lightness_delta"))
@@ -106,6 +106,50 @@ def editability(complexity: DataFrame, structure: DataFrame) -> DataFrame:
     return rows.select("doc_id", "redraw_burden", "workflow_burden", "identity_score", level.alias("level"))
 
 
+def editability_audit(counts: DataFrame) -> DataFrame:
+    """How well a document can be recoloured, selected and redrawn, in two separate figures, and whether
+    it passes.
+
+    ``counts``: doc_id and, where null is zero, drawables, with_id, grouped, with_role, roles, solid_paints,
+    gradients, native, strokes, groups, color_layers, paths, nodes, controls, most_controls, median, p95,
+    largest, largest_share, most_subpaths. ``readiness`` rewards handles (ids, groups, roles, native
+    shapes, apart objects); the burdens take the worst penalty of each family once.
+    """
+    c = counts.fillna(0)
+    col, n = F.col, F.greatest(F.col("drawables"), F.lit(1))
+    upto = lambda part, full: F.least(F.lit(1.0), F.when(col("drawables") > 0, col(part) / n / full).otherwise(0.0))
+    some = lambda name: F.when(col(name) > 0, 5.0).otherwise(0.0)
+    worth = {
+        "object_identity": 30 * upto("with_id", 0.8), "semantic_selection": 25 * upto("grouped", 0.4),
+        "paint_roles": F.when(col("roles") > 0, 20 * upto("with_role", 0.8)).when((col("solid_paints") > 0) | (col("gradients") > 0), 8.0).otherwise(0.0),
+        "native_edit_handles": some("native") + some("strokes") + some("gradients"),
+        "object_isolation": 10.0 - F.when(col("largest") >= 500, 4.0).otherwise(0.0) - F.when(col("most_subpaths") > 20, 4.0).otherwise(0.0) - F.when(col("largest_share") > 0.45, 2.0).otherwise(0.0),
+    }
+    readiness = F.round(F.least(F.lit(100.0), sum(worth.values(), F.lit(0.0))), 1)
+    pen = lambda name, *limits: scaled_penalty(col(name), *limits)
+    volume = F.greatest(pen("paths", 40, 300, 22), pen("nodes", 500, 5000, 24), pen("controls", 500, 5000, 18))
+    local = F.greatest(
+        pen("median", 40, 150, 8), pen("p95", 120, 450, 10), pen("largest", 250, 800, 12), pen("most_controls", 100, 1200, 10), pen("most_subpaths", 20, 100, 6), pen("largest_share", 0.45, 0.85, 6)
+    )
+    nameless = F.when((col("drawables") >= 20) & (col("with_id") == 0), 8.0).when((col("drawables") >= 50) & (col("with_id") / n < 0.1), 5.0).otherwise(0.0)
+    layers_only = (col("groups") > 0) & (col("color_layers") == col("groups"))
+    workflow = pen("groups", 60, 180, 6) + nameless + F.when(layers_only, 10.0).otherwise(0.0)
+    rows = c.withColumns({"readiness": readiness, "redraw_burden": F.round(volume + local, 1), "workflow_burden": F.round(workflow, 1), "layers_only": layers_only})
+    outline = {"path_count_at_least_200": col("paths") >= 200, "node_count_at_least_4000": col("nodes") >= 4000, "one_path_at_least_500_commands": col("largest") >= 500, "one_path_at_least_50_subpaths": col("most_subpaths") >= 50}
+    review = outline | {"twenty_plus_color_layers_without_semantic_groups": col("layers_only") & (col("groups") >= 20), "one_hundred_plus_objects_without_ids": (col("drawables") >= 100) & (col("with_id") == 0)}
+    listed = lambda tests: F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())))
+    ease = F.greatest(F.lit(0.0), 100 - col("redraw_burden"))
+    both = F.greatest(F.lit(0.0), 100 - col("redraw_burden") - col("workflow_burden"))
+    ok = (ease >= 75) & (both >= 75) & (col("readiness") >= 55) & (F.size(listed(review)) == 0)
+    redraw = F.when((ease >= 85) & (F.size(listed(outline)) == 0), "low").when((ease >= 70) & (col("largest") < 500), "moderate").when(ease >= 50, "high").otherwise("very_high")
+    steps = F.when(col("workflow_burden") == 0, "low").when(col("workflow_burden") <= 6, "moderate").when(col("workflow_burden") <= 15, "high").otherwise("very_high")
+    ready = F.when(col("readiness") >= 80, "ready_for_common_operations").when(col("readiness") >= 55, "partially_ready").otherwise("limited")
+    return rows.select(
+        "doc_id", "readiness", ready.alias("readiness_status"), "redraw_burden", redraw.alias("redraw_level"), "workflow_burden", steps.alias("workflow_level"),
+        F.array_join(listed(review), ",").alias("triggers"), F.when(ok, "accepted").otherwise("manual_review").alias("status"),
+    )
+
+
 def preblend_opacity(r: Column, g: Column, b: Column, opacity: Column, paper: tuple[int, int, int] = (255, 255, 255)) -> Column:
     """The opaque colour that looks like a translucent one on plain paper, rounded half to even."""
     mix = lambda c, p: F.lower(F.lpad(F.hex(F.bround(c * opacity + p * (1 - opacity)).cast("int")), 2, "0"))
@@ -133,7 +177,7 @@ def paint_layers(layers: DataFrame, gradients: DataFrame) -> DataFrame:
     free = gradients.join(dealt.select("doc_id", "id").dropna().distinct(), ["doc_id", "id"], "left_anti").select("doc_id", F.row_number().over(by_pos).alias("nth"), F.col("id").alias("other"))
     open_ = dealt.filter("id IS NULL").select("doc_id", "pos", F.row_number().over(by_pos).alias("nth")).join(free, ["doc_id", "nth"]).select("doc_id", "pos", "other")
     found = dealt.join(open_, ["doc_id", "pos"], "left").select("doc_id", "pos", "name", F.lit("linearGradient").alias("type"), F.coalesce("id", "other", F.lit("")).alias("value"))
-    return low.filter(~is_ramp).select("doc_id", "pos", "name", F.lit("solid").alias("type"), "value").unionByName(found)
+    return low.filter(~is_ramp).select("doc_id", "pos", "name", F.lit("solid").alias("type"), "value").transform(united, found)
 
 
 def paint_resources(layers: DataFrame, gradients: DataFrame, strokes: DataFrame) -> DataFrame:
@@ -142,8 +186,8 @@ def paint_resources(layers: DataFrame, gradients: DataFrame, strokes: DataFrame)
     (doc_id, color); a gradient counts once however often it is used."""
     solid = layers.filter(~F.startswith(F.lower("name"), F.lit("gradient"))).select("doc_id", F.lower("value").alias("hex"))
     drawn = strokes.select("doc_id", F.lower("color").alias("hex")).filter(F.col("hex").rlike("^#[0-9a-f]{6}$"))
-    docs = layers.select("doc_id").unionByName(gradients.select("doc_id")).unionByName(strokes.select("doc_id")).distinct()
-    n_solid = solid.unionByName(drawn).groupBy("doc_id").agg(F.count_distinct("hex").alias("solid_paints"))
+    docs = layers.select("doc_id").transform(united, gradients.select("doc_id")).transform(united, strokes.select("doc_id")).distinct()
+    n_solid = solid.transform(united, drawn).groupBy("doc_id").agg(F.count_distinct("hex").alias("solid_paints"))
     n_ramp = gradients.groupBy("doc_id").agg(F.count(F.lit(1)).alias("gradient_paints"))
     both = docs.join(n_solid, "doc_id", "left").join(n_ramp, "doc_id", "left").na.fill(0)
     return both.select("doc_id", "solid_paints", "gradient_paints", (F.col("solid_paints") + F.col("gradient_paints")).alias("unique_paints_total"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.raster import component_runs
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 COLOUR = ["doc_id", "r", "g", "b"]
 
@@ -105,7 +105,7 @@ def kmeans_seed(hist: DataFrame, k: int) -> DataFrame:
         gain = F.col("w") * (F.coalesce("d2", F.lit(1.0)))
         best = state.filter("d2 IS NULL OR d2 > 0").groupBy("doc_id").agg(F.max(F.struct(gain.alias("gain"), (-F.col("r")).alias("nr"), (-F.col("g")).alias("ng"), (-F.col("b")).alias("nb"))).alias("m"))
         seed = best.select("doc_id", F.lit(n).alias("k"), *((-F.col(f"m.n{c}")).cast("double").alias(c) for c in "rgb"))
-        seeds = seed if seeds is None else seeds.unionByName(seed)
+        seeds = seed if seeds is None else seeds.transform(united, seed)
         p = seed.select("doc_id", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
         far = distance2("", "p_")
         state = written(state.join(p, "doc_id", "left").select(*COLOUR, "w", F.when(F.col("p_r").isNull(), F.col("d2")).otherwise(F.least(F.coalesce("d2", far), far)).alias("d2")))
@@ -152,7 +152,7 @@ def merge_close(pal: DataFrame, hist: DataFrame, limit: float = 45.0) -> DataFra
         w, o_w = (F.greatest(F.coalesce(c, F.lit(1.0)), F.lit(1.0)) for c in ("w", "o_w"))
         merged = full.select("doc_id", F.col("new").cast(now.schema["k"].dataType).alias("k"), *(((F.col(c) * w + F.col(f"o_{c}") * o_w) / (w + o_w)).alias(c) for c in "rgb"))
         gone = best.select("doc_id", F.explode(F.array("k", "o_k")).alias("k"))
-        now = written(now.join(gone, ["doc_id", "k"], "left_anti").unionByName(merged))
+        now = written(now.join(gone, ["doc_id", "k"], "left_anti").transform(united, merged))
     weights = nearest_label(hist, now).groupBy("doc_id", "k").agg(F.sum("w").cast("double").alias("w"))
     return now.join(weights, ["doc_id", "k"], "left").select("doc_id", "k", "r", "g", "b", F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(1.0)).alias("w"))
 
@@ -224,19 +224,33 @@ def choose_palette(hist: DataFrame, most: int = 8, forced: int | None = None) ->
     start = F.struct(F.lit(0).alias("size"), F.col("mean"), F.col("p90"), F.lit(False).alias("met"))
     none = F.array().cast("array<struct<size:int,mean:double,p90:double>>")
     best = known.join(tries, "doc_id", "left").withColumn("best", F.aggregate(F.coalesce("tries", none), start, step)).select("doc_id", "base_colors", "best.size", "best.mean", "best.p90")
-    every = whole(base).withColumn("size", F.lit(0)).unionByName(whole(rich).select(F.col("doc_id.doc_id").alias("doc_id"), "k", "r", "g", "b", F.col("doc_id.size").alias("size")))
+    every = whole(base).withColumn("size", F.lit(0)).transform(united, whole(rich).select(F.col("doc_id.doc_id").alias("doc_id"), "k", "r", "g", "b", F.col("doc_id.size").alias("size")))
     chosen = every.join(best, ["doc_id", "size"])
     count = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1
     return chosen.select("doc_id", F.when(count > F.col("base_colors"), "adaptive").otherwise("compact").alias("mode"), "base_colors", place.alias("k"), "r", "g", "b", "mean", "p90")
 
 
-def lost_colors(hist: DataFrame, pal: DataFrame, emitted: DataFrame, share: float = 0.01, radius: float = 75.0) -> DataFrame:
-    """Palette colours of at least ``share`` of the weight that no emitted colour comes near."""
+def lost_colors(hist: DataFrame, pal: DataFrame, emitted: DataFrame, share: float = 0.01, radius: float = 75.0, blend: float = 35.0, paper: DataFrame | None = None) -> DataFrame:
+    """Palette colours of at least ``share`` of the weight that no emitted colour covers (largest channel
+    difference within ``radius``) and that lie further than ``blend`` from every straight line between
+    two end points: emitted colours and the removed background ``paper``, if any (doc_id, r, g, b)."""
     heavy = cluster_shares(nearest_label(hist, pal)).filter(F.col("share") >= share).join(pal, ["doc_id", "k"])
-    e = emitted.select("doc_id", *(F.col(c).alias(f"e_{c}") for c in "rgb"))
-    near = heavy.join(e, "doc_id").filter(distance2("", "e_") <= radius * radius).select("doc_id", "k").distinct()
-    return heavy.join(near, ["doc_id", "k"], "left_anti").select("doc_id", "k", "r", "g", "b", "share")
+    colour = lambda df, drawn: df.select("doc_id", F.struct(*(F.col(c).cast("double").alias(c) for c in "rgb"), F.lit(drawn).alias("drawn")).alias("e"))
+    ends = colour(emitted, True) if paper is None else colour(emitted, True).transform(united, colour(paper, False))
+    # A palette is small, so a document's end points are one short array.
+    both = heavy.join(ends.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("ends")), "doc_id", "left")
+    covered = F.exists("ends", lambda e: e["drawn"] & (F.greatest(*(F.abs(F.col(c) - e[c]) for c in "rgb")) <= radius))
+
+    def beside(p: Column, q: Column) -> Column:
+        along = sum(((F.col(c) - p[c]) * (q[c] - p[c]) for c in "rgb"), F.lit(0.0))
+        size = sum((F.pow(q[c] - p[c], 2) for c in "rgb"), F.lit(0.0))
+        u = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / size))).otherwise(0.0)
+        return sum((F.pow(F.col(c) - (p[c] + u * (q[c] - p[c])), 2) for c in "rgb"), F.lit(0.0)) < blend * blend
+
+    blended = F.exists("ends", lambda p: F.exists("ends", lambda q: (p < q) & beside(p, q)))
+    lost = ~F.coalesce(covered, F.lit(False)) & ~F.coalesce(blended, F.lit(False))
+    return both.filter(lost).select("doc_id", "k", "r", "g", "b", "share")
 
 
 def unique_color_gain(hist: DataFrame, current: DataFrame, missing: DataFrame) -> DataFrame:
@@ -253,7 +267,7 @@ def region_adjacency(px: DataFrame, label: str, limit: int = 30) -> DataFrame:
     """Contacts of differently labelled right and lower neighbours, and the share of smooth ones."""
     o = px.select("doc_id", F.col("y").alias("oy"), F.col("x").alias("ox"), F.col(label).alias("o_label"), *(F.col(c).alias(f"o_{c}") for c in "rgb"))
     side = lambda dy, dx: px.join(o.withColumn("y", F.col("oy") - dy).withColumn("x", F.col("ox") - dx), ["doc_id", "y", "x"])
-    both = side(0, 1).unionByName(side(1, 0)).filter(F.col(label) != F.col("o_label"))
+    both = side(0, 1).transform(united, side(1, 0)).filter(F.col(label) != F.col("o_label"))
     smooth = F.when(F.greatest(*(F.abs(F.col(c) - F.col(f"o_{c}")) for c in "rgb")) < limit, 1.0).otherwise(0.0)
     return both.groupBy("doc_id", F.least(label, "o_label").alias("lo"), F.greatest(label, "o_label").alias("hi")).agg(F.count(F.lit(1)).alias("contacts"), F.round(F.avg(smooth), 6).alias("smooth"))
 
@@ -276,6 +290,24 @@ def border_colors(px: DataFrame, height: int, width: int, most: int = 6, least:
     return per.withColumn("share", F.round(F.col("n") / total, 6)).withColumn("place", F.row_number().over(by)).filter((F.col("place") <= most) & (F.col("share") >= least)).select("doc_id", "place", "n", "share", "m_r", "m_g", "m_b")
 
 
+def border_background(px: DataFrame, height: int, width: int, light: int = 190, spread: int = 30, most: int = 6, near: int = 14) -> DataFrame:
+    """Neutral light pixels within ``near`` of a frequent border colour: doc_id, y, x.
+
+    Border colours are the light neutral ones in steps of 8 levels, corners counted for both of their
+    edges: the ``most`` most frequent that hold one percent and two pixels, by their median colour.
+    """
+    plain = px.filter((F.least("r", "g", "b") >= light) & (F.greatest("r", "g", "b") - F.least("r", "g", "b") <= spread))
+    edges = F.when(F.col("y").isin(0, height - 1), 1).otherwise(0) + F.when(F.col("x").isin(0, width - 1), 1).otherwise(0)
+    key = [F.floor(F.col(c) / 8).cast("int").alias(f"q_{c}") for c in "rgb"]
+    per = plain.withColumn("times", edges).filter("times > 0").groupBy("doc_id", *key).agg(F.sum("times").alias("n"), *(F.percentile(c, F.lit(0.5), F.col("times")).alias(f"m_{c}") for c in "rgb"))
+    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "q_r", "q_g", "q_b"))
+    kept = per.withColumn("least", F.greatest(F.lit(2), F.floor(0.01 * total))).withColumn("place", place).filter((F.col("place") <= most) & (F.col("n") >= F.col("least")))
+    tones = kept.groupBy("doc_id").agg(F.collect_list(F.struct("m_r", "m_g", "m_b")).alias("tones"))
+    close = F.exists("tones", lambda t: F.greatest(*(F.abs(F.col(c) - t[f"m_{c}"]) for c in "rgb")) <= near)
+    return plain.join(tones, "doc_id").filter(close).select("doc_id", "y", "x")
+
+
 def paint_opacity(px: DataFrame) -> DataFrame:
     """75th percentile of alpha a colour; nearly opaque is opaque, nearly clear is left out."""
     a = F.percentile("a", F.lit(0.75)) / 255
@@ -314,7 +346,7 @@ def farthest_colors(pal: DataFrame, n: int, least: int = 48) -> DataFrame:
     for k in range(n):
         best = state.groupBy("doc_id").agg(F.max(F.struct("gap", (-F.col("place")).alias("np"), "r", "g", "b")).alias("m")).filter(F.col("m.gap") >= least)
         pick = written(best.select("doc_id", F.lit(k).alias("k"), "m.r", "m.g", "m.b", F.col("m.gap").alias("gap")))
-        out = pick if out is None else out.unionByName(pick)
+        out = pick if out is None else out.transform(united, pick)
         t = pick.select("doc_id", *(F.col(c).alias(f"t_{c}") for c in "rgb"))
         near = F.greatest(*(F.abs(F.col(c) - F.col(f"t_{c}")) for c in "rgb"))
         state = written(state.join(t, "doc_id").select("doc_id", "place", "r", "g", "b", F.least("gap", near).alias("gap")).filter("gap > 0"))
@@ -360,7 +392,7 @@ def retain_accents(px: DataFrame, initial: DataFrame, pal: DataFrame, most: int
     for _ in range(most):
         first = Window.partitionBy("doc_id").orderBy(F.desc("rough"), F.desc("n"), F.desc("k"))
         pick = written(left.withColumn("at", F.row_number().over(first)).filter("at = 1").drop("at"))
-        out = pick if out is None else out.unionByName(pick)
+        out = pick if out is None else out.transform(united, pick)
         t = pick.select("doc_id", *(F.col(c).alias(f"t_{c}") for c in "rgb"))
         left = written(left.join(t, "doc_id").filter(distance2("", "t_") >= 64).drop("t_r", "t_g", "t_b"))
     return out.drop("rough", "n")

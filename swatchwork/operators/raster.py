@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.graph import connected_components
+from swatchwork.runtime import united
 
 PIXEL = ["doc_id", "y", "x"]
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -121,7 +122,7 @@ def distance_capped(mask: DataFrame, cap: int, save: Callable[[DataFrame], DataF
         left = save(erode(left, FOUR))
         if left.isEmpty():
             break
-        out = out.unionByName(left.select(*PIXEL, F.lit(1).alias("d")))
+        out = out.transform(united, left.select(*PIXEL, F.lit(1).alias("d")))
     return out.groupBy(*PIXEL).agg(F.sum("d").cast("int").alias("distance"))
 
 

@@ -10,6 +10,7 @@ from swatchwork.functions.svg import NUMBER, box_area, box_gap, is_stable_self_r
 from swatchwork.operators.boxes import BOX, near_pairs
 from swatchwork.operators.checks import canvas_of
 from swatchwork.operators.documents import path_steps
+from swatchwork.runtime import united
 
 # Tags that draw, and attributes that a scene can't keep when it is regrouped.
 DRAWABLE = ("path", "circle", "ellipse", "rect", "line", "polyline", "polygon")
@@ -105,7 +106,7 @@ def scene_refusals(el: DataFrame, boxes: DataFrame) -> DataFrame:
         boxes.filter(has(UNSAFE_DRAWABLE) & ~safe_turn).select("doc_id", F.lit("unsafe element").alias("reason")),
         boxes.filter(no_box).select("doc_id", F.lit("unusable box").alias("reason")),
     ]
-    every = reasons[0].unionByName(reasons[1]).unionByName(reasons[2]).unionByName(reasons[3])
+    every = reasons[0].transform(united, reasons[1]).transform(united, reasons[2]).transform(united, reasons[3])
     return every.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from swatchwork.operators.curves import arc_coverage, compatible_arcs
 from swatchwork.operators.graph import connected_components
+from swatchwork.operators.palette import plane_fit
 from swatchwork.operators.raster import PIXEL
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 
 
 def points_in_shape(px: DataFrame, circles: DataFrame, inset: float = 0.5, cell: int = 16) -> DataFrame:
@@ -43,6 +44,41 @@ def merge_bands(adjacency: DataFrame, contacts: int = 40, smooth: float = 0.55)
     return found.select("node.doc_id", "node.label", F.col("component.label").alias("region"))
 
 
+def merge_color_bands(adjacency: DataFrame, regions: DataFrame, contacts: int = 40, smooth: float = 0.55, area: int = 400, apart: float = 32.0) -> DataFrame:
+    """``merge_bands`` over contacts of large regions (doc_id, label, area, r, g, b) of clearly different
+    colours only: bands of one ramp, not shades of one paint."""
+    end = lambda side: regions.filter(F.col("area") >= area).select("doc_id", F.col("label").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in "rgb"))
+    gap = sum((F.pow(F.col(f"lo_{c}") - F.col(f"hi_{c}"), 2) for c in "rgb"), F.lit(0.0))
+    far = adjacency.join(end("lo"), ["doc_id", "lo"]).join(end("hi"), ["doc_id", "hi"]).filter(gap >= apart * apart)
+    return merge_bands(far.select("doc_id", "lo", "hi", "contacts", "smooth"), contacts, smooth)
+
+
+def axis_stops(px: DataFrame, stops: int = 5, half: float = 0.08, least: int = 30, long: float = 24.0, near: int = 6, span: int = 30) -> DataFrame:
+    """Colour stops of a region along its own axis, the direction of steepest brightness of its plane
+    fit: doc_id, stop, r, g, b.
+
+    A stop is the median colour of the pixels within ``half`` of the length around its place. Stops of
+    few pixels, and those like the last one kept, are left out; the last one stays. Regions shorter
+    than ``long``, with one stop, or whose ends differ by less than ``span`` have none.
+    """
+    fit = written(plane_fit(px))
+    steep = {d: sum((w * F.col(f"slope_{d}_{c}") for c, w in zip("rgb", (0.299, 0.587, 0.114))), F.lit(0.0)) for d in "xy"}
+    # A plane without brightness slopes takes its strongest channel instead.
+    one = F.array_max(F.array(*(F.struct((F.abs(f"slope_x_{c}") + F.abs(f"slope_y_{c}")).alias("size"), F.lit(-k).alias("first"), F.col(f"slope_x_{c}").alias("x"), F.col(f"slope_y_{c}").alias("y")) for k, c in enumerate("rgb"))))
+    flat = F.sqrt(F.pow(steep["x"], 2) + F.pow(steep["y"], 2)) < 1e-4
+    axis = fit.select("doc_id", F.when(flat, one["x"]).otherwise(steep["x"]).alias("gx"), F.when(flat, one["y"]).otherwise(steep["y"]).alias("gy")).withColumn("norm", F.sqrt(F.pow("gx", F.lit(2)) + F.pow("gy", F.lit(2)))).filter("norm >= 1e-6")
+    at = px.join(axis, "doc_id").withColumn("t", F.round((F.col("x") * F.col("gx") + F.col("y") * F.col("gy")) / F.col("norm"), 6))
+    ends = at.groupBy("doc_id").agg(F.min("t").alias("lo"), (F.max("t") - F.min("t")).alias("length")).filter(F.col("length") >= long)
+    place = F.filter(F.sequence(F.lit(0), F.lit(stops - 1)), lambda k: F.abs(F.col("t") - (F.col("lo") + F.col("length") * k / (stops - 1))) <= F.col("length") * half + 1e-9)
+    tone = at.join(ends, "doc_id").select("doc_id", F.explode(place).alias("stop"), "r", "g", "b").groupBy("doc_id", "stop").agg(F.count(F.lit(1)).alias("n"), *(F.floor(F.percentile(c, F.lit(0.5))).cast("int").alias(c) for c in "rgb")).filter(F.col("n") >= least)
+    line = tone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stop", "r", "g", "b"))).alias("s")).filter(F.size("s") >= 2)
+    differ = lambda p, q: F.greatest(*(F.abs(p[c] - q[c]) for c in "rgb"))
+    last = F.element_at("s", -1)
+    kept = F.aggregate(F.slice("s", 2, stops), F.slice("s", 1, 1), lambda acc, q: F.when((differ(q, F.element_at(acc, -1)) > near) | (q["stop"] == last["stop"]), F.concat(acc, F.array(q))).otherwise(acc))
+    wide = line.filter(differ(F.element_at("s", 1), last) >= span)
+    return wide.select("doc_id", F.explode(kept).alias("q")).select("doc_id", "q.stop", "q.r", "q.g", "q.b")
+
+
 def ramp_stops(px: DataFrame, stops: int = 5) -> DataFrame:
     """Median colour in overlapping windows around equally spaced places along x."""
     ends = px.groupBy("doc_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -147,5 +183,5 @@ def assemble(fills: DataFrame, strokes: DataFrame, recovered: DataFrame) -> Data
     """All drawables (doc_id, pos, ...) of a document in one order: fills, then strokes, then what was
     recovered; a column that one of them lacks is null."""
     layers = [df.withColumn("layer", F.lit(k)) for k, df in enumerate((fills, strokes, recovered))]
-    every = layers[0].unionByName(layers[1], allowMissingColumns=True).unionByName(layers[2], allowMissingColumns=True)
+    every = layers[0].transform(united, layers[1], allowMissingColumns=True).transform(united, layers[2], allowMissingColumns=True)
     return every.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("layer", "pos"))).drop("layer", "pos")

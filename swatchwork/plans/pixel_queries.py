@@ -20,6 +20,10 @@ def gap(a: str, b: str) -> str:
     return _GAP.replace("{a}", a).replace("{b}", b)
 
 
+#: Squared distance of colour h from the line between a and b.
+_BESIDE = "(h.r - (a.r + u * (b.r - a.r))) ** 2 + (h.g - (a.g + u * (b.g - a.g))) ** 2 + (h.b - (a.b + u * (b.b - a.b))) ** 2".replace("u *", "greatest(0, least(1, coalesce(((h.r - a.r) * (b.r - a.r) + (h.g - a.g) * (b.g - a.g) + (h.b - a.b) * (b.b - a.b)) / nullif((b.r - a.r) ** 2 + (b.g - a.g) ** 2 + (b.b - a.b) ** 2, 0), 0))) *")
+
+
 QUERIES = {}
 SQL = {}
 
@@ -303,8 +307,9 @@ def prune_blends(spark, sf_dir):
     return P.prune_blends(pal, P.cluster_shares(P.nearest_label(hist, pal)))
 
 
-@query(A.with_views("pal") + _LABEL + """, sh AS (SELECT doc_id, m.k AS k, round(sum(w) / sum(sum(w)) OVER (PARTITION BY doc_id), 6) AS share FROM lab GROUP BY doc_id, m.k), heavy AS (SELECT * FROM sh JOIN pal USING (doc_id, k) WHERE share >= 0.01)
-SELECT doc_id, k, r, g, b, share FROM heavy h WHERE NOT EXISTS (SELECT 1 FROM pal e WHERE e.k < 3 AND e.doc_id = h.doc_id AND (h.r - e.r) ** 2 + (h.g - e.g) ** 2 + (h.b - e.b) ** 2 <= 5625)""")
+@query(A.with_views("pal") + _LABEL + f""", sh AS (SELECT doc_id, m.k AS k, round(sum(w) / sum(sum(w)) OVER (PARTITION BY doc_id), 6) AS share FROM lab GROUP BY doc_id, m.k), heavy AS (SELECT * FROM sh JOIN pal USING (doc_id, k) WHERE share >= 0.01)
+SELECT doc_id, k, r, g, b, share FROM heavy h WHERE NOT EXISTS (SELECT 1 FROM pal e WHERE e.k < 3 AND e.doc_id = h.doc_id AND {gap('h.', 'e.')} <= 75)
+AND NOT EXISTS (SELECT 1 FROM (SELECT h.doc_id, h.k FROM heavy h JOIN pal a ON a.doc_id = h.doc_id AND a.k < 3 JOIN pal b ON b.doc_id = h.doc_id AND b.k < 3 AND a.k < b.k WHERE {_BESIDE} < 35 * 35) c WHERE c.doc_id = h.doc_id AND c.k = h.k)""")
 def lost_colors(spark, sf_dir):
     hist = written(A.hist_li(spark, sf_dir))
     pal = A.palette_of(hist)

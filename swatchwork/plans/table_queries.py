@@ -10,7 +10,7 @@ from swatchwork.operators import boxes as B
 from swatchwork.operators import curves as K
 from swatchwork.operators import documents as D
 from swatchwork.operators import rules as U
-from swatchwork.runtime import written
+from swatchwork.runtime import united, written
 from swatchwork.sources import adapters as A
 from swatchwork.streaming import jobs as J
 
@@ -432,7 +432,7 @@ def same_drawables(spark, sf_dir):
 @query(A.with_views("el") + ", f AS (SELECT doc_id, idx FROM el WHERE idx % 3 = 0 UNION ALL SELECT doc_id, idx FROM el WHERE idx % 2 = 0) SELECT doc_id, idx, coalesce(n, 0) AS families FROM el LEFT JOIN (SELECT doc_id, idx, count(*) AS n FROM f GROUP BY ALL) USING (doc_id, idx) WHERE coalesce(n, 0) <> 1")
 def partition_check(spark, sf_dir):
     el = A.elements(spark, sf_dir).select("doc_id", "idx")
-    return B.partition_violations(el, el.filter("idx % 3 = 0").unionByName(el.filter("idx % 2 = 0")), ["doc_id", "idx"])
+    return B.partition_violations(el, el.filter("idx % 3 = 0").transform(united, el.filter("idx % 2 = 0")), ["doc_id", "idx"])
 
 
 # -- pages and texts -------------------------------------------------------------------------------
