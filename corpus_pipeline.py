@@ -11,7 +11,7 @@ from swatchwork.llm.neardup import near_duplicates
 from swatchwork.llm.packing import pack
 from swatchwork.llm.pii import personal_data, redacted
 from swatchwork.llm.toxicity import score_toxicity, train_toxicity
-from swatchwork.runtime import small_enough, written
+from swatchwork.runtime import small_enough, united, written
 
 
 def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept.select(docs.columns)
     first = F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit("")))
     one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(first.alias("row")).select("row.*")
-    return _without(kept, "_key", again).select(docs.columns).unionByName(one)
+    return _without(kept, "_key", again).select(docs.columns).transform(united, one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from swatchwork.llm.caches import claim
-from swatchwork.runtime import bounded_batches, written
+from swatchwork.runtime import bounded_batches, united, written
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Dec
             shared = part(k)
             now = written(rows.mapInArrow(lambda it, s=shared: _one_pass(it, s.value), "at long, starts array<long>, ends array<long>, items array<long>"))
             shared.destroy()
-            hits = now if hits is None else hits.unionByName(now)
+            hits = now if hits is None else hits.transform(united, now)
         hits = hits.groupBy("at").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
         found = rows.join(hits, "at", "left").drop("at").mapInArrow(_joined, out)
     kept = ["row"] if keep_row else []

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from swatchwork.llm.oracle import SQL as SQL  # noqa: PLC0414
+from swatchwork.runtime import united
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    return chat_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").transform(united, more))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

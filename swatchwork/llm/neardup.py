@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.llm.shingles import begin_task, hash_parameters, minhash, shingle_set
 from swatchwork.operators.graph import connected_components
-from swatchwork.runtime import bounded_batches, small_enough, written
+from swatchwork.runtime import bounded_batches, small_enough, united, written
 
 
 @dataclass(frozen=True)
@@ -264,7 +264,7 @@ def representative_components(docs: DataFrame, classes: DataFrame, p: NearDupPar
         copies.join(sigs.select("rep", "sig"), "rep").groupBy(*of_block).applyInPandas(lambda g: _partners(g, p), "lead long, rep long, component long, kind string, a int, b int, right boolean, sig binary")
     )
     more = kept.select(F.col("rep").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("as_lead"), F.lit(True).alias("as_rep"))
-    all_sets = sets.unionByName(shingle_sets(docs, more, p)).select(F.col("doc_id").alias("rep"), "shingles")
+    all_sets = sets.transform(united, shingle_sets(docs, more, p)).select(F.col("doc_id").alias("rep"), "shingles")
     second = connected_components(written(kept.join(all_sets, "rep").groupBy(*of_block).applyInPandas(lambda g: _block(g, p), "src long, dst long")))
 
     return first, second

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swatchwork.runtime import united
+
 #: (host, path, verdict) of the contract.
 RULES = (
     ("com", "/en/", "block"),
@@ -90,7 +92,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, p: UrlParams = UrlParams()) -
     dealt = F.pmod(F.xxhash64("page_id", "path"), F.lit(lanes)).cast("int")
     urls = rows.select(dealt.alias("lane"), host_key(F.col("host")).alias("key"), F.lit(0).alias("step"), none(entry).alias("opened"), "page_id", "host", "path", F.lit(True).alias("is_url"))
     order = Window.partitionBy("lane").orderBy("key", "is_url", "step").rowsBetween(Window.unboundedPreceding, 0)
-    swept = urls.unionByName(events).withColumn("depth", F.sum("step").over(order))
+    swept = urls.transform(united, events).withColumn("depth", F.sum("step").over(order))
     slots = [F.last(F.when((F.col("step") == 1) & (F.col("depth") == j), F.col("opened")), ignorenulls=True).over(order).alias(f"slot{j}") for j in range(1, levels + 1)]
     stacked = swept.select("page_id", "host", "path", "is_url", "depth", *slots).filter("is_url")
     fits = F.array().cast("array<struct<size:int,rule:string,verdict:string>>")
