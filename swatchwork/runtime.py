@@ -44,8 +44,8 @@ def written(df: DataFrame) -> DataFrame:
 def united(a: DataFrame, b: DataFrame, allowMissingColumns: bool = False) -> DataFrame:
     """``a`` and ``b`` by column name. All unions of the library are made here.
 
-    Spark 4.1 takes a union of two frames that are partitioned by one key for partitioned by it, but may
-    lay their partitions one after the other; a grouping by the key then has no shuffle and gives several
+    Spark 4.1 takes a union of frames that are partitioned by one key for partitioned by it. Where such a
+    union is grouped by the key and joined with frames of the same source, the grouping then gives several
     rows a key. The setting that does so is turned off in the session.
     """
     a.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
