@@ -81,6 +81,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_strings(personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.prefixtrie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatchwork.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).drop("taken_at")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_line_quality, op5_minhash_near_dup, op6_url_rules,
-    op7_token_counts, op8_decontamination, op9_chat_format, op10_personal_data, pipeline,
+    op7_token_counts, op8_decontamination, op9_chat_format, op10_personal_data, op11_prefix_trie, op12_whitening,
+    op13_source_mix, pipeline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}

@@ -93,6 +93,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('<turn >') + length(role) + n + length('</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+_TRIE = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+byte_ AS (SELECT conv_id, list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+  xor(list_reduce(steps, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM byte_),
+head AS (SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h),
+k AS (SELECT conv_id, count(*) AS k FROM head GROUP BY conv_id),
+own AS (SELECT conv_id, t.pos - c.h + coalesce(k.k, 0) AS d, role, text FROM c JOIN t USING (conv_id) LEFT JOIN k USING (conv_id) WHERE t.pos > c.h),
+whole AS (SELECT * FROM head UNION ALL SELECT * FROM own),
+path AS (SELECT conv_id, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words FROM whole
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+up AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS parent, lead(d) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM path),
+node AS (SELECT d, node, any_value(parent) AS parent, count(*) AS n_convs, min(conv_id) AS conv_id, any_value(n_words) AS n_words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM up GROUP BY d, node),
+child AS (SELECT parent, count(*) AS n_children FROM node WHERE d > 0 GROUP BY parent),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON child.parent = node.node),
+below AS (SELECT p.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.n_words)::BIGINT AS saved_tokens FROM full_ f JOIN path p ON p.conv_id = f.conv_id AND p.d <= f.d GROUP BY p.node)
+SELECT f.conv_id, f.d AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ids) AS ends_sha256
+FROM full_ f JOIN below USING (node) LEFT JOIN node a ON a.node = f.parent"""
+
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM d GROUP BY source),
+-- Sources reach their cap in this order; the first that does not, with all before it capped, tells the level.
+w AS (SELECT *, coalesce(sum(3 * source_size) OVER before_, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before_, 0) AS free, sum(source_size) OVER () AS total
+  FROM s WINDOW before_ AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT min((total - capped)::DOUBLE / free) FILTER (3 * source_size >= (total - capped)::DOUBLE / free * weight) AS level FROM w),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target FROM s, level),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
+r AS (SELECT d.*, source_size, target, times, target - times * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN upto <= rest OR upto - size < rest AND 2 * rest > (2 * upto - size)::DOUBLE THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"""
+
 SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op4_line_quality": _QUALITY,
@@ -100,4 +132,6 @@ SQL: dict[str, str] = {
     "op6_url_rules": _URLS.replace("{rules}", ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlrules.RULES)),
     "op8_decontamination": _LEAKS,
     "op9_chat_format": _CHAT,
+    "op11_prefix_trie": _TRIE,
+    "op13_source_mix": _MIX,
 }
