@@ -117,9 +117,9 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM d GROUP BY source),
 -- Sources reach their cap in this order; the first that does not, with all before it capped, tells the level.
-w AS (SELECT *, coalesce(sum(3 * source_size) OVER before_, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before_, 0) AS free, sum(source_size) OVER () AS total
+w AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source) AS nth, coalesce(sum(3 * source_size) OVER before_, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before_, 0) AS free, sum(source_size) OVER () AS total
   FROM s WINDOW before_ AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min((total - capped)::DOUBLE / free) FILTER (3 * source_size >= (total - capped)::DOUBLE / free * weight) AS level FROM w),
+level AS (SELECT arg_min((total - capped)::DOUBLE / free, nth) FILTER (3 * source_size >= (total - capped)::DOUBLE / free * weight) AS level FROM w),
 t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target FROM s, level),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
 r AS (SELECT d.*, source_size, target, times, target - times * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
