@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.functions.svg import NUMBER, solid_paint
 from swatchwork.operators.compare import border_stats, ink_mask
+from swatchwork.operators.paths import endpoint_arc, on_arc
 from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, component_stats, composite_over, erode
 from swatchwork.runtime import united, written
 
@@ -96,22 +97,26 @@ def splittable(el: DataFrame, references: DataFrame, servers: DataFrame) -> Data
 
 
 #: Least and most steps of a segment by kind.
-STEPS = {"line": (1, 1 << 20), "quad": (2, 512), "cubic": (3, 512), "arc": (2, 512)}
+STEPS = {"line": (1, 1 << 20), "quad": (2, 512), "cubic": (3, 512), "arc": (2, 512), "svg_arc": (2, 512)}
 
 
 def sample_path(segments: DataFrame, step: float) -> DataFrame:
     """Points along segments, about ``step`` apart, the last one at the end: doc_id, seg, k, x, y.
 
-    ``segments``: doc_id, seg, kind, and eight numbers ``p`` - start, controls, end; a line uses the
-    first four, a quad six, a cubic eight, an arc centre, radii, start angle and sweep in degrees.
+    ``segments``: doc_id, seg, kind, and up to nine numbers ``p`` - start, controls, end; a line uses the
+    first four, a quad six, a cubic eight, an arc centre, radii, start angle and sweep in degrees, an
+    svg_arc those of ``endpoint_arc``, all nine.
     """
+    segments = segments.withColumn("_arc", F.when(F.col("kind") == "svg_arc", endpoint_arc(F.col("p"))))
+    arc = F.col("_arc")
     p = [F.get("p", F.lit(k)) for k in range(8)]
     hop = lambda a, b: F.sqrt(F.pow(p[b] - p[a], 2) + F.pow(p[b + 1] - p[a + 1], 2))
     kind = F.col("kind")
-    size = F.when(kind == "line", hop(0, 2)).when(kind == "quad", hop(0, 2) + hop(2, 4)).when(kind == "cubic", hop(0, 2) + hop(2, 4) + hop(4, 6)).otherwise(F.greatest(p[2], p[3]) * F.radians(F.abs(p[5])))
+    size = F.when(kind == "line", hop(0, 2)).when(kind == "quad", hop(0, 2) + hop(2, 4)).when(kind == "cubic", hop(0, 2) + hop(2, 4) + hop(4, 6)).when(kind == "svg_arc", F.greatest(arc["rx"], arc["ry"]) * F.abs(arc["sweep"])).otherwise(F.greatest(p[2], p[3]) * F.radians(F.abs(p[5])))
     low, high = (reduce(lambda c, n: c.when(kind == n, STEPS[n][i]), STEPS, F) for i in (0, 1))
     n = F.least(high, F.greatest(low, F.ceil(size / step).cast("int")))
-    rows = segments.select("doc_id", "seg", "kind", "p", n.alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    n = F.when(arc["straight"], 1).otherwise(n)
+    rows = segments.select("doc_id", "seg", "kind", "p", "_arc", n.alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     t, s = F.col("k") / F.col("n"), 1 - F.col("k") / F.col("n")
 
     def place(o: int) -> Column:
@@ -119,6 +124,7 @@ def sample_path(segments: DataFrame, step: float) -> DataFrame:
         return (
             F.when(kind == "line", s * p[o] + t * p[2 + o]).when(kind == "quad", s * s * p[o] + 2 * s * t * p[2 + o] + t * t * p[4 + o])
             .when(kind == "cubic", s * s * s * p[o] + 3 * s * s * t * p[2 + o] + 3 * s * t * t * p[4 + o] + t * t * t * p[6 + o])
+            .when(arc["straight"], F.get("p", F.lit(7 + o))).when(kind == "svg_arc", on_arc(arc, arc["start"] + arc["sweep"] * t)[o])
             .otherwise(p[o] + p[2 + o] * (F.sin(turn) if o else F.cos(turn)))
         )
 

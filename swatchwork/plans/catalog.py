@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swatchwork.plans import audit_queries, check_queries, choice_queries, measure_queries, pixel_queries, scene_queries, shape_queries, table_queries
+from swatchwork.plans import audit_queries, check_queries, choice_queries, measure_queries, pixel_queries, ring_queries, scene_queries, shape_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES, **table_queries.QUERIES, **shape_queries.QUERIES, **audit_queries.QUERIES, **check_queries.QUERIES, **choice_queries.QUERIES, **scene_queries.QUERIES, **measure_queries.QUERIES}
-SQL: dict[str, str] = {**pixel_queries.SQL, **table_queries.SQL, **shape_queries.SQL, **audit_queries.SQL, **check_queries.SQL, **choice_queries.SQL, **scene_queries.SQL, **measure_queries.SQL}
+_MODULES = (pixel_queries, table_queries, shape_queries, audit_queries, check_queries, choice_queries, scene_queries, measure_queries, ring_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,11 +53,6 @@ def near_circle(spark, sf_dir):
     return K.near_circle(pts, K.circle_fit(pts))
 
 
-@query()
-def rank_annuli(spark, sf_dir):
-    return S.rank_annuli(S.annulus_candidates(A.arcs(spark, sf_dir)).withColumn("f1", F.lit(1.0)))
-
-
 _HEX = "'#' || printf('%02x', r) || printf('%02x', g) || printf('%02x', b)"
 _NEW = "'#' || printf('%02x', 255 - r) || printf('%02x', 255 - g) || printf('%02x', 255 - b)"
 

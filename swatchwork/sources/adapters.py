@@ -72,6 +72,12 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points along the arcs, about three units apart."""
+    a = "radians(a0 + (a1 - a0) * seq / n)"
+    return arcs(spark, sf_dir).selectExpr("*", "cast(ceil(radians(a1 - a0) * radius / 3) AS int) AS n").selectExpr("*", "explode(sequence(0, n)) AS seq").selectExpr("doc_id", "arc_id", "seq", f"cx + radius * cos({a}) AS x", f"cy + radius * sin({a}) AS y")
+
+
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate scores; rows of one item are numbered by all columns, since keys repeat."""
     li = table(spark, sf_dir, "lineitem")

@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 
 def _hist(spark, rows):
     return spark.createDataFrame([(d, *map(int, c), int(w)) for d, c, w in rows], "doc_id long, r int, g int, b int, w long")
@@ -57,6 +59,43 @@ def test_ramps_that_help(spark):
     assert [r.doc_id for r in got] == [1] and got[0].area == 300 and got[0].ramp_mean < 6 and got[0].worse_share <= 0.1
 
 
+def test_ramps_of_every_document_and_region(spark):
+    from swatchwork.operators import shapes as S
+
+    # 40 documents with a ramp along x, and one with ten: bars that get brighter along their own axes.
+    rows = [(d, 0, y, x, 4 * x, 100, 50, 118, 100, 50) for d in range(40) for y in range(7) for x in range(60)]
+    for k in range(10):
+        steep = lambda x, y: x if k % 2 else x / 2 + y  # noqa: B023, E731
+        rows += [(99, k, y, x, int(4 * steep(x, y)), 30, 30, 60, 30, 30) for y in range(30) for x in range(30 + k)]
+    rows += [(100, 0, y, x, 100 + x % 2, 100, 50, 100, 100, 50) for y in range(5) for x in range(60)]
+    rows += [(101, 0, y, x, (x * 37 + y * 91) % 256, 0, 0, 128, 0, 0) for y in range(30) for x in range(30)]
+    px = spark.createDataFrame(rows, "doc_id long, region int, y int, x int, r int, g int, b int, fr int, fg int, fb int")
+    got = S.region_ramps(px, S.RampParams(area=200)).collect()
+    assert {r.doc_id for r in got if r.doc_id != 99} == set(range(40))
+    assert sorted(r.region for r in got if r.doc_id == 99) == list(range(2, 10)), "the eight largest of a document"
+    one = next(r for r in got if r.doc_id == 0)
+    assert (one.x1, one.x2, len(one.stops)) == (0, 59, 5) and abs(one.y2 - one.y1) < 1e-6 and one.ramp_mean < 4
+    tilted = next(r for r in got if r.doc_id == 99 and r.region == 2)
+    assert abs((tilted.y2 - tilted.y1) / (tilted.x2 - tilted.x1) - 2) < 0.05
+    plain = px.drop("region")
+    flat = px.select("doc_id", F.col("fr").alias("r"), F.col("fg").alias("g"), F.col("fb").alias("b")).distinct()
+    assert S.ramp_gate(plain.filter("doc_id < 40"), S.ramp_stops(plain.filter("doc_id < 40")), flat).count() == 40
+
+
+def test_rings_with_repeated_ids_and_long_chains(spark):
+    from swatchwork.operators import shapes as S
+
+    arc = lambda d, i, paint, a0, a1: (d, i, paint, 2.0, 1.0, "round", "round", 50.0, 50.0, 30.0, a0, a1)
+    arcs = [arc(0, 1, "red", 0.0, 100.0), arc(0, 2, "red", 120.0, 220.0), arc(1, 1, "red", 0.0, 100.0), arc(1, 2, "blue", 120.0, 220.0)]
+    df = spark.createDataFrame(arcs, "doc_id long, arc_id long, paint string, width double, opacity double, linecap string, linejoin string, cx double, cy double, radius double, a0 double, a1 double")
+    assert [(r.doc_id, r.ring, r.arcs) for r in S.annulus_candidates(df).collect()] == [(0, 1, 2)]
+    n = 100_000
+    chain = spark.range(n).selectExpr("1L AS doc_id", "concat('g', id) AS id", f"if(id < {n - 1}, concat('g', id + 1), null) AS href", f"if(id = {n - 1}, 3, 0) AS stops")
+    loop = spark.createDataFrame([(2, "a", "b", 0), (2, "b", "c", 0), (2, "c", "b", 0), (2, "d", "nowhere", 0)], "doc_id long, id string, href string, stops int")
+    got = S.resolved_stops(chain.unionByName(loop))
+    assert got.filter("doc_id = 1 AND stops = 3").count() == n and got.filter("doc_id = 2 AND stops <> 0").count() == 0
+
+
 def test_near_circles(spark):
     from swatchwork.operators import curves as K
 
