@@ -1,7 +1,7 @@
 """MinHash near duplicates with sequential Bayesian verification.
 
-Texts with equal shingle sets form one class, represented by its smallest doc_id. Signatures of
-the representatives are cut into bands; the smallest member of a bucket is its leader, and every
+Texts with equal shingle sets form one class, which has a number and the text of its smallest doc_id. Signatures of
+the classes are cut into bands; the smallest member of a bucket is its leader, and every
 other member is a candidate of that leader. Candidates are compared batch by batch of signature
 values: a pair is dropped as soon as the posterior probability that its similarity reaches the
 threshold falls below ``miss``. Only signatures are shuffled for this; the full shingle sets follow
@@ -72,12 +72,17 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[p
             n.append(len(s))
             prints.append(hashlib.md5(s.tobytes()).digest())
             sigs.append(minhash(s, a, b).astype("<u2").tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "print", "sig"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a hash of the text, which tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 def sketch(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Per row: number of shingles, fingerprint of the shingle set, 16-bit signature values."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, p), "doc_id long, n_shingles long, print binary, sig binary")
+    """Per row: hash of the text, number of shingles, fingerprint of the shingle set, 16-bit signature values."""
+    return _keyed(docs).mapInArrow(lambda it: _sketches(it, p), "doc_id long, text_hash long, n_shingles long, print binary, sig binary")
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.RecordBatch]:
@@ -94,15 +99,16 @@ def _sets(batches: Iterator[pa.RecordBatch], p: NearDupParams) -> Iterator[pa.Re
     begin_task()
     for batch in batches:
         sets = [_packed(shingle_set(text, p.shingle)) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("as_lead"), batch.column("as_rep"), pa.array(sets, pa.binary())], ["doc_id", "as_lead", "as_rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("as_lead"), batch.column("as_rep"), pa.array(sets, pa.binary())], ["rep", "as_lead", "as_rep", "shingles"])
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
-    """Full shingle sets of the texts in ``ids`` (doc_id, as_lead, as_rep), written once; 48 of the
+def shingle_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
+    """Full shingle sets of the classes in ``ids`` (rep, as_lead, as_rep), written once; 48 of the
     64 bits of a hash are kept, still far more than a pair of sets can confuse."""
-    side = F.broadcast(ids) if small_enough(ids.count(), 24) else ids
-    rows = docs.join(side, "doc_id").select("doc_id", "as_lead", "as_rep", "text")
-    return written(rows.mapInArrow(lambda it: _sets(it, p), "doc_id long, as_lead boolean, as_rep boolean, shingles binary").dropDuplicates(["doc_id"]))
+    ids = written(ids.join(classes.select("rep", "doc_id", "text_hash"), "rep"))
+    side = F.broadcast(ids) if small_enough(ids.count(), 40) else ids
+    rows = _keyed(docs).join(side, ["doc_id", "text_hash"]).select("rep", "as_lead", "as_rep", "text")
+    return written(rows.mapInArrow(lambda it: _sets(it, p), "rep long, as_lead boolean, as_rep boolean, shingles binary").dropDuplicates(["rep"]))
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -209,16 +215,16 @@ def _copied(leads: DataFrame, heavy: DataFrame) -> DataFrame:
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    """The ids of a table of pairs, and on which side they stand."""
-    ends = F.array(*(F.struct(F.col(c).alias("doc_id"), F.lit(c == "lead").alias("as_lead")) for c in ("lead", "rep")))
-    return pairs.select(F.explode(ends).alias("e")).groupBy("e.doc_id").agg(F.max("e.as_lead").alias("as_lead"), F.max(~F.col("e.as_lead")).alias("as_rep"))
+    """The classes of a table of pairs, and on which side they stand."""
+    ends = F.array(*(F.struct(F.col(c).alias("rep"), F.lit(c == "lead").alias("as_lead")) for c in ("lead", "rep")))
+    return pairs.select(F.explode(ends).alias("e")).groupBy("e.rep").agg(F.max("e.as_lead").alias("as_lead"), F.max(~F.col("e.as_lead")).alias("as_rep"))
 
 
 def representative_components(docs: DataFrame, classes: DataFrame, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
-    """``node, component`` of the representatives that are linked with a leader, and the same of the
+    """``node, component`` of the classes that are linked with a leader, and the same of the
     components that blocks of the second round connect.
 
-    ``classes``: rep, sig. The copies of a row in the second round: one outside its leader's
+    ``classes``: rep (number of the class), doc_id and text_hash of one of its rows, sig. The copies of a row in the second round: one outside its leader's
     component meets every block of those inside and of the others like it.
     """
     bands = classes.select("rep", "sig").mapInArrow(lambda it: _band_keys(it, p), "rep long, key long")
@@ -228,15 +234,15 @@ def representative_components(docs: DataFrame, classes: DataFrame, p: NearDupPar
     pairs = pairs.join(heavy, "lead", "left").select("lead", "rep", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
 
     ids = _ids(pairs)
-    sigs = written(classes.select("rep", "sig").join(ids.withColumnRenamed("doc_id", "rep"), "rep"))
+    sigs = written(classes.select("rep", "sig").join(ids, "rep"))
     led = _copied(sigs.filter("as_lead").select(F.col("rep").alias("lead"), F.col("sig").alias("lead_sig")), heavy)
     own = sigs.filter("as_rep").select("rep", "sig")
     tested = written(pairs.join(own, "rep").join(led, ["lead", "salt"]).mapInArrow(lambda it: _near(it, p), "lead long, rep long, salt int, near boolean"))
 
     near = tested.filter("near").select("lead", "rep", "salt")
-    sets = shingle_sets(docs, _ids(near), p)
-    led = _copied(sets.filter("as_lead").select(F.col("doc_id").alias("lead"), F.col("shingles").alias("lead_shingles")), heavy)
-    own_sets = sets.filter("as_rep").select(F.col("doc_id").alias("rep"), "shingles")
+    sets = shingle_sets(docs, classes, _ids(near), p)
+    led = _copied(sets.filter("as_lead").select(F.col("rep").alias("lead"), F.col("shingles").alias("lead_shingles")), heavy)
+    own_sets = sets.filter("as_rep").select("rep", "shingles")
     links = written(near.join(own_sets, "rep").join(led, ["lead", "salt"]).mapInArrow(lambda it: _confirmed(it, p), "lead long, rep long"))
     first = written(connected_components(links, "lead", "rep"))
 
@@ -263,27 +269,49 @@ def representative_components(docs: DataFrame, classes: DataFrame, p: NearDupPar
     kept = written(
         copies.join(sigs.select("rep", "sig"), "rep").groupBy(*of_block).applyInPandas(lambda g: _partners(g, p), "lead long, rep long, component long, kind string, a int, b int, right boolean, sig binary")
     )
-    more = kept.select(F.col("rep").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("as_lead"), F.lit(True).alias("as_rep"))
-    all_sets = sets.transform(united, shingle_sets(docs, more, p)).select(F.col("doc_id").alias("rep"), "shingles")
+    more = kept.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti").select("rep", F.lit(False).alias("as_lead"), F.lit(True).alias("as_rep"))
+    all_sets = sets.transform(united, shingle_sets(docs, classes, more, p)).select("rep", "shingles")
     second = connected_components(written(kept.join(all_sets, "rep").groupBy(*of_block).applyInPandas(lambda g: _block(g, p), "src long, dst long")))
 
     return first, second
 
 
+def _of_one_document(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` (print, component, doc_id) with the components joined that rows of one doc_id belong to."""
+    held = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
+    several = written(held.groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("b")).filter("a <> b").select("doc_id"))
+    if several.isEmpty():
+        return named
+    side = F.broadcast(several) if small_enough(several.count(), 16) else several
+    parts = held.join(side, "doc_id").distinct().join(named.select("print", "component"), "print").select("doc_id", "component").distinct()
+    lowest = parts.groupBy("doc_id").agg(F.min("component").alias("src"))
+    joined = connected_components(parts.join(lowest, "doc_id").select("src", F.col("component").alias("dst")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return named.join(joined, "component", "left").select("print", F.coalesce("whole", "component").alias("component"), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text, ...).
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. A
-    null doc_id stays alone with a null component and is kept. Rows that repeat a doc_id count as
-    one document. Other columns are ignored. An empty table gives an empty result.
+    null doc_id stays alone with a null component and is kept. Rows that repeat a doc_id are one
+    document: what one of them is linked with, all are. The order of the rows makes no difference. Other
+    columns are ignored. An empty table gives an empty result.
     """
     bounded_batches(docs)
     rows = written(sketch(docs, p))
-    classes = written(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    first, second = representative_components(docs.select(F.col("doc_id").cast("long"), "text"), classes, p)
-    named = classes.select("print", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    one = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig"))
+    classes = written(one.select("print", "row.doc_id", "row.text_hash", "sig", F.monotonically_increasing_id().alias("rep")))
+    first, second = representative_components(docs, classes, p)
+    named = classes.select("print", "rep", "doc_id").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"), "doc_id")
     # A component of components has the smallest node of them all.
-    named = named.join(second.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("print", F.coalesce("whole", "component").alias("component"))
+    second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = written(named.join(second, "component", "left").select("print", F.coalesce("whole", "component").alias("component"), "doc_id"))
+    named = _of_one_document(rows, named)
+    # Most classes are alone; the others get the smallest doc_id of their component.
+    least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "component_id"))
+    side = F.broadcast(least) if small_enough(least.count(), 24) else least
+    named = named.join(side, "component", "left").select("print", F.coalesce("component_id", "doc_id").alias("component"))
     found = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

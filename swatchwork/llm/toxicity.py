@@ -24,13 +24,14 @@ from swatchwork.runtime import bounded_batches, small_enough, written
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``max_toxic``, ``max_clean``: bound of the training sample, in documents. ``features``: size
-    of the model. ``least_docs``, ``least_share``: toxic documents that must hold an n-gram, in number and as
+    """``max_toxic``, ``max_clean``: bound of the training sample, in documents. ``max_keys``: bound of the n-grams
+    that are weighed, those in most toxic documents. ``features``: size of the model. ``least_docs``, ``least_share``: toxic documents that must hold an n-gram, in number and as
     a share of the sample."""
 
     lengths: tuple[int, ...] = (4, 5, 6, 7)
     max_toxic: int = 2500
     max_clean: int = 6000
+    max_keys: int = 1 << 19
     features: int = 8192
     least_docs: int = 4
     least_share: float = 0.004
@@ -177,6 +178,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     )
     count = lambda df: {int(r.toxic): r.n for r in df.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     empty = np.zeros(0)
+    # Labels may name documents that are not there: classes are those of the documents.
+    side = F.broadcast(known) if small_enough(known.count(), 16) else known
+    known = written(docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(side, "doc_id").distinct())
     n = count(known)
     rate = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((1, p.max_toxic), (0, p.max_clean))}
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(p.seed)), 11) / float(1 << 53)
@@ -184,7 +188,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
     # About max_toxic + max_clean ids, whatever the size of the tables; broadcast only when they are that few.
     side = F.broadcast(chosen) if small_enough(chosen.count(), 16) else chosen
     sample = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(side, "doc_id"))
-    size = count(sample)  # labels may name documents that are not there
+    size = count(sample)  # repeated rows count each
     n1, n0 = size.get(1, 0), size.get(0, 0)
     share = (n1 / rate[1] + 0.5) / (n1 / rate[1] + n0 / rate[0] + 1)
     constant = ToxicityModel(empty.astype(np.uint64), empty, float(np.log(share / (1 - share))) if n1 + n0 else -30.0, p.lengths, p.bits)
@@ -192,7 +196,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxic
         return constant
     toxic = sample.filter("toxic = 1").select("text")
     least = max(p.least_docs, round(p.least_share * min(n[1], p.max_toxic)))
-    counted = toxic.mapInArrow(lambda it: _toxic_keys(it, p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    counted = toxic.mapInArrow(lambda it: _toxic_keys(it, p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = counted.orderBy(F.desc("n"), "key").limit(p.max_keys).toArrow()
     if not counted.num_rows:
         return constant
     keys, pos = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy().astype(float)
