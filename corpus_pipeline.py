@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without an id takes part under one made from its text, above all others, and keeps its
     null. Of rows with one id, one stays: that with the smallest text. Null and empty texts, and
-    texts without words, are like no other and stay. An empty table stays empty.
+    texts without words, are like no other and stay. Rows of one id and text with other differences go by
+    the first of them as JSON. An empty table stays empty.
     """
     no_id = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
     named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), no_id))
@@ -44,7 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = written(found.filter("kept").groupBy("_key").count().filter("count > 1").select("_key"))
     if again.isEmpty():
         return kept.select(docs.columns)
-    first = F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    order = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    first = F.min_by(F.struct(*docs.columns), order)
     one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(first.alias("row")).select("row.*")
     return _without(kept, "_key", again).select(docs.columns).transform(united, one)
 
