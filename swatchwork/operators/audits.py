@@ -28,9 +28,8 @@ def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] =
     return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("core_pixels"), ok.alias("applicable"), *(F.when(ok, F.round(v, 3)).alias(n) for v, n in (("cover", "coverage"), ("mean", "mean_error"), ("p90", "p90_error"))))
 
 
-def linear_details(px: DataFrame, stats: DataFrame, least: int = 21, most: int = 800, core: float = 12.0) -> DataFrame:
-    """Thin straight components: small spread across, long along, sparse in their box; with the median
-    colour of their strongest 15 percent. ``stats``: of ``border_stats``."""
+def _thin(px: DataFrame, stats: DataFrame, least: int, most: int, core: float) -> tuple[DataFrame, DataFrame]:
+    """Pixels of the strong components, and those of the components that are thin and straight."""
     ink = written(px.join(stats, "doc_id").withColumn("strength", channel_gap("", "bg_")).filter(F.col("strength") >= core).select(*PIXEL, "r", "g", "b", "strength"))
     runs = component_runs(ink.select(*PIXEL))
     of = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
@@ -38,9 +37,46 @@ def linear_details(px: DataFrame, stats: DataFrame, least: int = 21, most: int =
     m = p.groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("area"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.percentile("strength", F.lit(0.85)).alias("cut")).filter((F.col("area") >= least) & (F.col("area") <= most) & (F.greatest("w", "h") >= 12))
     half, root = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.col("c") * F.col("c"))
     m = m.withColumn("across", F.sqrt(F.greatest(half - root, F.lit(0.0)))).withColumn("linearity", (half + root) / F.greatest(half - root, F.lit(0.25))).withColumn("fill", F.col("area") / (F.col("w") * F.col("h")))
-    thin = m.filter("across <= 1.5 AND linearity >= 100 AND fill <= 0.28")
-    tone = p.join(thin.select("doc_id", "comp_id", "cut"), ["doc_id", "comp_id"]).filter("strength >= cut").groupBy("doc_id", "comp_id").agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in "rgb"))
-    return thin.join(tone, ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", F.round("across", 3).alias("across"), F.round("linearity", 3).alias("linearity"), "r", "g", "b")
+    return p, m.filter("across <= 1.5 AND linearity >= 100 AND fill <= 0.28")
+
+
+def _core_tone(p: DataFrame, thin: DataFrame) -> DataFrame:
+    """Median colour of the strongest 15 percent of each thin component."""
+    return p.join(thin.select("doc_id", "comp_id", "cut"), ["doc_id", "comp_id"]).filter("strength >= cut").groupBy("doc_id", "comp_id").agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in "rgb"))
+
+
+def linear_details(px: DataFrame, stats: DataFrame, least: int = 21, most: int = 800, core: float = 12.0) -> DataFrame:
+    """Thin straight components: small spread across, long along, sparse in their box; with the median
+    colour of their strongest 15 percent. ``stats``: of ``border_stats``. ``relabelled_lines`` also gives
+    them one label."""
+    p, thin = _thin(px, stats, least, most, core)
+    return thin.join(_core_tone(p, thin), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", F.round("across", 3).alias("across"), F.round("linearity", 3).alias("linearity"), "r", "g", "b")
+
+
+def relabelled_lines(px: DataFrame, stats: DataFrame, labels: DataFrame, pal: DataFrame, owned: DataFrame | None = None, least: int = 21, most: int = 800, core: float = 12.0, dominant: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Thin straight components that several palette colours share get one: new ``labels`` (doc_id, y, x, label)
+    and a record of each changed component.
+
+    A component counts when its most frequent label holds less than ``dominant`` of it. Its new label is the
+    palette colour (doc_id, k, r, g, b) nearest to the median of its strongest pixels, since the others fade
+    into the background; of equals the first. Pixels that are transparent, or in ``owned`` (doc_id, y, x), are no
+    part of a component; pixels without a label stay without one and don't count.
+    """
+    seen = px.filter("a > 0") if "a" in px.columns else px
+    seen = seen if owned is None else seen.join(owned.select(*PIXEL).distinct(), PIXEL, "left_anti")
+    p, thin = _thin(seen, stats, least, most, core)
+    thin = written(thin)
+    own = written(p.join(thin.select("doc_id", "comp_id"), ["doc_id", "comp_id"], "left_semi").join(labels.select(*PIXEL, "label"), PIXEL))
+    share = own.groupBy("doc_id", "comp_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "comp_id").agg(F.max("n").alias("n"))
+    mixed = thin.join(share, ["doc_id", "comp_id"]).withColumn("share", F.col("n") / F.col("area")).filter(F.col("share") < dominant)
+    colors = pal.select("doc_id", "k", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
+    gap = sum((F.pow(F.col(f"p_{c}") - F.col(c), 2) for c in "rgb"), F.lit(0.0))
+    near = _core_tone(p, mixed).join(colors, "doc_id").groupBy("doc_id", "comp_id").agg(F.min(F.struct(gap.alias("gap"), F.col("k").alias("k"))).alias("best"))
+    new = written(own.join(near.select("doc_id", "comp_id", F.col("best.k").alias("paint")), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "y", "x", "label", "paint"))
+    moved = new.groupBy("doc_id", "comp_id", "paint").agg(F.count_if(F.col("label") != F.col("paint")).alias("relabelled")).filter("relabelled > 0")
+    records = mixed.join(moved, ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", F.round("across", 3).alias("across"), F.round("linearity", 3).alias("linearity"), F.round("share", 4).alias("old_share"), "paint", "relabelled")
+    after = labels.join(new.select(*PIXEL, "paint"), PIXEL, "left").withColumn("label", F.coalesce("paint", "label")).drop("paint")
+    return after, records
 
 
 def closed_primitives(pts: DataFrame, width: float) -> DataFrame:
