@@ -4,11 +4,14 @@ Strict patterns with validity tests give the base spans, which always stay. Loos
 propose further spans, which may overlap them. Each candidate is described by its format and its
 context, not by the validity tests. Training positives are the candidates over base spans and, since
 extras never overlap those, each base span once more with its text rewritten into a loose form;
-negatives are the other candidates, of mails only those that cannot be an address. Equal
-descriptions are counted by Spark, boosted trees are fitted to that table (bounded by the
+negatives are the candidates that something speaks against: mails that cannot be an address, numbers that
+fail the test of the only kind they could be, dates, amounts, bare digits, and words like order or page
+before them. All others are no examples, so loose forms in number don't teach the model to leave
+them. Equal descriptions are counted by Spark, boosted trees are fitted to that table (bounded by the
 description's values, whatever the input), and become a column expression. Each generator has a
 threshold of its own: the lowest score group that is itself precise enough and down to which
-rewritten spans against negatives keep the wanted precision, on documents held out from the fit.
+rewritten spans against negatives keep the wanted precision. The scores for this are those of five
+models, each on the fifth of the documents that it was not fitted to, pooled.
 """
 
 from __future__ import annotations
@@ -45,14 +48,16 @@ _ENDING = "[A-Za-z]{2,24}$"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``precision``: share of rewritten base spans among the held-out ones and the negatives over
-    the threshold."""
+    """``precision``: share of rewritten base spans among these and the negatives over the threshold.
+    ``folds``: parts of the documents that are scored in turn by a model of the others. ``least``: weight of
+    a split's side in rows, times 100."""
 
     trees: int = 30
     rate: float = 0.3
     depth: int = 2
     precision: float = 0.95
     least: int = 5
+    folds: int = 5
     context: int = 24
 
 
@@ -149,6 +154,20 @@ def _char_kind(c: Column) -> Column:
     return F.when((c == "") | (c == "\n"), 0).when(c == " ", 1).when(c.rlike(r"[\p{L}0-9]"), 2).otherwise(3)
 
 
+#: Words before a number of another kind, and signs of money before or after it.
+OTHER_NUMBERS = r"(?:order|invoice|part|item|article|page|version|isbn|issn|serial|stock|price|total|amount|sum|model|batch|volume|chapter|section|line|row|case|ticket|build|release|usd|eur|gbp|[$\u20ac\u00a3#])[\x20:.]{0,3}(?:(?:no|nr|number|id)[\x20:.]{0,3})?$"
+
+
+def refuted(m: Column, near: Column, after: Column) -> Column:
+    """What speaks against a loose number ``m`` as personal data; ``near`` is the lower-cased text before."""
+    digits, groups = F.length(_digits(m)), F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))
+    date = m.rlike(r"^(?:[12][0-9]{3}[-./](?:0?[1-9]|1[0-2])[-./][0-3]?[0-9]|[0-3]?[0-9][-./](?:0?[1-9]|1[0-2])[-./][12][0-9]{3})(?:\x20[0-2]?[0-9].*)?$") | m.rlike(r"^(?:1[89]|20)[0-9]{2}\x20?-\x20?(?:1[89]|20)[0-9]{2}$")
+    amount = m.rlike(r"^[0-9]{1,3}(?:[\x20.][0-9]{3})+$|^[0-9]+\.[0-9]+$") | after.isin("%", "\u20ac", "$")
+    address = m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
+    size = (digits < 9) | (digits > 19) | (digits.between(13, 19) & ~luhn(_digits(m)) & ~m.rlike("^[+(]"))
+    return date | amount | address | size | ((groups == 1) & ~m.rlike("^[+(]")) | near.rlike(OTHER_NUMBERS)
+
+
 FEATURES = ("source", "digits", "groups", "opening", "marks", "before", "after", "hint")
 
 
@@ -158,13 +177,14 @@ def described(spans: Column, source: int) -> Column:
 
     def of(s: Column) -> Column:
         m, near = s["text"], F.lower(s["before"])
-        hint = F.when(near.rlike("tel|phone|call|fax"), 1).when(near.rlike("card|visa|pay"), 2).when(near.rlike("pass|secret|key|token"), 3).when(near.rlike("mail|contact"), 4).otherwise(0)
+        # In order of how much they speak for personal data, since trees split at a limit.
+        hint = F.when(near.rlike(OTHER_NUMBERS), 0).when(near.rlike("tel|phone|call|fax"), 5).when(near.rlike("card|visa|pay"), 4).when(near.rlike("pass|secret|key|token"), 2).when(near.rlike("mail|contact"), 3).otherwise(1)
         marks = sum((F.when(F.contains(m, F.lit(c)), 1 << k).otherwise(0) for k, c in enumerate(" .-(")), F.lit(0))
         values = (
             F.lit(source), F.least(F.length(_digits(m)), F.lit(25)), F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(9)),
             F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), marks, _char_kind(F.right(s["before"], F.lit(1))), _char_kind(s["after"]), hint,
         )
-        never = ~m.rlike(_ENDING) if source else F.lit(True)
+        never = ~m.rlike(_ENDING) if source else refuted(m, near, s["after"])
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), never.cast("int").alias("never"), *(v.cast("int").alias(n) for n, v in zip(FEATURES, values)))
 
     return F.transform(spans, of)
@@ -176,7 +196,10 @@ def _forms(kind: str, m: Column) -> list[Column]:
         at, dot = F.split(m, "@"), lambda host, by: F.regexp_replace(host, r"\.", by)
         return [F.concat(at[0], F.lit(a), dot(at[1], d)) for a, d in ((" [at] ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" (AT) ", " (DOT) "))]
     if kind == "phone":
-        return [F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+", "00"), F.regexp_replace(m, r"^\+([0-9]+)", "($1)"), F.regexp_replace(m, r"^\+[0-9]{1,2}[\x20.-]?", "0")]
+        home = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*+(?=[0-9(])", "")  # as it is written in its own country
+        joined = lambda by: F.array_join(F.regexp_extract_all(home, F.lit("[0-9]+"), F.lit(0)), by)
+        abroad = [F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+", "00"), F.regexp_replace(m, r"^\+([0-9]+)", "($1)")]
+        return [*abroad, F.concat(F.lit("0"), home), home, joined("-"), joined("."), joined(" ")]
     if kind == "card":
         return [F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in (".", "  ", " - ")]
     return [F.regexp_replace(m, r"\.", mark) for mark in (". ", " .")]
@@ -281,35 +304,43 @@ def _threshold(z: np.ndarray, forms: np.ndarray, negatives: np.ndarray, p: PiiPa
     for z0 in sorted(set(z), reverse=True):
         at, over = z == z0, z >= z0
         keeps = lambda rows: forms[rows].sum() >= p.precision * (forms[rows].sum() + negatives[rows].sum())
-        if forms[at].sum() and keeps(at) and keeps(over) and forms[over].sum() >= p.least:
+        if forms[at].sum() and keeps(at) and keeps(over):
             limit = float(z0) - 1e-6
     return limit
 
 
+def _fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray, use: np.ndarray, p: PiiParams) -> tuple[float, list]:
+    """Base log odds and trees of the rows ``use``, with ``y`` positives of ``n``."""
+    total, right = n[use].sum(), y[use].sum()
+    # Half a row more on either side keeps the odds finite.
+    base = float(np.log(max(right, 0.5) / max(total - right, 0.5)))
+    z, trees, w = np.full(len(x), base), [], np.where(use, n, 0)
+    for _ in range(p.trees if total else 0):
+        q = 1 / (1 + np.exp(-z))
+        g, h = np.where(use, n * q - y, 0), w * q * (1 - q)
+        tree = _tree(x, g, h, use, p.depth, p.least)
+        trees.append(tree)
+        z = z + p.rate * _value(tree, x)
+    return base, trees
+
+
 def boost(counts: list, p: PiiParams) -> PiiModel:
-    """Fit on description counts: rows with the features, held_out, n_base, n_form and n_never."""
+    """Fit on description counts: rows with the features, fold, n_base, n_form and n_never."""
     none = PiiModel(0.0, (), p.rate, (float("inf"),) * len(SOURCES))
+    counts = sorted((r for r in counts if r.n_base + r.n_form + r.n_never), key=lambda r: tuple(r))
     if not counts:
         return none
-    counts = sorted(counts, key=lambda r: tuple(r))
-    x = np.array([[r[f] for f in FEATURES] for r in counts], int)
+    x, fold = np.array([[r[f] for f in FEATURES] for r in counts], int), np.array([r.fold for r in counts])
     forms, negatives = np.array([r.n_form for r in counts], float), np.array([r.n_never for r in counts], float)
     pos = np.array([r.n_base for r in counts], float) + forms
-    n, held = pos + negatives, np.array([r.held_out for r in counts])
-    w, y = np.where(held, 0, n), pos
-    total, right = w.sum(), np.where(held, 0, y).sum()
-    if not right:
+    if not pos.sum():
         return none
-    # Half a negative more keeps the odds finite where there is none.
-    base = float(np.log(right / max(total - right, 0.5)))
-    z, trees = np.full(len(x), base), []
-    for _ in range(p.trees):
-        q = 1 / (1 + np.exp(-z))
-        g, h = np.where(held, 0, n * q - y), w * q * (1 - q)
-        tree = _tree(x, g, h, ~held, p.depth, p.least)
-        trees.append(tree)
-        z = z + p.rate * _value(tree, x)
-    of = [held & (x[:, FEATURES.index("source")] == k) for k in range(len(SOURCES))]
+    z = np.zeros(len(x))
+    for k in range(p.folds):
+        base, trees = _fitted(x, pos, pos + negatives, fold != k, p)
+        z = np.where(fold == k, base + p.rate * sum((_value(t, x) for t in trees), np.zeros(len(x))), z)
+    base, trees = _fitted(x, pos, pos + negatives, np.ones(len(x), bool), p)
+    of = [x[:, FEATURES.index("source")] == k for k in range(len(SOURCES))]
     return PiiModel(base, tuple(trees), p.rate, tuple(_threshold(z[m], forms[m], negatives[m], p) for m in of))
 
 
@@ -328,12 +359,12 @@ def personal_data(docs: DataFrame, p: PiiParams = PiiParams(), keep_row: bool =
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     found = written(rows.select("doc_id", *more, F.struct(*(bare(F.col(f"of_{k}")).alias(k) for k in KINDS)).alias("base"), loose.alias("loose"), forms.alias("forms")))
     base = F.col("base")
-    held = F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0")
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(p.folds)), F.lit(0)).cast("int").alias("fold")
     label = lambda s, is_base, form: s.withField("n_base", is_base.cast("int")).withField("n_form", F.lit(form)).withField("n_never", F.when(is_base | F.lit(form == 1), 0).otherwise(s["never"]))
     told = F.concat(F.transform("loose", lambda s: label(s, _overlaps(s, base), 0)), F.transform("forms", lambda s: label(s, F.lit(False), 1)))
-    told = found.select(F.coalesce(held, F.lit(False)).alias("held_out"), F.explode(told).alias("s")).select("held_out", "s.*")
+    told = found.select(fold, F.explode(told).alias("s")).select("fold", "s.*")
     # Bounded: the features are small integers.
-    counts = told.groupBy("held_out", *FEATURES).agg(*(F.sum(c).alias(c) for c in ("n_base", "n_form", "n_never"))).collect()
+    counts = told.groupBy("fold", *FEATURES).agg(*(F.sum(c).alias(c) for c in ("n_base", "n_form", "n_never"))).collect()
     model = boost(counts, p)
     kind = lambda s: F.when(s["source"] == 1, "email").when(s["digits"] >= 13, "card").when((s["groups"] == 4) & s["marks"].isin(2, 3), "ip").otherwise("phone")
     chosen = F.filter("loose", lambda s: model.chosen(s) & ~_overlaps(s, base))
