@@ -1,15 +1,20 @@
-"""Files in and out: images as pixels, vector documents as elements, reports of several versions."""
+"""Files in and out: images as pixels, vector documents as elements, reports of several versions, published
+results."""
 
 from __future__ import annotations
 
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swatchwork.runtime import small_enough, united
+
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp")
 #: Attributes that an element takes from its groups.
 INHERITED = ("fill", "stroke", "stroke-width", "stroke-linejoin", "stroke-miterlimit")
@@ -117,6 +122,139 @@ def scan_reports(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json")).orderBy(F.desc("modified"))
 
 
+def _at(v: Column, *path: str) -> Column:
+    """A field of a variant as a variant; null where it is missing or something above is no object."""
+    return F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "variant")
+
+
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("")), "^[A-Z]*", 0)
+
+
+def _object(*options: Column) -> Column:
+    """The first of the values that is an object with fields."""
+    return F.coalesce(*(F.when(F.size(F.try_variant_get(o, "$", "map<string,variant>")) > 0, o) for o in options))
+
+
+def _count(v: Column) -> Column:
+    """A count that is a number, or the list or object of what was counted; no count for anything else."""
+    number = F.try_variant_get(v, "$", "double")
+    whole = F.when(~F.isnan(number) & (F.abs(number) < float(1 << 53)), number).cast("long")
+    text = F.try_variant_get(v, "$", "string")
+    kind = _kind(v)
+    return (
+        F.when(kind == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>")).cast("long")).when(kind == "OBJECT", F.size(F.try_variant_get(v, "$", "map<string,variant>")).cast("long"))
+        .when(kind == "BOOLEAN", None).when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))).otherwise(whole)
+    )
+
+
+def report_summary(reports: DataFrame) -> DataFrame:
+    """Editability data of reports (doc_id, json) of all layouts: ``doc_id, scene_status, dom_groups,
+    manifest_groups, paint_status, role_controls, paint_resources, operation_status, total, passed, partial, failed,
+    manual_review, automatable``.
+
+    Fields are read by what they hold, since a count may be a number, a list or an object. Scene and paint
+    are taken from their present or earlier place, counts of operations from the summary or beside it. The
+    status follows from the counts: anything failed or to be reviewed, then partial, then all passed;
+    otherwise the report's own. Reports that are no JSON object are left out.
+    """
+    r = reports.select("doc_id", F.try_parse_json("json").alias("r")).filter(F.try_variant_get("r", "$", "map<string,variant>").isNotNull())
+    v = F.col("r")
+    scene = _object(_at(v, "scene"), _at(v, "editability_enhancements", "stages", "scene_graph"))
+    paint = _object(_at(v, "paint"), _at(v, "paint_roles"))
+    rows = r.select("doc_id", scene.alias("scene"), paint.alias("paint"), _object(_at(v, "designer_operations")).alias("ops"))
+    names = ("passed", "partial", "failed", "manual_review", "automatable")
+    summary = _object(_at(F.col("ops"), "summary"))
+    rows = rows.withColumn("resources", _object(_at(F.col("paint"), "resource_counts"))).withColumn("summary", summary)
+    # A field of the summary counts even where it is null.
+    inside = lambda n: F.coalesce(F.map_contains_key(F.try_variant_get("summary", "$", "map<string,variant>"), n), F.lit(False))
+    counts = {n: F.when(inside(n), _count(_at(F.col("summary"), n))).otherwise(_count(_at(F.col("ops"), n))) for n in names}
+    listed = F.when(_kind(_at(F.col("paint"), "roles")) == "ARRAY", _count(_at(F.col("paint"), "roles")))
+    status = lambda c: F.coalesce(F.nullif(F.try_variant_get(c, "$.status", "string"), F.lit("")), F.lit("not_audited"))
+    found = rows.select(
+        "doc_id", "ops", status("scene").alias("scene_status"), _count(_at(F.col("scene"), "actual_dom_group_count")).alias("dom_groups"), _count(_at(F.col("scene"), "manifest_only_group_count")).alias("manifest_groups"),
+        status("paint").alias("paint_status"), F.coalesce(_count(_at(F.col("resources"), "role_controls")), listed).alias("role_controls"), _count(_at(F.col("resources"), "paint_resources_total")).alias("paint_resources"),
+        _count(_at(F.col("summary"), "total_operations")).alias("told"), *(c.alias(n) for n, c in counts.items()),
+    )
+    known = [F.col(n) for n in names[:4]]
+    total = F.coalesce("told", F.when(F.coalesce(*known).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in known), F.lit(0).cast("long"))))
+    some = lambda n: F.coalesce(F.col(n), F.lit(0)) != 0
+    own = F.coalesce(F.nullif(F.try_variant_get("ops", "$.status", "string"), F.lit("")), F.lit("manual_review"))
+    state = (
+        F.when(F.col("ops").isNull(), "not_audited").when(some("failed") | some("manual_review"), "manual_review").when(some("partial"), "partial")
+        .when(some("total") & (F.col("passed") == F.col("total")), "passed").otherwise(own)
+    )
+    return found.withColumn("total", total).select("doc_id", "scene_status", "dom_groups", "manifest_groups", "paint_status", "role_controls", "paint_resources", state.alias("operation_status"), "total", *names)
+
+
+# ---- published results -------------------------------------------------------------------------------------
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished manifests; their commit marks are listed, of which there is one a publication."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+
+
+def stage_results(df: DataFrame, path: str, *keys: str) -> str:
+    """First phase: the rows of ``df`` under the name of a new attempt, which is returned. Rows whose ``status``
+    (where there is such a column) is not ``ok`` are put beside the data, as a record of what failed."""
+    attempt = uuid.uuid4().hex
+    named = df.withColumn("_attempt", F.lit(attempt))
+    good = F.coalesce(F.col("status") == "ok", F.lit(False)) if "status" in df.columns else F.lit(True)
+    named.filter(good).write.mode("append").partitionBy("_attempt", *keys).parquet(f"{path}/data")
+    named.filter(~good).write.mode("append").partitionBy("_attempt").parquet(f"{path}/failed")
+    return attempt
+
+
+def commit_results(spark: SparkSession, path: str, attempt: str, schema: str, *keys: str) -> int:
+    """Second phase: a new manifest, which points the keys that the attempt has rows of to it and leaves all
+    others where they were. ``schema``: names and types of the keys. Two publications at a time cannot both
+    have one number: the later one fails and may commit again."""
+    done = _manifests(spark, path)
+    fields = f"_attempt string, {schema}"
+    parts = spark.read.schema(fields).parquet(f"{path}/data").filter(F.col("_attempt") == attempt).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    new = parts.select(F.lit(attempt).alias("_attempt"), *keys, "rows")
+    if done:
+        old = spark.read.parquet(f"{path}/manifest/{done[-1]}")
+        same = reduce(lambda a, b: a & b, (old[k].eqNullSafe(parts[k]) for k in keys))
+        new = old.join(parts, same, "left_anti").select("_attempt", *keys, "rows").transform(united, new)
+    number = done[-1] + 1 if done else 1
+    new.write.parquet(f"{path}/manifest/{number}")
+    return number
+
+
+def publish_results(df: DataFrame, path: str, *keys: str) -> int:
+    """Publish rows by ``keys`` in two phases and return the number of the manifest.
+
+    Readers (``read_results``) follow the last finished manifest, so they see all of a publication or nothing of
+    it, and a job that dies between the phases leaves the version before as it was. Keys without good rows
+    keep their last good ones. ``failed_results`` has the rows that were refused, by attempt.
+    """
+    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    return commit_results(df.sparkSession, path, stage_results(df, path, *keys), kinds, *keys)
+
+
+def read_results(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows that a manifest points to, the last one by default; only their partitions are read."""
+    done = _manifests(spark, path)
+    if not done or (version is not None and version not in done):
+        raise FileNotFoundError(f"no finished manifest in {path}")
+    manifest = spark.read.parquet(f"{path}/manifest/{version or done[-1]}").drop("rows")
+    kinds = dict(manifest.dtypes)
+    data = spark.read.parquet(f"{path}/data")
+    data = data.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in data.columns))
+    side = F.broadcast(manifest) if small_enough(manifest.count(), 256) else manifest
+    same = reduce(lambda a, b: a & b, (data[c].eqNullSafe(side[c]) for c in kinds))
+    return data.join(side, same, "left_semi").drop("_attempt")
+
+
+def failed_results(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that were refused, with their attempt."""
+    return spark.read.parquet(f"{path}/failed")
+
+
 def write_results(df: DataFrame, path: str, *keys: str) -> None:
-    """Publish rows by partition; only the partitions that have rows are replaced, each at once."""
+    """Rows by partition without a manifest; only the partitions that have rows are replaced, each at once."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
