@@ -30,7 +30,7 @@ FROM documents d LEFT JOIN named USING (doc_id)"""
 
 
 _QUALITY = r"""
-WITH params AS (SELECT 20 AS least_docs, 0.02 AS share),
+WITH params AS (SELECT 20 AS least_docs),
 w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 pos AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM w),
 win AS (SELECT doc_id, i, count(*) OVER v = 8 AS whole, string_agg(word, ' ') OVER v AS win FROM pos WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
@@ -42,8 +42,7 @@ held AS (SELECT doc_id, source, text, line, regexp_extract_all(line, '[^\x20\x09
 held2 AS (SELECT * FROM held WHERE len(words) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM held2 GROUP BY doc_id),
 norm AS (SELECT doc_id, source, text, translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, len(words) AS n FROM held2),
-hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM w GROUP BY source),
-often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM norm GROUP BY source, line) JOIN hosts USING (source), params WHERE n > least_docs AND n > share * n_docs),
+often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT (doc_id, text)) AS n FROM norm GROUP BY source, line), params WHERE n > least_docs),
 lost AS (SELECT doc_id, sum(n) AS lost FROM norm JOIN often USING (source, line) GROUP BY doc_id),
 base AS (SELECT doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM w)

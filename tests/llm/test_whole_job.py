@@ -84,6 +84,26 @@ def test_wrapped_licence_texts(spark):
     assert {t: got[i] for i, t in rows} == want
 
 
+def test_named_holders_notices_and_whole_files(spark):
+    from swatchwork.llm.licenses import scan_licenses
+
+    gpl3 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n                            Preamble\n\n  Terms here.\n\n"
+    want = {
+        BSD.replace("the copyright holder nor the names of its", "the Google Inc. nor the names of its"): "BSD-3-Clause",
+        BSD.replace("copyright holder", "University of California, Berkeley"): "BSD-3-Clause",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n\n   Licensed under the Apache License, Version 2.0 (the \"License\");\n": "Apache-2.0",
+        gpl3 + GPL.replace("# ", "").format("3").replace("software;", "software:"): "GPL-3.0-only",
+        "// SPDX-License-Identifier: GPL-2.0\n": "GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0+\n": "GPL-2.0-or-later", "# SPDX-License-Identifier: BSL-1.0\n": "BSL-1.0",
+        "Distributed under the MIT License.": "MIT", "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT", "Licensed under the Apache License 2.0.": "Apache-2.0",
+        "This work is licensed under CC BY 3.0.": "CC-BY-3.0", "Released under CC0 1.0 Universal.": "CC0-1.0", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "BSD-style",
+        "This software is distributed under the terms of the GNU GPL v3 or later.": "GPL-3.0-or-later", " ".join(MIT.split()): "MIT",
+        "The tax is levied under the new law, and licensed under nothing known.": "", "He was released under the bridge.": "",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == want
+
+
 def test_lines_count_documents_not_texts(spark):
     from swatchwork.llm.linequality import line_quality
 
