@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("done", "review", "rejected", "failed")
@@ -90,28 +91,38 @@ def keep_versions(jobs: DataFrame, most: int = 8) -> DataFrame:
     return jobs.filter("status = 'done'").withColumn("version", F.row_number().over(by)).filter(F.col("version") <= most).select("job_id", "version", "event_id")
 
 
-def stream_versions(jobs: DataFrame, most: int = 8) -> DataFrame:
+def stream_versions(jobs: DataFrame, most: int = 8, expiry_minutes: int = 3650 * 1440, late: str = "30 days") -> DataFrame:
     """Twin of ``keep_versions`` and ``restored`` for a stream: for each job of a batch one row with its
     last ``most`` successes, newest first (``versions``), and one for each failure with the success
     that it falls back to among those kept (``restored_id``). The state of a job is a list of at most
-    ``most`` entries; it never expires, since a result may fail at any later time."""
+    ``most`` entries; it is given up when the watermark has passed the job's last event by ``expiry_minutes``."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, kept = state.get if state.exists else (0, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last, kept = state.get if state.exists else (0, -1, [])
         good = [tuple(map(int, v.split(":"))) for v in kept]
         failed = []
         for rows in batches:
             seen += len(rows)
             marks = list(zip(_micros(rows["ts"]).tolist(), rows["event_id"].tolist(), rows["status"]))
+            last = max([last, *(m[0] for m in marks)])
             good = sorted(good + [m[:2] for m in marks if m[2] == "done"], reverse=True)
             failed += [(m[1], next((i for t, i in good if (t, i) < m[:2]), None)) for m in sorted(marks) if m[2] == "failed"]
             good = good[:most]
-        state.update((seen, [f"{t}:{i}" for t, i in good]))
+        state.update((seen, last, [f"{t}:{i}" for t, i in good]))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last // 1000 + expiry_minutes * 60_000))
         out = [(key[0], seen, [i for _, i in good], None, None), *((key[0], seen, None, f, r) for f, r in failed)]
         yield pd.DataFrame(out, columns=["job_id", "seen", "versions", "failed_id", "restored_id"]).astype({"failed_id": "Int64", "restored_id": "Int64"})
 
-    held = jobs.filter("status IN ('done', 'failed')").withColumn("ts", F.col("ts").cast("timestamp"))
-    return held.groupBy("job_id").applyInPandasWithState(fold, "job_id long, seen long, versions array<long>, failed_id long, restored_id long", "seen long, kept array<string>", "append", GroupStateTimeout.NoTimeout)
+    held = jobs.filter("status IN ('done', 'failed')").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return held.groupBy("job_id").applyInPandasWithState(fold, "job_id long, seen long, versions array<long>, failed_id long, restored_id long", "seen long, last long, kept array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_events(query: StreamingQuery) -> int:
+    """Rows that the states of a query dropped because they were behind its watermark, over its recent batches."""
+    return sum(int(s["numRowsDroppedByWatermark"] or 0) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def restored(jobs: DataFrame) -> DataFrame:

@@ -97,3 +97,27 @@ def test_timer_stream(spark, tmp_path):
     clicks = A.table(spark, SF, "events").selectExpr("user_id", "cast(ts AS timestamp) AS ts", "event_id", "event_type")
     got = _two_runs(spark, clicks, lambda s: J.stream_timer_pairs(s, "400 days"), tmp_path, "timer")
     assert sorted(got) == sorted(J.timer_pairs(clicks).collect())
+
+
+def test_late_events_are_counted_and_versions_expire(spark, tmp_path):
+    import datetime
+
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    make = lambda *rows: spark.createDataFrame([(i, at(m), j, s) for i, m, j, s in rows], "event_id long, ts timestamp, job_id long, status string")
+
+    def feed(name, stream, parts):
+        src, late, out = str(tmp_path / f"{name}_in"), 0, str(tmp_path / f"{name}_out")
+        for rows in parts:
+            rows.coalesce(1).write.mode("append").parquet(src)
+            q = stream(spark.readStream.schema(rows.schema).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}_at")).outputMode("append").trigger(availableNow=True).start()
+            assert q.awaitTermination(90)
+            late += J.late_events(q)
+        return late, spark.read.parquet(out).collect()
+
+    late, _ = feed("late", lambda s: J.stream_open_jobs(s, 60, "10 minutes"), [make((1, 0, 1, "queued")), make((2, 600, 2, "queued")), make((3, 5, 1, "running"), (4, 601, 2, "done"))])
+    assert late == 1
+    # The watermark passes job 7 by more than its expiry before it fails; job 8 keeps its success.
+    parts = [make((1, 0, 7, "done")), make((2, 100, 8, "done")), make((3, 101, 7, "failed"), (4, 102, 8, "failed"))]
+    _, rows = feed("old", lambda s: J.stream_versions(s, 3, 30, "10 minutes"), parts)
+    assert [r.restored_id for r in rows if r.failed_id == 4] == [2]
+    assert [r.restored_id for r in rows if r.failed_id == 3] == [None]
