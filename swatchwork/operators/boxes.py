@@ -58,16 +58,24 @@ def order_inversions(el: DataFrame, placed: DataFrame) -> DataFrame:
 
 def order_conflicts(el: DataFrame, groups: DataFrame) -> DataFrame:
     """Per group (doc_id, idx, group_id) and possible anchor (a member): outsiders that overlap a
-    member and lie between it and the anchor. The anchor of least conflicts, then least movement."""
-    m = groups.join(el.select("doc_id", "idx", *BOX), ["doc_id", "idx"])
-    anchor = groups.select("doc_id", "group_id", F.col("idx").alias("anchor"))
-    moves = m.join(anchor, ["doc_id", "group_id"]).withColumn("lo", F.least("idx", "anchor")).withColumn("hi", F.greatest("idx", "anchor"))
-    out = el.join(groups, ["doc_id", "idx"], "left").select("doc_id", F.col("idx").alias("o_idx"), F.col("group_id").alias("o_group"), *(F.col(c).alias(f"o_{c}") for c in BOX))
-    hit = moves.join(out, "doc_id").filter("o_idx > lo AND o_idx < hi AND NOT (o_group <=> group_id)").filter(box_gap("", "o_") == 0)
-    n = hit.groupBy("doc_id", "group_id", "anchor").agg(F.count(F.lit(1)).alias("conflicts"))
-    way = moves.groupBy("doc_id", "group_id", "anchor").agg(F.sum(F.col("hi") - F.col("lo")).alias("moved"))
-    every = way.join(n, ["doc_id", "group_id", "anchor"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
-    best = F.min(F.struct("conflicts", "moved", "anchor"))
+    member and lie between it and the anchor. The anchor of least conflicts, then least movement.
+
+    Overlaps come from the grid; an outsider above its member is in the way of all later anchors, one
+    below it of all earlier ones, so conflicts and movement are running sums over a group's places.
+    """
+    pair = near_pairs(el, 0.0).filter(box_gap("", "o_") == 0).select("doc_id", F.explode(F.array(F.struct("idx", "o_idx"), F.struct(F.col("o_idx").alias("idx"), F.col("idx").alias("o_idx")))).alias("p")).select("doc_id", "p.*")
+    theirs = groups.select("doc_id", F.col("idx").alias("o_idx"), F.col("group_id").alias("o_group"))
+    out = pair.join(groups, ["doc_id", "idx"]).join(theirs, ["doc_id", "o_idx"], "left").filter("NOT (o_group <=> group_id)")
+    met = out.select("doc_id", "group_id", F.col("o_idx").alias("at"), F.lit(0).alias("member"), (F.col("idx") < F.col("o_idx")).cast("int").alias("rise"), (F.col("idx") > F.col("o_idx")).cast("int").alias("fall"))
+    own = groups.join(el.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi").select("doc_id", "group_id", F.col("idx").alias("at"), F.lit(1).alias("member"), F.lit(0).alias("rise"), F.lit(0).alias("fall"))
+    places = own.transform(united, met).groupBy("doc_id", "group_id", "at").agg(*(F.sum(c).alias(c) for c in ("member", "rise", "fall")))
+    by = Window.partitionBy("doc_id", "group_id").orderBy("at")
+    before, after = by.rangeBetween(Window.unboundedPreceding, -1), by.rangeBetween(1, Window.unboundedFollowing)
+    run = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    spot = F.col("member") * F.col("at")
+    moved = F.col("at") * (run(F.col("member"), before) - run(F.col("member"), after)) - run(spot, before) + run(spot, after)
+    every = places.withColumn("conflicts", run(F.col("rise"), before) + run(F.col("fall"), after)).withColumn("moved", moved).filter("member > 0")
+    best = F.min(F.struct("conflicts", "moved", F.col("at").alias("anchor")))
     return every.groupBy("doc_id", "group_id").agg(best.alias("m")).select("doc_id", "group_id", "m.anchor", "m.conflicts", "m.moved")
 
 

@@ -139,13 +139,13 @@ def component_topology(src: DataFrame, ren: DataFrame, height: int, width: int,
     strong = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
     inside = f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}"
     grown = neighbour_count(strong(ren)).filter(inside).select(*PIXEL)
-    pixels = lambda runs, name: runs.select("doc_id", F.col("comp_id").alias(name), "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    own, other = pixels(component_runs(written(strong(src))), "src_comp"), pixels(component_runs(written(grown)), "ren_comp")
-    overlap = written(own.join(other, PIXEL, "left").groupBy("doc_id", "src_comp", "ren_comp").agg(F.count(F.lit(1)).alias("n")))
-    area = F.sum("n").over(Window.partitionBy("doc_id", "src_comp"))
-    parts = overlap.withColumn("area", area).filter(F.col("area") >= least)
-    hit = F.when(F.col("ren_comp").isNotNull(), F.col("n")).otherwise(0)
-    found = parts.groupBy("doc_id", "src_comp").agg(
+    own = written(component_runs(written(strong(src))).withColumnRenamed("comp_id", "src_comp"))
+    other = component_runs(written(grown)).select("doc_id", F.col("comp_id").alias("ren_comp"), "y", F.col("x0").alias("o0"), F.col("x1").alias("o1"))
+    met = own.join(other, ["doc_id", "y"]).filter("x0 <= o1 AND o0 <= x1")  # runs of one row, no pixels
+    overlap = met.groupBy("doc_id", "src_comp", "ren_comp").agg(F.sum(F.least("x1", "o1") - F.greatest("x0", "o0") + 1).alias("n"))
+    areas = own.groupBy("doc_id", "src_comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).filter(F.col("area") >= least)
+    hit = F.coalesce("n", F.lit(0))
+    found = areas.join(overlap, ["doc_id", "src_comp"], "left").groupBy("doc_id", "src_comp").agg(
         F.max("area").alias("area"), F.sum(hit).alias("covered"), F.max(hit).alias("largest"), F.count_if((hit >= 3) & (hit >= 0.05 * F.col("area"))).alias("fragments")
     )
     coverage, whole = 100 * F.col("covered") / F.col("area"), F.when(F.col("covered") > 0, 100 * F.col("largest") / F.col("covered")).otherwise(0.0)

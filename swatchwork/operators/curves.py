@@ -148,22 +148,25 @@ def chained_distance_filter(pts: DataFrame, least: float) -> DataFrame:
 
 def simplify(pts: DataFrame, eps: float) -> DataFrame:
     """Douglas-Peucker for all curves at once: each round splits every open segment at its farthest
-    point beyond ``eps``, until none has one. Ties go to the earliest point."""
-    ends = written(pts.groupBy("curve_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b")))
-    kept = ends.select("curve_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("seq"))
-    open_ = ends.filter("b > a + 1")
-    p = lambda n: pts.select("curve_id", F.col("seq").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    point beyond ``eps``, until none has one. Ties go to the earliest point. A point carries the ends
+    of its segment, so each round moves a point once, and points of settled segments drop out."""
+    p = F.struct("seq", "x", "y")
+    ends = pts.groupBy("curve_id").agg(F.min(p).alias("a"), F.max(p).alias("b"))
+    kept = ends.select("curve_id", F.explode(F.array_distinct(F.array("a.seq", "b.seq"))).alias("seq"))
+    live = written(pts.join(ends, "curve_id").filter("seq > a.seq AND seq < b.seq").select("curve_id", "seq", "x", "y", "a", "b"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    ax, ay = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+    size = F.sqrt(dx * dx + dy * dy)
+    away = F.round(F.when(size > 0, F.abs(dx * ay - dy * ax) / size).otherwise(F.sqrt(ax * ax + ay * ay)), 9)
     while True:  # each round keeps at least one more point of a curve
-        seg = open_.join(p("a"), ["curve_id", "a"]).join(p("b"), ["curve_id", "b"])
-        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-        size = F.sqrt(dx * dx + dy * dy)
-        away = F.when(size > 0, F.abs(dx * (F.col("y") - F.col("ay")) - dy * (F.col("x") - F.col("ax"))) / size).otherwise(F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)))
-        inner = seg.join(pts, "curve_id").filter("seq > a AND seq < b").withColumn("d", F.round(away, 9)).filter(F.col("d") > eps)
-        far = written(inner.groupBy("curve_id", "a", "b").agg(F.max(F.struct("d", (-F.col("seq")).alias("n"))).alias("m")).select("curve_id", "a", "b", (-F.col("m.n")).alias("seq")))
+        beyond = live.withColumn("d", away).filter(F.col("d") > eps).groupBy("curve_id", F.col("a.seq").alias("start"))
+        far = written(beyond.agg(F.max(F.struct("d", (-F.col("seq")).alias("n"), "x", "y")).alias("m")).select("curve_id", "start", F.struct((-F.col("m.n")).alias("seq"), "m.x", "m.y").alias("c")))
         if far.isEmpty():
             break
-        kept = written(kept.transform(united, far.select("curve_id", "seq")))
-        open_ = far.select("curve_id", F.explode(F.array(F.struct(F.col("a"), F.col("seq").alias("b")), F.struct(F.col("seq").alias("a"), F.col("b")))).alias("s")).select("curve_id", "s.*").filter("b > a + 1")
+        kept = written(kept.transform(united, far.select("curve_id", "c.seq")))
+        left = F.col("seq") < F.col("c.seq")
+        split = live.withColumn("start", F.col("a.seq")).join(far, ["curve_id", "start"]).filter("seq <> c.seq")
+        live = written(split.select("curve_id", "seq", "x", "y", F.when(left, F.col("a")).otherwise(F.col("c")).alias("a"), F.when(left, F.col("c")).otherwise(F.col("b")).alias("b")))
     return pts.join(kept, ["curve_id", "seq"]).select("curve_id", "seq", "x", "y")
 
 

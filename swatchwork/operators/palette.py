@@ -35,13 +35,22 @@ def distance2(a: str, b: str) -> Column:
     return sum((F.pow(F.col(f"{a}{c}") - F.col(f"{b}{c}"), 2) for c in "rgb"), F.lit(0.0))
 
 
-def nearest_label(hist: DataFrame, pal: DataFrame) -> DataFrame:
-    """Palette index of each colour: least squared distance, lowest index of equals. A document's
-    palette comes as one array, so that colours are not copied for each of its entries."""
-    p = pal.groupBy("doc_id").agg(F.collect_list(F.struct("k", *(F.col(c).alias(f"p_{c}") for c in "rgb"))).alias("pal"))
+def _with_best(hist: DataFrame, pals: DataFrame) -> DataFrame:
+    """Colours with ``best``, the nearest entry (d2, k, p_r, p_g, p_b) of their document's palette, one
+    array ``pal`` (k, p_r, p_g, p_b) a document, so that colours are not copied for each of its entries."""
     gap = lambda q: sum((F.pow(F.col(c) - q[f"p_{c}"], 2) for c in "rgb"), F.lit(0.0))
     best = F.array_min(F.transform("pal", lambda q: F.struct(gap(q).alias("d2"), q["k"].alias("k"), q["p_r"].alias("p_r"), q["p_g"].alias("p_g"), q["p_b"].alias("p_b"))))
-    return hist.join(p, "doc_id").select(*COLOUR, "w", best.alias("best")).select(*COLOUR, "w", F.col("best.k").alias("k"), F.col("best.d2").alias("d2"), "best.p_r", "best.p_g", "best.p_b")
+    return hist.join(pals.select("doc_id", "pal"), "doc_id").select(*COLOUR, "w", best.alias("best"))
+
+
+def _palettes(pal: DataFrame) -> DataFrame:
+    """A palette table as one array a document."""
+    return pal.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", *(F.col(c).alias(f"p_{c}") for c in "rgb")))).alias("pal"))
+
+
+def nearest_label(hist: DataFrame, pal: DataFrame) -> DataFrame:
+    """Palette index of each colour: least squared distance, lowest index of equals."""
+    return _with_best(hist, _palettes(pal)).select(*COLOUR, "w", F.col("best.k").alias("k"), F.col("best.d2").alias("d2"), "best.p_r", "best.p_g", "best.p_b")
 
 
 def snap_to_palette(hist: DataFrame, pal: DataFrame, radius: float = 48.0) -> DataFrame:
@@ -98,38 +107,37 @@ def oklch(r: Column, g: Column, b: Column) -> Column:
 
 def kmeans_seed(hist: DataFrame, k: int) -> DataFrame:
     """The heaviest colour, then k - 1 times the colour of largest weight times squared distance to
-    its nearest seed; ties by colour. One aggregation a seed for all documents."""
-    state = hist.withColumn("d2", F.lit(None).cast("double"))
-    seeds = None
+    its nearest seed; ties by colour. One aggregation a seed for all documents; only the seeds are
+    written, the histogram is read."""
+    now = None
     for n in range(k):
-        gain = F.col("w") * (F.coalesce("d2", F.lit(1.0)))
-        best = state.filter("d2 IS NULL OR d2 > 0").groupBy("doc_id").agg(F.max(F.struct(gain.alias("gain"), (-F.col("r")).alias("nr"), (-F.col("g")).alias("ng"), (-F.col("b")).alias("nb"))).alias("m"))
-        seed = best.select("doc_id", F.lit(n).alias("k"), *((-F.col(f"m.n{c}")).cast("double").alias(c) for c in "rgb"))
-        seeds = seed if seeds is None else seeds.transform(united, seed)
-        p = seed.select("doc_id", *(F.col(c).alias(f"p_{c}") for c in "rgb"))
-        far = distance2("", "p_")
-        state = written(state.join(p, "doc_id", "left").select(*COLOUR, "w", F.when(F.col("p_r").isNull(), F.col("d2")).otherwise(F.least(F.coalesce("d2", far), far)).alias("d2")))
-    return written(seeds)
+        open_ = hist.withColumn("gain", F.col("w").cast("double")) if now is None else _with_best(hist, now).filter("best.d2 > 0").withColumn("gain", F.col("w") * F.col("best.d2"))
+        best = open_.groupBy("doc_id").agg(F.max(F.struct("gain", (-F.col("r")).alias("nr"), (-F.col("g")).alias("ng"), (-F.col("b")).alias("nb"))).alias("m"))
+        seed = best.select("doc_id", F.array(F.struct(F.lit(n).alias("k"), *((-F.col(f"m.n{c}")).cast("double").alias(f"p_{c}") for c in "rgb"))).alias("more"))
+        now = written(seed.withColumnRenamed("more", "pal") if now is None else now.join(seed, "doc_id", "left").select("doc_id", F.when(F.col("more").isNull(), F.col("pal")).otherwise(F.concat("pal", "more")).alias("pal")))
+    return now.select("doc_id", F.inline("pal")).toDF("doc_id", "k", "r", "g", "b")
 
 
 def weighted_kmeans(hist: DataFrame, k: int, rounds: int = 30, still: float = 0.3, seeds: DataFrame | None = None) -> DataFrame:
     """Weighted k-means of every document's colours at once; documents that moved no more than
     ``still`` and reseeded nothing are done, and the loop ends when all are. An empty centre goes to
     the colour of largest weighted error (the first by colour of equals). ``rounds``: the bound that
-    belongs to the method; ``seeds``: first centres instead of the usual ``k``."""
-    now = (kmeans_seed(hist, k) if seeds is None else seeds).withColumn("done", F.lit(False))
+    belongs to the method; ``seeds``: first centres instead of the usual ``k``. A document's centres
+    are one array; each round is one aggregation of the colours of open documents."""
+    start = kmeans_seed(hist, k) if seeds is None else seeds
+    now = written(_palettes(start.select("doc_id", "k", *(F.col(c).cast("double").alias(c) for c in "rgb"))).withColumn("done", F.lit(False)))
     for _ in range(rounds):
-        lab = nearest_label(hist, now.filter("NOT done").select("doc_id", "k", "r", "g", "b"))
-        mean = lab.groupBy("doc_id", "k").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"n_{c}") for c in "rgb"))
-        worst = lab.groupBy("doc_id").agg(F.min(F.struct((-F.col("w") * F.col("d2")).alias("e"), "r", "g", "b")).alias("worst"))
-        both = now.join(mean, ["doc_id", "k"], "left").join(worst, "doc_id", "left")
-        to = lambda c: F.when(F.col("done"), F.col(c)).otherwise(F.coalesce(F.col(f"n_{c}"), F.col(f"worst.{c}"), F.col(c)))
-        moved = both.select("doc_id", "k", *(to(c).cast("double").alias(c) for c in "rgb"), "done", (F.greatest(*(F.abs(to(c) - F.col(c)) for c in "rgb")) > still).alias("shifted"), (~F.col("done") & F.col("n_r").isNull()).alias("reseeded"))
-        of = Window.partitionBy("doc_id")
-        now = written(moved.select("doc_id", "k", "r", "g", "b", (F.col("done") | ~F.max(F.col("shifted") | F.col("reseeded")).over(of)).alias("done")))
+        lab = _with_best(hist, now.filter("NOT done")).withColumn("k", F.col("best.k"))
+        one = lab.groupBy("doc_id", "k").agg(F.struct(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "rgb")).alias("mean"), F.min(F.struct((-F.col("w") * F.col("best.d2")).alias("e"), "r", "g", "b")).alias("worst"))
+        found = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "mean"))).alias("means"), F.min("worst").alias("worst"))
+        to = lambda q, c: F.coalesce(F.try_element_at("means", q["k"])[c], F.col("worst")[c], q[f"p_{c}"]).cast("double")
+        moved = now.join(found, "doc_id", "left").withColumn("next", F.transform("pal", lambda q: F.struct(q["k"].alias("k"), *(to(q, c).alias(f"p_{c}") for c in "rgb"))))
+        shifted = F.exists(F.zip_with("pal", "next", lambda q, p: F.greatest(*(F.abs(p[f"p_{c}"] - q[f"p_{c}"]) for c in "rgb")) > still), lambda v: v)
+        open_ = F.col("means").isNotNull() & (shifted | (F.size("means") < F.size("pal")))
+        now = written(moved.select("doc_id", F.when(F.col("done"), F.col("pal")).otherwise(F.col("next")).alias("pal"), (F.col("done") | ~open_).alias("done")))
         if now.filter("NOT done").isEmpty():
             break
-    return now.select("doc_id", "k", "r", "g", "b")
+    return now.select("doc_id", F.inline("pal")).toDF("doc_id", "k", "r", "g", "b")
 
 
 def merge_close(pal: DataFrame, hist: DataFrame, limit: float = 45.0) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.graph import connected_components
-from swatchwork.runtime import united
+from swatchwork.runtime import united, written
 
 PIXEL = ["doc_id", "y", "x"]
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -79,22 +80,53 @@ def row_runs(mask: DataFrame) -> DataFrame:
     return mask.withColumn("island", F.col("x") - F.row_number().over(by)).groupBy("doc_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def _run_id() -> Column:
-    """Key of a run, in raster order within its document, for ids and canvases of any size."""
-    return F.struct("doc_id", "y", "x0")
-
-
-def component_runs(mask: DataFrame, reach: int = 1) -> DataFrame:
+def _label_band(rows: pa.Table) -> pa.Table:
+    """Runs of one band of rows with the first run that they reach inside it (``root_y``, ``root_x0``).
+    The band is bounded by its height and the canvas's width."""
+    rows = rows.sort_by([("y", "ascending"), ("x0", "ascending")])
+    ys, lo, hi, reach = (rows.column(c).to_pylist() for c in ("y", "x0", "x1", "reach"))
+    top = list(range(len(ys)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    up, edge = 0, reach[0] if reach else 0  # the run above from which on runs can still touch
+    for i, y in enumerate(ys):
+        while up < i and (ys[up] < y - 1 or ys[up] == y - 1 and hi[up] < lo[i] - edge):
+            up += 1
+        j = up
+        while j < i and ys[j] == y - 1 and lo[j] <= hi[i] + edge:
+            a, b = find(i), find(j)
+            top[max(a, b)] = min(a, b)
+            j += 1
+    roots = [find(i) for i in range(len(ys))]
+    at = lambda values: pa.array([values[i] for i in roots], rows.schema.field("y").type)
+    return rows.select(["doc_id", "y", "x0", "x1"]).append_column("root_y", at(ys)).append_column("root_x0", at(lo))
+
+
+def component_runs(mask: DataFrame, reach: int = 1, band: int = 64) -> DataFrame:
     """Runs with the dense number of their component, in order of its first run. ``reach`` 1 joins
-    diagonal neighbours (8-connected), 0 only straight ones (4-connected)."""
-    runs = row_runs(mask).withColumn("run", _run_id())
-    above = runs.select("doc_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("up"))
+    diagonal neighbours (8-connected), 0 only straight ones (4-connected).
+
+    Each ``band`` of rows is labelled where it lies; only components that meet at the border of two
+    bands take part in the joins of ``connected_components``. Roots are (doc_id, y, x0) of a component's
+    first run, for ids and canvases of any size.
+    """
+    kind = dict(mask.dtypes)
+    runs = row_runs(mask.select(*(F.col(c).cast("int").alias(c) if c != "doc_id" else F.col(c) for c in PIXEL)))
+    rows = runs.select("doc_id", F.floor(F.col("y") / band).cast("int").alias("band"), "y", "x0", "x1", F.lit(reach).alias("reach"))
+    local = written(rows.groupBy("doc_id", "band").applyInArrow(_label_band, f"doc_id {kind['doc_id']}, y int, x0 int, x1 int, root_y int, root_x0 int").withColumn("root", F.struct("doc_id", F.col("root_y").alias("y"), F.col("root_x0").alias("x0"))))
+    first = local.filter(F.pmod("y", F.lit(band)) == 0)
+    last = local.filter(F.pmod("y", F.lit(band)) == band - 1).select("doc_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("root").alias("up"))
     near = (F.col("u0") <= F.col("x1") + reach) & (F.col("u1") >= F.col("x0") - reach)
-    edges = runs.join(above, ["doc_id", "y"]).filter(near).select(F.col("up").alias("src"), F.col("run").alias("dst"))
-    parts = connected_components(edges).withColumnRenamed("node", "run")
-    named = runs.join(parts, "run", "left").withColumn("root", F.coalesce("component", "run"))
+    edges = first.join(last, ["doc_id", "y"]).filter(near).select(F.col("up").alias("src"), F.col("root").alias("dst"))
+    parts = connected_components(edges).withColumnRenamed("node", "root")
+    named = local.join(parts, "root", "left").withColumn("root", F.coalesce("component", "root"))
     rank = named.select("doc_id", "root").distinct().withColumn("comp_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("root")))
-    return named.join(rank, ["doc_id", "root"]).select("doc_id", "comp_id", "y", "x0", "x1")
+    return named.join(rank, ["doc_id", "root"]).select("doc_id", "comp_id", *(F.col(c).cast(kind["y" if c == "y" else "x"]).alias(c) for c in ("y", "x0", "x1")))
 
 
 def component_stats(runs: DataFrame) -> DataFrame:
