@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.runtime import united, written
 
-from swatchwork.functions.svg import NUMBER, solid_paint, style_value
+from swatchwork.functions.svg import NUMBER, solid_paint, style_map, style_value
 
 #: Numbers that one repetition of a path command takes.
 ARITY = {"m": 2, "l": 2, "h": 1, "v": 1, "c": 6, "s": 4, "q": 4, "t": 2, "a": 7, "z": 0}
@@ -141,6 +141,24 @@ def content_signature(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("signature"))
 
 
+#: Attributes and declarations that only colour an element.
+PAINTS = ("fill", "stroke", "stop-color")
+
+
+def structure_signature(elements: DataFrame, ignored_ids: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 of the structure of a scanned document (doc_id, idx, tag, attrs, is_valid): tags and
+    attributes in document order, without paints, classes and role marks. A recolour keeps it; a moved
+    point, another order or another tag changes it. ``metadata`` elements of ``ignored_ids`` don't
+    count; a document that can't be read has no signature. Its elements meet as one file's rows."""
+    attrs, style = F.col("attrs"), style_map(F.col("attrs")["style"])
+    kept = F.array_join(F.transform(F.filter(F.map_entries(style), lambda e: ~e["key"].isin(*PAINTS)), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ";")
+    plain = F.filter(F.map_entries(attrs), lambda e: ~e["key"].isin("class", "style", *PAINTS) & ~F.startswith(e["key"], F.lit("data-paint-role-")))
+    names = F.array_sort(F.concat(plain, F.when(kept != "", F.array(F.struct(F.lit("style").alias("key"), kept.alias("value")))).otherwise(F.slice(plain, 1, 0))))
+    own = elements.filter("is_valid").filter(~((F.col("tag") == "metadata") & F.coalesce(attrs["id"].isin(*ignored_ids), F.lit(False)))) if ignored_ids else elements.filter("is_valid")
+    rows = own.select("doc_id", "idx", F.to_json(F.struct("tag", names.alias("attrs"))).alias("row"))
+    return rows.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "row"))), lambda r: r["row"]), "\n"), 256).alias("signature"))
+
+
 def content_hash(docs: DataFrame) -> DataFrame:
     """Documents by the hash of their text with plain line ends: size of the class, smallest id."""
     h = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), 256)

@@ -233,3 +233,17 @@ def object_candidates(edges: DataFrame, nodes: DataFrame, least_score: float = 0
 
     kind = "doc_id long, group_id int, members array<int>, confidence double, reasons array<string>, x0 double, y0 double, x1 double, y1 double"
     return strong.groupBy("doc_id").applyInPandas(fold, kind)
+
+
+def candidate_manifest(candidates: DataFrame, nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row a candidate: members, paints, box, confidence, reasons, and whether it can be applied.
+    A candidate whose best anchor (``order_conflicts``) still has outsiders in its way would change
+    what covers what: it is listed only, with the reason."""
+    member = candidates.select("doc_id", "group_id", F.explode("members").alias("idx"))
+    paints = member.join(nodes.select("doc_id", "idx", "paint"), ["doc_id", "idx"]).groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("paint")).alias("paints"))
+    rows = candidates.join(paints, ["doc_id", "group_id"], "left").join(conflicts.select("doc_id", "group_id", "anchor", "conflicts"), ["doc_id", "group_id"], "left")
+    unsafe = F.coalesce(F.col("conflicts") > 0, F.col("anchor").isNull())
+    return rows.select(
+        "doc_id", "group_id", F.when(unsafe, "manifest-only").otherwise("actual-dom").alias("mode"), F.round("confidence", 4).alias("confidence"), "reasons", F.size("members").alias("member_count"),
+        F.size("paints").alias("paint_count"), "paints", *BOX, "members", F.when(~unsafe, F.col("anchor")).alias("anchor"), F.when(unsafe, "overlapping paint-order inversion").alias("not_applied_reason"),
+    )

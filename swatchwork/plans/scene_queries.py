@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from swatchwork.operators import boxes as B
+from swatchwork.operators import documents as D
 from swatchwork.operators import scene as C
 from swatchwork.runtime import written
 from swatchwork.sources import adapters as A
@@ -88,3 +90,16 @@ def scene_edges(spark, sf_dir):
 def object_candidates(spark, sf_dir):
     nodes = written(_nodes(spark, sf_dir))
     return C.object_candidates(C.scene_edges(nodes), nodes)
+
+
+@query()
+def object_manifest(spark, sf_dir):
+    nodes = written(_nodes(spark, sf_dir))
+    found = written(C.object_candidates(C.scene_edges(nodes), nodes))
+    groups = found.select("doc_id", F.explode("members").alias("idx"), "group_id")
+    return C.candidate_manifest(found, nodes, B.order_conflicts(nodes, groups))
+
+
+@query()
+def structure_signature(spark, sf_dir):
+    return D.structure_signature(_scanned(spark, sf_dir))

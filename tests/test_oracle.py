@@ -20,7 +20,9 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    # The smallest table has no arcs that make up a ring.
+    folder = SF.replace("0.001", "0.01") if name in ("rank_annuli", "ring_candidates") else SF
+    assert catalog.QUERIES[name](spark, folder).count() > 0
 
 
 def test_flagship(spark):
