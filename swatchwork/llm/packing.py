@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -58,7 +59,11 @@ def token_pieces(docs: DataFrame, path: str, p: PackParams) -> DataFrame:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|: columns enter by steepest gain and leave when they reach 0."""
+    """x >= 0 that minimises |ax - b|: columns enter by steepest gain and leave when they reach 0.
+
+    A fit that ``rounds`` end early is still feasible, only not the best; it warns. What patterns don't
+    place goes to best fit, so the packing stays whole.
+    """
     x = np.zeros(a.shape[1])
     used: list[int] = []
     scale = np.linalg.norm(b) * 1e-9 + 1e-12
@@ -82,6 +87,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             x[:] = 0
             x[used] = now
             used = [u for u, v in zip(used, now) if v > 1e-12]
+    else:
+        warnings.warn(f"pattern fit ended after {rounds} rounds with gain {gain[j]:.3g}", stacklevel=2)
     return x
 
 

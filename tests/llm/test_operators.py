@@ -256,3 +256,18 @@ def test_pipeline_stages(spark):
     want = {i for i, t in rows if parts[i] == i and not brute.leaks(t, items)[1]}
     assert {r.doc_id for r in kept.collect()} == want
     assert P.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_pattern_fit_is_optimal_or_says_so():
+    import numpy as np
+
+    from swatchwork.llm.packing import nnls
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3, (12, 30)).astype(float), rng.integers(1, 50, 12).astype(float)
+    x = nnls(a, b)
+    gain = a.T @ (b - a @ x)
+    # At the optimum nothing gains by growing, and what is used can't gain by any change.
+    assert (x >= 0).all() and gain.max() < 1e-6 and np.abs(gain[x > 0]).max() < 1e-6
+    with pytest.warns(UserWarning, match="ended after 1 rounds"):
+        assert (nnls(a, b, rounds=1) >= 0).all()
