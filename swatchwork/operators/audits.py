@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
 from swatchwork.operators.raster import PIXEL, channel_gap, component_runs, component_stats, erode
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 
 def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] = (91, 75, 138), least: int = 64, tolerance: float = 48.0) -> DataFrame:
@@ -20,7 +20,7 @@ def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] =
     want = {c: F.col(c) * F.col("a") / 255 + p * (1 - F.col("a") / 255) for c, p in zip("rgb", paper)}
     o = ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))
     gap = F.greatest(*(F.abs(F.col(f"o_{c}") - want[c]) for c in "rgb"))
-    m = light.join(core, PIXEL).join(o, PIXEL).withColumn("gap", gap).groupBy("doc_id").agg(
+    m = light.join(by_shuffle(core), PIXEL).join(by_shuffle(o), PIXEL).withColumn("gap", gap).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("gap") <= tolerance, 100.0).otherwise(0.0)).alias("cover"), F.avg("gap").alias("mean"), F.percentile("gap", F.lit(0.9)).alias("p90")
     )
     rows = clear.join(m, "doc_id", "left")
@@ -33,7 +33,7 @@ def _thin(px: DataFrame, stats: DataFrame, least: int, most: int, core: float) -
     ink = written(px.join(stats, "doc_id").withColumn("strength", channel_gap("", "bg_")).filter(F.col("strength") >= core).select(*PIXEL, "r", "g", "b", "strength"))
     runs = component_runs(ink.select(*PIXEL))
     of = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    p = written(ink.join(of, PIXEL))
+    p = written(ink.join(by_shuffle(of), PIXEL))
     m = p.groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("area"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.percentile("strength", F.lit(0.85)).alias("cut")).filter((F.col("area") >= least) & (F.col("area") <= most) & (F.greatest("w", "h") >= 12))
     half, root = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.col("c") * F.col("c"))
     m = m.withColumn("across", F.sqrt(F.greatest(half - root, F.lit(0.0)))).withColumn("linearity", (half + root) / F.greatest(half - root, F.lit(0.25))).withColumn("fill", F.col("area") / (F.col("w") * F.col("h")))
@@ -107,13 +107,13 @@ def repair_candidates(src: DataFrame, ren: DataFrame, topology: DataFrame, heigh
     runs = component_runs(strong(src))
     own = written(runs.select("doc_id", F.col("comp_id").alias("src_comp"), "y", F.explode(F.sequence("x0", "x1")).alias("x")))
     missing = topology.filter("score <= 5 AND coverage <= 5 AND fragments = 0").select("doc_id", "src_comp", "area")
-    mine = written(own.join(missing, ["doc_id", "src_comp"]))
+    mine = written(own.join(by_shuffle(missing), ["doc_id", "src_comp"]))
     reach = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-moat, moat + 1) for dx in range(-moat, moat + 1)))
     around = mine.select("doc_id", "src_comp", F.explode(reach).alias("o"), "y", "x").select("doc_id", "src_comp", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
     other = own.withColumnRenamed("src_comp", "o_comp")
-    near = around.join(other, PIXEL).filter("o_comp <> src_comp").groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("src_moat"))
-    hit = around.join(strong(ren), PIXEL).groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("ren_moat"))
-    tones = mine.join(src, PIXEL).groupBy("doc_id", "src_comp", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "src_comp").agg(F.max(F.struct("n", "r", "g", "b")).alias("m"), F.sum("n").alias("all"))
+    near = around.join(by_shuffle(other), PIXEL).filter("o_comp <> src_comp").groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("src_moat"))
+    hit = around.join(by_shuffle(strong(ren)), PIXEL).groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("ren_moat"))
+    tones = mine.join(by_shuffle(src), PIXEL).groupBy("doc_id", "src_comp", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "src_comp").agg(F.max(F.struct("n", "r", "g", "b")).alias("m"), F.sum("n").alias("all"))
     rows = missing.join(near, ["doc_id", "src_comp"], "left").join(hit, ["doc_id", "src_comp"], "left").join(tones, ["doc_id", "src_comp"])
     total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     reason = (

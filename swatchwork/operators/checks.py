@@ -11,7 +11,7 @@ from swatchwork.functions.svg import NUMBER, solid_paint
 from swatchwork.operators.compare import border_stats, ink_mask
 from swatchwork.operators.paths import endpoint_arc, on_arc
 from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, component_stats, composite_over, erode
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 #: Places that are not drawn, and attributes that make a split unsafe.
 HIDDEN_PLACES = ("clipPath", "defs", "filter", "linearGradient", "marker", "mask", "pattern", "radialGradient", "symbol")
@@ -206,10 +206,10 @@ def background_pockets(candidates: DataFrame, enclosure: DataFrame) -> DataFrame
         left = written(erode(left))
         levels.append(left.withColumn("level", F.lit(k)))
     band = reduce(united, levels).groupBy(*PIXEL).agg(F.max("level").alias("level")).join(size.select("doc_id", "depth"), "doc_id").filter("level < depth").select(*PIXEL)
-    inside = candidates.select(*PIXEL).join(enclosure, PIXEL, "left_semi")
+    inside = candidates.select(*PIXEL).join(by_shuffle(enclosure), PIXEL, "left_semi")
     runs = written(component_runs(inside))
     parts = component_stats(runs)
-    on_edge = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).join(band, PIXEL).groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("on_edge"))
+    on_edge = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).join(by_shuffle(band), PIXEL).groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("on_edge"))
     rows = parts.join(size, "doc_id").join(band.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edge")), "doc_id").join(parts.groupBy("doc_id").agg(F.sum("area").alias("total")), "doc_id").join(on_edge, ["doc_id", "comp_id"], "left")
     share, edge = F.col("area") / F.col("e_area"), F.coalesce("on_edge", F.lit(0)) / F.col("edge")
     spans = (F.col("bw") >= 0.72 * F.col("e_w")) & (F.col("bh") >= 0.72 * F.col("e_h"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, composite_over, neighbour_count
-from swatchwork.runtime import written
+from swatchwork.runtime import by_shuffle, written
 
 
 def _rounded(value: Column, digits: int = 3) -> Column:
@@ -40,7 +40,7 @@ def ink_mask(px: DataFrame, stats: DataFrame) -> DataFrame:
     raw = written(px.join(stats, "doc_id").withColumn("strength", strength).filter("strength >= threshold").select(*PIXEL, "r", "g", "b", "strength", "threshold"))
     support = neighbour_count(raw).withColumnRenamed("n", "support")
     lone = F.col("strength") >= F.greatest(F.col("threshold") * 1.75, F.col("threshold") + 12)
-    return raw.join(support, PIXEL).filter((F.col("support") >= 2) | lone).select(*PIXEL, "r", "g", "b", "strength", "threshold")
+    return raw.join(by_shuffle(support), PIXEL).filter((F.col("support") >= 2) | lone).select(*PIXEL, "r", "g", "b", "strength", "threshold")
 
 
 def ink_roi(px: DataFrame, height: int, width: int) -> DataFrame:
@@ -57,7 +57,7 @@ def best_match(ink: DataFrame, other: DataFrame) -> DataFrame:
     there is none. Only the ink rows are spread over the nine offsets."""
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in EIGHT))
     moved = other.select("doc_id", F.explode(steps).alias("o"), "y", "x", *(F.col(c).alias(f"o_{c}") for c in "rgb")).select("doc_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o_r", "o_g", "o_b")
-    found = ink.join(moved, PIXEL, "left")
+    found = ink.join(by_shuffle(moved), PIXEL, "left")
     error = F.min(channel_gap("", "o_"))
     return found.groupBy(*PIXEL).agg(F.coalesce(error, F.lit(256)).cast("double").alias("error"))
 
@@ -100,7 +100,7 @@ def hotspots(cells: DataFrame, below: float = 78.0, most: int = 40) -> DataFrame
 
 def canvas_match(src: DataFrame, ren: DataFrame) -> DataFrame:
     """Mean similarity over the whole canvas, in percent."""
-    both = src.join(ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL)
+    both = src.join(by_shuffle(ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))), PIXEL)
     return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(100 * F.avg(F.greatest(F.lit(0.0), 1 - channel_gap("", "o_") / 128)), 6).alias("match"))
 
 
@@ -141,7 +141,7 @@ def component_topology(src: DataFrame, ren: DataFrame, height: int, width: int,
     grown = neighbour_count(strong(ren)).filter(inside).select(*PIXEL)
     own = written(component_runs(written(strong(src))).withColumnRenamed("comp_id", "src_comp"))
     other = component_runs(written(grown)).select("doc_id", F.col("comp_id").alias("ren_comp"), "y", F.col("x0").alias("o0"), F.col("x1").alias("o1"))
-    met = own.join(other, ["doc_id", "y"]).filter("x0 <= o1 AND o0 <= x1")  # runs of one row, no pixels
+    met = own.join(by_shuffle(other), ["doc_id", "y"]).filter("x0 <= o1 AND o0 <= x1")  # runs of one row, no pixels
     overlap = met.groupBy("doc_id", "src_comp", "ren_comp").agg(F.sum(F.least("x1", "o1") - F.greatest("x0", "o0") + 1).alias("n"))
     areas = own.groupBy("doc_id", "src_comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).filter(F.col("area") >= least)
     hit = F.coalesce("n", F.lit(0))
@@ -164,7 +164,7 @@ def worst_components(components: DataFrame, most: int = 20) -> DataFrame:
 
 def pair_gate(src: DataFrame, ren: DataFrame, tolerance: int = 0) -> DataFrame:
     """Share of pixels that differ by more than ``tolerance``; accepted below one percent."""
-    both = src.join(ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL)
+    both = src.join(by_shuffle(ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))), PIXEL)
     changed = F.avg(F.when(channel_gap("", "o_") > tolerance, 1.0).otherwise(0.0))
     return both.groupBy("doc_id").agg(F.round(changed, 6).alias("changed"), (changed <= 0.01).alias("accepted"))
 
@@ -180,14 +180,14 @@ def render_gate(before: DataFrame, after: DataFrame, height: int, width: int, re
     a, b = composite_over(before), composite_over(after)
     edges = F.when(F.col("y").isin(0, height - 1), 1).otherwise(0) + F.when(F.col("x").isin(0, width - 1), 1).otherwise(0)
     paper = a.withColumn("times", edges).filter("times > 0").groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5), F.col("times")).alias(f"bg_{c}") for c in "rgb"))
-    pair = a.select(*PIXEL, "r", "g", "b").join(b.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL).join(paper, "doc_id")
+    pair = a.select(*PIXEL, "r", "g", "b").join(by_shuffle(b.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))), PIXEL).join(paper, "doc_id")
     other = F.greatest(*(F.abs(F.col(f"o_{c}") - F.col(f"bg_{c}")) for c in "rgb"))
     both = written(pair.select(*PIXEL, (channel_gap("", "bg_") >= ink).alias("was"), (other >= ink).alias("is_now"), channel_gap("", "o_").cast("double").alias("error")))
     square = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
 
     def found(own: str, there: str, name: str) -> DataFrame:
         grown = neighbour_count(both.filter(there), square).select(*PIXEL, F.lit(1.0).alias("hit"))
-        return both.filter(own).join(grown, PIXEL, "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(name))
+        return both.filter(own).join(by_shuffle(grown), PIXEL, "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(name))
 
     alike = F.avg(F.when(F.col("was") | F.col("is_now"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("error") / 128))))
     whole = both.groupBy("doc_id").agg(F.coalesce(alike, F.lit(1.0)).alias("similarity"), F.avg(F.when(F.col("error") >= 2, 1.0).otherwise(0.0)).alias("changed"))
@@ -202,9 +202,9 @@ def render_gate(before: DataFrame, after: DataFrame, height: int, width: int, re
 
 def changes_outside(before: DataFrame, after: DataFrame, boxes: DataFrame, pad: int = 2) -> DataFrame:
     """Changed pixels of each document, and those outside all its padded boxes."""
-    both = before.join(after.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb")), PIXEL)
+    both = before.join(by_shuffle(after.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))), PIXEL)
     changed = both.filter(channel_gap("", "o_") > 0).select(*PIXEL)
     box = boxes.select("doc_id", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     within = (F.col("x") >= F.col("b_x0") - pad) & (F.col("x") <= F.col("b_x1") + pad) & (F.col("y") >= F.col("b_y0") - pad) & (F.col("y") <= F.col("b_y1") + pad)
-    out = changed.join(box, (changed["doc_id"] == box["doc_id"]) & within, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("outside"))
+    out = changed.join(by_shuffle(box), (changed["doc_id"] == box["doc_id"]) & within, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("outside"))
     return changed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("changed")).join(out, "doc_id", "left").select("doc_id", "changed", F.coalesce("outside", F.lit(0)).alias("outside"))

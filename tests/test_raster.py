@@ -1,5 +1,7 @@
 """Components, simplification and near pairs against plain Python."""
 
+import contextlib
+import io
 import random
 
 from swatchwork.operators import boxes as B
@@ -80,3 +82,36 @@ def test_topology_sees_a_split(spark):
 def test_identical_pictures_are_perfect(spark):
     got = C.foreground_match(bars(spark, False), bars(spark, False), 64, 64).first()
     assert (got.score, got.recall, got.precision) == (100.0, 100.0, 100.0)
+
+
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_pixels_are_never_broadcast(spark):
+    """Spark takes exploded rows and compressed files for small; they went through the driver."""
+    from swatchwork.runtime import written
+
+    shapes = spark.createDataFrame([(d, 1, 5, 5, 3, 10, 20, 30) for d in range(2)], "doc_id long, z int, cx int, cy int, rad int, r int, g int, b int")
+    px = R.rasterize(shapes, 12, 10)
+    mask = written(px.filter("r < 255").select("doc_id", "y", "x"))
+    for df in (px, R.erode(mask), R.denoise(written(px)), C.best_match(written(px), written(px)), C.pair_gate(written(px), written(px))):
+        assert "Broadcast" not in plan(df)
+
+
+def test_canvas_rows_keep_every_pixel(spark):
+    """Overlap, clipping, null tones, documents without a shape, and shapes of no listed document."""
+    rows = [(1, 1, 0, 0, 2, 10, 20, 30), (1, 2, 1, 1, 1, 40, None, 60), (2, 1, 50, 50, 3, 1, 2, 3), (9, 1, 3, 3, 1, 7, 7, 7)]
+    shapes = spark.createDataFrame(rows, "doc_id long, z int, cx int, cy int, rad int, r int, g int, b int")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    want = {}
+    for d in (1, 2, 3):
+        for y in range(6):
+            for x in range(8):
+                hit = [s for s in rows if s[0] == d and (y - s[3]) ** 2 + (x - s[2]) ** 2 <= s[4] ** 2]
+                top = max(hit, key=lambda s: s[1])[5:] if hit else (255, 255, 255)
+                want[d, y, x] = tuple(255 if c is None else c for c in top) + (255,)
+    got = R.rasterize(shapes, 6, 8, docs=docs).collect()
+    assert len(got) == len(want) and {tuple(r[:3]): tuple(r[3:]) for r in got} == want
