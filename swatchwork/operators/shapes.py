@@ -12,7 +12,7 @@ from swatchwork.operators.curves import arc_coverage, compatible_arcs
 from swatchwork.operators.graph import connected_components
 from swatchwork.operators.palette import plane_fit
 from swatchwork.operators.raster import PIXEL
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 
 def points_in_shape(px: DataFrame, circles: DataFrame, inset: float = 0.5, cell: int = 16) -> DataFrame:
@@ -186,7 +186,7 @@ def concentric_rings(circles: DataFrame, apart: float = 2.5) -> DataFrame:
     a = circles.select("doc_id", "z", "cx", "cy", "rad").withColumn("gx", cell("cx")).withColumn("gy", cell("cy"))
     b = a.select("doc_id", *(F.col(c).alias(f"o_{c}") for c in ("z", "cx", "cy", "rad")), "gx", "gy").withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy"))
     d = F.sqrt(F.pow(F.col("cx") - F.col("o_cx"), 2) + F.pow(F.col("cy") - F.col("o_cy"), 2))
-    return a.join(b, ["doc_id", "gx", "gy"]).filter("rad > o_rad").filter(d <= apart).select("doc_id", F.col("z").alias("outer"), F.col("o_z").alias("inner"), ((F.col("rad") + F.col("o_rad")) / 2).alias("radius"), (F.col("rad") - F.col("o_rad")).alias("width"))
+    return a.join(by_shuffle(b), ["doc_id", "gx", "gy"]).filter("rad > o_rad").filter(d <= apart).select("doc_id", F.col("z").alias("outer"), F.col("o_z").alias("inner"), ((F.col("rad") + F.col("o_rad")) / 2).alias("radius"), (F.col("rad") - F.col("o_rad")).alias("width"))
 
 
 def resolved_stops(gradients: DataFrame) -> DataFrame:

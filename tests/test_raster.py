@@ -115,3 +115,11 @@ def test_canvas_rows_keep_every_pixel(spark):
                 want[d, y, x] = tuple(255 if c is None else c for c in top) + (255,)
     got = R.rasterize(shapes, 6, 8, docs=docs).collect()
     assert len(got) == len(want) and {tuple(r[:3]): tuple(r[3:]) for r in got} == want
+
+
+def test_circles_meet_by_shuffle(spark):
+    from swatchwork.operators import shapes as S
+
+    circles = spark.createDataFrame([(1, 1, 5, 5, 4), (1, 2, 6, 5, 2)], "doc_id long, z int, cx int, cy int, rad int")
+    found = S.concentric_rings(circles)
+    assert "Broadcast" not in plan(found) and [tuple(r) for r in found.collect()] == [(1, 1, 2, 3.0, 2)]
