@@ -179,12 +179,41 @@ def compatible_arcs(arcs: DataFrame, centre: float = 2.0, radius: float = 2.0, w
     return arcs.join(o, keys).filter("arc_id < o_arc_id").filter(near("opacity", 0.02) & near("radius", radius) & near("width", width) & (apart <= centre)).select("doc_id", F.col("arc_id").alias("src"), F.col("o_arc_id").alias("dst"))
 
 
+def circle_spans(first: Column, last: Column, bins: int) -> Column:
+    """Array of the spans (x0, x1) of bins from ``first`` to ``last``, either way, on a circle of ``bins``: one,
+    or two where it passes the seam."""
+    low, n = F.least(first, last), F.abs(last - first) + 1
+    at = F.pmod(low, F.lit(bins))
+    span = lambda a, b: F.struct(a.cast("int").alias("x0"), b.cast("int").alias("x1"))
+    end = F.lit(bins - 1)
+    over = F.array(span(at, end), span(F.lit(0), at + n - 1 - bins))
+    return F.when(n >= bins, F.array(span(F.lit(0), end))).when(at + n <= bins, F.array(span(at, at + n - 1))).otherwise(over)
+
+
+def disjoint_spans(spans: DataFrame, key: list[str]) -> DataFrame:
+    """The numbers that spans (key, x0, x1) cover, as spans that share none: each keeps what lies beyond
+    those that begin before it."""
+    by = Window.partitionBy(*key).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.select(*key, "x0", "x1", F.max("x1").over(by).alias("upto"))
+    return rows.select(*key, F.greatest("x0", F.col("upto") + 1).alias("x0"), "x1").filter("x0 <= x1")
+
+
+def span_depth(spans: DataFrame, key: list[str]) -> DataFrame:
+    """``key, covered, total``: how many numbers the spans cover, and how many together, by a running sum
+    over their ends; a span costs two rows whatever its length."""
+    ends = spans.select(*key, F.explode(F.array(F.struct(F.col("x0").alias("at"), F.lit(1).alias("step")), F.struct((F.col("x1") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    by = Window.partitionBy(*key).orderBy("at")
+    rows = ends.select(*key, "e.at", "e.step").withColumn("gap", F.lead("at").over(by) - F.col("at")).withColumn("depth", F.sum("step").over(by))
+    return rows.groupBy(*key).agg(F.sum(F.when(F.col("depth") > 0, F.col("gap")).otherwise(0)).alias("covered"), F.sum(F.col("depth") * F.coalesce("gap", F.lit(0))).alias("total"))
+
+
 def arc_coverage(arcs: DataFrame, bins: int = 360) -> DataFrame:
     """Share of the circle that the arcs of a group (doc_id, ring) cover, and how often they overlap."""
     step = 360.0 / bins
-    at = arcs.select("doc_id", "ring", "arc_id", F.explode(F.sequence(F.floor(F.col("a0") / step).cast("int"), (F.ceil(F.col("a1") / step) - 1).cast("int"))).alias("bin")).withColumn("bin", F.pmod("bin", F.lit(bins)))
-    per = at.distinct().groupBy("doc_id", "ring", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("doc_id", "ring").agg(F.round(F.count(F.lit(1)) * step, 3).alias("degrees"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("overlap"))
+    spans = F.inline(circle_spans(F.floor(F.col("a0") / step).cast("int"), (F.ceil(F.col("a1") / step) - 1).cast("int"), bins))
+    own = disjoint_spans(arcs.select("doc_id", "ring", "arc_id", spans), ["doc_id", "ring", "arc_id"])
+    g = span_depth(own, ["doc_id", "ring"])
+    return g.select("doc_id", "ring", F.round(F.col("covered") * step, 3).alias("degrees"), F.round((F.col("total") - F.col("covered")) / F.col("total"), 6).alias("overlap"))
 
 
 def dash_pattern(bins: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swatchwork.operators.curves import wrap_angle
+from swatchwork.operators.curves import circle_spans, disjoint_spans, span_depth, wrap_angle
 from swatchwork.operators.graph import connected_components
 from swatchwork.operators.raster import EIGHT
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 ARC, RING = ["doc_id", "arc_id"], ["doc_id", "ring"]
 
@@ -153,28 +153,29 @@ def co_circular(arcs: DataFrame, p: RingParams = RingParams()) -> DataFrame:
 # ---- coverage and dashes -----------------------------------------------------------------------------------
 
 
-def covered_bins(spans: DataFrame, key: list[str], part: str, bins: int) -> DataFrame:
-    """``key, part, bin`` of arcs given by ``start`` and ``net`` in radians: bins of the circle in the direction
-    in which a circle is drawn, which is against the angle."""
+def covered_spans(spans: DataFrame, key: list[str], part: str, bins: int) -> DataFrame:
+    """``key, part, x0, x1`` of arcs, one a part, given by ``start`` and ``net`` in radians: spans of bins of the
+    circle in the direction in which a circle is drawn, which is against the angle."""
     at = lambda a: F.floor(-a / (2 * pi) * bins + 1e-9).cast("int")
-    low, high = F.least("start", F.col("start") + F.col("net")), F.greatest("start", F.col("start") + F.col("net"))
-    return spans.select(*key, part, F.explode(F.sequence(at(high), at(low))).alias("bin")).withColumn("bin", F.pmod("bin", F.lit(bins))).distinct()
+    return spans.select(*key, part, F.inline(circle_spans(at(F.col("start")), at(F.col("start") + F.col("net")), bins)))
 
 
 def ring_coverage(marks: DataFrame, key: list[str], bins: int) -> DataFrame:
-    """``key, degrees, overlap``: the part of the circle that the arcs cover, and how often they do so more than
-    once, by the bins that they cover."""
-    per = marks.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(*key).agg((F.count(F.lit(1)) * 360.0 / bins).alias("degrees"), (F.sum(F.col("n") - 1) / F.count(F.lit(1))).alias("overlap"))
+    """``key, degrees, overlap``: the part of the circle that the arcs (key, x0, x1) cover, and how often they do
+    so more than once, by the bins that they cover."""
+    g = span_depth(marks, key)
+    return g.select(*key, (F.col("covered") * 360.0 / bins).alias("degrees"), ((F.col("total") - F.col("covered")) / F.col("covered")).alias("overlap"))
 
 
 def bin_runs(marks: DataFrame, key: list[str], bins: int) -> DataFrame:
     """Circular runs of covered bins: ``key, start, size``. A run over the seam is one; a circle without a gap
-    is one run from 0."""
-    by = Window.partitionBy(*key).orderBy("bin")
-    own = marks.select(*key, "bin").distinct()
-    head = own.withColumn("before", F.lag("bin").over(by)).withColumn("run", F.sum(F.when(F.col("bin") == F.col("before") + 1, 0).otherwise(1)).over(by))
-    runs = head.groupBy(*key, "run").agg(F.min("bin").alias("start"), F.count(F.lit(1)).alias("size"))
+    is one run from 0. ``marks`` are bins (key, bin) or spans of them (key, x0, x1), which may overlap."""
+    own = marks if "x0" in marks.columns else marks.select(*key, F.col("bin").alias("x0"), F.col("bin").alias("x1"))
+    by = Window.partitionBy(*key).orderBy("x0", "x1")
+    upto = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    head = own.select(*key, "x0", "x1", F.when(F.col("x0") <= upto + 1, 0).otherwise(1).alias("new"))
+    head = head.withColumn("run", F.sum("new").over(by))
+    runs = head.groupBy(*key, "run").agg(F.min("x0").alias("start"), (F.max("x1") - F.min("x0") + 1).cast("long").alias("size"))
     whole = Window.partitionBy(*key)
     seam = (F.min("start").over(whole) == 0) & (F.max(F.col("start") + F.col("size")).over(whole) == bins) & (F.count(F.lit(1)).over(whole) > 1)
     first = F.max(F.when(F.col("start") == 0, F.col("size"))).over(whole)
@@ -258,25 +259,31 @@ def stroke_spans(pts: DataFrame, key: list[str]) -> DataFrame:
     return boxes.transform(united, disc_spans(joints, key))
 
 
-def span_pixels(spans: DataFrame, key: list[str], height: Column, width: Column) -> DataFrame:
-    """Distinct pixels (key, y, x) of spans on a canvas."""
+def canvas_spans(spans: DataFrame, key: list[str], height: Column, width: Column) -> DataFrame:
+    """Spans on a canvas that share no pixel (key, y, x0, x1)."""
     inside = spans.filter((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x1") >= 0) & (F.col("x0") < width))
-    return inside.select(*key, "y", F.explode(F.sequence(F.greatest("x0", F.lit(0)), F.least(F.col("x1"), (width - 1).cast("int")))).alias("x")).distinct()
+    return disjoint_spans(inside.select(*key, "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least(F.col("x1"), (width - 1).cast("int")).alias("x1")), [*key, "y"])
+
+
+def span_pixels(spans: DataFrame, key: list[str], height: Column, width: Column) -> DataFrame:
+    """Distinct pixels (key, y, x) of spans on a canvas. The spans are parted before they are spread, so no
+    table of pixels is held to find equal ones."""
+    return canvas_spans(spans, key, height, width).select(*key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
 def raster_agreement(source: DataFrame, proposal: DataFrame, key: list[str]) -> DataFrame:
-    """``key, recall, precision, f1`` of two pixel sets (key, y, x): shares of the pixels of each that have one
-    of the other within one pixel. All marks of a pixel meet in one grouping."""
-
-    def marks(df: DataFrame, own: str, near: str) -> DataFrame:
-        around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in EIGHT))).alias("to")
-        is_own = (F.col("to.dy") == 0) & (F.col("to.dx") == 0)
-        return df.select(*key, "y", "x", around).select(*key, (F.col("y") + F.col("to.dy")).alias("y"), (F.col("x") + F.col("to.dx")).alias("x"), is_own.alias(own), F.lit(True).alias(near))
-
-    both = marks(source, "s", "near_s").transform(united, marks(proposal, "p", "near_p"), allowMissingColumns=True)
-    px = both.groupBy(*key, "y", "x").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("s", "p", "near_s", "near_p")))
-    share = lambda of, hit: F.coalesce(F.count_if(F.col(of) & F.col(hit)) / F.nullif(F.count_if(F.col(of)), F.lit(0)), F.lit(0.0))
-    g = px.groupBy(*key).agg(share("s", "near_p").alias("recall"), share("p", "near_s").alias("precision"))
+    """``key, recall, precision, f1`` of two pixel sets, given by spans that share no pixel (key, y, x0, x1):
+    shares of the pixels of each that have one of the other within one pixel. Spans meet grown spans of
+    their row; no pixel is spread."""
+
+    def side(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        rows = other.select(*key, F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"), (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
+        near = disjoint_spans(rows, [*key, "y"]).select(*key, "y", F.col("x0").alias("n0"), F.col("x1").alias("n1"))
+        met = own.join(by_shuffle(near), [*key, "y"]).filter("x0 <= n1 AND n0 <= x1").groupBy(*key).agg(F.sum(F.least("x1", "n1") - F.greatest("x0", "n0") + 1).alias("hit"))
+        size = own.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+        return size.join(by_shuffle(met), key, "left").select(*key, (F.coalesce("hit", F.lit(0)) / F.col("n")).alias(name))
+
+    g = side(source, proposal, "recall").join(by_shuffle(side(proposal, source, "precision")), key, "full").fillna(0.0, ["recall", "precision"])
     total = F.col("recall") + F.col("precision")
     return g.withColumn("f1", F.when(total > 0, 2 * F.col("recall") * F.col("precision") / total).otherwise(0.0))
 
@@ -298,8 +305,8 @@ def _drawn(members: DataFrame, pts: DataFrame, marks: DataFrame, rings: DataFram
     place = place.withColumn("x", F.col("cx") + F.col("radius") * F.cos("a")).withColumn("y", F.col("cy") + F.col("radius") * F.sin("a"))
     proposal = place.select(*RING, F.col("start").cast("long").alias("line"), F.col("seq").cast("long").alias("seq"), *scaled, "half", "round")
     size = canvas.select(*RING, "tall", "wide")
-    pixels = lambda lines: span_pixels(stroke_spans(lines, RING).join(size, RING), RING, F.col("tall"), F.col("wide"))
-    return raster_agreement(pixels(source), pixels(proposal), RING)
+    painted = lambda lines: written(canvas_spans(stroke_spans(lines, RING).join(size, RING), RING, F.col("tall"), F.col("wide")))
+    return raster_agreement(painted(source), painted(proposal), RING)
 
 
 def ring_candidates(pts: DataFrame, lines: DataFrame, views: DataFrame, p: RingParams = RingParams()) -> DataFrame:
@@ -322,7 +329,7 @@ def ring_candidates(pts: DataFrame, lines: DataFrame, views: DataFrame, p: RingP
     local = own.join(fit, RING).groupBy(*RING, "arc_id", "limit").agg(F.percentile(F.abs(_signed()), F.lit(0.95)).alias("local"))
     off = local.filter(F.col("local") > F.col("limit")).select(*RING).distinct()
     fit = fit.join(off, RING, "left_anti")
-    marks = written(covered_bins(turns(own, fit, [*RING, "arc_id"], RING), RING, "arc_id", p.bins))
+    marks = written(covered_spans(turns(own, fit, [*RING, "arc_id"], RING), RING, "arc_id", p.bins))
     fit = fit.join(ring_coverage(marks, RING, p.bins), RING).filter((F.col("degrees") >= p.min_degrees) & (F.col("overlap") <= p.max_overlap))
     apart = F.sqrt(F.pow(F.col("a.cx") - F.col("f.cx"), 2) + F.pow(F.col("a.cy") - F.col("f.cy"), 2))
     first = lambda c: F.min_by(f"a.{c}", "a.arc_id").alias(c)

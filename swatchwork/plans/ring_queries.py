@@ -8,6 +8,7 @@ from swatchwork.operators import paths as D
 from swatchwork.operators import rings as R
 from swatchwork.operators import shapes as S
 from swatchwork.operators.checks import sample_path
+from swatchwork.operators.curves import circle_spans
 from swatchwork.runtime import written
 from swatchwork.sources import adapters as A
 
@@ -70,7 +71,7 @@ SELECT doc_id, paint, pos::INT AS pos, round(n * 2 * pi() * 60 / 360, 4) AS dash
 def ring_dashes(spark, sf_dir):
     key = ["doc_id", "paint"]
     # A bin is a whole degree of the angle here, as in the twin.
-    marks = A.arcs(spark, sf_dir).select(*key, F.explode(F.sequence(F.floor("a0").cast("int"), (F.ceil("a1") - 1).cast("int"))).alias("bin")).withColumn("bin", F.pmod("bin", F.lit(360))).distinct()
+    marks = A.arcs(spark, sf_dir).select(*key, F.inline(circle_spans(F.floor("a0").cast("int"), (F.ceil("a1") - 1).cast("int"), 360)))
     radius = marks.select(*key).distinct().withColumn("radius", F.lit(60.0))
     return R.ring_dashes(marks, radius, key, 360).select(*key, F.posexplode("dashes").alias("pos", "dash"), "rotation").withColumn("dash", F.round("dash", 4))
 

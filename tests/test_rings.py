@@ -161,3 +161,37 @@ def test_ring_gate(spark):
     assert sum(r.dashes[::2]) == pytest.approx(2 * math.pi * r.radius * r.degrees / 360)
     wave = got[6, 1]
     assert not wave.safe and wave.reasons and wave.reasons[0].startswith("raster recall")
+
+
+def test_spans_are_never_spread_to_be_counted(spark):
+    """Bins and pixels went through a hash table of all of them; spans are parted by a sort instead."""
+    from swatchwork.operators import curves as K
+    from tests.test_raster import plan
+
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 2), k // 2, *sorted((rng.uniform(-400, 700), rng.uniform(-400, 700)))) for k in range(24)] + [(7, 99, 10.0, 900.0), (8, 98, 30.0, 30.0)]
+    arcs = spark.createDataFrame(rows, "doc_id long, arc_id long, a0 double, a1 double").withColumn("ring", F.lit("p"))
+    covered = {(d, a): set() for d, a, _, _ in rows}
+    for d, a, a0, a1 in rows:
+        first, last = sorted((math.floor(a0), math.ceil(a1) - 1))
+        covered[d, a] |= {b % 360 for b in range(first, last + 1)}
+    got = {r.doc_id: (r.degrees, r.overlap) for r in K.arc_coverage(arcs).collect()}
+    for d in {r[0] for r in rows}:
+        total, union = sum(len(b) for (doc, _), b in covered.items() if doc == d), set().union(*(b for (doc, _), b in covered.items() if doc == d))
+        assert got[d] == (len(union), round((total - len(union)) / total, 6))
+    spans = [(1, rng.randint(-1, 6), x, x + rng.randint(0, 6)) for x in (rng.randint(-4, 12) for _ in range(40))]
+    px = R.span_pixels(spark.createDataFrame(spans, "doc_id long, y int, x0 int, x1 int"), ["doc_id"], F.lit(6), F.lit(10))
+    want = sorted({(1, y, x) for _, y, a, b in spans for x in range(a, b + 1) if 0 <= y < 6 and 0 <= x < 10})
+    assert "Aggregate" not in plan(px) and sorted(map(tuple, px.collect())) == want
+
+
+def test_agreement_of_spans_like_pixels(spark):
+    rng = random.Random(7)
+    sets = [{(k, y, x) for k in range(3) for y in range(9) for x in range(9) if rng.random() < 0.15} for _ in range(2)]
+    sets[0] |= {(5, 1, 1)}
+    sets[1] |= {(6, 1, 1)}
+    spans = [spark.createDataFrame([(*p, p[2]) for p in sorted(s)], "k long, y int, x0 int, x1 int") for s in sets]
+    near = [{(k, y + dy, x + dx) for k, y, x in s for dy in (-1, 0, 1) for dx in (-1, 0, 1)} for s in sets]
+    share = lambda k, own, other: (lambda m: len(m & other) / len(m) if m else 0.0)({p for p in own if p[0] == k})
+    got = {r.k: (r.recall, r.precision) for r in R.raster_agreement(*spans, ["k"]).collect()}
+    assert got == {k: (share(k, sets[0], near[1]), share(k, sets[1], near[0])) for k in (0, 1, 2, 5, 6)}
