@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.palette import oklch
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 
 def with_oklch(inventory: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def hue_clusters(colours: DataFrame, limit: float = 42.0) -> DataFrame:
         g = now.groupBy("doc_id", "family").agg(F.sum(weight * F.sin(F.radians("hue"))).alias("s"), F.sum(weight * F.cos(F.radians("hue"))).alias("c"), F.collect_list("hue").alias("hues"))
         o = g.select("doc_id", *(F.col(x).alias(f"o_{x}") for x in ("family", "s", "c", "hues")))
         mean = F.pmod(F.degrees(F.atan2(F.col("s") + F.col("o_s"), F.col("c") + F.col("o_c"))), F.lit(360.0))
-        pair = g.join(o, "doc_id").filter("family < o_family").withColumn("mean", mean)
+        pair = g.join(by_shuffle(o), "doc_id").filter("family < o_family").withColumn("mean", mean)
         radius = F.round(F.array_max(F.transform(F.concat("hues", "o_hues"), lambda h: around(h, F.col("mean")))), 9)
         best = written(pair.withColumn("radius", radius).filter(F.col("radius") <= limit).groupBy("doc_id").agg(F.min(F.struct("radius", "family", "o_family")).alias("m")).select("doc_id", F.col("m.family").alias("to"), F.col("m.o_family").alias("family")))
         if best.isEmpty():
             break
-        now = written(now.join(best, ["doc_id", "family"], "left").select("doc_id", "paint", "uses", "hue", F.coalesce("to", "family").alias("family")))
+        now = written(now.join(by_shuffle(best), ["doc_id", "family"], "left").select("doc_id", "paint", "uses", "hue", F.coalesce("to", "family").alias("family")))
     return now.select("doc_id", "paint", "family")
 
 
@@ -65,10 +65,10 @@ def paint_roles(inventory: DataFrame) -> DataFrame:
     use; with the role's anchor (weighted means) and the colour's distance from its lightness."""
     c = written(with_oklch(inventory))
     grey = c.filter("chroma < 0.035").withColumn("family", F.when(F.col("lightness") < 0.38, "neutral-dark").when(F.col("lightness") >= 0.94, "neutral-light").otherwise("neutral-mid"))
-    hued = c.filter("chroma >= 0.035").join(hue_clusters(c), ["doc_id", "paint"])
+    hued = c.filter("chroma >= 0.035").join(by_shuffle(hue_clusters(c)), ["doc_id", "paint"])
     n = hued.groupBy("doc_id", "family").agg(F.sum("uses").alias("n"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "family"))
-    named = hued.join(n.select("doc_id", "family", F.concat(F.lit("accent-"), place.cast("string")).alias("role")), ["doc_id", "family"]).drop("family")
+    named = hued.join(by_shuffle(n.select("doc_id", "family", F.concat(F.lit("accent-"), place.cast("string")).alias("role"))), ["doc_id", "family"]).drop("family")
     rows = grey.withColumnRenamed("family", "role").transform(united, named)
     by = Window.partitionBy("doc_id", "role")
     anchor = lambda v: F.sum(F.col(v) * F.col("uses")).over(by) / F.sum("uses").over(by)

@@ -67,3 +67,12 @@ def test_image_pixels(spark, tmp_path):
     assert [(r.name, r.status) for r in images.collect()] == [("One.PNG", "ok")]
     px = {(r.y, r.x): (r.r, r.g, r.b, r.a) for r in I.to_pixels(images).collect()}
     assert px == {(y, x): (x * 10, y * 20, 7, 128) for y in range(2) for x in range(3)}
+
+
+def test_families_are_joined_by_shuffle(spark):
+    from swatchwork.operators.paints import paint_roles
+    from tests.test_raster import plan
+
+    colours = spark.createDataFrame([(1, "#ff0000", 3), (1, "#ee1010", 2), (1, "#0000ff", 1), (1, "#222222", 4)], "doc_id long, paint string, uses long")
+    roles = paint_roles(colours)
+    assert "Broadcast" not in plan(roles) and {r.paint: r.role for r in roles.collect()} == {"#ff0000": "accent-1", "#ee1010": "accent-1", "#0000ff": "accent-2", "#222222": "neutral-dark"}
