@@ -119,7 +119,8 @@ def test_canvas_rows_keep_every_pixel(spark):
 
 def test_circles_meet_by_shuffle(spark):
     from swatchwork.operators import shapes as S
+    from swatchwork.runtime import written
 
-    circles = spark.createDataFrame([(1, 1, 5, 5, 4), (1, 2, 6, 5, 2)], "doc_id long, z int, cx int, cy int, rad int")
+    circles = written(spark.createDataFrame([(1, 1, 5, 5, 4), (1, 2, 6, 5, 2)], "doc_id long, z int, cx int, cy int, rad int"))
     found = S.concentric_rings(circles)
     assert "Broadcast" not in plan(found) and [tuple(r) for r in found.collect()] == [(1, 1, 2, 3.0, 2)]
