@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
 from swatchwork.operators.raster import PIXEL, channel_gap, component_runs, component_stats, erode
-from swatchwork.runtime import by_shuffle, united, written
+from swatchwork.runtime import by_shuffle, per_document, united, written
 
 
 def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] = (91, 75, 138), least: int = 64, tolerance: float = 48.0) -> DataFrame:
@@ -101,9 +101,10 @@ def repair_candidates(src: DataFrame, ren: DataFrame, topology: DataFrame, heigh
     """Source components that the render lacks and that can be put back: wholly missing, not too
     large, with a clear moat in both pictures and one dominant colour. Each row has its first reason
     against, or the fill; a document over the limits is skipped whole."""
-    stats = written(border_stats(src, height, width))
+    stats = border_stats(src, height, width)
     core = F.greatest(F.col("threshold") * 2, F.col("threshold") + 12)
-    strong = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
+    small = per_document(stats)
+    strong = lambda px: px.join(small, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
     runs = component_runs(strong(src))
     own = written(runs.select("doc_id", F.col("comp_id").alias("src_comp"), "y", F.explode(F.sequence("x0", "x1")).alias("x")))
     missing = topology.filter("score <= 5 AND coverage <= 5 AND fragments = 0").select("doc_id", "src_comp", "area")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, composite_over, neighbour_count
-from swatchwork.runtime import by_shuffle, written
+from swatchwork.runtime import by_shuffle, per_document, written
 
 
 def _rounded(value: Column, digits: int = 3) -> Column:
@@ -24,20 +24,20 @@ def structural_threshold(threshold: Column) -> Column:
 def border_stats(px: DataFrame, height: int, width: int) -> DataFrame:
     """Per document: median border colour, 95th percentile of border noise, ink threshold.
 
-    One row a document goes back to the pixels by a join on the document, which Spark broadcasts
-    only while it is small. The border pixels and the result are written once, for all their uses.
+    The border pixels and the result are written once, for all their uses; a written border looks small to
+    Spark, so its colours meet it by shuffle.
     """
     border = written(px.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})").select(*PIXEL, "r", "g", "b"))
     paper = border.groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5)).alias(f"bg_{c}") for c in "rgb"))
-    noise = border.join(paper, "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("noise_p95"))
-    return written(paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("noise_p95") + 3))))
+    noise = border.join(by_shuffle(paper), "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("noise_p95"))
+    return written(paper.join(by_shuffle(noise), "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("noise_p95") + 3))))
 
 
 def ink_mask(px: DataFrame, stats: DataFrame) -> DataFrame:
     """Source ink: strong enough, and either supported by a neighbour or strongly isolated. The strong
     pixels are written once."""
     strength = channel_gap("", "bg_")
-    raw = written(px.join(stats, "doc_id").withColumn("strength", strength).filter("strength >= threshold").select(*PIXEL, "r", "g", "b", "strength", "threshold"))
+    raw = written(px.join(per_document(stats), "doc_id").withColumn("strength", strength).filter("strength >= threshold").select(*PIXEL, "r", "g", "b", "strength", "threshold"))
     support = neighbour_count(raw).withColumnRenamed("n", "support")
     lone = F.col("strength") >= F.greatest(F.col("threshold") * 1.75, F.col("threshold") + 12)
     return raw.join(by_shuffle(support), PIXEL).filter((F.col("support") >= 2) | lone).select(*PIXEL, "r", "g", "b", "strength", "threshold")
@@ -71,7 +71,7 @@ def detail_cells(src: DataFrame, ren: DataFrame, height: int, width: int, cell:
     Blank cells have no row."""
     src, ren = composite_over(src), composite_over(ren)
     stats = border_stats(src, height, width)
-    ren_ink = ren.join(stats, "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, "r", "g", "b")
+    ren_ink = ren.join(per_document(stats), "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, "r", "g", "b")
     match = best_match(ink_mask(src, stats), ren_ink)
     cover, colour = _credit(F.col("error"))
     at = lambda c: F.floor(F.col(c) / cell).cast("int") * cell
@@ -111,9 +111,10 @@ def foreground_match(src: DataFrame, ren: DataFrame, height: int, width: int) ->
     twice = F.explode(F.array_repeat(F.lit(1), F.when(F.col("y").isin(0, height - 1) & F.col("x").isin(0, width - 1), 2).otherwise(1)))
     border = written(src.filter(f"y IN (0, {height - 1}) OR x IN (0, {width - 1})").select(*PIXEL, "r", "g", "b")).withColumn("one", twice)
     paper = border.groupBy("doc_id").agg(*(F.percentile(c, F.lit(0.5)).alias(f"bg_{c}") for c in "rgb"))
-    noise = border.join(paper, "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("p95"))
-    stats = written(paper.join(noise, "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("p95") + 3))))
-    ink = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, "r", "g", "b")
+    noise = border.join(by_shuffle(paper), "doc_id").groupBy("doc_id").agg(F.percentile(channel_gap("", "bg_"), F.lit(0.95)).alias("p95"))
+    stats = written(paper.join(by_shuffle(noise), "doc_id").withColumn("threshold", F.greatest(F.lit(6.0), F.least(F.lit(24.0), F.col("p95") + 3))))
+    small = per_document(stats)
+    ink = lambda px: px.join(small, "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, "r", "g", "b")
     a, b = written(ink(src)), written(ink(ren))
 
     def side(match: DataFrame, name: str) -> DataFrame:
@@ -136,7 +137,8 @@ def component_topology(src: DataFrame, ren: DataFrame, height: int, width: int,
     src, ren = composite_over(src), composite_over(ren)
     stats = border_stats(src, height, width)
     core = structural_threshold(F.col("threshold"))
-    strong = lambda px: px.join(stats, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
+    small = per_document(stats)
+    strong = lambda px: px.join(small, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
     inside = f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}"
     grown = neighbour_count(strong(ren)).filter(inside).select(*PIXEL)
     own = written(component_runs(written(strong(src))).withColumnRenamed("comp_id", "src_comp"))

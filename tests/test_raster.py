@@ -124,3 +124,18 @@ def test_circles_meet_by_shuffle(spark):
     circles = written(spark.createDataFrame([(1, 1, 5, 5, 4), (1, 2, 6, 5, 2)], "doc_id long, z int, cx int, cy int, rad int"))
     found = S.concentric_rings(circles)
     assert "Broadcast" not in plan(found) and [tuple(r) for r in found.collect()] == [(1, 1, 2, 3.0, 2)]
+
+
+def test_a_written_border_meets_its_colours_by_shuffle(spark, monkeypatch):
+    """A border that is written looks small to Spark: only one row a document may be broadcast."""
+    px = spark.range(4).selectExpr("id AS doc_id", "explode(sequence(0, 9)) AS y").selectExpr("doc_id", "y", "explode(sequence(0, 9)) AS x").selectExpr("*", "cast(x * y + doc_id AS int) AS r", "10 AS g", "20 AS b", "255 AS a")
+    px = R.written(px)
+    plans, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: plans.append(plan(df)) or real(df))
+    got = {r.doc_id: (r.bg_r, r.noise_p95) for r in C.border_stats(px, 10, 10).collect()}
+    assert len(plans) == 2 and "Broadcast" not in plans[1]
+    for d in range(4):
+        tones = sorted(x * y + d for y in range(10) for x in range(10) if y in (0, 9) or x in (0, 9))
+        middle = (tones[17] + tones[18]) / 2
+        off = sorted(abs(t - middle) for t in tones)
+        assert got[d] == (middle, off[33] + 0.25 * (off[34] - off[33]))
