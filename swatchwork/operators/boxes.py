@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 
 from swatchwork.functions.svg import box_gap, box_iou
 from swatchwork.operators.graph import connected_components
-from swatchwork.runtime import united
+from swatchwork.runtime import by_shuffle, united
 
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def near_pairs(el: DataFrame, reach: float, cell: float = 16.0) -> DataFrame:
+def near_pairs(el: DataFrame, reach: float, cell: float = 16.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of elements of a document whose boxes are at most ``reach`` apart in x and in y.
 
     Boxes grown by half the reach are spread over grid cells; a pair is taken only in the first cell
-    that both share, so no pair comes twice and none is made by a nested loop.
+    that both share, so no pair comes twice and none is made by a nested loop. Columns in ``carry`` come
+    along for both (``o_`` for the second), so that pairs need no further joins with the elements.
     """
     half = reach / 2
     cells = lambda lo, hi: F.sequence(F.floor((F.col(lo) - half) / cell).cast("int"), F.floor((F.col(hi) + half) / cell).cast("int"))
-    spread = el.select("doc_id", "idx", *BOX).withColumn("gx", F.explode(cells("x0", "x1"))).withColumn("gy", F.explode(cells("y0", "y1")))
-    o = spread.select("doc_id", "gx", "gy", F.col("idx").alias("o_idx"), *(F.col(c).alias(f"o_{c}") for c in BOX))
+    spread = el.select("doc_id", "idx", *BOX, *carry).withColumn("gx", F.explode(cells("x0", "x1"))).withColumn("gy", F.explode(cells("y0", "y1")))
+    o = spread.select("doc_id", "gx", "gy", F.col("idx").alias("o_idx"), *(F.col(c).alias(f"o_{c}") for c in (*BOX, *carry)))
     first = lambda c: F.floor((F.greatest(c, f"o_{c}") - half) / cell).cast("int")
     close = (F.col("x0") - half <= F.col("o_x1") + half) & (F.col("o_x0") - half <= F.col("x1") + half) & (F.col("y0") - half <= F.col("o_y1") + half) & (F.col("o_y0") - half <= F.col("y1") + half)
-    return spread.join(o, ["doc_id", "gx", "gy"]).filter(F.col("idx") < F.col("o_idx")).filter(close & (F.col("gx") == first("x0")) & (F.col("gy") == first("y0"))).drop("gx", "gy")
+    return spread.join(by_shuffle(o), ["doc_id", "gx", "gy"]).filter(F.col("idx") < F.col("o_idx")).filter(close & (F.col("gx") == first("x0")) & (F.col("gy") == first("y0"))).drop("gx", "gy")
 
 
 def bbox_edges(el: DataFrame, reach: float = 12.0) -> DataFrame:
@@ -65,9 +66,9 @@ def order_conflicts(el: DataFrame, groups: DataFrame) -> DataFrame:
     """
     pair = near_pairs(el, 0.0).filter(box_gap("", "o_") == 0).select("doc_id", F.explode(F.array(F.struct("idx", "o_idx"), F.struct(F.col("o_idx").alias("idx"), F.col("idx").alias("o_idx")))).alias("p")).select("doc_id", "p.*")
     theirs = groups.select("doc_id", F.col("idx").alias("o_idx"), F.col("group_id").alias("o_group"))
-    out = pair.join(groups, ["doc_id", "idx"]).join(theirs, ["doc_id", "o_idx"], "left").filter("NOT (o_group <=> group_id)")
+    out = pair.join(by_shuffle(groups), ["doc_id", "idx"]).join(by_shuffle(theirs), ["doc_id", "o_idx"], "left").filter("NOT (o_group <=> group_id)")
     met = out.select("doc_id", "group_id", F.col("o_idx").alias("at"), F.lit(0).alias("member"), (F.col("idx") < F.col("o_idx")).cast("int").alias("rise"), (F.col("idx") > F.col("o_idx")).cast("int").alias("fall"))
-    own = groups.join(el.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi").select("doc_id", "group_id", F.col("idx").alias("at"), F.lit(1).alias("member"), F.lit(0).alias("rise"), F.lit(0).alias("fall"))
+    own = groups.join(by_shuffle(el.select("doc_id", "idx")), ["doc_id", "idx"], "left_semi").select("doc_id", "group_id", F.col("idx").alias("at"), F.lit(1).alias("member"), F.lit(0).alias("rise"), F.lit(0).alias("fall"))
     places = own.transform(united, met).groupBy("doc_id", "group_id", "at").agg(*(F.sum(c).alias(c) for c in ("member", "rise", "fall")))
     by = Window.partitionBy("doc_id", "group_id").orderBy("at")
     before, after = by.rangeBetween(Window.unboundedPreceding, -1), by.rangeBetween(1, Window.unboundedFollowing)

@@ -10,7 +10,7 @@ from swatchwork.functions.svg import NUMBER, box_area, box_gap, is_stable_self_r
 from swatchwork.operators.boxes import BOX, near_pairs
 from swatchwork.operators.checks import canvas_of
 from swatchwork.operators.documents import path_steps
-from swatchwork.runtime import united
+from swatchwork.runtime import by_shuffle, united
 
 # Tags that draw, and attributes that a scene can't keep when it is regrouped.
 DRAWABLE = ("path", "circle", "ellipse", "rect", "line", "polyline", "polygon")
@@ -151,11 +151,7 @@ def scene_edges(nodes: DataFrame) -> DataFrame:
     """The first of six rules that relates two nodes of a document, with its score: matching bounds,
     overlay and overlap of paints, nearness of dots, of parallel strokes and of fragments. Scaffolds
     relate to nothing. Pairs meet in grid cells, so far apart elements are never compared."""
-    live = nodes.filter("NOT scaffold")
-    pairs = near_pairs(live, REACH, 64.0)
-    facts = ("paint", "family", "hue", "role", "turn", "fraction")
-    side = lambda key, p: live.select("doc_id", F.col("idx").alias(key), *(F.col(c).alias(f"{p}{c}") for c in facts), *(["canvas_w", "canvas_h"] if not p else []))
-    j = pairs.join(side("idx", ""), ["doc_id", "idx"]).join(side("o_idx", "o_"), ["doc_id", "o_idx"])
+    j = near_pairs(nodes.filter("NOT scaffold"), REACH, 64.0, ("paint", "family", "hue", "role", "turn", "fraction", "canvas_w", "canvas_h"))
     col, other = F.col, lambda c: F.col(f"o_{c}")
     sizes = [box_area(*(F.col(f"{p}{c}") for c in BOX)) for p in ("", "o_")]
     common = F.greatest(F.least("x1", "o_x1") - F.greatest("x0", "o_x0"), F.lit(0.0)) * F.greatest(F.least("y1", "o_y1") - F.greatest("y0", "o_y0"), F.lit(0.0))
@@ -193,15 +189,15 @@ def object_candidates(edges: DataFrame, nodes: DataFrame, least_score: float = 0
     one paint need four nodes and four primitives. The confidence is .65 of the median and .35 of the
     smallest score of the edges within the group.
 
-    Whether an edge counts depends on the better ones, so the edges of one document, with what is
-    needed of their nodes, are folded in one group: as many as one file's elements allow.
+    Whether an edge counts depends on the better ones, so the edges and the nodes of one document are
+    folded in one group: as many as one file's elements allow.
     """
-    facts = lambda p: nodes.select("doc_id", F.col("idx").alias(p), F.struct(*BOX, "primitive", "paint", (F.col("canvas_w") * F.col("canvas_h")).alias("canvas")).alias(f"n_{p}"))
-    strong = edges.filter(F.col("score") >= least_score).join(facts("a"), ["doc_id", "a"]).join(facts("b"), ["doc_id", "b"])
+    strong = edges.filter(F.col("score") >= least_score).select("doc_id", "a", "b", "rule", "score")
+    facts = nodes.select(F.col("doc_id").alias("of"), "idx", *BOX, "primitive", "paint", (F.col("canvas_w") * F.col("canvas_h")).alias("canvas"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        node = {**dict(zip(rows["a"], rows["n_a"])), **dict(zip(rows["b"], rows["n_b"]))}
+        node = {v["idx"]: v for v in of[of["idx"].isin({*rows["a"], *rows["b"]})].to_dict("records")}
         size = {i: (v["x1"] - v["x0"]) * (v["y1"] - v["y0"]) for i, v in node.items()}
         # Of each group: members, box, sum of areas, primitives and taken edges.
         group = {i: {"ids": [i], "box": [v[c] for c in BOX], "mass": size[i], "prim": int(v["primitive"]), "edges": []} for i, v in node.items()}
@@ -232,7 +228,7 @@ def object_candidates(edges: DataFrame, nodes: DataFrame, least_score: float = 0
         return pd.DataFrame(out, columns=["doc_id", "group_id", "members", "confidence", "reasons", *BOX])
 
     kind = "doc_id long, group_id int, members array<int>, confidence double, reasons array<string>, x0 double, y0 double, x1 double, y1 double"
-    return strong.groupBy("doc_id").applyInPandas(fold, kind)
+    return strong.groupBy("doc_id").cogroup(facts.groupBy("of")).applyInPandas(fold, kind)
 
 
 def candidate_manifest(candidates: DataFrame, nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -240,7 +236,7 @@ def candidate_manifest(candidates: DataFrame, nodes: DataFrame, conflicts: DataF
     A candidate whose best anchor (``order_conflicts``) still has outsiders in its way would change
     what covers what: it is listed only, with the reason."""
     member = candidates.select("doc_id", "group_id", F.explode("members").alias("idx"))
-    paints = member.join(nodes.select("doc_id", "idx", "paint"), ["doc_id", "idx"]).groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("paint")).alias("paints"))
+    paints = member.join(by_shuffle(nodes.select("doc_id", "idx", "paint")), ["doc_id", "idx"]).groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("paint")).alias("paints"))
     rows = candidates.join(paints, ["doc_id", "group_id"], "left").join(conflicts.select("doc_id", "group_id", "anchor", "conflicts"), ["doc_id", "group_id"], "left")
     unsafe = F.coalesce(F.col("conflicts") > 0, F.col("anchor").isNull())
     return rows.select(

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import small_enough, united
+from swatchwork.runtime import bounded_batches, small_enough, united
 
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp")
 #: Attributes that an element takes from its groups.
@@ -76,7 +76,7 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_svg(docs: DataFrame) -> DataFrame:
     """Elements of vector documents (doc_id, svg) in document order, with their inherited paints and
     stroke shape among their attributes. A document that is no XML has one row with ``is_valid`` false."""
-    return docs.select("doc_id", "svg").mapInArrow(_shred, "doc_id long, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, in_defs boolean, is_valid boolean")
+    return bounded_batches(docs.select("doc_id", "svg")).mapInArrow(_shred, "doc_id long, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, in_defs boolean, is_valid boolean")
 
 
 def _metadata(batches: Iterator[pa.RecordBatch], node_id: str) -> Iterator[pa.RecordBatch]:

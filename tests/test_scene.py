@@ -96,3 +96,27 @@ def test_six_rules(spark):
     assert one(rect(0, 0, 10, 10, red), rect(12, 0, 10, 10, pink)) == [("fragment-proximity", round(0.76 + 0.1 * (1 - 2 / 8), 6))]
     assert one(rect(0, 0, 10, 10, red), rect(12, 0, 10, 10, 'fill="#10c010"')) == [] and one(rect(0, 0, 10, 10, red), rect(19, 0, 10, 10, pink)) == []
     assert one(rect(0, 0, 30, 30, red), rect(0, 0, 30, 30, red)) == []
+
+
+def test_pairs_and_folds_meet_by_shuffle(spark):
+    """Written nodes look small to Spark; they are neither broadcast to pairs nor to the edges of a fold."""
+    from tests.test_raster import plan
+
+    el, boxes = _boxes(spark, '<rect width="9" height="9" fill="#f00"/>', '<rect width="9" height="9" fill="#e00000"/>', '<rect x="50" y="50" width="2" height="2" fill="#00f"/>')
+    nodes = written(C.scene_nodes(el, boxes))
+    edges = C.scene_edges(nodes)
+    found = C.object_candidates(edges, nodes)
+    assert "Broadcast" not in plan(edges) and "Broadcast" not in plan(found)
+    assert [(r.a, r.b, r.rule) for r in edges.collect()] == [(1, 2, "matching-bounds")] and [r.members for r in found.collect()] == [[1, 2]]
+
+
+def test_scan_takes_documents_in_small_batches(spark):
+    """Python holds the elements of one batch of documents, not of a whole partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "'<svg><rect/></svg>' AS svg")
+        assert scan_svg(docs).count() == 2400 and int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, old)
