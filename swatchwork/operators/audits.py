@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
-from swatchwork.operators.raster import PIXEL, channel_gap, component_runs, component_stats, erode
+from swatchwork.operators.raster import PIECE, PIXEL, channel_gap, component_pieces, component_runs, component_stats, erode
 from swatchwork.runtime import by_shuffle, per_document, united, written
 
 
@@ -29,20 +29,36 @@ def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] =
 
 
 def _thin(px: DataFrame, stats: DataFrame, least: int, most: int, core: float) -> tuple[DataFrame, DataFrame]:
-    """Pixels of the strong components, and those of the components that are thin and straight."""
-    ink = written(px.join(stats, "doc_id").withColumn("strength", channel_gap("", "bg_")).filter(F.col("strength") >= core).select(*PIXEL, "r", "g", "b", "strength"))
-    runs = component_runs(ink.select(*PIXEL))
-    of = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    p = written(ink.join(by_shuffle(of), PIXEL))
-    m = p.groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("area"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.percentile("strength", F.lit(0.85)).alias("cut")).filter((F.col("area") >= least) & (F.col("area") <= most) & (F.greatest("w", "h") >= 12))
+    """Pixels of the components that are thin and straight, and these components. Moments come from the sums of
+    pieces; only pixels of thin components, ``most`` a component, are gathered."""
+    ink = px.join(per_document(written(stats)), "doc_id").withColumn("strength", channel_gap("", "bg_")).filter(F.col("strength") >= core)
+    pieces, names = component_pieces(ink.select(*PIXEL, "r", "g", "b", "strength"), ["r", "g", "b", "strength"])
+    names = written(names)
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    ends = [(F.max(f"hi_{c}") - F.min(f"lo_{c}") + 1).alias(n) for c, n in (("x", "w"), ("y", "h"))]
+    m = pieces.select(*PIECE, *sums, "lo_x", "hi_x", "lo_y", "hi_y").join(by_shuffle(names), PIECE).groupBy("doc_id", "comp_id").agg(*(F.sum(c).alias(c) for c in sums), *ends)
+    spread = lambda a, b, ab: (F.col(ab) * F.col("n") - F.col(a) * F.col(b)) / (F.col("n") * (F.col("n") - 1))
+    m = m.filter((F.col("n") >= least) & (F.col("n") <= most) & (F.greatest("w", "h") >= 12)).select("doc_id", "comp_id", F.col("n").alias("area"), "w", "h", spread("sx", "sx", "sxx").alias("vx"), spread("sy", "sy", "syy").alias("vy"), spread("sx", "sy", "sxy").alias("c"))
     half, root = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.col("c") * F.col("c"))
     m = m.withColumn("across", F.sqrt(F.greatest(half - root, F.lit(0.0)))).withColumn("linearity", (half + root) / F.greatest(half - root, F.lit(0.25))).withColumn("fill", F.col("area") / (F.col("w") * F.col("h")))
-    return p, m.filter("across <= 1.5 AND linearity >= 100 AND fill <= 0.28")
+    m = written(m.filter("across <= 1.5 AND linearity >= 100 AND fill <= 0.28"))
+    of = names.join(by_shuffle(m.select("doc_id", "comp_id")), ["doc_id", "comp_id"])
+    lists = ("ys", "xs", "rs", "gs", "bs", "strengths")
+    p = written(pieces.select(*PIECE, *lists).join(by_shuffle(of), PIECE).groupBy("doc_id", "comp_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists)))
+    return p, m
 
 
 def _core_tone(p: DataFrame, thin: DataFrame) -> DataFrame:
-    """Median colour of the strongest 15 percent of each thin component."""
-    return p.join(thin.select("doc_id", "comp_id", "cut"), ["doc_id", "comp_id"]).filter("strength >= cut").groupBy("doc_id", "comp_id").agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in "rgb"))
+    """Median colour of the strongest 15 percent of each thin component, from its lists of pixels."""
+
+    def quantile(values: Column, share: float) -> Column:
+        v, at = F.array_sort(values), (F.size(values) - 1) * F.lit(share)
+        low, part = F.floor(at).cast("int"), at - F.floor(at)
+        return F.get(v, low) * (1 - part) + F.get(v, F.ceil(at).cast("int")) * part
+
+    rows = p.join(by_shuffle(thin.select("doc_id", "comp_id")), ["doc_id", "comp_id"], "left_semi").withColumn("cut", quantile(F.col("strengths"), 0.85))
+    strong = [F.filter(F.arrays_zip(f"{c}s", "strengths"), lambda v: v["strengths"] >= F.col("cut"))[f"{c}s"].alias(c) for c in "rgb"]
+    return rows.select("doc_id", "comp_id", *strong).select("doc_id", "comp_id", *(quantile(F.col(c), 0.5).alias(c) for c in "rgb"))
 
 
 def linear_details(px: DataFrame, stats: DataFrame, least: int = 21, most: int = 800, core: float = 12.0) -> DataFrame:
@@ -50,7 +66,7 @@ def linear_details(px: DataFrame, stats: DataFrame, least: int = 21, most: int =
     colour of their strongest 15 percent. ``stats``: of ``border_stats``. ``relabelled_lines`` also gives
     them one label."""
     p, thin = _thin(px, stats, least, most, core)
-    return thin.join(_core_tone(p, thin), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", F.round("across", 3).alias("across"), F.round("linearity", 3).alias("linearity"), "r", "g", "b")
+    return thin.join(by_shuffle(_core_tone(p, thin)), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", F.round("across", 3).alias("across"), F.round("linearity", 3).alias("linearity"), "r", "g", "b")
 
 
 def relabelled_lines(px: DataFrame, stats: DataFrame, labels: DataFrame, pal: DataFrame, owned: DataFrame | None = None, least: int = 21, most: int = 800, core: float = 12.0, dominant: float = 0.85) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +81,8 @@ def relabelled_lines(px: DataFrame, stats: DataFrame, labels: DataFrame, pal: Da
     seen = px.filter("a > 0") if "a" in px.columns else px
     seen = seen if owned is None else seen.join(owned.select(*PIXEL).distinct(), PIXEL, "left_anti")
     p, thin = _thin(seen, stats, least, most, core)
-    thin = written(thin)
-    own = written(p.join(thin.select("doc_id", "comp_id"), ["doc_id", "comp_id"], "left_semi").join(labels.select(*PIXEL, "label"), PIXEL))
+    own = p.select("doc_id", "comp_id", F.explode(F.arrays_zip("ys", "xs")).alias("p")).select("doc_id", "comp_id", F.col("p.ys").alias("y"), F.col("p.xs").alias("x"))
+    own = written(own.join(by_shuffle(labels.select(*PIXEL, "label")), PIXEL))
     share = own.groupBy("doc_id", "comp_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "comp_id").agg(F.max("n").alias("n"))
     mixed = thin.join(share, ["doc_id", "comp_id"]).withColumn("share", F.col("n") / F.col("area")).filter(F.col("share") < dominant)
     colors = pal.select("doc_id", "k", *(F.col(c).alias(f"p_{c}") for c in "rgb"))

@@ -139,3 +139,31 @@ def test_a_written_border_meets_its_colours_by_shuffle(spark, monkeypatch):
         middle = (tones[17] + tones[18]) / 2
         off = sorted(abs(t - middle) for t in tones)
         assert got[d] == (middle, off[33] + 0.25 * (off[34] - off[33]))
+
+
+def test_pieces_are_the_components_of_runs(spark):
+    """Over many bands, with what the pixels carry: every pixel has the number that component_runs gives it."""
+    rng = random.Random(8)
+    rows = [(d, y, x, 1000 * y + x) for d in range(3) for y in range(40) for x in range(20) if rng.random() < 0.45]
+    px = spark.createDataFrame(rows, "doc_id long, y int, x int, v long")
+    pieces, names = R.component_pieces(px, ["v"], band=4)
+    got = {(r.doc_id, y, x): r.comp_id for r in pieces.join(names, R.PIECE).collect() for y, x, v in zip(r.ys, r.xs, r.vs) if v == 1000 * y + x}
+    want = {(r.doc_id, r.y, x): r.comp_id for r in R.component_runs(px.select(*R.PIXEL)).collect() for x in range(r.x0, r.x1 + 1)}
+    assert got == want and len(got) == len(rows)
+
+
+def test_thin_lines_are_written_as_pieces(spark, monkeypatch):
+    """No table with a row a pixel is written or joined; moments and tones are those of plain Python."""
+    from swatchwork.operators import audits as Q
+
+    rows = [(1, i + 30, 2 * i // 3, 10 * (i % 7), 100 - i, 0) for i in range(90)] + [(1, y, x, 0, 0, 0) for y in range(5) for x in range(5)]
+    px = spark.createDataFrame(rows, "doc_id long, y int, x int, r int, g int, b int")
+    stats = spark.createDataFrame([(1, 255.0, 255.0, 255.0, 6.0)], "doc_id long, bg_r double, bg_g double, bg_b double, threshold double")
+    sizes = []
+    for module in (Q, R):
+        monkeypatch.setattr(module, "written", lambda df, real=module.written: sizes.append(real(df)) or sizes[-1])
+    (got,) = Q.linear_details(px, stats).collect()
+    assert max(s.count() for s in sizes) < 10
+    line = rows[:90]
+    middle = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+    assert got.area == 90 and (got.r, got.g, got.b) == tuple(middle([p[3 + k] for p in line]) for k in range(3))
