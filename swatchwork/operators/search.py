@@ -36,14 +36,17 @@ class SearchParams:
 
 
 def _variants(items: DataFrame, sizes: Column) -> DataFrame:
-    """Options of the items (item_id, their options, free: features that may be off) with every subset of
-    ``free`` off whose size is in the array ``sizes``."""
-    subset = F.explode(F.sequence(F.lit(0), F.lit((1 << len(FEATURES)) - 1))).alias("mask")
-    rows = items.select("item_id", *OPTIONS, "free", sizes.alias("sizes"), subset)
-    bits = [F.col("mask").bitwiseAND(1 << k) != 0 for k in range(len(FEATURES))]
-    size = sum((b.cast("int") for b in bits), F.lit(0))
-    allowed = reduce(lambda a, b: a & b, (~b | F.array_contains("free", f) for b, f in zip(bits, FEATURES)))
-    return rows.filter(allowed & F.array_contains("sizes", size)).select("item_id", *(F.when(b, "off").otherwise(F.col(f)).alias(f) for b, f in zip(bits, FEATURES)), "background").distinct()
+    """Options of the items (one row an item: item_id, its options, free: features that may be off) with every
+    subset of ``free`` off whose size is in the array ``sizes``. An item's variants are made and parted where its
+    row lies."""
+
+    def variant(mask: int) -> Column:
+        off = [f for k, f in enumerate(FEATURES) if mask >> k & 1]
+        allowed = reduce(lambda a, f: a & F.array_contains("free", f), off, F.array_contains(sizes, F.lit(len(off))))
+        return F.when(allowed, F.struct(*((F.lit("off") if f in off else F.col(f)).alias(f) for f in FEATURES)))
+
+    every = F.array_distinct(F.array_compact(F.array(*map(variant, range(1 << len(FEATURES))))))
+    return items.select("item_id", "background", F.inline(every)).select("item_id", *OPTIONS)
 
 
 def _beats(p: GateParams, one: str, other: str) -> Column:
@@ -64,7 +67,7 @@ def staged_search(requests: DataFrame, evaluate: Callable[[DataFrame], DataFrame
     accepted or look risky, each feature off alone; then all combinations for items that failed or score
     very low, else those of the features that made a difference alone, if there are two; at last all of it with
     the background kept, where nothing scored well. A combination is tried once; each round's results are
-    written. Repeated items count once; null options count as off.
+    written once, beside those of the rounds before. Repeated items count once; null options count as off.
     """
     asked = requests.dropna(subset=["item_id"]).groupBy("item_id").agg(*(F.coalesce(F.min(c), F.lit("off")).alias(c) for c in OPTIONS))
     free = F.filter(F.array(*(F.when(F.col(f) != "off", F.lit(f)) for f in FEATURES)), lambda x: x.isNotNull())
@@ -74,13 +77,14 @@ def staged_search(requests: DataFrame, evaluate: Callable[[DataFrame], DataFrame
 
     def attempt(todo: DataFrame, name: str) -> None:
         nonlocal tried
-        new = todo.select(*key).distinct()
+        new = todo.select(*key)
         new = written(new if tried is None else new.join(tried.select(*key), key, "left_anti"))
         if tried is not None and new.isEmpty():
             return
         built = visual_gate(evaluate(new).dropDuplicates(key), p.gate).withColumnRenamed("status", "visual")
         found = new.join(built, key, "left").withColumn("round", F.lit(name)).withColumn("status", F.when(F.col("visual").isNull(), "failed").otherwise("ok"))
-        tried = written(found if tried is None else tried.transform(united, found))
+        found = written(found)
+        tried = found if tried is None else tried.transform(united, found)
 
     attempt(asked, "requested")
     base = asked.join(tried, key)

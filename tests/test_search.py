@@ -175,3 +175,15 @@ def test_lines_of_several_labels_get_one(spark):
     assert len(now) == 3600 and all(now[p] == (4 if p[0] == p[1] and p[0] < 50 else was[p]) for p in was)
     same, none = relabelled_lines(all_.drop("label"), stats, labels, pal, owned=all_.filter("y = x").select("doc_id", "y", "x"))
     assert none.count() == 0 and same.exceptAll(labels).count() == 0
+
+
+def test_rounds_are_written_once(spark, monkeypatch):
+    """No written table holds results of more than one round."""
+    from swatchwork.operators import search as U
+    from swatchwork.plans.search_queries import staged_search
+
+    tables, real = [], U.written
+    monkeypatch.setattr(U, "written", lambda df: tables.append(real(df)) or tables[-1])
+    staged_search(spark, "/root/testdata/sf0.001")
+    rounds = [t.select("round").distinct().count() for t in tables if "round" in t.columns]
+    assert len(rounds) > 2 and max(rounds) == 1
