@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchwork.runtime import written
+from swatchwork.runtime import by_shuffle, small_enough, written
 
 
 def _join_rest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edge table at least halves its nodes each round, and each round's hooks and edges are written
     to the shared folder; the labels follow them by one join a round. Once no more than
     ``last_rows`` edges are left (a fixed bound, whatever the input), one task joins them, which saves
-    the last rounds of jobs over next to nothing. Null ends are ignored; an empty table gives an empty result.
+    the last rounds of jobs over next to nothing. Written hooks look small to Spark, so they are broadcast
+    only while their edges are counted few. Null ends are ignored; an empty table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
     links = written(edges.filter(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
@@ -70,13 +71,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .groupBy("component")
             .agg(F.min("up").alias("up"))
         )
+        # Two hooks an edge at most; a struct takes some 128 bytes in a broadcast, a number some 48.
+        side = F.broadcast if small_enough(2 * left, 128 if dict(live.dtypes)["lo"].startswith("struct") else 48) else by_shuffle
         up = hooks.select(F.col("component").alias("up"), F.col("up").alias("top"))
-        hooks = written(hooks.join(up, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
-        labels = labels.join(hooks, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        hooks = written(hooks.join(side(up), "up", "left").select("component", F.coalesce("top", "up").alias("up")))
+        labels = labels.join(side(hooks), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         lo = hooks.select(F.col("component").alias("lo"), F.col("up").alias("lo_up"))
         hi = hooks.select(F.col("component").alias("hi"), F.col("up").alias("hi_up"))
         live = written(
-            live.join(lo, "lo").join(hi, "hi").filter("lo_up <> hi_up")
+            live.join(side(lo), "lo").join(side(hi), "hi").filter("lo_up <> hi_up")
             .select(F.least("lo_up", "hi_up").alias("lo"), F.greatest("lo_up", "hi_up").alias("hi")).distinct()
         )
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -141,6 +141,22 @@ def test_a_written_border_meets_its_colours_by_shuffle(spark, monkeypatch):
         assert got[d] == (middle, off[33] + 0.25 * (off[34] - off[33]))
 
 
+def test_many_hooks_meet_by_shuffle(spark, monkeypatch):
+    """Written hooks look small to Spark; they are broadcast only while their counted rows are few."""
+    from swatchwork import runtime
+    from swatchwork.operators import graph
+
+    edges = spark.range(300).selectExpr("struct(id % 3 AS doc_id, id AS y) AS src", "struct(id % 3 AS doc_id, id + 3 AS y) AS dst")
+    for most, word in ((0, False), (1 << 20, True)):
+        plans, real = [], R.written
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(graph, "written", lambda df: plans.append(plan(df)) or real(df))
+        parts = connected_components(edges, last_rows=0)
+        monkeypatch.setattr(graph, "written", real)
+        assert any("Broadcast" in p for p in [*plans, plan(parts)]) == word
+        assert all(tuple(r.component) == (r.node.doc_id, r.node.doc_id) for r in parts.collect())
+
+
 def test_pieces_are_the_components_of_runs(spark):
     """Over many bands, with what the pixels carry: every pixel has the number that component_runs gives it."""
     rng = random.Random(8)
