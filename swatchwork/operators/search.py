@@ -7,12 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swatchwork.operators.bands import Grid, Pixels, by_band, packed
 from swatchwork.operators.raster import PIXEL
 from swatchwork.operators.rules import METRICS, GateParams, metric, validated, visual_gate
-from swatchwork.runtime import united, written
+from swatchwork.runtime import by_shuffle, united, written
 
 FEATURES = ("strokes", "gradients", "geometry")
 OPTIONS = (*FEATURES, "background")
@@ -115,20 +117,38 @@ REPAIR_DROPS = {"foreground": 0.05, "color_fidelity": 0.25, "detail_p10": 0.05,
 GATE_RANK = {"rejected": 0, "manual_review": 1, "accepted": 2}
 
 
+def _changed(pictures: dict[int, Pixels], band: int) -> dict[str, object]:
+    """Pixels that differ, without a side, and the size of each side."""
+    before, after = pictures.get(0), pictures.get(1)
+    sizes = [(p["y"].max(), p["x"].max(), side, len(p["y"])) for side, p in pictures.items()]
+    y = x = np.empty(0, np.int64)
+    if before is not None and after is not None:
+        grid = Grid(before, after, pad=0)
+        both, off = grid.mask(before) & grid.mask(after), np.zeros(grid.shape, bool)
+        for c in ("r", "g", "b", "a"):
+            was, now = grid.plane(before, c), grid.plane(after, c)
+            off |= (was != now) & (was == was) & (now == now)  # a null differs from nothing
+        y, x = np.nonzero(both & off)
+        y, x = y + grid.y, x + grid.x
+    nth, n = (np.r_[[float(s[i]) for s in sizes], np.full(len(y), np.nan)] for i in (2, 3))
+    return {"y": np.r_[[s[0] for s in sizes], y].astype(np.int64), "x": np.r_[[s[1] for s in sizes], x].astype(np.int64), "side": nth, "n": n}
+
+
 def repair_changes(before: DataFrame, after: DataFrame, boxes: DataFrame, pad: int = 2) -> DataFrame:
     """``doc_id, changed, outside, same_size``: pixels (with alpha) that differ between two pictures, those of
-    them in none of the padded boxes (doc_id, x, y, w, h), and whether the pictures have one size."""
-    size = lambda df, n: df.groupBy("doc_id").agg(F.struct(F.max("y").alias("y"), F.max("x").alias("x"), F.count(F.lit(1)).alias("n")).alias(n))
-    sizes = size(before, "b").join(size(after, "a"), "doc_id", "full")
-    colors = ("r", "g", "b", "a")
-    differ = reduce(lambda a, b: a | b, (F.col(c) != F.col(f"o_{c}") for c in colors))
-    changed = before.join(after.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in colors)), PIXEL).filter(differ).select(*PIXEL)
+    them in none of the padded boxes (doc_id, x, y, w, h), and whether the pictures have one size. The pictures
+    meet in packed bands; only changed pixels are written, and no side is broadcast."""
+    cols = [*PIXEL, "r", "g", "b", "a"]
+    found = written(by_band(packed([before.select(cols), after.select(cols)]), _changed, "y long, x long, side int, n long"))
+    size = lambda side, n: found.filter(F.col("side") == side).groupBy("doc_id").agg(F.struct(F.max("y").alias("y"), F.max("x").alias("x"), F.sum("n").alias("n")).alias(n))
+    sizes = size(0, "b").join(by_shuffle(size(1, "a")), "doc_id", "full")
+    changed = found.filter("side IS NULL").select(*PIXEL)
     box = boxes.select("doc_id", (F.floor("x") - pad).alias("x0"), (F.floor("y") - pad).alias("y0"), (F.ceil(F.col("x") + F.col("w")) + pad).alias("x1"), (F.ceil(F.col("y") + F.col("h")) + pad).alias("y1"))
     inside = (F.col("p.x") >= F.col("q.x0")) & (F.col("p.x") < F.col("q.x1")) & (F.col("p.y") >= F.col("q.y0")) & (F.col("p.y") < F.col("q.y1"))
-    out = changed.alias("p").join(box.alias("q"), (F.col("p.doc_id") == F.col("q.doc_id")) & inside, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("outside"))
+    out = changed.alias("p").join(by_shuffle(box.alias("q")), (F.col("p.doc_id") == F.col("q.doc_id")) & inside, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("outside"))
     n = changed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("changed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return sizes.join(n, "doc_id", "left").join(out, "doc_id", "left").select("doc_id", zero("changed"), zero("outside"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same_size"))
+    return sizes.join(by_shuffle(n), "doc_id", "left").join(by_shuffle(out), "doc_id", "left").select("doc_id", zero("changed"), zero("outside"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same_size"))
 
 
 def repair_audit(proposals: DataFrame, repairs: DataFrame, failures: DataFrame, gates: DataFrame, metrics: DataFrame, changes: DataFrame) -> DataFrame:
@@ -153,12 +173,12 @@ def repair_audit(proposals: DataFrame, repairs: DataFrame, failures: DataFrame,
     # A metric without a row is missing as well.
     need = F.explode(F.array(*map(F.lit, REPAIR_DROPS))).alias("metric")
     light = "light_object_coverage"
-    rows = proposals.select("doc_id", need).join(metrics, ["doc_id", "metric"], "left").filter((F.col("metric") != light) | F.coalesce(F.col("applies"), F.lit(False)))
+    rows = proposals.select("doc_id", need).join(by_shuffle(metrics), ["doc_id", "metric"], "left").filter((F.col("metric") != light) | F.coalesce(F.col("applies"), F.lit(False)))
     place = F.array_position(F.array(*map(F.lit, REPAIR_DROPS)), F.col("metric"))
     worse = rows.withColumn("bad", bad).filter("bad IS NOT NULL").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), "bad"))), lambda r: r["bad"]).alias("worse"))
     one = (
-        proposals.select("doc_id", "status").join(asked, "doc_id", "left").join(failures.select("doc_id", F.col("before").alias("f_before"), F.col("after").alias("f_after")), "doc_id", "left")
-        .join(gates.select("doc_id", F.col("before").alias("g_before"), F.col("after").alias("g_after")), "doc_id", "left").join(worse, "doc_id", "left").join(changes, "doc_id", "left")
+        proposals.select("doc_id", "status").join(by_shuffle(asked), "doc_id", "left").join(by_shuffle(failures.select("doc_id", F.col("before").alias("f_before"), F.col("after").alias("f_after"))), "doc_id", "left")
+        .join(by_shuffle(gates.select("doc_id", F.col("before").alias("g_before"), F.col("after").alias("g_after"))), "doc_id", "left").join(by_shuffle(worse), "doc_id", "left").join(by_shuffle(changes), "doc_id", "left")
     )
     none = F.array().cast("array<string>")
     rank = F.create_map(*(x for k, v in GATE_RANK.items() for x in (F.lit(k), F.lit(v))))
