@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchwork.functions.svg import NUMBER, solid_paint
-from swatchwork.operators.compare import border_stats, ink_mask
+from swatchwork.operators.bands import BAND, Grid, Pixels, by_band, eroded, filled, packed, runs, summed
+from swatchwork.operators.compare import border_stats
 from swatchwork.operators.paths import endpoint_arc, on_arc
-from swatchwork.operators.raster import EIGHT, PIXEL, channel_gap, component_runs, component_stats, composite_over, erode
+from swatchwork.operators.raster import EIGHT, PIXEL, component_stats, composite_over, labelled_runs
 from swatchwork.runtime import by_shuffle, united, written
 
 #: Places that are not drawn, and attributes that make a split unsafe.
@@ -131,28 +134,35 @@ def sample_path(segments: DataFrame, step: float) -> DataFrame:
     return rows.select("doc_id", "seg", "k", F.round(place(0) + 1e-9, 4).alias("x"), F.round(place(1) + 1e-9, 4).alias("y"))
 
 
+def _masses(pictures: dict[int, Pixels], band: int, facts: dict) -> dict[str, object]:
+    """Ink of both pictures among the band's own pixels, and the sums of their agreement over it."""
+    grid, threshold = Grid(*pictures.values()), facts["threshold"]
+    ink, count, mass = [], [], []
+    for side in (0, 1):
+        p = pictures.get(side)
+        strength = None if p is None else reduce(np.maximum, (np.abs(p[c] - facts[f"bg_{c}"]) for c in "rgb"))
+        mask = grid.mask(p, None if p is None else strength >= threshold)
+        if side == 0 and p is not None:
+            lone = grid.mask(p, strength >= max(threshold * 1.75, threshold + 12))
+            mask &= (summed(mask.astype(np.int32), EIGHT) >= 2) | lone
+        ink.append(mask)
+        count.append(summed(mask.astype(float), EIGHT))
+        mass.append([summed(np.where(mask, np.rint(facts[f"bg_{c}"]) - grid.plane(p, c), 0.0), EIGHT) for c in "rgb"])
+    off = reduce(np.maximum, (np.abs(a - b) for a, b in zip(*mass))) / np.maximum(np.maximum(*count), 1.0)
+    alike, own = np.maximum(0.0, 1 - off / 128), grid.rows_of(band)
+    return {f"{n}{side}": [v] for side in (0, 1) for n, v in (("own", (ink[side] & own).sum()), ("sim", alike[ink[side] & own].sum()))}
+
+
 def ink_mass_match(src: DataFrame, ren: DataFrame, height: int, width: int) -> DataFrame:
     """Agreement of mean signed ink in 3x3 support, for a render compared with a resized source: over
-    source ink and over render ink, in percent. Both kinds of ink are spread once, into one group
-    a pixel. ``ren`` has the size of ``src``."""
+    source ink and over render ink, in percent. Both pictures meet in packed bands, so no pixel is
+    spread to its neighbours. ``ren`` has the size of ``src``."""
     src, ren = composite_over(src), composite_over(ren)
-    stats = border_stats(src, height, width)
-    sides = (ink_mask(src, stats).select(*PIXEL, *"rgb"), ren.join(stats, "doc_id").filter(channel_gap("", "bg_") >= F.col("threshold")).select(*PIXEL, *"rgb"))
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in EIGHT))
-    spread = []
-    for k, ink in enumerate(sides):
-        own = ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).cast("int")
-        rows = ink.join(stats.select("doc_id", *(F.bround(f"bg_{c}").alias(f"bg_{c}") for c in "rgb")), "doc_id").withColumn("o", F.explode(steps))
-        put = lambda v, at: v if at == k else F.lit(0).cast("double")  # noqa: E731, B023
-        spread.append(rows.select("doc_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), *(
-            put(v, side).alias(f"{n}{side}") for side in (0, 1) for n, v in [("n", F.lit(1.0)), ("own", own.cast("double")), *((c, F.col(f"bg_{c}") - F.col(c)) for c in "rgb")]
-        )))
-    cols = [f"{n}{side}" for side in (0, 1) for n in ("n", "own", *"rgb")]
-    g = spread[0].transform(united, spread[1]).groupBy(*PIXEL).agg(*(F.sum(c).alias(c) for c in cols))
-    off = F.greatest(*(F.abs(F.col(f"{c}0") - F.col(f"{c}1")) for c in "rgb")) / F.greatest("n0", "n1", F.lit(1.0))
-    g = g.withColumn("sim", F.greatest(F.lit(0.0), 1 - off / 128))
-    over = lambda own: F.round(100 * F.avg(F.when(F.col(own) > 0, F.col("sim"))) + 1e-9, 3)
-    return g.groupBy("doc_id").agg(F.sum("own0").cast("long").alias("src_ink"), F.sum("own1").cast("long").alias("ren_ink"), over("own0").alias("src_match"), over("own1").alias("ren_match"))
+    stats = border_stats(src, height, width).select("doc_id", "bg_r", "bg_g", "bg_b", "threshold")
+    found = by_band(packed([src, ren], halo=2), _masses, "own0 long, sim0 double, own1 long, sim1 double", stats)
+    g = found.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("own0", "sim0", "own1", "sim1"))).filter("own0 + own1 > 0")
+    over = lambda k: F.round(100 * F.when(F.col(f"own{k}") > 0, F.col(f"sim{k}") / F.col(f"own{k}")) + 1e-9, 3)
+    return g.select("doc_id", F.col("own0").alias("src_ink"), F.col("own1").alias("ren_ink"), over(0).alias("src_match"), over(1).alias("ren_match"))
 
 
 def concentric_dots(circles: DataFrame) -> DataFrame:
@@ -191,26 +201,50 @@ def concentric_dots(circles: DataFrame) -> DataFrame:
     )
 
 
+def _extent(pictures: dict[int, Pixels], band: int) -> dict[str, object]:
+    """Area and box of the second picture's own pixels."""
+    p = pictures.get(1)
+    own = np.flatnonzero(p["y"] // BAND == band) if p is not None else []
+    if not len(own):
+        return {c: np.empty(0) for c in ("n", "x0", "x1", "y0", "y1")}
+    y, x = p["y"][own], p["x"][own]
+    return {"n": [len(own)], "x0": [x.min()], "x1": [x.max()], "y0": [y.min()], "y1": [y.max()]}
+
+
+def _told_apart(pairs: list[tuple[int, Pixels]]) -> dict[str, object]:
+    """Runs of several masks in one table, by ``kind``."""
+    return {"kind": np.concatenate([np.full(len(r["y"]), k) for k, r in pairs]), **{c: np.concatenate([r[c] for _, r in pairs]) for c in ("y", "x0", "x1")}}
+
+
+def _pockets(pictures: dict[int, Pixels], band: int, facts: dict) -> dict[str, object]:
+    """Runs of candidates inside the enclosure (kind 0) and of the enclosure's edge (1)."""
+    grid = Grid(*pictures.values())
+    whole, own = grid.mask(pictures.get(1)), grid.rows_of(band)
+    core = whole
+    for _ in range(facts["depth"]):
+        core = eroded(core, EIGHT)
+    return _told_apart([(0, runs(grid.mask(pictures.get(0)) & whole & own, grid)), (1, runs(whole & ~core & own, grid))])
+
+
 def background_pockets(candidates: DataFrame, enclosure: DataFrame) -> DataFrame:
     """Components of background pixels inside an enclosure, and whether they are open space: large
     alone, spanning and dominant at the edge, or one of several parts that own some of the edge.
 
     ``candidates``, ``enclosure``: masks; the edge is a band of one to three pixels by the size of
-    the enclosure.
+    the enclosure. Both masks are packed once; after that only runs take part.
     """
-    enclosure = written(enclosure.select(*PIXEL))
-    size = enclosure.groupBy("doc_id").agg(F.count(F.lit(1)).alias("e_area"), (F.max("x") - F.min("x") + 1).alias("e_w"), (F.max("y") - F.min("y") + 1).alias("e_h"))
-    size = size.withColumn("depth", F.greatest(F.lit(1), F.least(F.lit(3), F.bround(0.01 * F.least("e_w", "e_h")).cast("int"))))
-    left, levels = enclosure, [enclosure.withColumn("level", F.lit(0))]
-    for k in (1, 2, 3):
-        left = written(erode(left))
-        levels.append(left.withColumn("level", F.lit(k)))
-    band = reduce(united, levels).groupBy(*PIXEL).agg(F.max("level").alias("level")).join(size.select("doc_id", "depth"), "doc_id").filter("level < depth").select(*PIXEL)
-    inside = candidates.select(*PIXEL).join(by_shuffle(enclosure), PIXEL, "left_semi")
-    runs = written(component_runs(inside))
-    parts = component_stats(runs)
-    on_edge = runs.select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).join(by_shuffle(band), PIXEL).groupBy("doc_id", "comp_id").agg(F.count(F.lit(1)).alias("on_edge"))
-    rows = parts.join(size, "doc_id").join(band.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edge")), "doc_id").join(parts.groupBy("doc_id").agg(F.sum("area").alias("total")), "doc_id").join(on_edge, ["doc_id", "comp_id"], "left")
+    pieces = written(packed([candidates.select(*PIXEL), enclosure.select(*PIXEL)], halo=3))
+    box = by_band(pieces, _extent, "n long, x0 long, x1 long, y0 long, y1 long")
+    size = box.groupBy("doc_id").agg(F.sum("n").alias("e_area"), (F.max("x1") - F.min("x0") + 1).alias("e_w"), (F.max("y1") - F.min("y0") + 1).alias("e_h"))
+    size = written(size.withColumn("depth", F.greatest(F.lit(1), F.least(F.lit(3), F.bround(0.01 * F.least("e_w", "e_h")).cast("int")))))
+    found = written(by_band(pieces, _pockets, "kind int, y int, x0 int, x1 int", size.select("doc_id", "depth")))
+    band = found.filter("kind = 1").select("doc_id", "y", F.col("x0").alias("o0"), F.col("x1").alias("o1"))
+    own = written(labelled_runs(found.filter("kind = 0")))
+    parts = written(component_stats(own))
+    on_edge = own.join(by_shuffle(band), ["doc_id", "y"]).filter("x0 <= o1 AND o0 <= x1").groupBy("doc_id", "comp_id").agg(F.sum(F.least("x1", "o1") - F.greatest("x0", "o0") + 1).alias("on_edge"))
+    edges = band.groupBy("doc_id").agg(F.sum(F.col("o1") - F.col("o0") + 1).alias("edge"))
+    total = parts.groupBy("doc_id").agg(F.sum("area").alias("total"))
+    rows = parts.join(by_shuffle(size), "doc_id").join(by_shuffle(edges), "doc_id").join(by_shuffle(total), "doc_id").join(by_shuffle(on_edge), ["doc_id", "comp_id"], "left")
     share, edge = F.col("area") / F.col("e_area"), F.coalesce("on_edge", F.lit(0)) / F.col("edge")
     spans = (F.col("bw") >= 0.72 * F.col("e_w")) & (F.col("bh") >= 0.72 * F.col("e_h"))
     rule = F.when(share >= 0.30, "large").when((share >= 0.08) & spans & (F.col("area") >= 0.65 * F.col("total")) & (edge >= 0.12), "spanning").when((F.col("total") >= 0.30 * F.col("e_area")) & (share >= 0.01) & (edge >= 0.08), "partitioned")
@@ -313,26 +347,67 @@ def operation_evidence(reports: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("supplied"), "reported").otherwise("not_supplied").alias("status"), only(F.col("schema")).alias("schema"), only(F.col("passed")).alias("passed"), only(F.col("total")).alias("total"), only(done).alias("all_passed"))
 
 
+def _holes(pictures: dict[int, Pixels], band: int) -> dict[str, object]:
+    """Runs of visible background (kind 0), and the first and last column that shows something (1)."""
+    p = pictures[0]
+    grid, shown = Grid(p), p["visible"] == 1
+    x = p["x"][shown]
+    ends = np.array([[band, x.min(), x.max()]] if len(x) else np.empty((0, 3)), np.int64)
+    wide = {"y": ends[:, 0], "x0": ends[:, 1], "x1": ends[:, 2]}
+    return _told_apart([(0, runs(grid.mask(p, shown & (p["background"] == 1)) & grid.rows_of(band), grid)), (1, wide)])
+
+
+def _around(reach: int) -> Callable[..., dict[str, object]]:
+    steps = range(-reach, reach + 1)
+
+    def count(pictures: dict[int, Pixels], band: int) -> dict[str, object]:
+        """Of each component: the band's own pixels beside it, those of them that are ink, and clear ones near it."""
+        found: dict[str, list] = {"comp_id": [], "edge": [], "ink": [], "clear": []}
+        p, c = pictures.get(0), pictures.get(1)
+        if p is None or c is None:
+            return found
+        ends = {"y": np.r_[c["y"], c["y"]], "x": np.r_[c["x"], c["x1"]]}
+        grid = Grid(p, ends, pad=reach)
+        own = grid.rows_of(band)
+        there, clear = grid.mask(p) & own, grid.mask(p, p["visible"] == 0) & own
+        ink = grid.mask(p, (p["visible"] == 1) & (p["background"] == 0)) & own
+        order = np.argsort(c["comp_id"], kind="stable")
+        y, x0, x1 = ((c[k][order].astype(np.int64) - at) for k, at in (("y", grid.y), ("x", grid.x), ("x1", grid.x)))
+        ids, cuts = np.unique(c["comp_id"][order], return_index=True)
+        for comp, a, b in zip(ids, cuts, np.r_[cuts[1:], len(order)]):
+            top, left = y[a:b].min() - reach, x0[a:b].min() - reach
+            shape = (y[a:b].max() + reach + 1 - top, x1[a:b].max() + reach + 1 - left)
+            at = (slice(top, top + shape[0]), slice(left, left + shape[1]))
+            hole = filled(shape, y[a:b] - top, x0[a:b] - left, x1[a:b] - left)
+            beside, near = (summed(summed(hole.astype(np.int32), [(d, 0) for d in s]), [(0, d) for d in s]) > 0 for s in ((-1, 0, 1), steps))
+            beside, near = beside & ~hole, near & ~hole
+            for name, n in (("comp_id", comp), ("edge", (beside & there[at]).sum()), ("ink", (beside & ink[at]).sum()), ("clear", (near & clear[at]).sum())):
+                found[name].append(int(n))
+        return found
+
+    return count
+
+
 def row_counters(px: DataFrame, height: int, width: int) -> DataFrame:
     """Background trapped in glyphs: tight holes in ink near the open canvas, removed when three or
     more stand in one row of text. ``doc_id, comp_id, area, removed`` for every hole that fits.
 
     ``px``: doc_id, y, x, visible, background. Rows of text are found in one sorted pass over the
-    holes' tops, so no pairs of holes are written out.
+    holes' tops, so no pairs of holes are written out. Pixels are packed once; a hole's surroundings are counted in
+    the bands that it lies in, without a row for each.
     """
-    px = written(px.select(*PIXEL, "visible", "background"))
-    runs = written(component_runs(px.filter("visible AND background")))
-    least = max(64, round(0.0001 * height * width))
-    fit = written(component_stats(runs).filter((F.col("area") >= least) & (F.least("bw", "bh") >= 3) & (F.col("area") >= 0.30 * F.col("bw") * F.col("bh"))))
-    own = written(runs.join(fit.select("doc_id", "comp_id"), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")))
     reach = max(3, -(-4 * min(height, width) // 1000))
-    box = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)))
-    near = own.select("doc_id", "comp_id", "y", "x", F.explode(box).alias("o")).groupBy("doc_id", "comp_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min(F.greatest(F.abs("o.dy"), F.abs("o.dx"))).alias("far"))
-    # Pixels of the hole itself have distance 0.
-    seen = near.filter("far > 0").join(px, PIXEL).groupBy("doc_id", "comp_id").agg(
-        F.count_if(F.col("far") == 1).alias("edge"), F.count_if((F.col("far") == 1) & F.expr("visible AND NOT background")).alias("ink"), F.count_if(~F.col("visible")).alias("clear")
-    )
-    holes = written(fit.join(seen.filter((F.col("edge") > 0) & (F.col("ink") >= 0.95 * F.col("edge")) & (F.col("clear") > 0)), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", "bx", "by", "bw", "bh"))
+    marks = [F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("visible", "background")]
+    pieces = written(packed([px.select(*PIXEL, *marks)], halo=reach))
+    found = written(by_band(pieces, _holes, "kind int, y int, x0 int, x1 int"))
+    own = written(labelled_runs(found.filter("kind = 0")))
+    least = max(64, round(0.0001 * height * width))
+    fit = written(component_stats(own).filter((F.col("area") >= least) & (F.least("bw", "bh") >= 3) & (F.col("area") >= 0.30 * F.col("bw") * F.col("bh"))))
+    # The holes' runs meet the pixels in their bands; pixels of the hole itself are at distance 0.
+    holes = own.join(by_shuffle(fit.select("doc_id", "comp_id")), ["doc_id", "comp_id"]).select("doc_id", "y", F.col("x0").alias("x"), "x1", "comp_id")
+    seen = by_band(pieces.transform(united, packed([holes], halo=reach, first=1)), _around(reach), "comp_id int, edge long, ink long, clear long")
+    seen = seen.groupBy("doc_id", "comp_id").agg(*(F.sum(c).alias(c) for c in ("edge", "ink", "clear")))
+    holes = written(fit.join(by_shuffle(seen.filter((F.col("edge") > 0) & (F.col("ink") >= 0.95 * F.col("edge")) & (F.col("clear") > 0))), ["doc_id", "comp_id"]).select("doc_id", "comp_id", "area", "bx", "by", "bw", "bh"))
     # Two holes share a row when the gap between them is within 0.35 of the taller one, at least 4. In
     # order of their tops a row ends where no earlier hole's allowance reaches the next top and no
     # later hole's allowance reaches back to the last bottom.
@@ -342,8 +417,8 @@ def row_counters(px: DataFrame, height: int, width: int) -> DataFrame:
     bottom = F.col("by") + F.col("bh")
     joins = (F.col("by") <= F.max(bottom + slack).over(before)) | (F.min(F.col("by") - slack).over(after) <= F.max(bottom).over(before))
     rows = holes.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("row", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    seen_width = px.filter("visible").groupBy("doc_id").agg((F.max("x") - F.min("x") + 1).alias("shown"))
-    rule = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("bx") + F.col("bw")) - F.min("bx")).alias("span"), F.percentile("bw", F.lit(0.5)).alias("mid")).join(seen_width, "doc_id")
+    seen_width = found.filter("kind = 1").groupBy("doc_id").agg((F.max("x1") - F.min("x0") + 1).alias("shown"))
+    rule = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("bx") + F.col("bw")) - F.min("bx")).alias("span"), F.percentile("bw", F.lit(0.5)).alias("mid")).join(by_shuffle(seen_width), "doc_id")
     wide = F.col("span") >= F.greatest(F.lit(16), F.bround(0.10 * F.col("shown")), F.bround(4 * F.col("mid")))
     rule = rule.select("doc_id", "row", ((F.col("n") >= 3) & wide).alias("removed"))
-    return rows.join(rule, ["doc_id", "row"]).select("doc_id", "comp_id", "area", "removed")
+    return rows.join(by_shuffle(rule), ["doc_id", "row"]).select("doc_id", "comp_id", "area", "removed")
