@@ -60,25 +60,43 @@ def hue_clusters(colours: DataFrame, limit: float = 42.0) -> DataFrame:
     return now.select("doc_id", "paint", "family")
 
 
-def paint_roles(inventory: DataFrame) -> DataFrame:
-    """Role of every colour: neutral dark, mid or light by lightness, else an accent numbered by
-    use; with the role's anchor (weighted means) and the colour's distance from its lightness."""
+def role_members(inventory: DataFrame) -> DataFrame:
+    """Every colour with its role (see ``paint_roles``), the role's ``kind`` and anchors, and where the colour lies
+    from them: ``lightness_delta``, ``chroma_ratio`` (0 without an anchor's chroma), and ``hue_delta`` in degrees
+    from the weighted mean hue, 0 in neutral roles."""
     c = written(with_oklch(inventory))
     grey = c.filter("chroma < 0.035").withColumn("family", F.when(F.col("lightness") < 0.38, "neutral-dark").when(F.col("lightness") >= 0.94, "neutral-light").otherwise("neutral-mid"))
     hued = c.filter("chroma >= 0.035").join(by_shuffle(hue_clusters(c)), ["doc_id", "paint"])
     n = hued.groupBy("doc_id", "family").agg(F.sum("uses").alias("n"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "family"))
     named = hued.join(by_shuffle(n.select("doc_id", "family", F.concat(F.lit("accent-"), place.cast("string")).alias("role"))), ["doc_id", "family"]).drop("family")
-    rows = grey.withColumnRenamed("family", "role").transform(united, named)
+    rows = grey.withColumnRenamed("family", "role").withColumn("kind", F.lit("neutral")).transform(united, named.withColumn("kind", F.lit("chromatic")))
     by = Window.partitionBy("doc_id", "role")
     anchor = lambda v: F.sum(F.col(v) * F.col("uses")).over(by) / F.sum("uses").over(by)
-    return rows.select("doc_id", "paint", "uses", "role", F.round(anchor("lightness"), 6).alias("anchor_lightness"), F.round(anchor("chroma"), 6).alias("anchor_chroma"), F.round(F.col("lightness") - anchor("lightness"), 6).alias("lightness_delta"))
+    pull = lambda f: F.sum(f(F.radians("hue")) * F.col("uses")).over(by)
+    turn = F.pmod(F.col("hue") - F.pmod(F.degrees(F.atan2(pull(F.sin), pull(F.cos))), F.lit(360.0)) + 180, F.lit(360.0)) - 180
+    return rows.select(
+        "doc_id", "paint", "uses", "role", F.round(anchor("lightness"), 6).alias("anchor_lightness"), F.round(anchor("chroma"), 6).alias("anchor_chroma"), F.round(F.col("lightness") - anchor("lightness"), 6).alias("lightness_delta"),
+        "kind", F.round(F.when(anchor("chroma") > 1e-7, F.col("chroma") / anchor("chroma")).otherwise(0.0), 6).alias("chroma_ratio"), F.when(F.col("kind") == "chromatic", F.round(turn, 3)).otherwise(0.0).alias("hue_delta"),
+    )
 
 
-def role_mapping(roles: DataFrame, lightness: float, chroma: float, hue: float) -> DataFrame:
-    """New colours of all roles for one target, each keeping its distance in lightness."""
-    target = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(lightness) + F.col("lightness_delta")))
-    return roles.select("doc_id", "paint", oklch_to_hex(target, F.lit(chroma), F.lit(hue)).alias("to_paint"))
+def paint_roles(inventory: DataFrame) -> DataFrame:
+    """Role of every colour: neutral dark, mid or light by lightness, else an accent numbered by
+    use; with the role's anchor (weighted means) and the colour's distance from its lightness."""
+    return role_members(inventory).select("doc_id", "paint", "uses", "role", "anchor_lightness", "anchor_chroma", "lightness_delta")
+
+
+def role_mapping(members: DataFrame, lightness: float, chroma: float, hue: float, spread: float = 0.5) -> DataFrame:
+    """New colours of all roles (of ``role_members``) for one target. Each keeps its distance in lightness, between
+    0.03 and 0.99, and its part of the role's chroma; in chromatic roles also ``spread`` of its distance in hue. A
+    target without chroma makes a role grey; a neutral role without chroma of its own takes the target's."""
+    is_hued = F.col("kind") == "chromatic"
+    level = F.greatest(F.lit(0.03), F.least(F.lit(0.99), F.lit(lightness) + F.col("lightness_delta")))
+    ratio = F.when(is_hued | (F.col("anchor_chroma") > 1e-7), F.col("chroma_ratio")).otherwise(1.0)
+    strength = F.when(is_hued & F.lit(chroma <= 1e-6), 0.0).otherwise(F.lit(chroma) * ratio)
+    turned = F.when(is_hued, F.pmod(F.lit(hue) + spread * F.col("hue_delta"), F.lit(360.0))).otherwise(F.lit(hue))
+    return members.select("doc_id", "paint", oklch_to_hex(level, strength, turned).alias("to_paint"))
 
 
 def scaled_penalty(value: Column, free: float, severe: float, most: float) -> Column:

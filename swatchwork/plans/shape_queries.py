@@ -150,7 +150,7 @@ def paint_roles(spark, sf_dir):
 
 @query()
 def role_mapping(spark, sf_dir):
-    return T.role_mapping(T.paint_roles(D.paint_inventory(A.elements(spark, sf_dir))), 0.6, 0.12, 150.0)
+    return T.role_mapping(T.role_members(D.paint_inventory(A.elements(spark, sf_dir))), 0.6, 0.12, 150.0)
 
 
 def _penalty(v: str, free: float, severe: float, most: float) -> str:
