@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchwork.operators.bands import BAND, Grid, Pixels, by_band, eroded, packed
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
-from swatchwork.operators.raster import PIECE, PIXEL, channel_gap, component_pieces, component_runs, component_stats, erode
+from swatchwork.operators.raster import EIGHT, PIECE, PIXEL, channel_gap, component_pieces, component_runs, component_stats
 from swatchwork.runtime import by_shuffle, per_document, united, written
 
 
+def _light_gaps(paper: tuple[int, int, int]) -> Callable[..., dict[str, object]]:
+    def count(pictures: dict[int, Pixels], band: int) -> dict[str, object]:
+        """How often each error occurs in the band's own light core, and whether the band has clear pixels."""
+        src, ren = pictures.get(0), pictures.get(1)
+        none = {"gap": np.empty(0), "n": np.empty(0), "clear": np.empty(0)}
+        if src is None:
+            return none
+        own = src["y"] // BAND == band
+        if not own.any():
+            return none
+        clear = int((src["a"][own] / 255 < 0.98).any())
+        grid = Grid(src, ren)
+        light = (src["a"] / 255 >= 0.5) & ((src["r"] + src["g"] + src["b"]) / 3 >= 210) & (np.minimum(np.minimum(src["r"], src["g"]), src["b"]) >= 185)
+        core = eroded(grid.mask(src, light), EIGHT) & grid.mask(ren) & grid.rows_of(band)
+        share = grid.plane(src, src["a"] / 255)
+        gap = reduce(np.fmax, (np.abs(grid.plane(ren, c) - (grid.plane(src, src[c] * src["a"]) / 255 + p * (1 - share))) for c, p in zip("rgb", paper)))
+        values, n = np.unique(gap[core], return_counts=True)
+        return {"gap": np.r_[values, np.nan], "n": np.r_[n, 0], "clear": np.full(len(n) + 1, clear)}
+
+    return count
+
+
 def light_fidelity(src: DataFrame, ren: DataFrame, paper: tuple[int, int, int] = (91, 75, 138), least: int = 64, tolerance: float = 48.0) -> DataFrame:
     """Do light objects of a translucent source stay as they are on a coloured canvas? Measured on
-    the light mask shrunk by one pixel; null where the source is opaque or the core too small."""
-    clear = src.groupBy("doc_id").agg(F.max(F.when(F.col("a") / 255 < 0.98, 1).otherwise(0)).alias("clear"))
-    light = src.filter("a / 255 >= 0.5 AND (r + g + b) / 3 >= 210 AND least(r, g, b) >= 185")
-    core = erode(light.select(*PIXEL))
-    want = {c: F.col(c) * F.col("a") / 255 + p * (1 - F.col("a") / 255) for c, p in zip("rgb", paper)}
-    o = ren.select(*PIXEL, *(F.col(c).alias(f"o_{c}") for c in "rgb"))
-    gap = F.greatest(*(F.abs(F.col(f"o_{c}") - want[c]) for c in "rgb"))
-    m = light.join(by_shuffle(core), PIXEL).join(by_shuffle(o), PIXEL).withColumn("gap", gap).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("gap") <= tolerance, 100.0).otherwise(0.0)).alias("cover"), F.avg("gap").alias("mean"), F.percentile("gap", F.lit(0.9)).alias("p90")
+    the light mask shrunk by one pixel; null where the source is opaque or the core too small. Both pictures
+    meet in packed bands; only counts of equal errors leave them."""
+    found = by_band(packed([src.select(*PIXEL, *"rgba"), ren.select(*PIXEL, *"rgb")], halo=1), _light_gaps(paper), "gap double, n long, clear int")
+    near = F.when(F.col("gap") <= tolerance, 100.0 * F.col("n")).otherwise(0.0)
+    rows = found.groupBy("doc_id", "gap").agg(F.sum("n").alias("n"), F.max("clear").alias("clear")).groupBy("doc_id").agg(
+        F.max("clear").alias("clear"), F.sum("n").alias("n"), F.sum(near).alias("cover"), F.sum(F.col("gap") * F.col("n")).alias("mean"), F.percentile("gap", F.lit(0.9), F.col("n")).alias("p90")
     )
-    rows = clear.join(m, "doc_id", "left")
-    ok = (F.col("clear") == 1) & (F.coalesce("n", F.lit(0)) >= least)
-    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("core_pixels"), ok.alias("applicable"), *(F.when(ok, F.round(v, 3)).alias(n) for v, n in (("cover", "coverage"), ("mean", "mean_error"), ("p90", "p90_error"))))
+    ok = (F.col("clear") == 1) & (F.col("n") >= least)
+    mean = lambda c: F.col(c) / F.nullif("n", F.lit(0))
+    return rows.select("doc_id", F.col("n").alias("core_pixels"), ok.alias("applicable"), *(F.when(ok, F.round(v, 3)).alias(n) for v, n in ((mean("cover"), "coverage"), (mean("mean"), "mean_error"), (F.col("p90"), "p90_error"))))
 
 
 def _thin(px: DataFrame, stats: DataFrame, least: int, most: int, core: float) -> tuple[DataFrame, DataFrame]:
