@@ -140,7 +140,7 @@ def _masses(pictures: dict[int, Pixels], band: int, facts: dict) -> dict[str, ob
     ink, count, mass = [], [], []
     for side in (0, 1):
         p = pictures.get(side)
-        strength = None if p is None else reduce(np.maximum, (np.abs(p[c] - facts[f"bg_{c}"]) for c in "rgb"))
+        strength = None if p is None else reduce(np.fmax, (np.abs(p[c] - facts[f"bg_{c}"]) for c in "rgb"))
         mask = grid.mask(p, None if p is None else strength >= threshold)
         if side == 0 and p is not None:
             lone = grid.mask(p, strength >= max(threshold * 1.75, threshold + 12))
