@@ -33,9 +33,11 @@ def clear_mask(px: DataFrame, mask: DataFrame, px_size: int, mask_size: int) ->
 
 
 def palette_image(px: DataFrame, labels: DataFrame, pal: DataFrame) -> DataFrame:
-    """Pixels in palette colours (labels: doc_id, r, g, b, k) with their own alpha."""
+    """Pixels in palette colours (labels: doc_id, r, g, b, k) with their own alpha. Colours, one row each, get their
+    palette's first; pixels meet them once, by shuffle."""
     p = pal.select("doc_id", "k", *(F.round(F.col(c)).cast("int").alias(f"p_{c}") for c in "rgb"))
-    return px.join(labels.select("doc_id", "r", "g", "b", "k"), ["doc_id", "r", "g", "b"]).join(p, ["doc_id", "k"]).select(*PIXEL, F.col("p_r").alias("r"), F.col("p_g").alias("g"), F.col("p_b").alias("b"), "a")
+    known = labels.select("doc_id", "r", "g", "b", "k").join(by_shuffle(p), ["doc_id", "k"])
+    return px.join(by_shuffle(known), ["doc_id", "r", "g", "b"]).select(*PIXEL, F.col("p_r").alias("r"), F.col("p_g").alias("g"), F.col("p_b").alias("b"), "a")
 
 
 def merge_bands(adjacency: DataFrame, contacts: int = 40, smooth: float = 0.55) -> DataFrame:
