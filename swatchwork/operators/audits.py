@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swatchwork.operators.bands import BAND, Grid, Pixels, by_band, eroded, packed
+from swatchwork.operators.bands import BAND, Grid, Pixels, by_band, eroded, filled, packed, runs, summed
 from swatchwork.operators.compare import border_stats
 from swatchwork.operators.curves import circle_fit, polyline_length
-from swatchwork.operators.raster import EIGHT, PIECE, PIXEL, channel_gap, component_pieces, component_runs, component_stats
+from swatchwork.operators.raster import EIGHT, PIECE, PIXEL, channel_gap, component_pieces, component_runs, component_stats, labelled_runs
 from swatchwork.runtime import by_shuffle, per_document, united, written
 
 
@@ -137,25 +137,63 @@ def closed_primitives(pts: DataFrame, width: float) -> DataFrame:
     return g.select("curve_id", F.when(circle, "circle").when(rect, "rect").alias("kind")).filter("kind IS NOT NULL")
 
 
+def _moats(moat: int) -> Callable[..., dict[str, object]]:
+    steps = range(-moat, moat + 1)
+
+    def count(pictures: dict[int, Pixels], band: int, facts: dict) -> dict[str, object]:
+        """Of each component: strong pixels of the source around it, and of the render around and on it, among the
+        band's own; and, in rows with a colour, how many of its own pixels have that."""
+        rows: list[tuple] = []
+        src, ren, c = (pictures.get(k) for k in (0, 1, 2))
+        if c is not None and (src is not None or ren is not None):
+            grid = Grid(src, ren, {"y": np.r_[c["y"], c["y"]], "x": np.r_[c["x"], c["x1"]]}, pad=moat)
+            own, core = grid.rows_of(band), max(facts["threshold"] * 2, facts["threshold"] + 12)
+            far = lambda p: None if p is None else reduce(np.fmax, (np.abs(p[k] - facts[f"bg_{k}"]) for k in "rgb")) >= core
+            there, strong = grid.mask(src) & own, [grid.mask(p, far(p)) & own for p in (src, ren)]
+            tones = np.stack([grid.plane(src, k) for k in "rgb"], axis=-1)
+            order = np.argsort(c["src_comp"], kind="stable")
+            y, x0, x1 = ((c[k][order].astype(np.int64) - at) for k, at in (("y", grid.y), ("x", grid.x), ("x1", grid.x)))
+            ids, cuts = np.unique(c["src_comp"][order], return_index=True)
+            for comp, a, b in zip(ids, cuts, np.r_[cuts[1:], len(order)]):
+                top, left = y[a:b].min() - moat, x0[a:b].min() - moat
+                shape = (y[a:b].max() + moat + 1 - top, x1[a:b].max() + moat + 1 - left)
+                at = (slice(top, top + shape[0]), slice(left, left + shape[1]))
+                mine = filled(shape, y[a:b] - top, x0[a:b] - left, x1[a:b] - left)
+                near = summed(summed(mine.astype(np.int32), [(d, 0) for d in steps]), [(0, d) for d in steps]) > 0
+                rows.append((comp, (near & strong[0][at] & ~mine).sum(), (near & strong[1][at]).sum(), None, None, None, None))
+                values, n = np.unique(tones[at][mine & there[at]], axis=0, return_counts=True)
+                rows.extend((comp, None, None, *v, k) for v, k in zip(values.tolist(), n))
+        names = ("src_comp", "src_moat", "ren_moat", "r", "g", "b", "n")
+        return {name: [None if r[k] is None else int(r[k]) for r in rows] for k, name in enumerate(names)}
+
+    return count
+
+
 def repair_candidates(src: DataFrame, ren: DataFrame, topology: DataFrame, height: int, width: int, moat: int = 3, most: int = 4, most_area: int = 4096) -> DataFrame:
     """Source components that the render lacks and that can be put back: wholly missing, not too
     large, with a clear moat in both pictures and one dominant colour. Each row has its first reason
-    against, or the fill; a document over the limits is skipped whole."""
+    against, or the fill; a document over the limits is skipped whole. Pixels are packed once; the surroundings of
+    missing components are counted in bands."""
     stats = border_stats(src, height, width)
-    core = F.greatest(F.col("threshold") * 2, F.col("threshold") + 12)
-    small = per_document(stats)
-    strong = lambda px: px.join(small, "doc_id").filter(channel_gap("", "bg_") >= core).select(*PIXEL)
-    runs = component_runs(strong(src))
-    own = written(runs.select("doc_id", F.col("comp_id").alias("src_comp"), "y", F.explode(F.sequence("x0", "x1")).alias("x")))
+    facts = stats.select("doc_id", "bg_r", "bg_g", "bg_b", "threshold")
+    pieces = written(packed([src.select(*PIXEL, *"rgb"), ren.select(*PIXEL, *"rgb")], halo=moat))
+
+    def strong(pictures: dict[int, Pixels], band: int, known: dict) -> dict[str, object]:
+        p = pictures.get(0)
+        if p is None:
+            return {"y": [], "x0": [], "x1": []}
+        core = max(known["threshold"] * 2, known["threshold"] + 12)
+        grid = Grid(p)
+        return runs(grid.mask(p, reduce(np.fmax, (np.abs(p[k] - known[f"bg_{k}"]) for k in "rgb")) >= core) & grid.rows_of(band), grid)
+
+    own = labelled_runs(by_band(pieces, strong, "y int, x0 int, x1 int", facts)).withColumnRenamed("comp_id", "src_comp")
     missing = topology.filter("score <= 5 AND coverage <= 5 AND fragments = 0").select("doc_id", "src_comp", "area")
-    mine = written(own.join(by_shuffle(missing), ["doc_id", "src_comp"]))
-    reach = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-moat, moat + 1) for dx in range(-moat, moat + 1)))
-    around = mine.select("doc_id", "src_comp", F.explode(reach).alias("o"), "y", "x").select("doc_id", "src_comp", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    other = own.withColumnRenamed("src_comp", "o_comp")
-    near = around.join(by_shuffle(other), PIXEL).filter("o_comp <> src_comp").groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("src_moat"))
-    hit = around.join(by_shuffle(strong(ren)), PIXEL).groupBy("doc_id", "src_comp").agg(F.count(F.lit(1)).alias("ren_moat"))
-    tones = mine.join(by_shuffle(src), PIXEL).groupBy("doc_id", "src_comp", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "src_comp").agg(F.max(F.struct("n", "r", "g", "b")).alias("m"), F.sum("n").alias("all"))
-    rows = missing.join(near, ["doc_id", "src_comp"], "left").join(hit, ["doc_id", "src_comp"], "left").join(tones, ["doc_id", "src_comp"])
+    mine = own.join(by_shuffle(missing.select("doc_id", "src_comp")), ["doc_id", "src_comp"]).select("doc_id", "y", F.col("x0").alias("x"), "x1", "src_comp")
+    kinds = dict(src.dtypes)
+    found = written(by_band(pieces.transform(united, packed([mine], halo=moat, first=2)), _moats(moat), f"src_comp int, src_moat long, ren_moat long, r {kinds['r']}, g {kinds['g']}, b {kinds['b']}, n long", facts))
+    beside = found.filter("n IS NULL").groupBy("doc_id", "src_comp").agg(F.sum("src_moat").alias("src_moat"), F.sum("ren_moat").alias("ren_moat"))
+    tones = found.filter("n IS NOT NULL").groupBy("doc_id", "src_comp", "r", "g", "b").agg(F.sum("n").alias("n")).groupBy("doc_id", "src_comp").agg(F.max(F.struct("n", "r", "g", "b")).alias("m"), F.sum("n").alias("all"))
+    rows = missing.join(by_shuffle(beside), ["doc_id", "src_comp"], "left").join(by_shuffle(tones), ["doc_id", "src_comp"])
     total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     reason = (
         F.when(F.col("area") > most_area, "component_area_limit").when(total > most, "component_count_limit").when(F.col("src_moat") > 0, "source_moat_not_clear").when(F.col("ren_moat") > 0, "render_moat_not_clear").when(F.col("m.n") < 0.9 * F.col("all"), "not_single_colour")

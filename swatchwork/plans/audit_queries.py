@@ -55,7 +55,7 @@ def closed_primitives(spark, sf_dir):
 
 @query()
 def repair_candidates(spark, sf_dir):
-    src, ren = A.src_px(spark, sf_dir), A.ren_px(spark, sf_dir)
+    src, ren = written(A.src_px(spark, sf_dir)), written(A.ren_px(spark, sf_dir))
     return Q.repair_candidates(src, ren, written(C.component_topology(src, ren, N, N)), N, N)
 
 
